@@ -105,7 +105,7 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     """A 64-bit hash of each byte range, eight bytes at a time; data must have eight bytes of padding."""
     wide = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     left = end - start
-    h = mix(left.astype(np.uint64) + np.uint64(seed) * _M1 + _M1)
+    h = mix(left.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
     todo, at = np.arange(len(start)), start
     while len(todo):
         n = np.minimum(left[todo], 8)

@@ -15,8 +15,15 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_line_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_rules": op6_line_rules,
+    "op8_toxicity": op8_toxicity,
 }
 
 #: Lines, words and windows are compared themselves here, not their hashes.
