@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm._common import table
 
 
+def op2_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.credentials import digest, secret_spans
+
+    return digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.line_rules import apply_line_rules
 
@@ -22,6 +28,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_credentials": op2_credentials,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity": op8_toxicity,
 }
