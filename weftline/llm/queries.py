@@ -27,10 +27,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_credentials": op2_credentials,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity": op8_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 #: Lines, words and windows are compared themselves here, not their hashes.
