@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm._common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.pii import digest, personal_data
+
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.credentials import digest, secret_spans
 
@@ -34,6 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_credentials": op2_credentials,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity": op8_toxicity,
