@@ -34,8 +34,8 @@ STOP[list(b".!?")] = True
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    max_train_docs: int = 12_000
-    max_train_chars: int = 48_000_000
+    max_train_docs: int = 10_000
+    max_train_chars: int = 32_000_000
     max_features: int = 2_048
     min_df: int = 4
     steps: int = 300
@@ -138,34 +138,36 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Model
     none = Model(np.zeros(0, np.uint32), np.zeros(0), -40.0)
     picked = labelled.select("text", "toxic", F.xxhash64(F.lit(8), "doc_id").alias("ord"))
     table = picked.mapInArrow(_sample_features, "ord long, toxic int, chars long, features binary, sizes binary").toArrow()
-    table = table.sort_by([("ord", "ascending"), ("chars", "ascending")]) if len(table) else table
-    keep = int(np.searchsorted(np.cumsum(table["chars"].to_numpy()), params.max_train_chars, "right")) if len(table) else 0
-    table = table.slice(0, keep)
-    y = table["toxic"].to_numpy().astype(bool) if keep else np.zeros(0, bool)
+    order = np.lexsort((table["chars"].to_numpy(), table["ord"].to_numpy()))
+    keep = order[: int(np.searchsorted(np.cumsum(table["chars"].to_numpy()[order]), params.max_train_chars, "right"))]
+    y = table["toxic"].to_numpy()[keep].astype(bool)
     if not y.any() or y.all():
         return none
-    f = np.frombuffer(b"".join(table["features"].to_pylist()), np.uint32).reshape(-1, 3)
-    sizes = [np.frombuffer(x, np.int32) for x in table["sizes"].to_pylist()]
+    column = table["features"].combine_chunks()
+    f = [np.frombuffer(column[i].as_buffer(), np.uint32).reshape(-1, 3) for i in keep.tolist()]  # views, no copies
+    sizes = [np.frombuffer(x.as_buffer(), np.int32) for x in table["sizes"].combine_chunks().take(pa.array(keep))]
     bag = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
-    sent = np.repeat(np.arange(bag[-1]), np.concatenate(sizes))
-    doc = np.repeat(np.arange(len(y)), np.diff(bag))[sent]
-    del table, sizes
 
     # Document frequencies by class, then the features that tell the classes apart best.
-    pair = np.unique((doc.astype(np.uint64)[:, None] << np.uint64(32) | f.astype(np.uint64)).ravel())
-    key, at = np.unique((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
-    toxic = y[(pair >> np.uint64(32)).astype(np.int64)]
+    own = [np.unique(x) for x in f]
+    key, at = np.unique(np.concatenate(own), return_inverse=True)
+    toxic = np.repeat(y, [len(x) for x in own])
     pos, all_ = np.bincount(at, toxic, len(key)), np.bincount(at, minlength=len(key))
     rate = y.mean()
     gap = np.abs(pos - rate * all_) / np.sqrt(rate * (1 - rate) * np.maximum(all_, 1))
     gap[all_ < params.min_df] = 0
     key = np.sort(key[np.argsort(-gap, kind="stable")[: params.max_features]])
-    del pair, at, toxic
-
-    i = np.minimum(np.searchsorted(key, f), len(key) - 1)
-    hit = key[i] == f
-    col, row = i[hit], np.repeat(sent, 3).reshape(-1, 3)[hit]
-    del f, i
+    del own, at, toxic, pos, all_, gap
+
+    cols, rows = [], []
+    for k, x in enumerate(f):
+        i = np.minimum(np.searchsorted(key, x), len(key) - 1)
+        hit = key[i] == x
+        sent = bag[k] + np.repeat(np.arange(len(sizes[k])), sizes[k])
+        cols.append(i[hit].astype(np.int32))
+        rows.append(np.broadcast_to(sent[:, None], x.shape)[hit].astype(np.int32))
+    col, row = np.concatenate(cols), np.concatenate(rows)
+    del table, column, f, cols, rows
     n, w = int(bag[-1]), np.zeros(len(key))
     b = float(np.log(rate / (1 - rate)) - np.log(max(1.0, n / len(y))))
     m, v = np.zeros(len(key) + 1), np.zeros(len(key) + 1)
