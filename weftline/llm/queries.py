@@ -21,6 +21,12 @@ def op2_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.repeated_windows import repeated_windows
+
+    return repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.line_rules import apply_line_rules
 
@@ -42,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_credentials": op2_credentials,
+    "op5_repeated_windows": op5_repeated_windows,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
@@ -74,4 +81,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_removed_lines, n_left_words FROM m
 """
 
-ORACLE: dict[str, str] = {"op6_line_rules": OP6_SQL}
+#: Windows are compared as word sequences; rows of one id are one document.
+OP5_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+      list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT r, doc_id, unnest(range(1, greatest(len(words) - 18, 1))) AS p, words FROM w),
+s AS (SELECT r, doc_id, p, list_aggregate(words[p:p + 19], 'string_agg', ' ') AS s FROM g),
+f AS (SELECT r, p, row(doc_id, p) > min(row(doc_id, p)) OVER (PARTITION BY s) AS again FROM s),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS k FROM f WHERE again),
+k AS (SELECT r, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS word FROM w),
+kept AS (SELECT k.r, string_agg(word, ' ' ORDER BY k.k) AS t, count(*) AS n FROM k ANTI JOIN gone USING (r, k) GROUP BY k.r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op5_repeated_windows": OP5_SQL, "op6_line_rules": OP6_SQL}
