@@ -39,6 +39,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.bag_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.mixing import mix
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeated_windows": op5_repeated_windows,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
 }
 
