@@ -21,6 +21,12 @@ def op2_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.repeated_windows import repeated_windows
 
@@ -54,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_credentials": op2_credentials,
+    "op4_decontaminate": op4_decontaminate,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity": op8_toxicity,
