@@ -39,6 +39,12 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_line_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.kneser_ney import model_scores
+
+    return model_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.toxicity import toxicity
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_line_rules": op6_line_rules,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
