@@ -39,6 +39,15 @@ def test_multisets_equal_counters():
         assert sorted(count[row == i].tolist()) == sorted(bag(t).values())
 
 
+def test_blocks_link_each_pair_of_components_once():
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.integers(0, 2**63, 100).astype(np.uint64))
+    bags = [base, np.sort(np.append(base[5:], rng.integers(0, 2**63, 5).astype(np.uint64))), np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), base[:95]]
+    pack = lambda h: h.tobytes() + np.ones(len(h), np.uint32).tobytes()
+    rows = {"key": list("abcd"), "comp": list("abca"), "bag": [pack(h) for h in bags], "own": [0, 1, 0, 1], "i": [0] * 4, "j": [1] * 4}
+    assert bm._block_links(pa.table(rows), 0.8).to_pylist() == [{"a": "b", "b": "a"}]
+
+
 def test_classes_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(400)]
@@ -52,6 +61,13 @@ def test_classes_equal_brute_force(spark):
                 copy[int(rng.integers(0, 120))] = "edit%d" % rng.integers(0, 10**6)
             rows.append((at, " ".join(copy)))
             at += 1
+    for _ in range(4):  # chains: far ends are apart, so a leader cannot link them all
+        text = rng.choice(vocab, 120).tolist()
+        for step in range(9):
+            rows.append((at, " ".join(text)))
+            at += 1
+            for k in range(2):
+                text[12 * step + 6 * k + 3] = f"step{step}{k}"
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string")
     got = bm.near_duplicates(docs).collect()
     assert len(got) == len(rows)

@@ -9,10 +9,16 @@ point can still change a register, so a document costs a few points per window,
 registers.
 
 Equal texts are one class from the start (a map-side aggregate by text digest).  Classes that share
-a band bucket are candidates.  A bucket never emits all pairs: in each round every member is compared
-with one drawn leader of its bucket unless they are linked already; when the pairs between different
-components that are left to try are at most ``spare_pairs`` per class and band, they are all tried and the search
-ends.  So every pair that shares a bucket is either linked through others or verified.
+a band bucket are candidates, but no bucket emits its pairs:
+
+Round 1 compares every member of a bucket with the bucket's leader, the class that meets the most
+others in its buckets (in a group of edited copies, the one that was edited least).
+Round 2 takes the buckets whose members are still in different components, forms clusters of what shares
+a key of two bands, cuts every cluster into blocks of ``block_bytes`` and compares all classes of two
+blocks by a matrix product inside the task, which returns one link per pair of components at most.
+So every such pair is decided, the rows that move grow with members times blocks, and a task holds
+two blocks.
+
 Verification is exact: multisets of 64-bit window hashes, weighted Jaccard of ``threshold`` or more.
 
 Cases: a text of one to four words is one window; texts without words are equal to one another; a
@@ -28,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm._common import staged
@@ -43,7 +50,7 @@ class NearParams:
     threshold: float = 0.8
     rows: int = 5
     bands: int = 26
-    spare_pairs: int = 8
+    block_bytes: int = 8 << 20
 
     @property
     def registers(self) -> int:
@@ -132,6 +139,56 @@ def _load(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n)
 
 
+def _block_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between components among the classes of two blocks (or of one with itself).
+
+    Windows count as units (window, 1st), (window, 2nd) ...; the sum of the smaller counts is then the
+    product of 0/1 rows, taken over units that two classes or more hold.
+    """
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    own = np.array(table["own"].to_pylist())
+    keys, comps = table["key"].to_pylist(), table["comp"].to_pylist()
+    bags = [_load(x) for x in table["bag"].to_pylist()]
+    total = np.array([int(c.sum()) for _, c in bags])
+    doc = np.repeat(np.arange(len(bags)), total)
+    unit = [np.repeat(h, c) + (np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64) * _STEP for h, c in bags]
+    unit = np.concatenate(unit) if unit else np.zeros(0, np.uint64)
+    _, column, times = np.unique(unit, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    doc, column = doc[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    common = np.zeros((len(left), len(right)), np.float32)
+    place_l, place_r = np.full(len(bags), -1), np.full(len(bags), -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    wide = 2048
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [lo, lo + wide])
+        x, y = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+        d, c = doc[a:b], column[a:b] - lo
+        x[place_l[d[place_l[d] >= 0]], c[place_l[d] >= 0]] = 1
+        y[place_r[d[place_r[d] >= 0]], c[place_r[d] >= 0]] = 1
+        common += x @ y.T
+    whole = total[left][:, None] + total[right][None] - common
+    ok = np.argwhere(common >= threshold * np.maximum(whole, 1) - 1e-6)
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for p, q in ok.tolist():
+        a, b = int(left[p]), int(right[q])
+        if (x := root(comps[a])) != (y := root(comps[b])) and similarity(bags[a], bags[b]) >= threshold:
+            parent[x] = y
+            out.append((max(keys[a], keys[b]), min(keys[a], keys[b])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.string()), "b": pa.array([o[1] for o in out], pa.string())})
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", params: NearParams = NearParams(), name: str = "near") -> DataFrame:
     """doc_id, key (text digest), class_id, class_key, class_size for every row.
 
@@ -154,11 +211,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     classes = signed.groupBy("key").agg(first, F.count("*").alias("n"), F.min("size").alias("size"), F.first("bands").alias("bands"))
     classes = staged(classes, f"{name}-classes")
-    number = classes.count()
 
     # Buckets of two classes or more.
     spread = classes.select("key", "size", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(spread.join(full, "bucket"), f"{name}-members")
     wanted = members.select("key").distinct().join(classes.select("key", F.col("first.doc_id").alias("_id")), "key")
 
@@ -183,30 +239,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
         a, b = (bags.select(F.col("key").alias(x), F.col("bag").alias(f"bag_{x}")) for x in ("a", "b"))
         return staged(pairs.join(a, "a").join(b, "b").mapInArrow(verify, "a string, b string, ok boolean"), f"{name}-tried")
 
-    comp = members.select("key").limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
-    tried, turn = None, 0
-    while True:
-        known = members.join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "size", "bucket", F.coalesce("b", "key").alias("comp"))
-        known = staged(known, f"{name}-known")
-        per = known.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        last = left <= params.spare_pairs * number * params.bands and turn > 0
-        other = known.select(F.col("key").alias("key2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"), "bucket")
-        if not last:
-            leaders = known.groupBy("bucket").agg(F.min_by(F.struct("key", "size", "comp"), F.xxhash64(F.lit(turn), "key")).alias("l"))
-            other = leaders.select("bucket", F.col("l.key").alias("key2"), F.col("l.size").alias("size2"), F.col("l.comp").alias("comp2"))
-        pairs = known.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & (F.least("size", "size2") >= params.threshold * F.greatest("size", "size2")))
-        pairs = pairs.select(F.greatest("key", "key2").alias("a"), F.least("key", "key2").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        new = verified(pairs)
-        tried = new if tried is None else tried.unionByName(new)
-        comp = components(tried.where("ok").select("a", "b"), f"{name}-stars")
-        turn += 1
-        if last:
-            break
+    # Round 1: each member against the leader of its bucket.
+    weight = F.sum("n").over(W.partitionBy("key"))  # one window row per band of a class
+    ranked = members.withColumn("central", weight)
+    leaders = ranked.groupBy("bucket").agg(F.min_by(F.struct("key", "size"), F.struct(-F.col("central"), F.col("key"))).alias("l"))
+    leaders = leaders.select("bucket", F.col("l.key").alias("key2"), F.col("l.size").alias("size2"))
+    alike = F.least("size", "size2") >= params.threshold * F.greatest("size", "size2")
+    pairs = members.join(leaders, "bucket").where((F.col("key") != F.col("key2")) & alike)
+    links = verified(pairs.select(F.greatest("key", "key2").alias("a"), F.least("key", "key2").alias("b")).distinct()).where("ok").select("a", "b")
+    comp = components(links, f"{name}-stars")
+
+    # Round 2: clusters of what shares a longer key and is still apart, block by block.
+    known = members.select("key", "bucket").join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "bucket", F.coalesce("b", "key").alias("comp"))
+    open_ = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    apart = staged(known.join(open_, "bucket").select("key", "comp").distinct(), f"{name}-apart")
+    n = params.bands
+    long_keys = F.array(*[F.xxhash64(F.lit(step * n + i), F.col("bands")[i], F.col("bands")[(i + step) % n]) for step in (1, 3) for i in range(n)])
+    longer = apart.join(classes.select("key", "bands"), "key").select("key", "comp", F.explode(F.array_distinct(long_keys)).alias("bucket"))
+    longer = staged(longer, f"{name}-longer")
+    heads = longer.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("b")).where("x <> y").select("bucket", "b")
+    cluster = components(longer.join(heads, "bucket").select(F.col("key").alias("a"), "b"), f"{name}-clusters")
+    placed = apart.join(cluster.select(F.col("a").alias("key"), F.col("b").alias("cluster")), "key")
+    placed = placed.unionByName(apart.join(cluster.select(F.col("b").alias("key")).distinct(), "key").withColumn("cluster", F.col("key"))).join(bags, "key")
+    placed = staged(placed, f"{name}-placed")
+    room = placed.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("bag") + 64) / params.block_bytes).cast("int").alias("blocks"))
+    rows_ = placed.join(room, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rows_.select("cluster", "key", "comp", "bag", "own", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    more = dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _block_links(t, params.threshold), "a string, b string")
+    comp = components(staged(links.unionByName(more), f"{name}-links"), f"{name}-final")
 
     total = classes.join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "first", "n", F.coalesce("b", "key").alias("comp"))
     heads = total.groupBy("comp").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("head"), F.sum("n").alias("class_size"))
