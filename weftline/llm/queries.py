@@ -21,6 +21,12 @@ def op2_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.suffix_dedup import repeated_substrings
+
+    return repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.decontaminate import leaks
 
@@ -66,6 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_credentials": op2_credentials,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_line_rules": op6_line_rules,
