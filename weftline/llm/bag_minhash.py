@@ -278,7 +278,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
 def kept(docs: DataFrame, params: NearParams = NearParams(), name: str = "near") -> DataFrame:
     """The documents with one row of each class: that of the smallest id."""
     found = near_duplicates(docs, params=params, name=name)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
+    heads = staged(heads.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.count("*").alias("_n")), f"{name}-heads")
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     rows = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (digest == F.col("_k")))
-    return rows.dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    if heads.where("_n > 1").limit(1).count():  # repeated rows of a class's head
+        rows = rows.where("_n = 1").unionByName(rows.where("_n > 1").dropDuplicates(["_d", "_k"]))
+    return rows.select(*docs.columns)

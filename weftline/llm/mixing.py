@@ -195,3 +195,18 @@ def mix(docs: DataFrame, text: str = "text", doc: str = "doc_id", source: str =
     ahead = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))
     return out.select("doc_id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), "content")
+
+
+def attached(docs: DataFrame, taken: DataFrame, text: str = "text", doc: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``taken`` (rows of ``mix`` with taken > 0) draws, with size, source_size, target, taken.
+
+    Equal rows are interchangeable and are matched one to one.
+    """
+    key = lambda d, s, c: F.md5(F.to_json(F.struct(d.alias("d"), s.alias("s"), c.alias("c"))).cast("binary"))
+    content = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    left = docs.withColumn("_key", key(F.col(doc), F.col(source), content))
+    left = left.withColumn("_turn", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
+    right = taken.select(key(F.col("doc_id"), F.col("source"), F.col("content")).alias("_key"), "size", "source_size", "target", "taken")
+    right = right.withColumn("_turn", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("taken"))))
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return left.select(*names, "_key", "_turn").join(right, ["_key", "_turn"]).select(*names, "size", "source_size", "target", "taken")

@@ -210,6 +210,20 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {kind}, score double, n_sentences long, offending string")
 
 
+def filtered(docs: DataFrame, model: Model, text: str = "text", params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The rows of ``docs`` whose score stays under the threshold, with all their columns, in one narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices(b.column(text)):
+                part = b.slice(lo, hi - lo)
+                p, _, bag, _ = sentence_scores(model, texts(part.column(text)))
+                total = noisy_or(p, bag, 1 / (1 + np.exp(-max(model.bias, -40.0))))
+                yield part.filter(pa.array(total < params.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """(doc_id, text, toxic): about ``max_train_docs`` labelled documents outside the held-out fold.
 
