@@ -26,7 +26,7 @@ def rows(docs: DataFrame) -> DataFrame:
 
 def glossary_names(docs: DataFrame, stop: list[str] = NAME_STOP) -> DataFrame:
     """(line_no, en_forms, ru_base, ru): capitalised English words and the first four letters of the Russian form."""
-    d = rows(docs).where(F.size("cells") >= 3).select("line_no", F.col("cells")[1].alias("en"), F.col("cells")[2].alias("ru"))
+    d = rows(docs).where(F.size("cells") >= 3).select("line_no", F.get("cells", F.lit(1)).alias("en"), F.get("cells", F.lit(2)).alias("ru"))
     d = d.where(~F.col("en").startswith("---") & ~F.col("ru").startswith("---"))
     forms = F.transform(F.regexp_extract_all("en", F.lit(r"\b[A-Z][A-Za-z'\-]{3,}"), F.lit(0)), F.lower)
     forms = F.array_distinct(F.filter(forms, lambda w: ~w.isin(stop)))
@@ -36,7 +36,7 @@ def glossary_names(docs: DataFrame, stop: list[str] = NAME_STOP) -> DataFrame:
 
 def glossary_stems(docs: DataFrame) -> DataFrame:
     """(line_no, stem, canon): a stem is the first word less its last two letters, four letters at least; first wins."""
-    d = rows(docs).where(F.size("cells") >= 3).select("line_no", F.col("cells")[2].alias("ru"))
+    d = rows(docs).where(F.size("cells") >= 3).select("line_no", F.get("cells", F.lit(2)).alias("ru"))
     d = d.where(~F.col("ru").startswith("---") & ~F.col("ru").startswith("—") & (F.col("ru") != ""))
     canon = strip(F.translate("ru", "*«»", ""))
     first = F.regexp_extract(canon, "[А-Яа-яЁё]+", 0)
@@ -50,13 +50,13 @@ def glossary_entries(docs: DataFrame) -> DataFrame:
     """(key, ja, en, ru) of a glossary with a header row."""
     d = rows(docs).where(F.size("cells") >= 3)
     head = W.partitionBy("doc_id").orderBy("line_no")
-    d = d.withColumn("n", F.row_number().over(head)).where((F.col("n") > 1) & ~F.col("cells")[0].rlike("^:?-{3,}") & (F.col("cells")[0] != ""))
-    return d.select(F.concat(F.lit("g:"), F.col("cells")[0]).alias("key"), F.col("cells")[0].alias("ja"), F.col("cells")[1].alias("en"), F.col("cells")[2].alias("ru"))
+    d = d.withColumn("n", F.row_number().over(head)).where((F.col("n") > 1) & ~F.get("cells", F.lit(0)).rlike("^:?-{3,}") & (F.get("cells", F.lit(0)) != ""))
+    return d.select(F.concat(F.lit("g:"), F.get("cells", F.lit(0))).alias("key"), F.get("cells", F.lit(0)).alias("ja"), F.get("cells", F.lit(1)).alias("en"), F.get("cells", F.lit(2)).alias("ru"))
 
 
 def frozen_volumes(docs: DataFrame, status: str | None = None) -> DataFrame:
     """(volume): numbers in the first cell; with ``status``, of rows whose second cell begins with it in any case."""
-    d = rows(docs).select(F.col("cells")[0].try_cast("int").alias("volume"), F.get("cells", F.lit(1)).alias("status"))
+    d = rows(docs).select(F.get("cells", F.lit(0)).try_cast("int").alias("volume"), F.get("cells", F.lit(1)).alias("status"))
     if status:
         d = d.where(F.lower("status").startswith(status.lower()))
     return d.where("volume IS NOT NULL").select("volume").distinct()
