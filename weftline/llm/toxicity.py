@@ -34,8 +34,8 @@ STOP[list(b".!?")] = True
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    max_train_docs: int = 10_000
-    max_train_chars: int = 32_000_000
+    max_train_docs: int = 6_000
+    max_train_chars: int = 24_000_000
     max_features: int = 2_048
     min_df: int = 4
     steps: int = 300
