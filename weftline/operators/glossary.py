@@ -39,21 +39,21 @@ def joined_names(rows: DataFrame, glossary: DataFrame, letters: str = "А-Яа-
     return rows.join(found, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("lost", "extra")})
 
 
-def stem_hits(paragraphs: DataFrame, stems: DataFrame, letters: str = "А-Яа-яЁё") -> DataFrame:
+def stem_hits(paragraphs: DataFrame, stems: DataFrame, letters: str = "А-Яа-яЁё", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, block_no, para_no, line_no, stem, canon, form, context): each stem's first word in each paragraph.
 
     Words meet stems on their first four letters (stems are no shorter); then the whole stem is compared.
     """
     word = rf"(?iuU)\b[{letters}][{letters}\-]*"
     found = F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    d = paragraphs.select("doc_id", "block_no", "para_no", "text", F.posexplode(found).alias("at", "form")).withColumn("head", F.left(F.lower("form"), F.lit(4)))
+    d = paragraphs.select("doc_id", *keep, "block_no", "para_no", "text", F.posexplode(found).alias("at", "form")).withColumn("head", F.left(F.lower("form"), F.lit(4)))
     s = stems.select("line_no", "stem", "canon", F.left("stem", F.lit(4)).alias("head"))
     hits = d.join(s, "head").where(F.startswith(F.lower("form"), F.col("stem")))
-    first = hits.groupBy("doc_id", "block_no", "para_no", "line_no", "stem", "canon").agg(F.min_by(F.struct("form", "text"), "at").alias("h"))
+    first = hits.groupBy("doc_id", *keep, "block_no", "para_no", "line_no", "stem", "canon").agg(F.min_by(F.struct("form", "text"), "at").alias("h"))
     start = F.instr(F.col("h.text"), F.col("h.form")) - 1
     lo = F.greatest(start - 20, F.lit(0))
     context = F.substring(F.col("h.text"), lo + 1, start + F.length("h.form") + 40 - lo)
-    return first.select("doc_id", "block_no", "para_no", "line_no", "stem", "canon", F.col("h.form").alias("form"), context.alias("context"))
+    return first.select("doc_id", *keep, "block_no", "para_no", "line_no", "stem", "canon", F.col("h.form").alias("form"), context.alias("context"))
 
 
 def anchors(rows: DataFrame, entries: DataFrame, text: str, lang: str) -> DataFrame:

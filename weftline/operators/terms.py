@@ -39,11 +39,11 @@ def variant_candidates(paragraphs: DataFrame, variants: list[str], gap: int = 1)
     return joined.select("doc_id", "variant_a", "block_a", "variant_b", "block_b", (F.col("na") * F.col("nb")).alias("n"))
 
 
-def keyword_contexts(paragraphs: DataFrame, keyword: str, left: int = 20, right: int = 40) -> DataFrame:
+def keyword_contexts(paragraphs: DataFrame, keyword: str, left: int = 20, right: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, para_no, start, hit, context) of every occurrence of a literal, in any case."""
     m = matches(F.col("text"), "(?iu)" + escaped(keyword))
-    d = paragraphs.select("doc_id", "para_no", "text", F.explode(m).alias("m"))
-    return d.select("doc_id", "para_no", F.col("m.start").alias("start"), F.col("m.hit").alias("hit"), around(F.col("text"), F.col("m.start"), F.col("m.end"), left, right).alias("context"))
+    d = paragraphs.select("doc_id", *keep, "para_no", "text", F.explode(m).alias("m"))
+    return d.select("doc_id", *keep, "para_no", F.col("m.start").alias("start"), F.col("m.hit").alias("hit"), around(F.col("text"), F.col("m.start"), F.col("m.end"), left, right).alias("context"))
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:

@@ -42,9 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Every line of a document with text is a paragraph."""
-    return paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), "\n")
+    return paragraphs(table(spark, sf_dir, "documents"), "\n", keep)
 
 
 #: The same in SQL: (doc_id, para_no, text).
@@ -230,9 +230,8 @@ _STEM_SQL = " UNION ALL ".join(f"SELECT '{s}' AS stem, '{c}' AS canon" for s, c
 h AS (SELECT lang, doc_id, para_no, stem, canon, regexp_extract(lines.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-])(' || stem || '[\\p{{L}}\\-]*)', 1) AS form FROM lines JOIN documents USING (doc_id), st)
 SELECT lang, stem, canon, lower(form) AS form, count(*) AS n, min(doc_id * 100000 + para_no) AS first_ord FROM h WHERE form <> '' GROUP BY ALL""")
 def term_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     stems = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(_STEMS)], "line_no int, stem string, canon string")
-    hits = glossary.stem_hits(doc_lines(spark, sf_dir).withColumn("block_no", F.lit(1)), stems, letters=r"\p{L}").join(docs, "doc_id")
+    hits = glossary.stem_hits(doc_lines(spark, sf_dir, "lang").withColumn("block_no", F.lit(1)), stems, letters=r"\p{L}", keep=("lang",))
     hits = hits.withColumn("ord", F.col("doc_id") * 100000 + F.col("para_no")).withColumn("form", F.lower("form"))
     return terms.inventory(hits, ["lang", "stem", "canon"])
 
@@ -256,8 +255,8 @@ r AS (SELECT source, doc_id, para_no, text, start, row_number() OVER (PARTITION
 SELECT source, rank::INT AS rank, doc_id, para_no, start::INT AS start, substring(text, greatest(start - 20, 0) + 1, start + 7 + 40 - greatest(start - 20, 0)) AS context FROM r WHERE rank <= 2""")
 def kwic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two lines of each source with a keyword, in context."""
-    hits = terms.keyword_contexts(doc_lines(spark, sf_dir), "tionble")
-    hits = findings.first_of(hits, ["doc_id", "para_no"], ["start"]).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    hits = terms.keyword_contexts(doc_lines(spark, sf_dir, "source"), "tionble", keep=("source",))
+    hits = findings.first_of(hits, ["doc_id", "para_no"], ["start"])
     return terms.top_k(hits, ["source"], ["doc_id", "para_no", "start"], 2).select("source", "rank", "doc_id", "para_no", "start", "context")
 
 
@@ -486,7 +485,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.plans.rules import Rule
     from weftline.plans.rules import findings as evaluate
 
-    lang = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    d = paragraphs(lang, "\n").join(lang.select("doc_id", "lang"), "doc_id").select("lang", F.explode(sentences(F.col("text"))).alias("s"))
+    d = paragraphs(table(spark, sf_dir, "documents"), "\n", ("lang",)).select("lang", F.explode(sentences(F.col("text"))).alias("s"))
     s, none = F.col("s"), F.lit("")
     return counts(evaluate(d, ["lang"], [Rule("digit", "weak", s.rlike("[0-9]"), none, none, none), Rule("negation", "info", has_word(s, _NEG), none, none, none)]), ["lang"])

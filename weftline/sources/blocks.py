@@ -94,10 +94,13 @@ def _field_pattern(name: str) -> str:
     return rf"(?ms)^\*\*{name}:\*\*[ \t]*(.*?)(?=^\*\*(?:{stop}):\*\*|^##\s|\z)"
 
 
-def paragraphs(docs: DataFrame, border: str = r"\n\s*\n") -> DataFrame:
-    """(doc_id, para_no, text): stripped pieces between blank lines (or another border), empty ones dropped."""
+def paragraphs(docs: DataFrame, border: str = r"\n\s*\n", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, para_no, text): stripped pieces between blank lines (or another border), empty ones dropped.
+
+    ``keep`` names columns to carry along, which spares a join back to the documents.
+    """
     pieces = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), border, -1), strip), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(pieces).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("para_no"), "text")
+    return docs.select("doc_id", *keep, F.posexplode(pieces).alias("p", "text")).select("doc_id", *keep, (F.col("p") + 1).alias("para_no"), "text")
 
 
 def record_paragraphs(docs: DataFrame) -> DataFrame:
