@@ -12,7 +12,9 @@ exchange) and put the rows in the same order each time, so positions agree betwe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,34 @@ def opened(table: pa.Table) -> tuple[pa.Table, Batch]:
     return table, texts(table["text"])
 
 
+def lean(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``function`` of one or two groups, giving freed memory back to the system after each call.
+
+    A worker serves many groups of changing size; what its allocators keep would add up beside the
+    executor's heap.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        out = function(table)
+        _trim()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = function(left, right)
+        _trim()
+        return out
+
+    return two if len(inspect.signature(function).parameters) == 2 else one
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        return
+
+
 def messages(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
@@ -61,29 +91,63 @@ def read(table: pa.Table) -> list[tuple]:
     return sorted(zip(*cols, strict=True), key=lambda r: (r[1], r[0], r[2]))
 
 
+def _lows(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each value, and the rest of the few that are larger, by place."""
+    shift = np.uint64(8 * width)
+    high = np.flatnonzero(values >> shift).astype(np.uint32) if width < 8 else np.zeros(0, np.uint32)
+    head = np.array([width, len(values), len(high)], np.int64)
+    return b"".join((head.tobytes(), (values[high] >> shift).tobytes() if len(high) else b"", high.tobytes(), _lows(values, width)))
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted unsigned keys as differences: 16 or 32 bit lows, and the few high parts by place."""
+    """Sorted unsigned keys as differences in as many bytes as nearly all of them need."""
     if not len(keys):
         return b""
     gap = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    wide = np.count_nonzero(gap >> np.uint64(16)) * 8 > len(gap)
-    bits = 32 if wide else 16
-    high = np.flatnonzero(gap >> np.uint64(bits)).astype(np.uint32)
-    low = (gap & np.uint64((1 << bits) - 1)).astype(np.uint32 if wide else np.uint16)
-    head = np.array([bits, len(low), len(high)], np.int64)
-    return b"".join(x.tobytes() for x in (head, (gap[high] >> np.uint64(bits)), high, low))
+    width = 1
+    while width < 8 and np.count_nonzero(gap >> np.uint64(8 * width)) * 12 > len(gap):
+        width += 1
+    return _pack(gap, width)
 
 
-def unpack(data: bytes | None) -> np.ndarray:
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in one byte each, the few larger ones apart."""
+    return _pack(counts.astype(np.uint64), 1) if len(counts) else b""
+
+
+def unpack_counts(data: bytes | None) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    bits, n, m = np.frombuffer(data, np.int64, 3).tolist()
-    at = 24
-    top = np.frombuffer(data, np.uint64, m, at)
-    place = np.frombuffer(data, np.uint32, m, at + 8 * m)
-    gap = np.frombuffer(data, np.uint16 if bits == 16 else np.uint32, n, at + 12 * m).astype(np.uint64)
-    gap[place] += top << np.uint64(bits)
-    return np.cumsum(gap, dtype=np.uint64)
+    width, n, m = np.frombuffer(data, np.int64, 3).tolist()
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, n * width, 24 + 12 * m).reshape(n, width)
+    values = wide.view("<u8").ravel()
+    if m:
+        values[np.frombuffer(data, np.uint32, m, 24 + 8 * m)] += np.frombuffer(data, np.uint64, m, 24) << np.uint64(8 * width)
+    return values
+
+
+def unpack(data: bytes | None) -> np.ndarray:
+    return np.cumsum(unpack_counts(data), dtype=np.uint64)
+
+
+def joined(*arrays: bytes) -> bytes:
+    """Several byte strings as one; ``apart`` is the inverse."""
+    return np.array([len(arrays), *map(len, arrays)], np.int64).tobytes() + b"".join(arrays)
+
+
+def apart(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8).tolist()
+    at, out = 8 + 8 * n, []
+    for size in sizes:
+        out.append(data[at : at + size])
+        at += size
+    return out
 
 
 def bits(flags: np.ndarray) -> bytes:

@@ -140,18 +140,17 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         out = []
         for s, lo, hi in B.parts(B.cuts(v, 48, n), len(v)):  # an empty part is sent too: its answer carries the slice's totals
             begin, length = runs(v[lo:hi])
-            a = B.pack(v[lo:hi][begin])
-            out.append((s, block, BIGRAMS, hi - lo, np.int64(len(a)).tobytes() + a + length.astype(np.uint32).tobytes(), short(t[lo:hi]) + c[lo:hi].tobytes()))
+            a = B.joined(B.pack(v[lo:hi][begin]), B.pack_counts(length))
+            out.append((s, block, BIGRAMS, hi - lo, a, B.joined(short(t[lo:hi]), B.pack_counts(c[lo:hi]))))
         key, _, c = tokens.vocabulary()
         for s, lo, hi in B.parts(B.cuts(key >> _LOW, 48, n), len(key)):
-            out.append((s, block, WORDS, hi - lo, B.pack(key[lo:hi]), c[lo:hi].tobytes()))
+            out.append((s, block, WORDS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(c[lo:hi])))
         return B.messages(out)
 
     def opened(r: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct contexts, run lengths, tokens, counts) of a block's bigrams."""
-        size = int(np.frombuffer(r[4], np.int64, 1)[0])
-        v, length = B.unpack(r[4][8 : 8 + size]), np.frombuffer(r[4], np.uint32, offset=8 + size)
-        return v, length, unshort(r[5][: 6 * r[3]]), np.frombuffer(r[5], np.uint32, offset=6 * r[3])
+        (v, length), (t, c) = B.apart(r[4]), B.apart(r[5])
+        return B.unpack(v), B.unpack_counts(length).astype(np.int64), unshort(t), B.unpack_counts(c)
 
     def bigram_key(v: np.ndarray, t: np.ndarray) -> np.ndarray:
         return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(t))
@@ -188,8 +187,8 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         out = []
         for r, (cv, length, ct, _) in zip(rows, asked, strict=True):
             found = pairs.find(bigram_key(np.repeat(cv, length), ct), "count")[0]
-            stat = np.stack(contexts.find(cv, "total", "once", "twice", "more"))
-            out.append((r[0], r[1], ANSWER, r[3], np.minimum(found, 2**32 - 1).astype(np.uint32).tobytes(), head + stat.tobytes()))
+            stat = contexts.find(cv, "total", "once", "twice", "more")
+            out.append((r[0], r[1], ANSWER, r[3], B.pack_counts(found), B.joined(head, *map(B.pack_counts, stat))))
         pairs.close()
         contexts.close()
         return B.messages(out)
@@ -198,25 +197,25 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         rows, _, _, t, _ = model(table)
         key, times = np.unique(t, return_counts=True)
         own = rows[0][0]
-        return B.messages([(s, own, CONTEXTS, hi - lo, B.pack(key[lo:hi]), times[lo:hi].astype(np.uint32).tobytes()) for s, lo, hi in B.parts(B.cuts(key, 48, n), len(key)) if hi > lo])
+        return B.messages([(s, own, CONTEXTS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(times[lo:hi])) for s, lo, hi in B.parts(B.cuts(key, 48, n), len(key)) if hi > lo])
 
     def word_answers(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = [r for r in B.read(left) if r[2] == WORDS]
         if not rows:
             return B.messages([])
-        asked = [(B.unpack(r[4]), np.frombuffer(r[5], np.uint64)) for r in rows]
+        asked = [(B.unpack(r[4]), B.unpack_counts(r[5])) for r in rows]
         key, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
         c = np.zeros(len(key), np.uint64)
         np.add.at(c, at, np.concatenate([x for _, x in asked]))
-        hops = [(B.unpack(r[4]), np.frombuffer(r[5], np.uint32)) for r in B.read(right)]
+        hops = [(B.unpack(r[4]), B.unpack_counts(r[5])) for r in B.read(right)]
         before, where = np.unique(np.concatenate([k for k, _ in hops] or [np.zeros(0, np.uint64)]), return_inverse=True)
         times = np.zeros(len(before), np.uint64)
-        np.add.at(times, where, np.concatenate([x for _, x in hops] or [np.zeros(0, np.uint32)]).astype(np.uint64))
+        np.add.at(times, where, np.concatenate([x for _, x in hops] or [np.zeros(0, np.uint64)]))
         unigrams, prior = Mapped(key, count=c), Mapped(before, times=times)
         head = np.concatenate([[int(c.sum()), int((c > 0).sum()), int(times.sum()), len(times)], histogram(times)]).astype(np.int64).tobytes()
         out = []
         for r, (k, _) in zip(rows, asked, strict=True):
-            out.append((r[0], r[1], WORD_ANSWER, r[3], unigrams.find(k, "count")[0].tobytes(), head + prior.find(k >> _LOW, "times")[0].tobytes()))
+            out.append((r[0], r[1], WORD_ANSWER, r[3], B.pack_counts(unigrams.find(k, "count")[0]), B.joined(head, B.pack_counts(prior.find(k >> _LOW, "times")[0]))))
         unigrams.close()
         prior.close()
         return B.messages(out)
@@ -229,14 +228,15 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         tokens = Tokens(table, batch, fold)
         rows = B.read(right)
         pair, word = ([r for r in rows if r[2] == k] for k in (ANSWER, WORD_ANSWER))
-        heads = np.array([np.frombuffer(r[5], np.int64, 8) for r in word]).sum(0)
+        word_side, pair_side = ([B.apart(r[5]) for r in x] for x in (word, pair))
+        heads = np.array([np.frombuffer(x[0], np.int64) for x in word_side]).sum(0)
         total, distinct, cont_total = (int(x) for x in heads[:3])
         cont_of = np.append(heads[4:6], heads[3] - heads[4] - heads[5])
-        low, high = discounts(heads[4:8]), discounts(np.array([np.frombuffer(r[5], np.int64, 4) for r in pair]).sum(0))
+        low, high = discounts(heads[4:8]), discounts(np.array([np.frombuffer(x[0], np.int64) for x in pair_side]).sum(0))
 
         _, at, _ = tokens.vocabulary()
-        c = np.concatenate([np.frombuffer(r[4], np.uint64) for r in word]).astype(np.float64)
-        cont = np.concatenate([np.frombuffer(r[5], np.uint64, offset=64) for r in word])
+        c = np.concatenate([B.unpack_counts(r[4]) for r in word]).astype(np.float64)
+        cont = np.concatenate([B.unpack_counts(x[1]) for x in word_side])
         unknown = 1.0 / (distinct + 1)
         if cont_total:
             rest = float((low[1:] * cont_of).sum()) / cont_total
@@ -245,8 +245,8 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
             p1 = np.full(len(c), unknown)
 
         v, _, pair_at, _ = tokens.bigrams()
-        found = np.concatenate([np.frombuffer(r[4], np.uint32) for r in pair]).astype(np.float64)
-        stat = np.concatenate([np.frombuffer(r[5], np.uint64, offset=32).reshape(4, -1) for r in pair], 1).astype(np.float64)
+        found = np.concatenate([B.unpack_counts(r[4]) for r in pair]).astype(np.float64)
+        stat = np.concatenate([np.stack([B.unpack_counts(y) for y in x[1:]]) for x in pair_side], 1).astype(np.float64)
         _, length = runs(v)
         stat = np.repeat(stat, length, 1)
         seen = np.maximum(stat[0], 1)
@@ -258,9 +258,9 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         size = np.diff(tokens.first)
         return pa.table([table["doc_id"].combine_chunks(), pa.array(tokens.held), pa.array(size), pa.array(sums[2]), pa.array(np.full(len(size), total)), pa.array(sums[1]), pa.array(sums[0]), pa.array(10 ** (-sums[0] / size))], schema=empty)
 
-    counted = base.groupBy("block").applyInArrow(count, B.MESSAGE)
+    counted = base.groupBy("block").applyInArrow(B.lean(count), B.MESSAGE)
     by_slice = counted.groupBy("slice")
-    pairs = by_slice.applyInArrow(answers, B.MESSAGE)
-    hops = by_slice.applyInArrow(continuations, B.MESSAGE)
-    word_rows = by_slice.cogroup(hops.groupBy("slice")).applyInArrow(word_answers, B.MESSAGE)
-    return base.groupBy("block").cogroup(pairs.unionByName(word_rows).groupBy("block")).applyInArrow(scored, OUT)
+    pairs = by_slice.applyInArrow(B.lean(answers), B.MESSAGE)
+    hops = by_slice.applyInArrow(B.lean(continuations), B.MESSAGE)
+    word_rows = by_slice.cogroup(hops.groupBy("slice")).applyInArrow(B.lean(word_answers), B.MESSAGE)
+    return base.groupBy("block").cogroup(pairs.unionByName(word_rows).groupBy("block")).applyInArrow(B.lean(scored), OUT)

@@ -166,8 +166,8 @@ def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc:
                 out["kept_sha256"].append(hashlib.sha256(b" ".join([data[start[k] : end[k]] for k in keep])).hexdigest())
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
-    sketched = base.groupBy("block").applyInArrow(sketch, B.MESSAGE)
-    merged = sketched.groupBy("slice").applyInArrow(merge, B.MESSAGE)
-    chosen = base.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(candidates, B.MESSAGE)
-    first = chosen.groupBy("slice").applyInArrow(firsts, B.MESSAGE)
-    return base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(removed, OUT)
+    sketched = base.groupBy("block").applyInArrow(B.lean(sketch), B.MESSAGE)
+    merged = sketched.groupBy("slice").applyInArrow(B.lean(merge), B.MESSAGE)
+    chosen = base.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(B.lean(candidates), B.MESSAGE)
+    first = chosen.groupBy("slice").applyInArrow(B.lean(firsts), B.MESSAGE)
+    return base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(B.lean(removed), OUT)
