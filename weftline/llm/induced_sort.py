@@ -24,7 +24,7 @@ import numpy as np
 
 from weftline.llm._tokens import hash_ranges
 
-_NONE = np.int64(1 << 62)
+
 
 
 class BulkQueue:
@@ -35,7 +35,7 @@ class BulkQueue:
         self.held: list[list] = [[] for _ in range(top // self.width + 1)]
         self.now, self.at, self.bytes = -1, 0, 0
         self.memory, self.folder, self.files = memory, folder, 0
-        self.key, self.place, self.prefix = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.key, self.place, self.prefix = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     def push(self, key: np.ndarray, place: np.ndarray, prefix: np.ndarray) -> None:
         if not len(key):
@@ -52,7 +52,7 @@ class BulkQueue:
                 self._join([(self.key[self.at :], self.place[self.at :], self.prefix[self.at :]), item] if self.at < len(self.key) else [item])
             else:
                 self.held[g].append(item)
-                self.bytes += 17 * (hi - lo)
+                self.bytes += 17 * (hi - lo)  # at most
         if self.bytes > self.memory and self.folder:
             self._spill()
 
@@ -94,13 +94,18 @@ class BulkQueue:
         self.at += n
 
 
+def _integer(n: int) -> type:
+    """The integer type for places and keys of a text of n symbols."""
+    return np.int32 if n < 1 << 29 else np.int64
+
+
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True for S-type suffixes; the last symbol is the smallest and S-type."""
     n = len(t)
-    other = np.empty(n, np.int64)  # next place with another symbol
-    other[-1] = n
-    change = np.where(t[:-1] != t[1:], np.arange(1, n), n)
-    other[:-1] = np.minimum.accumulate(change[::-1])[::-1]
+    kind = _integer(n)
+    other = np.full(n, n, kind)  # next place with another symbol
+    np.copyto(other[:-1], np.arange(1, n, dtype=kind), where=t[:-1] != t[1:])
+    np.minimum.accumulate(other[:-1][::-1], out=other[:-1][::-1])
     small = np.ones(n, bool)
     small[:-1] = t[np.minimum(other[:-1], n - 1)] > t[:-1]
     return small
@@ -163,7 +168,10 @@ def _pass(t: np.ndarray, small: np.ndarray, symbol: np.ndarray, want: bool, seed
     """
     queue = BulkQueue(2 * top + 2, memory, folder)
     place, prefix = seeds
-    queue.push(2 * symbol[t[place]].astype(np.int64) + 1, place, prefix)
+    kind = _integer(max(len(t), 2 * top + 2))
+    none = np.iinfo(kind).max
+    queue.push(2 * symbol[t[place]] + kind(1), place.astype(kind), prefix)
+    del place, prefix, seeds
     since = np.full(top + 1, 255, np.uint8)
     out_place, out_own, out_prefix = [], [], []
     last_key, last_place = -1, 0
@@ -174,8 +182,8 @@ def _pass(t: np.ndarray, small: np.ndarray, symbol: np.ndarray, want: bool, seed
             break
         before = np.maximum(place - 1, 0)
         goes = (place > 0) & (small[before] == want)
-        target = symbol[t[before]].astype(np.int64)
-        new = np.where(goes, 2 * target, _NONE)
+        target = symbol[t[before]]
+        new = np.where(goes, 2 * target, none)
         late = np.flatnonzero(key > np.minimum.accumulate(new))
         m = int(late[0]) if len(late) else len(key)
         queue.take(m)
@@ -214,40 +222,61 @@ def _pass(t: np.ndarray, small: np.ndarray, symbol: np.ndarray, want: bool, seed
                 since[g[final]] = _range_minima(carried, j[final] + 1, np.full(int(final.sum()), m))
         queue.push(new[i], place[i] - 1, lcp)
     cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    return cat(out_place, np.int64), cat(out_own, bool), cat(out_prefix, np.uint8)
+    return cat(out_place, kind), cat(out_own, bool), cat(out_prefix, np.uint8)
 
 
 def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefix: np.ndarray, cap: int | None, memory: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common prefix with the suffix before) from the sorted leftmost S-type suffixes."""
     top = int(t.max())
-    up = np.arange(top + 1)
+    up = np.arange(top + 1, dtype=_integer(max(len(t), 2 * top + 2)))
     place, own, prefix = _pass(t, small, up, False, (seeds, seed_prefix), top, cap, memory, folder)
-    ascending, with_before = place[own], prefix[own]
-    down = ascending[::-1]
+    down, with_before = place[own][::-1], prefix[own]
+    del place, own, prefix
     # Going down, a suffix's prefix is with the larger one: that one's prefix with what is before it.
     shifted = np.concatenate([[0], with_before[::-1][:-1]]).astype(np.uint8) if len(down) else np.zeros(0, np.uint8)
     place, _, prefix = _pass(t, small, top - up, True, (down, shifted), top, cap, memory, folder)
-    array = np.concatenate([[len(t) - 1], place[::-1]])
+    array = np.concatenate([np.array([len(t) - 1], place.dtype), place[::-1]])
     lcp = np.concatenate([[0, 0], prefix[::-1][:-1]]).astype(np.uint8) if len(place) else np.zeros(1, np.uint8)
     return array, lcp
 
 
-def suffix_array(t: np.ndarray, cap: int | None = None, memory: int = 256 << 20, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _doubled(t: np.ndarray) -> np.ndarray:
+    """Suffix order of a short string by rank doubling: the end of the recursion."""
+    n = len(t)
+    rank, step = t.astype(np.int64), 1
+    while True:
+        ahead = np.zeros(n, np.int64)
+        if step < n:
+            ahead[: n - step] = rank[step:] + 1
+        key = rank * (n + 2) + ahead
+        order = np.argsort(key, kind="stable")
+        new = np.zeros(n, np.int64)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if int(rank[order[-1]]) == n - 1:
+            return order
+        step *= 2
+
+
+def suffix_array(t: np.ndarray, cap: int | None = None, memory: int = 256 << 20, folder: str | None = None, short: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common prefixes up to ``cap``) of a text that ends with its only 0.
 
-    ``cap`` is at most 250; None sorts without prefixes.
+    ``cap`` is at most 250; None sorts without prefixes.  A string of names of up to ``short`` symbols is
+    sorted in memory, a longer one by recursion.
     """
     t = np.ascontiguousarray(t)
     if len(t) == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
     small = suffix_types(t)
-    lead = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lead = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_integer(len(t)))
     # Sort the substrings between leftmost S-type places by induction, and name them.
     seeds = lead[np.argsort(t[lead], kind="stable")]
     array, _ = _induce(t, small, seeds, np.zeros(len(seeds), np.uint8), None, memory, folder)
     is_lead = np.zeros(len(t), bool)
     is_lead[lead] = True
     ordered = array[is_lead[array]]
+    del array, is_lead
     rank = np.searchsorted(lead, ordered)
     stop = np.append(lead[1:], len(t) - 1)[rank] + 1
     raw = np.concatenate([t.view(np.uint8).ravel(), np.zeros(8, np.uint8)])
@@ -255,12 +284,16 @@ def suffix_array(t: np.ndarray, cap: int | None = None, memory: int = 256 << 20,
     h1, h2 = (hash_ranges(raw, ordered * size, stop * size, seed) for seed in (1, 2))
     new = np.zeros(len(ordered), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    names = np.empty(len(lead), np.int64)
+    names = np.empty(len(lead), _integer(len(t)))
     names[rank] = np.cumsum(new)
-    if int(new.sum()) + 1 < len(lead):
-        order, _ = suffix_array(names, None, memory, folder)
-    else:
+    unique = int(new.sum()) + 1 == len(lead)
+    del ordered, rank, stop, raw, h1, h2, new, seeds
+    if unique:
         order = np.argsort(names)
+    elif len(names) <= short:
+        order = _doubled(names)
+    else:
+        order, _ = suffix_array(names, None, memory, folder, short)
     seeds = lead[order]
     prefix = np.zeros(len(seeds), np.uint8)
     if cap is not None and len(seeds) > 1:

@@ -8,9 +8,10 @@ anchor of a string is the k-gram of the smallest hash inside it, so equal string
 the shard is a range of anchor hashes.  Neighbouring strings mostly share their anchor; such a run of
 starts with the text it spans is a *context* (about 1.7 lengths for every 40 starts).
 
-Round 1 sends each slice the distinct (anchor, context hash) pairs of each block.  A context that an
-earlier block has is a repeat as a whole (this collapses exact copies before any text moves), and an
-anchor with a single context has no repeats.
+Round 1 sends each slice the distinct (anchor, context hash) pairs of each block, with hashes of the bytes
+next to the anchor.  A context that an earlier block has is a repeat as a whole (this collapses exact
+copies before any text moves); of different contexts, only those that agree with another on a side of
+the anchor can share a string.
 Round 2 sends the texts of the remaining contexts, each from the first block that has it.  The slice
 sorts all their suffixes by external induced sorting (``induced_sort``), cuts the order where
 neighbours share fewer than ``length`` bytes, and marks all but the earliest start of each group.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm import _blocks as B
-from weftline.llm._tokens import Batch, hash_ranges, mix
+from weftline.llm._tokens import Batch, mix
 from weftline.llm.induced_sort import sorted_suffixes
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -42,8 +43,9 @@ PAIRS, ANSWER, CHOSEN, TEXTS, MARKS = range(5)
 @dataclass(frozen=True)
 class SuffixParams:
     length: int = 100  # 250 at most
-    gram: int = 20
+    gram: int = 20  # 8 to 24, and at most a third of the length
     memory: int = 256 << 20
+    shards: int = 3  # suffix arrays for each slice
 
 
 def sliding_argmin(key: np.ndarray, width: int) -> np.ndarray:
@@ -63,16 +65,15 @@ class Contexts:
 
     def __init__(self, table: pa.Table, batch: Batch, params: SuffixParams, bits: int):
         self.data, self.offsets, self.length = batch.data, batch.offsets, params.length
-        begin, end, anchor = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        at, n = 0, len(self.offsets) - 1
-        while at < n:  # some megabytes of whole texts at a time
-            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + (4 << 20), "right")) - 1)
-            for out, x in zip((begin, end, anchor), self._runs(at, to, params), strict=True):
-                out.append(x)
+        found, at, n = [], 0, len(self.offsets) - 1
+        while at < n:  # whole texts, a few hundred kilobytes at a time: the working arrays stay in cache
+            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + (256 << 10), "right")) - 1)
+            found.append(self._runs(at, to, params))
             at = to
-        self.begin, self.end, anchor = (np.concatenate(x) for x in (begin, end, anchor))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32)
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, k) for k in kinds]
+        self.begin, self.end, anchor, self.context, self.left, self.right = (x.astype(k, copy=False) for x, k in zip(parts, kinds, strict=True))
         self.anchor = anchor >> np.uint64(64 - bits)
-        self.context = hash_ranges(self.data, self.begin, self.end + self.length, seed=3)
         row = np.searchsorted(self.offsets, self.begin, "right") - 1
         ids = table["doc_id"].to_pylist()
         document = np.cumsum([0, *(a != b for a, b in zip(ids[:-1], ids[1:], strict=True))]) if ids else np.zeros(0, np.int64)
@@ -87,12 +88,19 @@ class Contexts:
         self.entry[self.order] = np.cumsum(new) - 1
         self.lead = self.place == self.place[self.head][self.entry]
 
-    def _runs(self, lo: int, hi: int, params: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _runs(self, lo: int, hi: int, params: SuffixParams) -> tuple[np.ndarray, ...]:
+        """Of some texts: first and last start of each run, anchor key, context hash, side hashes.
+
+        Hashes of byte ranges are sums over their k-grams, plain and weighted by place, so two running sums
+        give any range.  A side hash covers the bytes next to the anchor, half of a window's other bytes
+        rounded up: equal windows have that much on one side of the anchor, so their contexts agree on a
+        side; 0 where the context ends before.
+        """
         base, stop = int(self.offsets[lo]), int(self.offsets[hi])
         n, k, length = stop - base, params.gram, params.length
+        none = tuple(np.zeros(0, x) for x in (np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32))
         if n < length:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0, np.uint64)
+            return none
         data = self.data[base : stop + 8]
         wide = np.ndarray((n + 1,), "<u8", data, strides=(1,)).copy()
         m = n - k + 1
@@ -106,13 +114,30 @@ class Contexts:
         ok &= np.cumsum(fence[: n - length + 1]) == 0
         p = np.flatnonzero(ok)
         if not len(p):
-            return p, p, np.zeros(0, np.uint64)
+            return none
         a = anchor[p]
         new = np.ones(len(p), bool)
         new[1:] = a[1:] != a[:-1]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(p)) - 1
-        return p[first] + base, p[last] + base, h[a[first]]
+        begin, end, at = p[first], p[last], a[first]
+        plain, placed = np.zeros(m + 1, np.uint64), np.zeros(m + 1, np.uint64)
+        np.cumsum(h, out=plain[1:])
+        np.cumsum(h * np.arange(m, dtype=np.uint64), out=placed[1:])
+
+        def ranged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Hash of the bytes from x to y (k or more)."""
+            s, e = np.minimum(x, m), np.clip(y - k + 1, 0, m)
+            total = plain[e] - plain[s]
+            return mix(total ^ mix(placed[e] - placed[s] - total * s.astype(np.uint64) + (y - x).astype(np.uint64)))
+
+        half = -(-(length - k) // 2)
+        left = ranged(np.maximum(at - half, 0), at).astype(np.uint32) | np.uint32(1)
+        right = ranged(at + k, at + k + half).astype(np.uint32) | np.uint32(1)
+        left[at - half < begin] = 0
+        right[at + k + half > end + length] = 0
+        # The smallest of many hashes is small: mixed again, so that slices of the key space are even.
+        return begin + base, end + base, mix(h[at] + _B), ranged(begin, end + length), left, right
 
 
 def group_repeats(blocks: np.ndarray, places: np.ndarray, starts: np.ndarray, text: np.ndarray, length: int, memory: int) -> np.ndarray:
@@ -148,7 +173,7 @@ def group_repeats(blocks: np.ndarray, places: np.ndarray, starts: np.ndarray, te
 
 def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id", params: SuffixParams = SuffixParams()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every input row."""
-    base, n = B.blocks(docs, text, doc)
+    base, n = B.blocks(docs, text, doc, per_partition=3)
     bits = min(64, 34 + n.bit_length())
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -156,24 +181,29 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
         c = Contexts(*B.opened(table), params, bits)
         anchor, context = c.anchor[c.head], c.context[c.head]
         edges = B.cuts(anchor, bits, n)
-        return B.messages([(s, block, PAIRS, hi - lo, B.pack(anchor[lo:hi]), context[lo:hi].tobytes()) for s, lo, hi in B.parts(edges, len(anchor)) if hi > lo])
+        left, right = c.left[c.head], c.right[c.head]
+        side = lambda lo, hi: B.joined(context[lo:hi].tobytes(), left[lo:hi].tobytes(), right[lo:hi].tobytes())
+        return B.messages([(s, block, PAIRS, hi - lo, B.pack(anchor[lo:hi]), side(lo, hi)) for s, lo, hi in B.parts(edges, len(anchor)) if hi > lo])
 
     def compare(table: pa.Table) -> pa.Table:
         rows = B.read(table)
-        parts = [(B.unpack(r[4]), np.frombuffer(r[5], np.uint64)) for r in rows]
-        anchor, context = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        parts = [(B.unpack(r[4]), *(np.frombuffer(x, k) for x, k in zip(B.apart(r[5]), (np.uint64, np.uint32, np.uint32), strict=True))) for r in rows]
+        anchor, context, left, right = (np.concatenate([x[k] for x in parts]) for k in range(4))
         order = np.lexsort((context, anchor))  # stable, and rows come by block
         a, c = anchor[order], context[order]
-        other = np.ones(len(a), bool)
-        other[1:] = a[1:] != a[:-1]
-        new = other.copy()
-        new[1:] |= c[1:] != c[:-1]
-        group = np.cumsum(other) - 1
-        several = np.bincount(group, new)[group] > 1
-        first, text_too = np.empty(len(a), bool), np.empty(len(a), bool)
-        first[order], text_too[order] = new, new & several
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        first, text_too = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        first[order] = new
+        each = order[new]  # one entry for each distinct context
+        for side in (left, right):
+            known = each[side[each] > 0]
+            known = known[np.lexsort((side[known], anchor[known]))]
+            same = (anchor[known][1:] == anchor[known][:-1]) & (side[known][1:] == side[known][:-1])
+            text_too[known[1:][same]] = True
+            text_too[known[:-1][same]] = True
         out, at = [], 0
-        for r, (x, _) in zip(rows, parts, strict=True):
+        for r, (x, *_) in zip(rows, parts, strict=True):
             out.append((r[0], r[1], ANSWER, len(x), B.bits(text_too[at : at + len(x)]), B.bits(first[at : at + len(x)])))
             at += len(x)
         return B.messages(out)
@@ -185,9 +215,16 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
         c = Contexts(*B.opened(left), params, bits)
         rows = B.read(right)
         wanted, first = (np.concatenate([B.unbits(r[k], r[3]) for r in rows] or [np.zeros(0, bool)]) for k in (4, 5))
-        out = [(-1 - block, block, CHOSEN, len(wanted), B.bits(wanted), B.bits(first))]
+        # For the last round: the runs that repeat as a whole, and the runs that the sort decides.
+        size = c.end - c.begin + 1
+        whole = ~c.lead | ~first[c.entry]
+        part = c.lead & wanted[c.entry]
+        answer = np.zeros(len(wanted), np.int64)
+        answer[wanted] = np.cumsum(size[c.head[wanted]]) - size[c.head[wanted]]
+        runs = B.joined(B.pack(c.begin[part]), B.pack_counts(size[part]), answer[c.entry[part]].astype(np.uint32).tobytes())
+        out = [(-1 - block, block, CHOSEN, int(whole.sum()), B.joined(B.pack(c.begin[whole]), B.pack_counts(size[whole])), runs)]
         own = c.head[wanted]
-        for s, lo, hi in B.parts(B.cuts(c.anchor[own], bits, n), len(own)):
+        for s, lo, hi in B.parts(B.cuts(c.anchor[own], bits, n * params.shards), len(own)):
             if hi > lo:
                 mine = own[lo:hi]
                 raw = b"".join([c.data[a:e].tobytes() for a, e in zip(c.begin[mine].tolist(), (c.end[mine] + params.length).tolist(), strict=True)])
@@ -215,26 +252,22 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
         table, batch = B.opened(left)
         out: dict[str, list] = {"doc_id": table["doc_id"].to_pylist(), "n_bytes": np.diff(batch.offsets).tolist(), "n_removed": [], "n_spans": [], "kept_sha256": []}
         if len(table):
-            c = Contexts(table, batch, params, bits)
             rows = B.read(right)
             chosen = next((r for r in rows if r[2] == CHOSEN), None)
-            wanted, first = (B.unbits(chosen[k], chosen[3]) if chosen else np.zeros(0, bool) for k in (4, 5))
             marks = np.concatenate([B.unbits(r[4], r[3]) for r in rows if r[2] == MARKS] or [np.zeros(0, bool)])
-            size = c.end - c.begin + 1
             state = np.zeros(batch.size + 1, np.int32)
-            whole = ~c.lead | ~first[c.entry]
-            np.add.at(state, c.begin[whole], 1)
-            np.subtract.at(state, c.end[whole] + params.length, 1)
-            part = np.flatnonzero(c.lead & wanted[c.entry])
-            offset = np.zeros(len(wanted), np.int64)
-            sizes = size[c.head[wanted]]
-            offset[wanted] = np.cumsum(sizes) - sizes
-            each = np.repeat(np.arange(len(part)), size[part])
-            step = np.arange(len(each)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
-            hit = marks[offset[c.entry[part]][each] + step] if len(each) else np.zeros(0, bool)
-            start = (c.begin[part][each] + step)[hit]
-            np.add.at(state, start, 1)
-            np.subtract.at(state, start + params.length, 1)
+            if chosen:
+                begin, size = (f(x).astype(np.int64) for f, x in zip((B.unpack, B.unpack_counts), B.apart(chosen[4]), strict=True))
+                np.add.at(state, begin, 1)
+                np.subtract.at(state, begin + size - 1 + params.length, 1)
+                runs = B.apart(chosen[5])
+                begin, size = B.unpack(runs[0]).astype(np.int64), B.unpack_counts(runs[1]).astype(np.int64)
+                answer = np.frombuffer(runs[2], np.uint32).astype(np.int64)
+                each = np.repeat(np.arange(len(begin)), size)
+                step = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+                start = (begin[each] + step)[marks[answer[each] + step]] if len(each) else each
+                np.add.at(state, start, 1)
+                np.subtract.at(state, start + params.length, 1)
             gone = np.cumsum(state[:-1]) > 0
             edge = batch.offsets.tolist()
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
@@ -246,8 +279,8 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
                 out["kept_sha256"].append(hashlib.sha256(kept.tobytes()).hexdigest())
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    sent = base.groupBy("block").applyInArrow(pairs, B.MESSAGE)
-    compared = sent.groupBy("slice").applyInArrow(compare, B.MESSAGE)
-    asked = base.groupBy("block").cogroup(compared.groupBy("block")).applyInArrow(contexts, B.MESSAGE)
-    marked = asked.groupBy("slice").applyInArrow(sort, B.MESSAGE)
-    return base.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(removed, OUT)
+    sent = base.groupBy("block").applyInArrow(B.lean(pairs), B.MESSAGE)
+    compared = sent.groupBy("slice").applyInArrow(B.lean(compare), B.MESSAGE)
+    asked = base.groupBy("block").cogroup(compared.groupBy("block")).applyInArrow(B.lean(contexts), B.MESSAGE)
+    marked = asked.groupBy("slice").applyInArrow(B.lean(sort), B.MESSAGE)
+    return base.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(B.lean(removed), OUT)
