@@ -50,3 +50,12 @@ def test_equals_plain_rules(spark):
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == brute(rows, rules)
     assert any(r.n_removed_lines for r in got) and any(not r.base_failed and not r.kept for r in got)
     assert apply_line_rules(docs.limit(0)).count() == 0
+
+
+def test_a_filter_on_the_result_stays_above_the_windows(spark):
+    """Pushed below, the filter would hash a text's words once per window."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(6000)), "h") for i in range(8)], "doc_id long, text string, source string")
+    kept = apply_line_rules(docs).where("kept AND n_repeat_words = 0")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate")
+    assert kept.count() == 8

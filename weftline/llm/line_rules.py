@@ -101,7 +101,10 @@ def apply_line_rules(docs: DataFrame, text: str = "text", doc: str = "doc_id", h
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
     enough = (F.col("n_left_words") >= rules.min_left_words) & (F.col("n_left_words") >= rules.min_left_ratio * F.col("n_words"))
-    return d.select(
+    out = F.struct(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & enough).alias("kept"), "n_removed_lines", "n_left_words",
     )
+    # A generator bars Catalyst from pushing a later filter on these columns below the projections above,
+    # which would put whole arrays into the windows' lambda and evaluate them once per window.
+    return d.select(F.inline(F.array(out)))
