@@ -109,6 +109,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_removed_lines, n_left_words FROM m
 """
 
+#: Strings of 100 bytes as hex digits, compared by their 128-bit MD5, in overlapping pieces of 1,099 bytes.
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n_bytes FROM d),
+c AS (SELECT r, doc_id, c, h[2000 * c + 1:2000 * c + 2198] AS chunk FROM (SELECT r, doc_id, h, unnest(range(0, n_bytes // 1000 + 1)) AS c FROM n)),
+w AS (SELECT r, doc_id, 1000 * c + unnest(range(0, greatest(length(chunk) // 2 - 99, 0))) AS p,
+      unnest(list_transform(range(0, greatest(length(chunk) // 2 - 99, 0)), lambda i: md5_number(chunk[2 * i + 1:2 * i + 200]))) AS s FROM c),
+f AS (SELECT r, p, row(doc_id, p) > min(row(doc_id, p)) OVER (PARTITION BY s) AS again FROM w),
+m AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM f WHERE again),
+k AS (SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS span FROM m),
+s AS (SELECT r, span, min(p) AS a, max(p) + 100 AS e FROM k GROUP BY r, span),
+t AS (SELECT r, count(*) AS n_spans, sum(e - a)::BIGINT AS n_removed, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends FROM s GROUP BY r),
+x AS (SELECT n.r, doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      CASE WHEN n_spans IS NULL THEN h ELSE list_aggregate(list_transform(range(0, n_spans + 1), lambda i: h[2 * coalesce(ends[i], 0) + 1:2 * coalesce(starts[i + 1], n_bytes)]), 'string_agg', '') END AS kept
+      FROM n LEFT JOIN t ON n.r = t.r)
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM x
+"""
+
 #: Windows are compared as word sequences; rows of one id are one document.
 OP5_SQL = r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id,
@@ -123,4 +141,4 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM w LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op5_repeated_windows": OP5_SQL, "op6_line_rules": OP6_SQL}
+ORACLE: dict[str, str] = {"op3_suffix_dedup": OP3_SQL, "op5_repeated_windows": OP5_SQL, "op6_line_rules": OP6_SQL}
