@@ -19,10 +19,11 @@ def address_scan(view: DataFrame, source: str = "en", target: str = "ed_ru", tit
     d = view.select("doc_id", "block_no", clean(F.col(source)).alias("source"), clean(F.col(target)).alias("target")).where(~missing(F.col("target")))
     pairs = F.arrays_zip(F.regexp_extract_all("target", F.lit(pattern), F.lit(1)).alias("p"), F.regexp_extract_all("target", F.lit(pattern), F.lit(2)).alias("n"))
     # Sentences are split below the generator, once per block instead of once per candidate.
-    d = d.select("doc_id", "block_no", sentences(F.col("source")).alias("ss"), sentences(F.col("target")).alias("ts"), pairs.alias("pairs"))
-    d = d.where(F.size("pairs") > 0).select("doc_id", "block_no", "ss", "ts", F.posexplode("pairs").alias("cand_no", "m"))
+    d = d.select("doc_id", "block_no", "source", "target", pairs.alias("pairs")).where(F.size("pairs") > 0)
+    d = d.select("doc_id", "block_no", sentences(F.col("source")).alias("ss"), sentences(F.col("target")).alias("ts"), "pairs")
+    d = d.withColumn("low", F.transform("ts", F.lower)).select("doc_id", "block_no", "ss", "ts", "low", F.posexplode("pairs").alias("cand_no", "m"))
     d = d.select("*", F.lower("m.p").alias("prefix"), F.col("m.n").alias("name"))
-    held = first(F.col("ts"), lambda s: F.contains(F.lower(s), F.col("prefix")) & F.contains(s, F.col("name")))
+    held = F.get(F.filter("ts", lambda s, i: F.contains(s, F.col("name")) & F.contains(F.get("low", i), F.col("prefix"))), F.lit(0))
     shown = F.coalesce(first(F.col("ss"), lambda s: F.contains(s, F.col("name"))), F.lit(""))
     d = d.select("doc_id", "block_no", "cand_no", F.lit("address").alias("kind"), "prefix", "name", held.alias("target"), shown.alias("source"))
     return d.where(F.col("target").isNotNull())

@@ -23,6 +23,7 @@ from weftline.plans.grammar_rules import first, grammar_scan
 from weftline.plans.record_rules import record_scan
 from weftline.plans.rules import counts
 from weftline.sources.blocks import paragraphs
+from weftline.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,7 +40,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def doc_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

@@ -17,6 +17,16 @@ NAME_STOP = (
 ).split()
 
 
+def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """``df`` over all cores if Spark estimates it at ``limit`` bytes or less, else as it is.
+
+    A small Parquet file has one row group, which one task reads, however many cores there are.  Larger
+    inputs have many row groups and are never shuffled here.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+
+
 def rows(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, cells) of the lines that begin with a bar; the outer bars bound no cell."""
     d = lines(docs).where(F.col("line").startswith("|"))
