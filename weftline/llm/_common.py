@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import spread
+
 #: The contract's white space, as a Java character class body.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
@@ -38,7 +40,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus; a small single file is spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_array(text: Column) -> Column:
