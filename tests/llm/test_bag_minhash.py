@@ -91,3 +91,49 @@ def test_classes_equal_brute_force(spark):
     kept = bm.kept(docs).collect()
     assert len(kept) == len(groups) and kept[0].__fields__ == ["doc_id", "text", "key"]
     assert bm.near_duplicates(docs.limit(0)).count() == 0
+
+
+def crowded_pair():
+    """(base, edited, rows): two alike texts that share one band and no key of two, in a bucket led by a class unlike both."""
+    rng = np.random.default_rng(11)
+    params = bm.NearParams()
+
+    def edit(words, places):
+        out = list(words)
+        for p in places:
+            out[p] = "edit%d" % rng.integers(0, 10**9)
+        return out
+
+    def bands(rows):
+        row, key, count = bm.multisets(texts(pa.array([" ".join(r) for r in rows])), 5)
+        return bm.band_keys(bm.signatures(row, key, count, len(rows), params.registers), params.bands)
+
+    while True:
+        a = ["w%d" % x for x in rng.integers(0, 10**6, 200)]
+        b = edit(a, [20, 60, 100, 140])
+        ka, kb = bands([a, b])
+        shared = np.flatnonzero(ka == kb)
+        if len(shared) != 1:
+            continue
+        band = int(shared[0])
+        others = [edit(a, [10, 30, 50, 70, 90, 110, 130, 150]) for _ in range(60)]
+        c = next((o for o, k in zip(others, bands(others), strict=True) if k[band] == ka[band]), None)
+        if c is None:
+            continue
+        near = [edit(c, [170 + 3 * i]) for i in range(8)]
+        rows = [" ".join(r) for r in (a, b, c, *near)]
+        keys = bands([a, b, c, *near])
+        met = (keys[:, None] == keys[None]).sum(1)  # classes in each bucket of each row
+        met = np.where(met > 1, met, 0).sum(1)
+        low = max(jaccard(bag(x), bag(y)) for x in rows[:2] for y in rows[2:])
+        if low < 0.8 <= jaccard(bag(rows[0]), bag(rows[1])) and met[2] > max(met[:2]):
+            return rows
+
+
+def test_a_pair_with_one_band_under_a_third_class_is_found(spark):
+    rows = crowded_pair()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    # Blocks of one unit, and so small that every bucket is a unit of many blocks.
+    for params in (bm.NearParams(), bm.NearParams(block_bytes=9000)):
+        got = {r.doc_id: r.class_id for r in bm.near_duplicates(docs, params=params).collect()}
+        assert got == {0: 0, 1: 0} | dict.fromkeys(range(2, len(rows)), 2)

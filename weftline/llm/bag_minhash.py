@@ -13,11 +13,12 @@ a band bucket are candidates, but no bucket emits its pairs:
 
 Round 1 compares every member of a bucket with the bucket's leader, the class that meets the most
 others in its buckets (in a group of edited copies, the one that was edited least).
-Round 2 takes the buckets whose members are still in different components, forms clusters of what shares
-a key of two bands, cuts every cluster into blocks of ``block_bytes`` and compares all classes of two
-blocks by a matrix product inside the task, which returns one link per pair of components at most.
-So every such pair is decided, the rows that move grow with members times blocks, and a task holds
-two blocks.
+Round 2 takes the buckets whose other members are still in different components.  Buckets that overlap form a
+cluster; a cluster of ``block_bytes`` at most is one unit, in a larger one every bucket is a unit of its own.
+Units are cut into blocks of ``block_bytes`` and all classes of two blocks are compared by a matrix product
+inside the task, which returns one link per pair of components at most.
+So every pair that shares a bucket is verified or already connected, the rows that move grow with members
+times blocks, and a task holds two blocks.
 
 Verification is exact: multisets of 64-bit window hashes, weighted Jaccard of ``threshold`` or more.
 
@@ -51,6 +52,7 @@ class NearParams:
     rows: int = 5
     bands: int = 26
     block_bytes: int = 8 << 20
+    row_bytes: int = 2048  # counted for a class besides its bag: a block has 4,096 classes at most
 
     @property
     def registers(self) -> int:
@@ -172,7 +174,8 @@ def _block_links(table: pa.Table, threshold: float) -> pa.Table:
         y[place_r[d[place_r[d] >= 0]], c[place_r[d] >= 0]] = 1
         common += x @ y.T
     whole = total[left][:, None] + total[right][None] - common
-    ok = np.argwhere(common >= threshold * np.maximum(whole, 1) - 1e-6)
+    code = np.unique(comps, return_inverse=True)[1]
+    ok = np.argwhere((common >= threshold * np.maximum(whole, 1) - 1e-6) & (code[left][:, None] != code[right][None]))
     parent: dict[str, str] = {}
 
     def root(c: str) -> str:
@@ -249,24 +252,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
     links = verified(pairs.select(F.greatest("key", "key2").alias("a"), F.least("key", "key2").alias("b")).distinct()).where("ok").select("a", "b")
     comp = components(links, f"{name}-stars")
 
-    # Round 2: clusters of what shares a longer key and is still apart, block by block.
-    known = members.select("key", "bucket").join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "bucket", F.coalesce("b", "key").alias("comp"))
-    open_ = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    apart = staged(known.join(open_, "bucket").select("key", "comp").distinct(), f"{name}-apart")
-    n = params.bands
-    long_keys = F.array(*[F.xxhash64(F.lit(step * n + i), F.col("bands")[i], F.col("bands")[(i + step) % n]) for step in (1, 3) for i in range(n)])
-    longer = apart.join(classes.select("key", "bands"), "key").select("key", "comp", F.explode(F.array_distinct(long_keys)).alias("bucket"))
-    longer = staged(longer, f"{name}-longer")
-    heads = longer.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("b")).where("x <> y").select("bucket", "b")
-    cluster = components(longer.join(heads, "bucket").select(F.col("key").alias("a"), "b"), f"{name}-clusters")
-    placed = apart.join(cluster.select(F.col("a").alias("key"), F.col("b").alias("cluster")), "key")
-    placed = placed.unionByName(apart.join(cluster.select(F.col("b").alias("key")).distinct(), "key").withColumn("cluster", F.col("key"))).join(bags, "key")
-    placed = staged(placed, f"{name}-placed")
-    room = placed.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("bag") + 64) / params.block_bytes).cast("int").alias("blocks"))
-    rows_ = placed.join(room, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # Round 2: what the leaders leave apart, block by block.
+    rest = members.join(leaders, "bucket").where(F.col("key") != F.col("key2")).select("key", "bucket")
+    known = rest.join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "bucket", F.coalesce("b", "key").alias("comp"))
+    open_ = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("b")).where("x <> y").select("bucket", "b")
+    apart = staged(known.join(open_, "bucket"), f"{name}-apart")
+    chain = components(apart.select(F.col("key").alias("a"), "b"), f"{name}-clusters").withColumnRenamed("a", "key").withColumnRenamed("b", "cluster")
+    load_ = F.octet_length("bag") + params.row_bytes
+    chained = apart.select("key", "comp", "bucket").join(chain, "key", "left").join(bags.select("key", load_.alias("bytes")), "key")
+    chained = staged(chained.withColumn("cluster", F.coalesce("cluster", "key")), f"{name}-chained")
+    fits = chained.select("cluster", "key", "bytes").distinct().groupBy("cluster").agg((F.sum("bytes") <= params.block_bytes).alias("fits"))
+    unit = F.when(F.col("fits"), F.col("cluster")).otherwise(F.col("bucket").cast("string")).alias("unit")
+    placed = staged(chained.join(fits, "cluster").select(unit, "key", "comp", "bytes").distinct(), f"{name}-placed")
+    room = placed.groupBy("unit").agg(F.ceil(F.sum("bytes") / params.block_bytes).cast("int").alias("blocks"))
+    rows_ = placed.join(room, "unit").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(bags, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows_.select("cluster", "key", "comp", "bag", "own", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    more = dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _block_links(t, params.threshold), "a string, b string")
+    dealt = rows_.select("unit", "key", "comp", "bag", "own", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    more = dealt.groupBy("unit", "i", "j").applyInArrow(lambda t: _block_links(t, params.threshold), "a string, b string")
     comp = components(staged(links.unionByName(more), f"{name}-links"), f"{name}-final")
 
     total = classes.join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "first", "n", F.coalesce("b", "key").alias("comp"))
