@@ -15,7 +15,8 @@ the anchor can share a string.
 Round 2 sends the texts of the remaining contexts, each from the first block that has it.  The slice
 sorts all their suffixes by external induced sorting (``induced_sort``), cuts the order where
 neighbours share fewer than ``length`` bytes, and marks all but the earliest start of each group.
-The sort's queues go to disk beyond ``memory`` bytes, so a shard may be far larger than memory.
+The sort's queues go to disk beyond ``memory`` bytes; the shard's text and the sorted order stay in memory, about
+65 bytes a text byte, so the contexts of one anchor must fit a task.
 
 Cases: null or empty text has no bytes; rows with equal ids are one document, so a string at the
 same place of both is not earlier than itself; null ids sort last; an empty table gives an empty
