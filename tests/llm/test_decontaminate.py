@@ -64,3 +64,18 @@ def test_blocks_of_items_and_empty_tables(spark):
     got = {(r.doc_id, r.item_id) for r in dc.leaks(docs, items, params=small).collect() if r.distance == 0}
     assert got == {(i, i) for i in range(20)}
     assert dc.leaks(docs.limit(0), items).count() == 0 and dc.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_long_items_match_as_a_whole(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    dot, long_ = prose(400)[:1024] + ".", prose(800)[:3000]
+    half = long_[:1500] + prose(400)[:1500]
+    edited = list(long_)
+    for at in range(40, 2960, 40):
+        edited[at] = "#"
+    docs = [(0, "Some other text. " + prose(100)), (1, "x " + dot), (2, long_ + prose(20)), (3, half), (4, prose(50) + "".join(edited)), (5, long_[:1024])]
+    items = spark.createDataFrame([(0, dot), (1, long_)], "item_id long, text string")
+    rows = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in rows) == [(1, 0, 0), (2, 1, 0), (4, 1, distance_to_any_stretch(long_, docs[4][1]))]
+    assert next(r.start for r in rows if r.doc_id == 1) == 2

@@ -20,8 +20,8 @@ three word edits and 0.93 or more at the edge of the ratio (a test holds 0.97 fo
 The items are a stated query set: they go to
 all tasks in blocks of at most ``block_bytes``, and every block scans all documents in one narrow pass.
 
-Cases: null and empty items match nothing; an item longer than ``max_window`` is looked for in parts
-of that size; equal items match each under its own id; null texts hold nothing; every repeated row
+Cases: null and empty items match nothing; an item longer than ``max_window`` is proposed by equal parts
+of at most that size and verified as a whole; equal items match each under its own id; null texts hold nothing; every repeated row
 is reported; with an empty table the result is empty; extra columns are ignored.
 """
 
@@ -68,16 +68,24 @@ class Items:
     """The index of a block of items: pieces, walk, sampled positions and LSH keys."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], params: LeakParams):
-        cut = [(i, t[a : a + params.max_window]) for i, t in items for a in range(0, len(t), params.max_window)]
-        self.items = [(i, t) for i, t in cut if len(t) >= 8] or [(i, t) for i, t in cut if t]
-        self.short = [(i, t) for i, t in cut if 0 < len(t) < 8]
-        if self.short and len(self.items) == len(self.short):
-            self.items = []
+        self.items = [(i, t) for i, t in items if len(t) >= 8]
+        self.short = [(i, t) for i, t in items if 0 < len(t) < 8]
         self.params = params
-        self.size = np.array([len(t) for _, t in self.items], np.int64)
-        self.k = np.array([allowed(len(t), params.max_ratio) for _, t in self.items], np.int64)
+        self.edits = np.array([allowed(len(t), params.max_ratio) for _, t in self.items], np.int64)
+        # Equal parts of at most max_window bytes propose an item; one of p parts has its p-th of the edits or fewer.
+        self.parts, self.of, self.at, k = [], [], [], []
+        for w, (_, t) in enumerate(self.items):
+            p = -(-len(t) // params.max_window)
+            edge = np.linspace(0, len(t), p + 1).astype(int).tolist()
+            for a, e in zip(edge[:-1], edge[1:], strict=True):
+                self.parts.append(t[a:e])
+                self.of.append(w)
+                self.at.append(a)
+                k.append(max(allowed(e - a, params.max_ratio), min(int(self.edits[w]) // p, (e - a) // 8 - 1)))
+        self.size = np.array([len(t) for t in self.parts], np.int64)
+        self.k = np.array(k, np.int64)
         pieces = []
-        for j, (_, t) in enumerate(self.items):
+        for j, t in enumerate(self.parts):
             edge = np.linspace(0, len(t), int(self.k[j]) + 2).astype(int)
             for a, e in zip(edge[:-1], edge[1:], strict=True):
                 pieces.append((int.from_bytes(t[a : a + 8], "little"), int.from_bytes(t[e - 8 : e], "little"), e - a - 8, a, len(t)))
@@ -92,18 +100,18 @@ class Items:
         self.walk = rng.integers(0, 2, (2 * most, 256), np.uint8)
         self.walk[:, 0] = 0  # past the end the walk stands still
         self.places = rng.random((params.repeats, params.sampled))
-        if self.items:
-            data = np.frombuffer(b"".join(t for _, t in self.items) + b"\0" * 8, np.uint8)
+        if self.parts:
+            data = np.frombuffer(b"".join(self.parts) + b"\0" * 8, np.uint8)
             start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
             keys = self.keys(data, start, start + self.size, self.size)
             order = np.argsort(keys.ravel(), kind="stable")
-            self.key, self.owner = keys.ravel()[order], np.repeat(np.arange(len(self.items)), params.repeats)[order]
+            self.key, self.owner = keys.ravel()[order], np.repeat(np.arange(len(self.parts)), params.repeats)[order]
 
         self.grams = [_grams(t) for _, t in self.items]
 
     def enough_grams(self, item: int, raw: bytes) -> bool:
         """Whether ``raw`` holds as many 4-grams of the item as any stretch within k edits must (each edit spoils four)."""
-        need = len(self.grams[item]) - 4 * int(self.k[item])
+        need = len(self.grams[item]) - 4 * int(self.edits[item])
         return need <= 0 or int(np.isin(self.grams[item], _grams(raw)).sum()) >= need
 
     def keys(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -161,7 +169,7 @@ class Items:
         return every[:, 0], every[:, 1], every[:, 2]
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray, most: int = 40_000) -> np.ndarray:
-        """Distinct (row, item, start) whose window shares an LSH key with the item."""
+        """Distinct (row, part, start) whose window shares an LSH key with the part."""
         row, start, size = self.windows(data, offsets)
         out = [np.zeros((0, 3), np.int64)]
         for lo in range(0, len(row), most):
@@ -204,11 +212,12 @@ def best_match(item: bytes, text: bytes) -> tuple[int, int]:
 def verified(index: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end) of each matching row and item: the best stretch, the first of equals."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done: dict[tuple[int, int], int] = {}
-    for row, item, start in index.candidates(data, offsets).tolist():
-        t, k = index.items[item][1], int(index.k[item])
+    done: dict[tuple[int, int], list[int]] = {}
+    for row, part, start in index.candidates(data, offsets).tolist():
+        item, start = index.of[part], start - index.at[part]  # the whole item is verified
+        t, k = index.items[item][1], int(index.edits[item])
         lo, hi = int(offsets[row]), int(offsets[row + 1])
-        if done.get((row, item), -1) >= start:
+        if any(x <= start <= x + k for x in done.get((row, item), ())):
             continue
         a, e = max(lo, start - 2 * k), min(hi, start + len(t) + 3 * k)
         raw = data[a:e].tobytes()
@@ -223,7 +232,7 @@ def verified(index: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
                 continue
             back = best_match(t[::-1], raw[:stop][::-1])[1]
             s, end = a + stop - back, a + stop
-        done[row, item] = start + k
+        done.setdefault((row, item), []).append(start)
         if (row, item) not in found or (d, s) < found[row, item][:2]:
             found[row, item] = (d, s, end)
     for item, (_, t) in enumerate(index.short):
@@ -258,7 +267,7 @@ def _scan(items: list[tuple[int | None, bytes]], params: LeakParams):
                 ids = b.column("doc_id").slice(lo, hi - lo).to_pylist()
                 name = lambda i: index.items[i][0] if i >= 0 else index.short[-1 - i][0]
                 best: dict[tuple[int, int | None], tuple[int, int, int]] = {}
-                for row, item, d, s, e in found:  # parts of one item count once
+                for row, item, d, s, e in found:  # texts of one id count once
                     if (row, name(item)) not in best or d < best[row, name(item)][0]:
                         best[row, name(item)] = (d, s, e)
                 cols = list(zip(*((ids[r], i, *v) for (r, i), v in best.items()), strict=True)) or [[]] * 5
