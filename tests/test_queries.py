@@ -42,3 +42,25 @@ def test_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_benchmark_is_banded(spark):
+    """Against brute force over all items."""
+    lines = {}
+    for r in core.doc_lines(spark, SF).collect():
+        lines.setdefault(r.doc_id, []).append((r.para_no, len(r.text)))
+    items = sorted((r.item_id, len(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())
+    whole, want = sum(n for _, n in items), []
+    for doc, paras in lines.items():
+        before, total = 0, sum(n for _, n in paras)
+        for para, n in sorted(paras):
+            acc, block = 0, items[-1][0]
+            for item, size in items:
+                acc += size
+                if before * whole < total * acc:
+                    block = item
+                    break
+            want.append((doc, para, block))
+            before += n
+    got = [tuple(r) for r in core.QUERIES["proportional_band_join_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and max(b for _, _, b in got) > 5

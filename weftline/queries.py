@@ -297,6 +297,17 @@ def proportional_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.band_join(paras, paras.select("doc_id").distinct().crossJoin(F.broadcast(items)))
 
 
+@query(f"""WITH {LINES},
+p AS (SELECT doc_id, para_no, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY doc_id) AS total FROM lines),
+b AS (SELECT item_id AS block_no, sum(length(text)) OVER (ORDER BY item_id) AS acc, sum(length(text)) OVER () AS whole FROM benchmark)
+SELECT doc_id, para_no, coalesce(min(block_no) FILTER (before * whole < total * acc), max(block_no))::BIGINT AS block_no FROM p, b GROUP BY doc_id, para_no""")
+def proportional_band_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document dealt to all benchmark items in proportion to their sizes."""
+    paras = doc_lines(spark, sf_dir).withColumn("size", F.length("text").cast("long"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("block_no"), F.length("text").cast("long").alias("size"))
+    return align.band_join(paras, items)
+
+
 @query(f"""WITH {_SIDES}
 SELECT *, 'missing' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'unknown' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""")
 def missing_blocks_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
