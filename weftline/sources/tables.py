@@ -18,14 +18,17 @@ NAME_STOP = (
 
 
 def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """``df`` over all cores if it is one file of ``limit`` bytes or less by Spark's estimate, else as it is.
+    """``df`` over all cores if it is one file of ``limit`` bytes or less, else as it is.
 
     A small Parquet file has one row group, which one task reads, however many cores there are.  Larger
-    inputs have many row groups and are never shuffled here.
+    inputs have many row groups and are never shuffled here.  The size is the file's metadata.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    small = size <= limit and len(df.inputFiles()) == 1
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+    files = df.inputFiles()
+    if len(files) != 1:
+        return df
+    spark = df.sparkSession
+    size = spark.read.format("binaryFile").load(files[0]).select("length").first()[0]
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
 
 
 def rows(docs: DataFrame) -> DataFrame:
