@@ -5,7 +5,24 @@ import random
 
 import pytest
 
-from weftline.llm.mixing import MixParams, attached, fill, mix, route, steps
+from weftline.llm.mixing import MixParams, attached, mix, route, steps, targets
+
+
+def fill(sizes, weights, max_repeats):
+    """Shares by rounds: what is over its limit stays there, the rest is shared again."""
+    target, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while open_:
+        whole = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / whole > max_repeats * sizes[i]]
+        if not over:
+            for i in open_:
+                target[i] = left * weights[i] / whole
+            break
+        for i in over:
+            target[i] = float(max_repeats * sizes[i])
+            open_.discard(i)
+        left -= sum(target[i] for i in over)
+    return target
 
 
 def test_fill():
@@ -14,6 +31,15 @@ def test_fill():
     assert fill([0, 0], [1, 2], 3) == [0, 0] and fill([], [], 3) == []
 
 
+def test_targets_equal_the_rounds(spark):
+    rng = random.Random(7)
+    for n in (1, 2, 5, 9, 40):
+        sizes = [rng.choice([0, 1, 5, 10, 300, 10_000]) for _ in range(n)]
+        d = spark.createDataFrame([(f"s{i:02d}" if i < n - 1 else None, x) for i, x in enumerate(sizes)], "source string, size long")
+        got = [r.target for r in targets(d).orderBy("k").collect()]
+        assert got == pytest.approx(fill(sizes, [1 + i % 3 for i in range(n)], 3))
+
+
 def cost_of(tokens, distinct, most):
     total, level, passes = 0, 0, 0
     for size in steps(distinct, most):
@@ -50,7 +76,7 @@ def test_mix(spark, patterns):
     rows += [(1000 + i, rows[i][1], f"s{(i + 1) % 4}") for i in range(60)]
     rows += [(2000, None, "s0"), (2001, "", None), (2002, "only one here", None), (None, "x y", "s1"), (5, rows[5][1], "s1"), (5, rows[5][1], "s1")]
     docs = spark.createDataFrame([(d, t, s, 0) for d, t, s in rows], "doc_id long, text string, source string, taken int")
-    params = MixParams(max_patterns=patterns, max_sources=10)
+    params = MixParams(max_patterns=patterns, broadcast_rows=0 if patterns == 2 else 100)
     got = mix(docs, params=params).collect()
     assert len(got) == len(rows)
     total = sum(len((t or "").split()) for _, t, _ in rows)
@@ -68,3 +94,25 @@ def test_mix(spark, patterns):
     drawn = attached(docs.drop("taken"), mix(docs, params=params).where("taken > 0")).collect()
     assert flat(drawn) == flat([r for r in got if r.taken]) and all(len((r.text or "").split()) == r.size for r in drawn)
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_attached_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "k1", 7, 9), (1, "a b c", "s", "k2", 8, 9), (2, None, "s", "k3", 9, 9)], "doc_id long, text string, source string, _key string, _turn int, taken int")
+    got = attached(docs, mix(docs).where("taken > 0"))
+    assert got.columns == ["doc_id", "text", "source", "_key", "_turn", "size", "source_size", "target", "taken"]
+    assert {(r._key, r._turn, r.size) for r in got.collect()} <= {("k1", 7, 3), ("k2", 8, 3)} and sum(r.taken for r in got.collect()) == 6
+    assert attached(docs.limit(0), mix(docs.limit(0)).where("taken > 0")).count() == 0
+
+
+def test_many_patterns_are_all_routed(spark):
+    """Every pattern keeps its overlap when they are dealt to many networks: shared texts are read less often."""
+    rows = [(10 * i + j, f"t{i} " + "w " * (i % 7), f"s{j}") for i in range(300) for j in range(5) if (i >> j) & 1 or j == i % 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for patterns in (1, 4, 1000):
+        got = mix(docs, params=MixParams(max_patterns=patterns)).collect()
+        taken, target = {}, {}
+        for r in got:
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+            target[r.source] = r.target
+            assert 0 <= r.taken <= 3 * r.size
+        assert all(abs(taken[s] - target[s]) <= 1 for s in target)

@@ -8,16 +8,20 @@ Flow network: source node -> pattern (capacity in steps: the first pass over the
 tokens is free, every further pass costs more, so cost is convex) -> (pattern, source) cell (at most
 ``max_repeats`` times the tokens of its rows) -> quota.  Cost depends on the pattern's step alone, so
 adding the steps in order of cost and augmenting to a maximum flow after each is the successive
-shortest path method and ends at a flow of least cost.  The network has one node per pattern and
-source; it is solved on the driver, with at most ``max_patterns`` patterns.  Texts of the patterns
-beyond (those with the fewest tokens) count as members of their own source only and stay in the mix.
+shortest path method and ends at a flow of least cost.  The network has one node per pattern and source.
+Up to about ``max_patterns`` patterns are one network, solved in one task.  More are dealt by hash to several
+networks: each gets of every source's quota the share of the source's tokens that it holds (which its cells can
+always carry), so every pattern is routed with its overlap and its repetition cost, quotas are met to the word,
+no task holds more than one network, and the cost is the least for that split.  Targets and quotas are
+windows over the table of sources; nothing about patterns or sources reaches the driver but their number.
 
 A cell takes every row ``flow // tokens`` times and the rest in seeded order; the last row is taken in
 part, so each source meets its quota to the word.  The running sums are two-level (hash buckets, then
 rows of one bucket), so a cell with a third of all rows is no single task.
 
 Cases: null text has size 0 and takes 0; a null source is the last source; ties and repeated rows are
-interchangeable; an empty table gives an empty result; extra columns are ignored.
+interchangeable; an empty table gives an empty result; extra columns are ignored (``attached`` keeps them, but
+for those named like the columns it adds).
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm._common import staged, word_count
+from weftline.llm._common import staged, unused, word_count
 
 
 @dataclass(frozen=True)
@@ -40,25 +45,28 @@ class MixParams:
     seed: int = 10
     buckets: int = 1024
     max_patterns: int = 20_000
-    max_sources: int = 10_000
-
-
-def fill(sizes: Sequence[int], weights: Sequence[float], max_repeats: float) -> list[float]:
-    """Shares of the total by weight, none over ``max_repeats`` times its size, the excess reshared by weight."""
-    target, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(sum(sizes))
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        over = [i for i in sorted(open_) if left * weights[i] / whole > max_repeats * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = left * weights[i] / whole
-            break
-        for i in over:
-            target[i] = float(max_repeats * sizes[i])
-            open_.discard(i)
-        left -= sum(target[i] for i in over)
-    return target
+    broadcast_rows: int = 200_000  # tables of sources and cells up to so many rows are broadcast
+
+
+def targets(sizes: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """source, k, source_size, target of (source, size): shares of the total by weight, none over
+    ``max_repeats`` times its size, the excess reshared by weight until none is above.
+
+    Sources fill up in the order of ``max_repeats * size / weight``; a source is full when the level of the
+    others, with all before it full, lies above it.
+    """
+    place = W.orderBy(F.col("source").isNull(), "source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in params.weights]), (F.col("k") % len(params.weights) + 1).cast("int"))
+    d = sizes.withColumn("k", (F.row_number().over(place) - 1).cast("int")).withColumn("w", weight)
+    d = d.withColumn("most", F.lit(params.max_repeats) * F.col("size")).withColumn("full", F.col("most") / F.col("w"))
+    order, every = W.orderBy("full", "k"), W.partitionBy()
+    upto = order.rowsBetween(W.unboundedPreceding, -1)
+    left = F.sum("size").over(every) - F.coalesce(F.sum("most").over(upto), F.lit(0))
+    rest = F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    d = d.withColumn("level", left / rest).withColumn("is_full", F.col("full") < F.col("level"))
+    level = F.min_by(F.when(~F.col("is_full"), F.col("level")), F.when(~F.col("is_full"), F.struct("full", "k"))).over(every)
+    target = F.when(F.col("is_full"), F.col("most").cast("double")).otherwise(F.col("w") * level)
+    return d.select("source", "k", F.col("size").alias("source_size"), target.alias("target"))
 
 
 class Flow:
@@ -150,39 +158,49 @@ def route(cells: Sequence[tuple[str, int, int]], distinct: dict[str, int], quota
     return {cell: net.room[e ^ 1] for cell, e in edges.items()}
 
 
+def _routed(table: pa.Table, max_repeats: int) -> pa.Table:
+    """pattern, k, passes, rest of the cells of one network."""
+    cells = list(zip(table["pattern"].to_pylist(), table["k"].to_pylist(), table["tokens"].to_pylist(), strict=True))
+    distinct = dict(zip(table["pattern"].to_pylist(), table["distinct"].to_pylist(), strict=True))
+    quota = dict(zip(table["k"].to_pylist(), table["quota"].to_pylist(), strict=True))
+    number = {k: i for i, k in enumerate(sorted(quota))}
+    flow = route([(p, number[k], n) for p, k, n in cells], distinct, [quota[k] for k in sorted(quota)], max_repeats)
+    out = [(p, k, *(divmod(flow[p, number[k]], n) if n else (0, 0))) for p, k, n in cells]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["pattern", "k", "passes", "rest"])
+
+
+def planned(cells: DataFrame, known: DataFrame, params: MixParams) -> DataFrame:
+    """pattern, k, passes, rest for (pattern, k, tokens, distinct)."""
+    nets = max(1, -(-cells.select("pattern").distinct().count() // params.max_patterns))
+    d = cells.withColumn("net", F.pmod(F.xxhash64("pattern"), F.lit(nets)).cast("int"))
+    held = d.groupBy("net", "k").agg(F.sum("tokens").alias("held")).join(known.select("k", "source_size", F.round("target").cast("long").alias("q")), "k")
+    order = W.partitionBy("k").orderBy("net")
+    share = lambda upto: F.floor(F.col("q").cast("decimal(38,0)") * upto / F.greatest("source_size", F.lit(1)))
+    held = held.withColumn("upto", F.sum("held").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    held = held.select("net", "k", (share(F.col("upto")) - share(F.col("upto") - F.col("held"))).cast("long").alias("quota"))
+    repeats = params.max_repeats
+    return d.join(held, ["net", "k"]).groupBy("net").applyInArrow(lambda t: _routed(t, repeats), "pattern string, k int, passes long, rest long")
+
+
 def mix(docs: DataFrame, text: str = "text", doc: str = "doc_id", source: str = "source", params: MixParams = MixParams(), name: str = "mix") -> DataFrame:
     """doc_id, size, source, source_size, target, taken, content for every row of ``docs``."""
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(doc).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("content"),
     )
     rows = staged(rows, f"{name}-rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(params.max_sources + 1).collect()
-    if len(sizes) > params.max_sources:
-        raise ValueError(f"more than {params.max_sources} sources")
-    sizes = sorted(sizes, key=lambda r: (r["source"] is None, r["source"] or ""))
-    target = fill([r["size"] for r in sizes], [params.weights[i % len(params.weights)] for i in range(len(sizes))], params.max_repeats)
-    known = spark.createDataFrame([(r["source"], i, r["size"], target[i]) for i, r in enumerate(sizes)], "_s string, k int, source_size long, target double")
-    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    known = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), params), f"{name}-sources")
+    small = lambda df: F.broadcast(df) if df.count() <= params.broadcast_rows else df
+    rows = rows.join(small(known.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     # Contents held by several sources; all others are members of their own source.
     shared = rows.groupBy("content").agg(F.sort_array(F.collect_set("k")).alias("ks")).where(F.size("ks") > 1)
     shared = staged(shared.select("content", F.array_join("ks", ",").alias("pattern")), f"{name}-shared")
     joined = rows.join(shared, "content", "left")
     joined = joined.withColumn("pattern", F.coalesce("pattern", F.col("k").cast("string")))
-    patterns = joined.groupBy("pattern", "content").agg(F.max("size").alias("size")).groupBy("pattern").agg(F.sum("size").alias("distinct"))
-    patterns = patterns.orderBy(F.col("pattern").contains(","), F.desc("distinct"), "pattern").limit(params.max_patterns + params.max_sources)
-    distinct = {r["pattern"]: r["distinct"] for r in patterns.collect()}
-    if len(distinct) == params.max_patterns + params.max_sources:
-        listed = F.broadcast(spark.createDataFrame([(p,) for p in distinct], "pattern string").withColumn("listed", F.lit(True)))
-        joined = joined.join(listed, "pattern", "left").withColumn("pattern", F.when("listed", F.col("pattern")).otherwise(F.col("k").cast("string"))).drop("listed")
-    cells = [(r["pattern"], r["k"], r["size"]) for r in joined.groupBy("pattern", "k").agg(F.sum("size").alias("size")).collect()]
-    for p, k, tokens in cells:
-        if p not in distinct or distinct[p] == 0 < tokens:
-            distinct[p] = tokens
-    flow = route(cells, distinct, [round(x) for x in target], params.max_repeats)
-    plan = [(p, k, flow[p, k] // n if n else 0, flow[p, k] % n if n else 0) for p, k, n in cells]
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern string, k int, passes long, rest long"))
+    once = joined.groupBy("pattern", "content").agg(F.max("size").alias("size")).groupBy("pattern").agg(F.sum("size").alias("distinct"))
+    cells = joined.groupBy("pattern", "k").agg(F.sum("size").alias("tokens")).join(once, "pattern")
+    plan = small(staged(planned(staged(cells, f"{name}-cells"), known, params), f"{name}-plan"))
 
     joined = joined.join(plan, ["pattern", "k"])
     joined = joined.withColumn("ord", F.xxhash64(F.lit(params.seed), "content", "doc_id"))
@@ -202,11 +220,13 @@ def attached(docs: DataFrame, taken: DataFrame, text: str = "text", doc: str = "
 
     Equal rows are interchangeable and are matched one to one.
     """
+    added = ("size", "source_size", "target", "taken")
+    key_, turn = unused(docs, "_key", "_turn")
     key = lambda d, s, c: F.md5(F.to_json(F.struct(d.alias("d"), s.alias("s"), c.alias("c"))).cast("binary"))
     content = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    left = docs.withColumn("_key", key(F.col(doc), F.col(source), content))
-    left = left.withColumn("_turn", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
-    right = taken.select(key(F.col("doc_id"), F.col("source"), F.col("content")).alias("_key"), "size", "source_size", "target", "taken")
-    right = right.withColumn("_turn", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("taken"))))
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return left.select(*names, "_key", "_turn").join(right, ["_key", "_turn"]).select(*names, "size", "source_size", "target", "taken")
+    left = docs.withColumn(key_, key(F.col(doc), F.col(source), content))
+    left = left.withColumn(turn, F.row_number().over(W.partitionBy(key_).orderBy(F.lit(0))))
+    right = taken.select(key(F.col("doc_id"), F.col("source"), F.col("content")).alias(key_), *added)
+    right = right.withColumn(turn, F.row_number().over(W.partitionBy(key_).orderBy(F.desc("taken"))))
+    names = [c for c in docs.columns if c.lower() not in added]
+    return left.select(*names, key_, turn).join(right, [key_, turn]).select(*names, *added)
