@@ -137,3 +137,32 @@ def test_a_pair_with_one_band_under_a_third_class_is_found(spark):
     for params in (bm.NearParams(), bm.NearParams(block_bytes=9000)):
         got = {r.doc_id: r.class_id for r in bm.near_duplicates(docs, params=params).collect()}
         assert got == {0: 0, 1: 0} | dict.fromkeys(range(2, len(rows)), 2)
+
+
+def test_kept_keeps_clashing_columns_and_empty_tables(spark):
+    rows = [(1, "a b c d e f", "x", 1, 2, 3), (2, "a b c d e f", "y", 1, 2, 3), (2, "a b c d e f", "z", 1, 2, 3), (None, None, "w", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, _d int, _k int, _n int")
+    got = bm.kept(docs)
+    assert got.columns == docs.columns and {(r.doc_id, r.key) for r in got.collect()} == {(1, "x"), (None, "w")}
+    assert bm.kept(docs.limit(0)).count() == 0
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    from weftline.llm import _components as co
+
+    edges = [(f"c{i % 3}", f"n{i:03d}") for i in range(90)] + [(f"x{i:02d}", f"x{i + 1:02d}") for i in range(30)] + [("c1", "x30"), ("y", "y")]
+    parent = {}
+
+    def find(a):
+        while parent.get(a, a) != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {n: find(n) for e in edges for n in e if find(n) != n}
+    d = spark.createDataFrame(edges, "a string, b string")
+    for hot in (1000, 8):  # with and without broadcast centres
+        monkeypatch.setattr(co, "HOT", hot)
+        assert {r.a: r.b for r in co.components(d, "test-stars").collect()} == want

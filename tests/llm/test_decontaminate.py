@@ -79,3 +79,22 @@ def test_long_items_match_as_a_whole(spark):
     rows = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     assert sorted((r.doc_id, r.item_id, r.distance) for r in rows) == [(1, 0, 0), (2, 1, 0), (4, 1, distance_to_any_stretch(long_, docs[4][1]))]
     assert next(r.start for r in rows if r.doc_id == 1) == 2
+
+
+def test_items_of_all_lengths_alone_and_mixed(spark):
+    """Exact copies of items around the piece and window sizes are found whatever other items the table holds."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n)))[:n]
+    items = [(i, prose(n).strip().ljust(n, "z")) for i, n in enumerate((5, 7, 8, 15, 16, 200, 1024, 1028, 1025, 2051))]
+    docs = [(i, f"{prose(60)} {t} {prose(60)}", "x") for i, t in items] + [(90, items[7][1][-4:], "x"), (91, prose(900), "x"), (92, items[9][1][:1024], "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _d string")
+    want = {(r[0], i) for r in docs for i, t in items if t in r[1]}
+    assert {(i, i) for i, _ in items} <= want
+    every = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(d, every).collect()} == want
+    for i, _ in items[::3]:
+        alone = every.where(every.item_id == i)
+        assert {(r.doc_id, r.item_id) for r in dc.leaks(d, alone).collect()} == {x for x in want if x[1] == i}
+    kept = dc.clean(d, every)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in docs} - {x for x, _ in want}
+    assert dc.clean(d.limit(0), every).count() == 0

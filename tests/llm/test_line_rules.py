@@ -55,7 +55,15 @@ def test_equals_plain_rules(spark):
 def test_a_filter_on_the_result_stays_above_the_windows(spark):
     """Pushed below, the filter would hash a text's words once per window."""
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(6000)), "h") for i in range(8)], "doc_id long, text string, source string")
-    kept = apply_line_rules(docs).where("kept AND n_repeat_words = 0")
+    kept = apply_line_rules(docs, rules=LineRules(min_docs=50)).where("kept AND n_repeat_words = 0")  # the lines agree but for their digits
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate")
     assert kept.count() == 8
+
+
+def test_the_share_decides_on_small_hosts(spark):
+    """On a host of ten documents a line of three is boilerplate, one of two is not."""
+    own = lambda i: "\n".join(f"{'abcdefghij'[i]}{c} own words of this document only here {c}" for c in "klmn")
+    rows = [(i, own(i) + ("\nshared by three of them" if i < 3 else "\nshared by two" if i < 5 else ""), "h") for i in range(10)]
+    got = {r.doc_id: r.n_removed_lines for r in apply_line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: int(i < 3) for i in range(10)}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm._common import staged
+from weftline.llm._common import staged, unused
 from weftline.llm._components import components
 from weftline.llm._tokens import Batch, hash_ranges, mix, slices, texts, window_hashes, words
 
@@ -278,12 +278,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
 
 
 def kept(docs: DataFrame, params: NearParams = NearParams(), name: str = "near") -> DataFrame:
-    """The documents with one row of each class: that of the smallest id."""
+    """The documents with one row of each class: that of the smallest id.  All columns stay."""
+    id_, key, n = unused(docs, "_d", "_k", "_n")
     found = near_duplicates(docs, params=params, name=name)
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
-    heads = staged(heads.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.count("*").alias("_n")), f"{name}-heads")
+    heads = staged(heads.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).agg(F.count("*").alias(n)), f"{name}-heads")
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (digest == F.col("_k")))
-    if heads.where("_n > 1").limit(1).count():  # repeated rows of a class's head
-        rows = rows.where("_n = 1").unionByName(rows.where("_n > 1").dropDuplicates(["_d", "_k"]))
+    rows = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (digest == F.col(key)))
+    if heads.where(F.col(n) > 1).limit(1).count():  # repeated rows of a class's head
+        rows = rows.where(F.col(n) == 1).unionByName(rows.where(F.col(n) > 1).dropDuplicates([id_, key]))
     return rows.select(*docs.columns)

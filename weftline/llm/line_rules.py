@@ -2,7 +2,8 @@
 
 Every line is normalised (lower case, white space collapsed, digits folded to 0) and hashed.  A line
 is boilerplate on a host when the number of the host's documents that hold it passes
-``max(min_docs, max_ratio * documents of the host)``.  Boilerplate lines are taken out, and a document
+``max(min_docs, max_ratio * documents of the host)``: the share decides, and ``min_docs`` only asks for a third
+document, so the rule acts alike on small and large hosts.  Boilerplate lines are taken out, and a document
 that keeps too few words is rejected.
 
 Plan: one scan explodes each document's distinct line hashes and counts them per (host, hash) with
@@ -27,7 +28,7 @@ from weftline.llm._common import BLANK, WORD, staged, word_array
 
 @dataclass(frozen=True)
 class LineRules:
-    min_docs: int = 50
+    min_docs: int = 2
     max_ratio: float = 0.02
     min_left_words: int = 10
     min_left_ratio: float = 0.5

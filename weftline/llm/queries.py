@@ -95,7 +95,7 @@ l AS (SELECT r, unnest(lines) AS line FROM w),
 k AS (SELECT r, line, regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS norm FROM l),
 hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
 f AS (SELECT d.source, norm, count(DISTINCT r) AS n FROM k JOIN d USING (r) GROUP BY ALL),
-freq AS (SELECT f.source, norm FROM f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > 50 AND n > docs * 0.02),
+freq AS (SELECT f.source, norm FROM f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > 2 AND n > docs * 0.02),
 gone AS (SELECT k.r, count(*) AS n_lines, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n_words
          FROM k JOIN d USING (r) JOIN freq ON freq.source IS NOT DISTINCT FROM d.source AND freq.norm = k.norm GROUP BY k.r),
 m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

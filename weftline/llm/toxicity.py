@@ -6,7 +6,9 @@ noisy-or likelihood, so it learns which sentences carry a label.  Features are t
 four and five byte prefixes, lower-cased, hashed to 32 bits; labels, language, source and id are not.
 
 The learner is fitted on the driver from a bounded sample: about ``max_train_docs`` labelled documents
-drawn by the hash of their id, in hash order until ``max_train_chars`` bytes.  Scoring is one narrow pass over all whole texts with
+drawn by the hash of their id; in hash order, each is taken whose text still fits ``max_train_chars`` bytes in all
+(a text that does not fit is passed over, the next ones are not).  Lengths are known before any text moves, so the
+driver receives the features of the taken texts alone.  Scoring is one narrow pass over all whole texts with
 the selected weights (at most ``max_features``) in the task closure; nothing is shuffled.
 
 Cases: null and empty texts are one empty sentence and get the model's base score; a null id counts as
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._common import staged
 from weftline.llm._tokens import LOWER, Batch, Words, hash_ranges, slices, texts, words
 
 PUNCT = np.zeros(256, bool)
@@ -128,18 +131,33 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             rows = [(f[w.first[i] : w.first[i + 1]].tobytes(), sizes[bag[i] : bag[i + 1]].tobytes()) for i in range(hi - lo)]
             part = b.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [part.column("ord"), part.column("toxic"), pa.array(np.diff(batch.offsets), pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["ord", "toxic", "chars", "features", "sizes"],
+                [part.column("ord"), part.column("toxic"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["ord", "toxic", "features", "sizes"],
             )
 
 
+def fitting(sizes: list[tuple[int, int]], budget: int) -> tuple[list[int], list[int]]:
+    """The orders taken and passed over, of (order, bytes): in order, each that still fits."""
+    taken, over = [], []
+    for ord_, size in sorted(sizes):
+        if size <= budget:
+            budget -= size
+            taken.append(ord_)
+        else:
+            over.append(ord_)
+    return taken, over
+
+
 def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Model:
     """Train from (doc_id, text, toxic); toxic is 0 or 1."""
     none = Model(np.zeros(0, np.uint32), np.zeros(0), -40.0)
-    picked = labelled.select("text", "toxic", F.xxhash64(F.lit(8), "doc_id").alias("ord"))
-    table = picked.mapInArrow(_sample_features, "ord long, toxic int, chars long, features binary, sizes binary").toArrow()
-    order = np.lexsort((table["chars"].to_numpy(), table["ord"].to_numpy()))
-    keep = order[: int(np.searchsorted(np.cumsum(table["chars"].to_numpy()[order]), params.max_train_chars, "right"))]
+    picked = staged(labelled.select("text", "toxic", F.xxhash64(F.lit(8), "doc_id").alias("ord")), "toxicity-sample")
+    sizes = [(r["ord"], r["n"]) for r in picked.select("ord", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()]
+    taken, over = fitting(sizes, params.max_train_chars)
+    if over:
+        picked = picked.where(F.col("ord").isin(taken))
+    table = picked.mapInArrow(_sample_features, "ord long, toxic int, features binary, sizes binary").toArrow()
+    keep = np.argsort(table["ord"].to_numpy(), kind="stable")
     y = table["toxic"].to_numpy()[keep].astype(bool)
     if not y.any() or y.all():
         return none
@@ -221,7 +239,7 @@ def filtered(docs: DataFrame, model: Model, text: str = "text", params: Toxicity
                 total = noisy_or(p, bag, 1 / (1 + np.exp(-max(model.bias, -40.0))))
                 yield part.filter(pa.array(total < params.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)  # the columns are those of the input, whatever their names
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
