@@ -1,7 +1,9 @@
 """Personal data against the contract's patterns run as they are written."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 
@@ -61,3 +63,64 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     p = dict(zip(codes.tolist(), model.posterior(kind, votes), strict=True))
     assert np.mean([(p[c * 4] > 0.5) == t for c, t in zip(code.tolist(), truth, strict=True)]) > 0.95
     assert model.rates[1, 0, pii.YES] > 0.85 and abs(model.rates[1, 5, pii.YES] - 0.5) < 0.1
+
+
+def planted(n=1500, seed=3):
+    """(rows, true spans that no base rule finds, decoys) with known places."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 8)))
+    digits = lambda k: "".join(rng.choices("23456789", k=k))
+    rows, true, decoys = [], set(), set()
+    for i in range(n):
+        text = f"{word()} {word()} "
+        kind = rng.randrange(8)
+        if kind == 0:
+            lead, span, bag = "please contact ", f"{word()}[at]{word()}[dot]com", true
+        elif kind == 1:
+            lead, span, bag = f"{rng.choice(['call', 'phone', 'mobile'])} ", f"({digits(3)}) {digits(3)}-{digits(4)}", true
+        elif kind == 2:
+            lead, span, bag = "host ", ":".join("".join(rng.choices("0123456789abcdef", k=4)) for _ in range(8)), true
+        elif kind == 3:
+            lead, span, bag = "order ", f"0{digits(2)}-{digits(3)}-{digits(4)}", decoys
+        elif kind == 4:
+            lead, span, bag = "serial ", "9" + digits(14), decoys
+        else:
+            lead, span, bag = f"mail {word()}@{word()}.com or +1 (269) 555-3296 from ", f"10.0.{rng.randrange(256)}.{rng.randrange(256)}", set()
+        text += lead
+        bag.add((i, len(text), len(text) + len(span)))
+        rows.append((i, text + span + f" {word()} {word()}."))
+    return rows, true, decoys
+
+
+def test_added_spans_hold_out(spark):
+    """Precision and recall of the added spans against planted ones."""
+    rows, true, decoys = planted()
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r.doc_id, s.start, s.end) for r in got for s in r.spans if not s.base}
+    recall, precision = len(added & true) / len(true), len(added & true) / max(1, len(added))
+    print(f"recall {recall:.3f} precision {precision:.3f} decoys taken {len(added & decoys)} of {len(decoys)}")
+    assert recall > 0.9 and precision > 0.95
+
+
+def test_contexts_move_the_classifier():
+    """Of two candidates with equal votes the one in the context of the true ones is likelier."""
+    yes, no = ("reach us via {} today", "ledger row {} entered")
+    votes = pii.votes("x 555 123 4567 y", 3, 2, 14)
+    cells, target = [], []
+    for i in range(400):
+        text = (yes if i % 2 else no).format(f"{200 + i} 123 4567")
+        start = text.index("123") - 4
+        cells.append(pii.inputs(text, 3, start, start + 12))
+        target.append(0.99 if i % 2 else 0.01)
+    model = pii.span_classifier(np.full(400, votes), pii._cells(cells), np.array(target))
+    both = [pii.inputs(t.format("799 123 4567"), 3, t.index("{"), t.index("{") + 12) for t in (yes, no)]
+    p = model.probability(np.full(2, votes), pii._cells(both))
+    assert p[0] > 0.9 and p[1] < 0.1
+
+
+def test_many_candidates_stay_linear(spark):
+    text = " ".join(f"call (2{i % 90 + 10}) 555-{i % 9000 + 1000} or a{i}@mail.example.com" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.digest(pii.personal_data(docs)).first()
+    assert got.n_email == 30_000 and time.time() - began < 40

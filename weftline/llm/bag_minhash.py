@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rows_.select("unit", "key", "comp", "bag", "own", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     more = dealt.groupBy("unit", "i", "j").applyInArrow(lambda t: _block_links(t, params.threshold), "a string, b string")
-    comp = components(staged(links.unionByName(more), f"{name}-links"), f"{name}-final")
+    more = staged(more, f"{name}-more")
+    if more.limit(1).count():  # the stars found so far stand for their links
+        comp = components(comp.unionByName(more), f"{name}-final")
 
     total = classes.join(comp.withColumnRenamed("a", "key"), "key", "left").select("key", "first", "n", F.coalesce("b", "key").alias("comp"))
     heads = total.groupBy("comp").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("head"), F.sum("n").alias("class_size"))

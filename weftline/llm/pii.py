@@ -4,21 +4,27 @@ Base rules find e-mail addresses, IPv4 addresses, payment cards and phone number
 wider candidate generator proposes spans the base rules miss (obfuscated addresses, numbers glued to
 other numbers, IPv6, domestic phone formats), and six labelers vote on every candidate, base spans
 included: shape, checksum, gazetteer, supporting context, opposing context, boundary.  Votes are
-aggregated over the corpus by vote pattern; expectation-maximisation estimates how often each
-labeler votes each way on true and false spans, and its posteriors train a logistic span classifier.
-Candidates the classifier accepts are added unless they overlap a span already found; base spans stay.
+aggregated over the whole corpus by vote pattern; expectation-maximisation estimates how often each
+labeler votes each way on true and false spans.  Its posteriors are the targets of a logistic span
+classifier whose inputs are the votes and, hashed, the span's own shape and the words and characters around
+it, so it learns contexts that no labeler lists.  Candidates the classifier accepts are added unless they
+overlap a span already found; base spans stay.
 
-Only vote patterns reach the driver: at most 4 kinds * 3**6 votes * 4 length classes = 11,664 counts,
-whatever the corpus.  The scan is narrow, its small result is staged once, nothing else is shuffled.
+Only vote patterns (at most 4 kinds * 3**6 votes * 4 length classes = 11,664 counts, whatever the corpus) and
+a sample of at most ``train_spans`` candidates, the first by a hash of document and place, reach the
+driver.  The scan is narrow, its small result is staged once, nothing else is shuffled.
 
 Cases: null and empty texts have no spans; every input row gives one row, repeated or not, with its id
 as it is (null too); an empty table gives an empty result; extra columns are ignored.  All scans are
-linear in the text's length: runs are matched possessively and addresses are grown from their @.
+linear in the text's length but for sorting its candidates: runs are matched possessively, addresses are grown from
+their @, overlaps are looked up in sorted lists.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +39,7 @@ from weftline.llm._common import staged
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("shape", "checksum", "gazetteer", "context", "counter", "boundary")
 ABSTAIN, YES, NO = 0, 1, 2
+FEATURES, CELLS = 16, 2048  # hashed inputs of a candidate, and the cells they are hashed to
 
 TRIGGER = r"[0-9@]|[\[({]at[\])}]"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,10 +55,13 @@ MORE = {
     "phone": re.compile(r"(?<![\w.-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9])"),
 }
 
-#: Frequent top-level domains, issuer prefixes, address blocks that no person has.
-TLD = frozenset("com org net edu gov mil int info biz io co dev app me us uk de fr es it nl be ch at pl se no dk fi pt ie eu ca au nz jp cn in br mx ru".split())
-ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38")
-UNASSIGNED = re.compile(r"(?:0|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.")
+#: Generic top-level domains (any two letters name a country), issuer prefixes, address
+#: blocks that no host has, and the zones and two-digit country codes of the international numbering plan (the
+#: other codes have three digits).
+TLD = frozenset("com org net edu gov mil int info biz name pro coop museum aero jobs mobi travel post cat tel asia dev app xyz online site shop club cloud store tech blog page email".split())
+ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|64[4-9]|65|35|30|36|38|62")
+UNASSIGNED = re.compile(r"(?:0|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|255\.255\.")
+COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|50[0-9]|59[0-9]|6[789][0-9]|8[058][0-9]|9[679][0-9]")
 CONTEXT = {
     "email": re.compile(r"mail|contact|write|reach|kontakt|correo|courriel|address|adresse", re.I),
     "ip": re.compile(r"\bip\b|host|server|addr|login|client|connect|ping", re.I),
@@ -107,7 +117,7 @@ def votes(text: str, kind: int, start: int, end: int) -> int:
         tail = clean.rpartition(".")[2].lower()
         shape = YES if DOMAIN.search(s) else NO if " " in s and "@" in s and "[" not in s else ABSTAIN
         check = YES if clean.count("@") == 1 and ".." not in clean and not clean.startswith(".") else NO
-        lists = YES if tail in TLD else NO
+        lists = YES if tail in TLD or re.fullmatch("[a-z]{2}", tail) else NO
     elif name == "ip":
         four = s.split(".")
         shape = YES if len(four) == 4 else YES if s.count(":") == 7 else NO
@@ -121,7 +131,7 @@ def votes(text: str, kind: int, start: int, end: int) -> int:
         shape = YES if s[0] == "+" or "(" in s else ABSTAIN
         check = YES if 10 <= len(d) <= 13 else ABSTAIN if 7 <= len(d) <= 15 else NO
         national = d[-10:] if len(d) >= 10 else d
-        lists = YES if s[0] == "+" or national[0] not in "01" else NO
+        lists = YES if (COUNTRY.match(d) if s[0] == "+" else national[0] not in "01") else NO
     near = CONTEXT[name].search(before)
     against = COUNTER.search(before[-16:])
     edge = text[max(0, start - 1) : start].isalnum() or after[:1].isalnum()
@@ -132,16 +142,40 @@ def votes(text: str, kind: int, start: int, end: int) -> int:
     return code * 4 + min(3, (end - start) // 10)
 
 
+WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+
+
+def shape(s: str) -> str:
+    """Letters as a, digits as 9, other characters as they are, runs of one kind as one."""
+    kinds = re.sub(r"\s", " ", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", s)))
+    return re.sub(r"(.)\1+", r"\1", kinds)
+
+
+def inputs(text: str, kind: int, start: int, end: int) -> bytes:
+    """FEATURES hashed cells of a span: its shape and size, and what stands around it."""
+    s = text[start:end]
+    d = only_digits(s)
+    before, after = WORD.findall(text[max(0, start - 48) : start].lower())[-4:], WORD.findall(text[end : end + 24].lower())[:2]
+    found = [
+        f"shape {shape(s)[:24]}", f"head {shape(s[:4])}", f"tail {shape(s[-4:])}", f"size {min(40, len(s))}", f"digits {min(20, len(d))}", f"first {d[:2]}",
+        f"marks {len(set(s) - set(d))}", f"left {text[max(0, start - 1) : start]!r}", f"right {text[end : end + 1]!r}",
+        *(f"before {w}" for w in dict.fromkeys(before)), *(f"after {w}" for w in after), f"next to {(before or [''])[-1]}",
+    ]
+    cells = [zlib.crc32(f"{KINDS[kind]} {x}".encode()) % CELLS for x in found]
+    return np.array(cells + [CELLS] * (FEATURES - len(cells)), np.uint16).tobytes()
+
+
 def candidates(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, code) of spans that overlap no base span."""
     taken = sorted(s for kind in base for s in kind)
-    ends = np.array([e for _, e in taken], np.int64)
-    ends = np.maximum.accumulate(ends) if len(ends) else ends
-    starts = [a for a, _ in taken]
+    starts, ends, reach = [a for a, _ in taken], [], 0
+    for _, e in taken:
+        reach = max(reach, e)
+        ends.append(reach)
     found = []
     for kind, name in enumerate(KINDS):
         for m in MORE[name].finditer(text):
-            i = int(np.searchsorted(starts, m.end(), "left"))
+            i = bisect_left(starts, m.end())
             if i == 0 or ends[i - 1] <= m.start():
                 found.append((kind, *m.span(), votes(text, kind, *m.span())))
     return found
@@ -186,80 +220,110 @@ def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int
 
 
 def design(codes: np.ndarray) -> np.ndarray:
+    """The dense inputs: kind, votes and length class."""
     kind, vote, length = decode(codes)
     eye = np.eye(3)
     return np.concatenate([np.eye(len(KINDS))[kind], *(eye[vote[:, j]][:, 1:] for j in range(len(LABELERS))), np.eye(4)[length][:, 1:]], 1)
 
 
-def span_classifier(codes: np.ndarray, counts: np.ndarray, target: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Logistic weights fitted to the EM posteriors by Newton steps."""
-    x, w = design(codes), np.zeros(design(codes[:1]).shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (counts * (p - target)) + l2 * w
-        hess = (x * (counts * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
-        move = np.linalg.solve(hess, grad)
-        w = w - move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
-        if np.abs(move).max() < 1e-6:
-            break
-    return w
+@dataclass
+class SpanClassifier:
+    """Logistic weights of the votes and of the hashed cells (the last cell is padding)."""
+
+    votes: np.ndarray
+    cells: np.ndarray
+
+    def probability(self, codes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(design(codes) @ self.votes + self.cells[cells].sum(1), -30, 30)))
+
+
+def span_classifier(codes: np.ndarray, cells: np.ndarray, target: np.ndarray, steps: int = 400, l2: float = 1e-4) -> SpanClassifier:
+    """Fitted to the EM posteriors by gradient steps with momentum and scaling."""
+    x, n = design(codes), len(codes)
+    model = SpanClassifier(np.zeros(x.shape[1]), np.zeros(CELLS + 1))
+    w = np.zeros(x.shape[1] + CELLS + 1)
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, steps + 1):
+        model.votes, model.cells = w[: x.shape[1]], w[x.shape[1] :]
+        gap = (model.probability(codes, cells) - target) / n
+        grad = np.concatenate([x.T @ gap, np.bincount(cells.ravel(), np.repeat(gap, FEATURES), CELLS + 1)]) + l2 * w
+        grad[-1] = 0
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    return SpanClassifier(w[: x.shape[1]], w[x.shape[1] :])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one = pa.list_(pa.int64())
+    one, raw = pa.list_(pa.int64()), pa.list_(pa.binary())
     for b in batches:
         text = pc.fill_null(b.column("text"), "")
         hit = pc.match_substring_regex(text, TRIGGER).to_numpy(zero_copy_only=False)
-        base: list[list[int]] = [[] for _ in range(len(text))]
-        codes: list[list[int]] = [[] for _ in range(len(text))]
-        extra: list[list[int]] = [[] for _ in range(len(text))]
+        base, codes, extra, cells = ([[] for _ in range(len(text))] for _ in range(4))
         for i in np.flatnonzero(hit).tolist():
             s = text[i].as_py()
             spans = base_spans(s)
             base[i] = [x for k, found in enumerate(spans) for a, e in found for x in (k, a, e)]
             codes[i] = [votes(s, k, a, e) for k, found in enumerate(spans) for a, e in found]
-            extra[i] = [x for c in candidates(s, spans) for x in c]
+            more = candidates(s, spans)
+            extra[i] = [x for c in more for x in c[:3]]
+            codes[i] += [c[3] for c in more]
+            cells[i] = [inputs(s, k, a, e) for k, found in enumerate(spans) for a, e in found] + [inputs(s, *c[:3]) for c in more]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), *(pa.array(x, one) for x in (base, codes, extra))], names=["doc_id", "base", "codes", "extra"]
+            [b.column("doc_id"), pa.array(base, one), pa.array(extra, one), pa.array(codes, one), pa.array(cells, raw)], names=["doc_id", "base", "extra", "codes", "cells"]
         )
 
 
-def train(found: DataFrame) -> tuple[LabelModel, np.ndarray] | None:
-    """The label model and the span classifier of all candidates of a scanned corpus."""
-    every = F.concat("codes", F.filter("extra", lambda x, i: i % 4 == 3))
-    rows = found.select(F.explode(every).alias("code")).groupBy("code").count().collect()
+def train(found: DataFrame, train_spans: int) -> tuple[LabelModel, SpanClassifier] | None:
+    """The label model of all candidates of a scanned corpus, and the span classifier of a sample of them."""
+    rows = found.select(F.explode("codes").alias("code")).groupBy("code").count().collect()
     if not rows:
         return None
     codes, counts = np.array([r["code"] for r in rows]), np.array([r["count"] for r in rows], float)
     order = np.argsort(codes)
-    codes, counts = codes[order], counts[order]
-    model = expectation_maximisation(codes, counts)
+    model = expectation_maximisation(codes[order], counts[order])
+    each = found.select("doc_id", F.posexplode(F.arrays_zip("codes", "cells")).alias("at", "c")).select(F.xxhash64(F.lit(1), "doc_id", "at", "c.cells").alias("ord"), "c.*")
+    drawn = each.orderBy("ord", "codes", "cells").limit(train_spans).collect()
+    drawn = sorted((r["ord"], r["codes"], bytes(r["cells"])) for r in drawn)
+    codes = np.array([r[1] for r in drawn])
     kind, vote, _ = decode(codes)
-    return model, span_classifier(codes, counts, model.posterior(kind, vote))
+    return model, span_classifier(codes, _cells([r[2] for r in drawn]), model.posterior(kind, vote))
+
+
+def _cells(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, FEATURES)
+
+
+def accepted(spans: np.ndarray, p: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the candidates at or over the threshold, the likelier first, none overlapping another."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for i in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda i: (-p[i], *spans[i].tolist())):
+        k, a, e = spans[i].tolist()
+        at = bisect_left(taken, (a, e))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or e <= taken[at][0]):
+            insort(taken, (a, e))
+            out.append((k, a, e))
+    return out
 
 
-def personal_data(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = 0.9, train_spans: int = 16_384) -> DataFrame:
     """doc_id, spans as array<struct<kind, start, end, base>> by kind as listed, then start."""
     id_type = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = staged(rows.mapInArrow(_scan, f"doc_id {id_type}, base array<bigint>, codes array<bigint>, extra array<bigint>"), "pii-scan")
-    trained = train(found)
+    found = staged(rows.mapInArrow(_scan, f"doc_id {id_type}, base array<bigint>, extra array<bigint>, codes array<bigint>, cells array<binary>"), "pii-scan")
+    trained = train(found, train_spans)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_t = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for b in batches:
             out = []
-            for base, extra in zip(b.column("base").to_pylist(), b.column("extra").to_pylist(), strict=True):
+            columns = (b.column(c).to_pylist() for c in ("base", "extra", "codes", "cells"))
+            for base, extra, codes, cells in zip(*columns, strict=True):
                 spans = [(*base[i : i + 3], True) for i in range(0, len(base), 3)]
                 if extra and trained:
-                    c = np.array(extra).reshape(-1, 4)
-                    p = 1 / (1 + np.exp(-np.clip(design(c[:, 3]) @ trained[1], -30, 30)))
-                    taken: list[tuple[int, int]] = []
-                    for i in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda i: (-p[i], *c[i].tolist())):
-                        k, a, e, _ = c[i].tolist()
-                        if all(e <= x or y <= a for x, y in taken):
-                            taken.append((a, e))
-                            spans.append((k, a, e, False))
+                    own = len(base) // 3
+                    p = trained[1].probability(np.array(codes[own:]), _cells(cells[own:]))
+                    spans += [(*s, False) for s in accepted(np.array(extra).reshape(-1, 3), p, threshold)]
                 out.append([{"kind": KINDS[k], "start": a, "end": e, "base": own} for k, a, e, own in sorted(spans)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind_t)], names=["doc_id", "spans"])
 
