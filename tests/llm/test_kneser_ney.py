@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from weftline.llm.kneser_ney import discounts, held_out, model_scores, short, unshort
+from weftline.llm.kneser_ney import discounts, held_out, model_scores, score_with, short, train_model, unshort
 
 
 def lower(t):
@@ -61,6 +61,18 @@ def test_scores_equal_the_plain_model(spark):
     check(spark, rows + [(None, "a c"), (500, None), (501, ""), (3, rows[3][1]), (3, rows[3][1])])
 
 
+def test_a_stored_model_scores_as_the_one_in_place(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 25)))) for i in range(90)] + [(None, None)], "doc_id long, text string")
+    train_model(docs).write.parquet(f"{tmp_path}/model")
+    model = spark.read.parquet(f"{tmp_path}/model")
+    flat = lambda d: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9), round(r.perplexity, 9)) for r in d.collect())
+    assert flat(score_with(model, docs)) == flat(model_scores(docs))
+    some = docs.where("doc_id % 3 = 0")
+    assert flat(score_with(model, some)) == [r for r in flat(model_scores(docs)) if r[0] != "None" and int(r[0]) % 3 == 0]
+    assert score_with(model, docs.limit(0)).count() == 0
+
+
 def test_without_training_rows_and_empty(spark):
     only = [(i, "a b") for i in range(60) if held_out(i)]
     check(spark, only)
@@ -68,5 +80,5 @@ def test_without_training_rows_and_empty(spark):
 
 
 def test_short_keys():
-    k = np.random.default_rng(1).integers(0, 2**48, 100).astype(np.uint64)
+    k = np.random.default_rng(1).integers(0, 2**56, 100).astype(np.uint64)
     assert (unshort(short(k)) == k).all()

@@ -1,11 +1,17 @@
 """Blocks and slices: whole-corpus grouping of packed keys without a row per key.
 
 A *block* is a contiguous range of document ids; its texts meet in one task.  A *slice* is a share of
-a key space (windows, anchors, n-grams).  Each block sends every slice one packed array of its own
+a key space (windows, anchors, n-grams).  Each block sends each slice one packed array of its own
 distinct keys, sorted; the slice merges the arrays of all blocks and answers each block in the order
 of its keys, so answers need no keys and a key shared by a third of all documents costs a slice one
 entry per block.  Since blocks are ranges, "occurs earlier" between blocks is a smaller block number.
 
+Blocks times slices would grow with the square of the input.  So a ``Route`` to more than ``fan`` groups
+goes in hops: a sender packs what it has into at most ``fan`` bundles, one for each range of groups; ``fan``
+senders' bundles for one range meet and are packed again for its parts, until a range is one group.  Every
+hop moves at most ``fan`` rows for each sender, so rows grow with the input (times the number of hops).
+Nothing is sent where there is nothing to say; what every group must know is added up on the way.
+
 The texts are shuffled once, by block; a block's tasks read that shuffle again (Spark reuses the
 exchange) and put the rows in the same order each time, so positions agree between rounds.
 """
@@ -14,7 +20,8 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +37,47 @@ MESSAGE = "slice int, block int, kind int, n long, a binary, b binary"
 _ARROW = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def blocks(docs: DataFrame, text: str = "text", doc: str = "doc_id", per_partition: int = 2) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) with about equally many rows a block, and the number of slices.
+BUNDLE, TOTAL = -1, -2  # kinds: several messages as one; figures for every group, added up on the way
+FAN = 256
+COARSE = 4096
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The blocked texts (block, doc_id, text), the number of slices, and the ways to slices and to blocks."""
+
+    rows: DataFrame
+    slices: int
+    to_slices: Route
+    to_blocks: Route
+
 
-    A null id sorts after all others.  Rows of one id always share a block.
+def blocks(docs: DataFrame, text: str = "text", doc: str = "doc_id", per_partition: int = 2, fan: int = FAN, slices: int = 0) -> Layout:
+    """Documents in blocks of about equally many rows; ``slices`` is the number of shuffle partitions unless given.
+
+    A null id sorts after all others.  Rows of one id always share a block.  Quantiles are taken for COARSE
+    borders at most; beyond, each range between two of them is cut evenly by id.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("double").alias("_key")
-    probs = [i / (n * per_partition) for i in range(1, n * per_partition)]
-    cuts = sorted(set(rows.select(key).stat.approxQuantile("_key", probs, 0.1 / len(probs)) if probs else []))
+    total = n * per_partition
+    coarse = min(total, COARSE)
+    known = rows.select(F.col("doc_id").cast("double").alias("_key"))  # null ids have no part in the quantiles
+    least, *found, most = known.stat.approxQuantile("_key", [i / coarse for i in range(coarse + 1)], 0.1 / coarse) or [0.0, 0.0]
+    cuts = sorted(set(found))
     cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")] if cuts else [-float("inf"), 0.0, float("inf")], inputCol="_key", outputCol="_block")
     rows = cut.transform(rows.select("doc_id", "text", key))
-    return rows.select(F.col("_block").cast("int").alias("block"), "doc_id", "text"), n
+    each = -(-total // coarse)
+    block = F.col("_block").cast("int")
+    if each > 1 and cuts:
+        edges = F.array(*[F.lit(c) for c in [least, *cuts, most]])
+        low, high = F.get(edges, block), F.get(edges, block + 1)
+        inside = F.when(high > low, F.floor((F.col("_key") - low) / (high - low) * each)).otherwise(0)
+        block = block * each + F.greatest(F.lit(0), F.least(inside, F.lit(each - 1))).cast("int")
+    rows = rows.select(block.cast("int").alias("block"), "doc_id", "text")
+    n = slices or n
+    return Layout(rows, n, Route(0, n, fan), Route(1, (len(cuts) + 1 if cuts else 2) * each, fan))
 
 
 def opened(table: pa.Table) -> tuple[pa.Table, Batch]:
@@ -81,14 +116,108 @@ def _trim() -> None:
         return
 
 
-def messages(rows: list[tuple]) -> pa.Table:
+def messages(rows: Iterable[tuple]) -> pa.Table:
+    rows = list(rows)
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
+def _bundle(rows: list[tuple]) -> bytes:
+    head = np.array([(*r[:4], *(-1 if x is None else len(x) for x in r[4:6])) for r in rows], np.int64)
+    return b"".join([np.int64(len(rows)).tobytes(), head.tobytes(), *[x for r in rows for x in r[4:6] if x is not None]])
+
+
+def _opened(data: bytes) -> Iterator[tuple]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    at = 8 + 48 * n
+    for row in np.frombuffer(data, np.int64, 6 * n, 8).reshape(n, 6).tolist():
+        parts = []
+        for size in row[4:]:
+            parts.append(None if size < 0 else data[at : at + size])
+            at += max(0, size)
+        yield (*row[:4], *parts)
+
+
 def read(table: pa.Table) -> list[tuple]:
-    """A group's messages by block, then slice, kind."""
-    cols = [table[f.name].to_pylist() for f in _ARROW]
-    return sorted(zip(*cols, strict=True), key=lambda r: (r[1], r[0], r[2]))
+    """A group's messages by block, then slice, kind; bundles opened."""
+    found: list[tuple] = []
+    for r in zip(*[table[f.name].to_pylist() for f in _ARROW], strict=True):
+        found.extend(_opened(r[4]) if r[2] == BUNDLE else [r])
+    return sorted(found, key=lambda r: (r[1], r[0], r[2]))
+
+
+def totals(rows: list[tuple]) -> np.ndarray | None:
+    """The sum of the figures that all senders addressed to every group."""
+    found = [np.frombuffer(r[4], np.int64) for r in rows if r[2] == TOTAL]
+    return np.sum(found, 0) if found else None
+
+
+@dataclass(frozen=True)
+class Route:
+    """The way to ``total`` groups, numbered by field ``by`` of the messages (0: slice, 1: block).
+
+    A message to a negative slice is for a group of its own and goes there directly.
+    """
+
+    by: int
+    total: int
+    fan: int = FAN
+
+    def width(self) -> int:
+        """Groups in one range of the first hop."""
+        width = 1
+        while width * self.fan < self.total:
+            width *= self.fan
+        return width
+
+    def send(self, rows: Iterable[tuple], sender: int, figures: np.ndarray | None = None) -> pa.Table:
+        """A sender's messages; ``figures`` go to every group."""
+        return messages(self._packed(list(rows), figures, 0, self.total, self.width(), sender))
+
+    def _packed(self, rows: list[tuple], figures: np.ndarray | None, low: int, high: int, width: int, sender: int) -> Iterator[tuple]:
+        """Messages to groups ``low`` to ``high`` as bundles for ranges of ``width`` groups."""
+        ranges: dict[int, list[tuple]] = {}
+        for r in rows:
+            if r[self.by] < 0:
+                yield r
+            else:
+                ranges.setdefault(r[self.by] // width, []).append(r)
+        for g in range(low // width, -(-min(high, self.total) // width)) if figures is not None else ():
+            at = (g * width, sender) if self.by == 0 else (sender, g * width)
+            ranges.setdefault(g, []).append((*at, TOTAL, 0, figures.astype(np.int64).tobytes(), None))
+        for g, own in sorted(ranges.items()):
+            if width == 1:
+                yield from own
+            else:
+                at = (g, sender) if self.by == 0 else (sender, g)
+                yield (*at, BUNDLE, len(own), _bundle(own), None)
+
+    def _again(self, table: pa.Table, width: int) -> pa.Table:
+        """What ``fan`` senders have for one range of ``width * fan`` groups, packed for ranges of ``width``."""
+        key, other = ("slice", "block") if self.by == 0 else ("block", "slice")
+        g, sender = table[key][0].as_py(), table[other][0].as_py() // self.fan
+        if g < 0:
+            return table.select(_ARROW.names)
+        rows = read(table)
+        low = g * width * self.fan
+        packed = list(self._packed([r for r in rows if r[2] != TOTAL], totals(rows), low, low + width * self.fan, width, sender))
+        if width == 1:  # the last hop: one row for each group
+            ranges: dict[int, list[tuple]] = {}
+            for r in packed:
+                ranges.setdefault(r[self.by], []).append(r)
+            packed = [(*((k, sender) if self.by == 0 else (sender, k)), BUNDLE, len(own), _bundle(own), None) for k, own in sorted(ranges.items())]
+        return messages(packed)
+
+    def delivered(self, df: DataFrame) -> DataFrame:
+        """``df`` (MESSAGE rows of ``send``) after all hops, ready to be grouped by slice or block."""
+        key, other = ("slice", "block") if self.by == 0 else ("block", "slice")
+        width = self.width()
+        while width > 1:
+            width //= self.fan
+            df = df.groupBy(key, F.floor(F.col(other) / self.fan).alias("_sender")).applyInArrow(lean(self._hop(width)), MESSAGE)
+        return df
+
+    def _hop(self, width: int) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: self._again(table, width)
 
 
 def _lows(values: np.ndarray, width: int) -> bytes:

@@ -7,13 +7,17 @@ N(. w) is the number of distinct words before w, D and D' are the three modified
 order, and the last term is the unknown word's share.  A document is its words, then one end token; the
 first token's context is a start mark, which is never predicted.
 
-Counting: each block (a range of documents) sends every slice its distinct bigrams with their training
+Counting: each block (a range of documents) sends the slices its distinct bigrams with their training
 counts, sorted by context hash, so all followers of a context meet in one slice.  A slice stores its
 model as sorted hash arrays in files that its worker memory-maps, answers each block's bigrams by
 binary search, and passes the number of distinct contexts of each word on to the word's slice, which
 answers the blocks' words.  No worker holds more than its slice, nothing goes to the driver, and a
 common bigram costs a slice one entry per block.  Texts are shuffled once.
 
+``train_model`` keeps what the slices have merged (sorted hash arrays with counts) as a table;
+``score_with`` scores any documents by such a table, which joins the questions of their blocks in each slice as one
+more sender.  Keys of contexts and followers have 56 bits, those of words 64.
+
 Cases: a null or empty text is one end token; the rows of the held-out fold are scored, not counted; a
 null id has the text ''; repeated rows count as often as they occur; without training rows every
 token is unknown; an empty table gives an empty result; extra columns are ignored.
@@ -29,12 +33,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftline.llm import _blocks as B
 from weftline.llm._tokens import LOWER, Batch, hash_ranges, mix, words
 
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-_LOW = np.uint64(16)
+_LOW, BITS = np.uint64(8), 56
+MODEL = -1  # the sender of what a stored model holds
 BIGRAMS, ANSWER, CONTEXTS, WORDS, WORD_ANSWER = range(5)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
@@ -44,13 +50,13 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def short(keys: np.ndarray) -> bytes:
-    """48-bit keys in six bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
+    """56-bit keys in seven bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
 def unshort(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 4), np.uint16)
-    out[:, :3] = np.frombuffer(data, np.uint16).reshape(-1, 3)
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
     return out.view("<u8").ravel()
 
 
@@ -75,7 +81,7 @@ class Tokens:
         return key, at, np.bincount(at, self.train, len(key)).astype(np.uint64)
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts, tokens, number of each token's bigram, training counts), by 48-bit context, then token."""
+        """(contexts, tokens, number of each token's bigram, training counts), by short context, then token."""
         v, t = self.context >> _LOW, self.token >> _LOW
         order = np.lexsort((t, v))
         v, t = v[order], t[order]
@@ -129,50 +135,98 @@ class Mapped:
         self._dir.cleanup()
 
 
-def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold: Callable[[int | None], bool] = held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row."""
-    base, n = B.blocks(docs, text, doc)
+def bigram_key(v: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(t))
+
+
+def _bigrams(r: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct contexts, run lengths, tokens, counts) of a message."""
+    (v, length), (t, c) = B.apart(r[4]), B.apart(r[5])
+    return B.unpack(v), B.unpack_counts(length).astype(np.int64), unshort(t), B.unpack_counts(c)
+
+
+def _bigram_message(slice_: int, sender: int, v: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple:
+    begin, length = runs(v)
+    return (slice_, sender, BIGRAMS, len(v), B.joined(B.pack(v[begin]), B.pack_counts(length)), B.joined(short(t), B.pack_counts(c)))
+
+
+def _counted(base: DataFrame, n: int, to_slices: B.Route, fold: Callable[[int | None], bool]) -> DataFrame:
+    """The blocks' distinct bigrams and words with their training counts, at the slices."""
 
     def count(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         tokens = Tokens(*B.opened(table), fold)
         v, t, _, c = tokens.bigrams()
-        out = []
-        for s, lo, hi in B.parts(B.cuts(v, 48, n), len(v)):  # an empty part is sent too: its answer carries the slice's totals
-            begin, length = runs(v[lo:hi])
-            a = B.joined(B.pack(v[lo:hi][begin]), B.pack_counts(length))
-            out.append((s, block, BIGRAMS, hi - lo, a, B.joined(short(t[lo:hi]), B.pack_counts(c[lo:hi]))))
+        out = [_bigram_message(s, block, v[lo:hi], t[lo:hi], c[lo:hi]) for s, lo, hi in B.parts(B.cuts(v, BITS, n), len(v)) if hi > lo]
         key, _, c = tokens.vocabulary()
-        for s, lo, hi in B.parts(B.cuts(key >> _LOW, 48, n), len(key)):
-            out.append((s, block, WORDS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(c[lo:hi])))
-        return B.messages(out)
+        out += [(s, block, WORDS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(c[lo:hi])) for s, lo, hi in B.parts(B.cuts(key >> _LOW, BITS, n), len(key)) if hi > lo]
+        return to_slices.send(out, block)
+
+    return to_slices.delivered(base.groupBy("block").applyInArrow(B.lean(count), B.MESSAGE))
+
+
+def _merged_bigrams(asked: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct training bigrams (context, token, count) of a slice, in order."""
+    if not asked:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    v = np.concatenate([np.repeat(x[0], x[1]) for x in asked])
+    t, c = (np.concatenate([x[k] for x in asked]) for k in (2, 3))
+    own = c > 0
+    v, t, c = v[own], t[own], c[own]
+    order = np.lexsort((t, v))
+    v, t, c = v[order], t[order], c[order].astype(np.uint64)
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
+    begin = np.flatnonzero(new)
+    return v[begin], t[begin], np.add.reduceat(c, begin) if len(begin) else np.zeros(0, np.uint64)
+
+
+def _merged_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, counts) of a slice's messages of words or of contexts of words."""
+    key, at = np.unique(np.concatenate([B.unpack(r[4]) for r in rows] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    c = np.zeros(len(key), np.uint64)
+    np.add.at(c, at, np.concatenate([B.unpack_counts(r[5]) for r in rows] or [np.zeros(0, np.uint64)]))
+    return key, c
+
+
+def train_model(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold: Callable[[int | None], bool] = held_out, fan: int = B.FAN) -> DataFrame:
+    """The model of the documents outside the held-out fold, one row for each slice and kind: write it as Parquet to keep it."""
+    layout = B.blocks(docs, text, doc, fan=fan)
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = B.read(table)
+        own = rows[0][0]
+        key, c = _merged_words([r for r in rows if r[2] == WORDS])
+        bigrams = _bigram_message(own, MODEL, *_merged_bigrams([_bigrams(r) for r in rows if r[2] == BIGRAMS]))
+        return B.messages([bigrams, (own, MODEL, WORDS, int((c > 0).sum()), B.pack(key[c > 0]), B.pack_counts(c[c > 0]))])
 
-    def opened(r: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct contexts, run lengths, tokens, counts) of a block's bigrams."""
-        (v, length), (t, c) = B.apart(r[4]), B.apart(r[5])
-        return B.unpack(v), B.unpack_counts(length).astype(np.int64), unshort(t), B.unpack_counts(c)
+    counted = _counted(layout.rows, layout.slices, layout.to_slices, fold)
+    return counted.groupBy("slice").applyInArrow(B.lean(merge), B.MESSAGE).withColumn("slices", F.lit(layout.slices))
 
-    def bigram_key(v: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(t))
 
-    def model(table: pa.Table) -> tuple[list[tuple], list[tuple], np.ndarray, np.ndarray, np.ndarray]:
-        """The slice's messages and its distinct training bigrams (context, token, count)."""
-        rows = [r for r in B.read(table) if r[2] == BIGRAMS]
-        asked = [opened(r) for r in rows]
-        v = np.concatenate([np.repeat(x[0], x[1]) for x in asked])
-        t, c = (np.concatenate([x[k] for x in asked]) for k in (2, 3))
-        own = c > 0
-        v, t, c = v[own], t[own], c[own]
-        order = np.lexsort((t, v))
-        v, t, c = v[order], t[order], c[order].astype(np.uint64)
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
-        begin = np.flatnonzero(new)
-        total = np.add.reduceat(c, begin) if len(begin) else np.zeros(0, np.uint64)
-        return rows, asked, v[begin], t[begin], total
+def score_with(model: DataFrame, docs: DataFrame, text: str = "text", doc: str = "doc_id", fan: int = B.FAN) -> DataFrame:
+    """``model_scores`` of documents by a model from ``train_model``; all count as held out."""
+    first = model.select("slices").limit(1).collect()
+    layout = B.blocks(docs, text, doc, fan=fan, slices=first[0][0] if first else 0)
+    none = lambda _: True
+    asked = _counted(layout.rows, layout.slices, layout.to_slices, none)
+    return _scored(layout, asked.unionByName(model.drop("slices")), none)
+
+
+def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold: Callable[[int | None], bool] = held_out, fan: int = B.FAN) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row."""
+    layout = B.blocks(docs, text, doc, fan=fan)
+    return _scored(layout, _counted(layout.rows, layout.slices, layout.to_slices, fold), fold)
+
+
+def _scored(layout: B.Layout, counted: DataFrame, fold: Callable[[int | None], bool]) -> DataFrame:
+    """Scores of the blocks' documents by the counts at the slices."""
+    base, n, to_slices, to_blocks = layout.rows, layout.slices, layout.to_slices, layout.to_blocks
 
     def answers(table: pa.Table) -> pa.Table:
-        rows, asked, v, t, c = model(table)
+        rows = [r for r in B.read(table) if r[2] == BIGRAMS]
+        asked = [_bigrams(r) for r in rows]
+        v, t, c = _merged_bigrams(asked)
         begin, _ = runs(v)
         stats = np.zeros((len(begin), 4), np.uint64)  # tokens after the context; followers seen once, twice, more often
         if len(begin):
@@ -183,42 +237,38 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         order = np.argsort(key)
         pairs = Mapped(key[order], count=c[order].astype(np.uint64))
         contexts = Mapped(v[begin], total=stats[:, 0], once=stats[:, 1], twice=stats[:, 2], more=stats[:, 3])
-        head = histogram(c).tobytes()
         out = []
         for r, (cv, length, ct, _) in zip(rows, asked, strict=True):
-            found = pairs.find(bigram_key(np.repeat(cv, length), ct), "count")[0]
-            stat = contexts.find(cv, "total", "once", "twice", "more")
-            out.append((r[0], r[1], ANSWER, r[3], B.pack_counts(found), B.joined(head, *map(B.pack_counts, stat))))
+            if r[1] != MODEL:
+                found = pairs.find(bigram_key(np.repeat(cv, length), ct), "count")[0]
+                stat = contexts.find(cv, "total", "once", "twice", "more")
+                out.append((r[0], r[1], ANSWER, r[3], B.pack_counts(found), B.joined(*map(B.pack_counts, stat))))
         pairs.close()
         contexts.close()
-        return B.messages(out)
+        return to_blocks.send(out, table["slice"][0].as_py(), np.concatenate([histogram(c), np.zeros(8, np.int64)]))
 
     def continuations(table: pa.Table) -> pa.Table:
-        rows, _, _, t, _ = model(table)
+        _, t, _ = _merged_bigrams([_bigrams(r) for r in B.read(table) if r[2] == BIGRAMS])
         key, times = np.unique(t, return_counts=True)
-        own = rows[0][0]
-        return B.messages([(s, own, CONTEXTS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(times[lo:hi])) for s, lo, hi in B.parts(B.cuts(key, 48, n), len(key)) if hi > lo])
+        own = table["slice"][0].as_py()
+        return to_slices.send([(s, own, CONTEXTS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(times[lo:hi])) for s, lo, hi in B.parts(B.cuts(key, BITS, n), len(key)) if hi > lo], own)
 
     def word_answers(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = [r for r in B.read(left) if r[2] == WORDS]
         if not rows:
             return B.messages([])
-        asked = [(B.unpack(r[4]), B.unpack_counts(r[5])) for r in rows]
-        key, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
-        c = np.zeros(len(key), np.uint64)
-        np.add.at(c, at, np.concatenate([x for _, x in asked]))
-        hops = [(B.unpack(r[4]), B.unpack_counts(r[5])) for r in B.read(right)]
-        before, where = np.unique(np.concatenate([k for k, _ in hops] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        times = np.zeros(len(before), np.uint64)
-        np.add.at(times, where, np.concatenate([x for _, x in hops] or [np.zeros(0, np.uint64)]))
+        key, c = _merged_words(rows)
+        before, times = _merged_words(B.read(right))
         unigrams, prior = Mapped(key, count=c), Mapped(before, times=times)
-        head = np.concatenate([[int(c.sum()), int((c > 0).sum()), int(times.sum()), len(times)], histogram(times)]).astype(np.int64).tobytes()
+        figures = np.concatenate([np.zeros(4, np.int64), [int(c.sum()), int((c > 0).sum()), int(times.sum()), len(times)], histogram(times)])
         out = []
-        for r, (k, _) in zip(rows, asked, strict=True):
-            out.append((r[0], r[1], WORD_ANSWER, r[3], B.pack_counts(unigrams.find(k, "count")[0]), B.joined(head, B.pack_counts(prior.find(k >> _LOW, "times")[0]))))
+        for r in rows:
+            if r[1] != MODEL:
+                k = B.unpack(r[4])
+                out.append((r[0], r[1], WORD_ANSWER, r[3], B.pack_counts(unigrams.find(k, "count")[0]), B.pack_counts(prior.find(k >> _LOW, "times")[0])))
         unigrams.close()
         prior.close()
-        return B.messages(out)
+        return to_blocks.send(out, rows[0][0], figures)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         table, batch = B.opened(left)
@@ -228,15 +278,14 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         tokens = Tokens(table, batch, fold)
         rows = B.read(right)
         pair, word = ([r for r in rows if r[2] == k] for k in (ANSWER, WORD_ANSWER))
-        word_side, pair_side = ([B.apart(r[5]) for r in x] for x in (word, pair))
-        heads = np.array([np.frombuffer(x[0], np.int64) for x in word_side]).sum(0)
-        total, distinct, cont_total = (int(x) for x in heads[:3])
-        cont_of = np.append(heads[4:6], heads[3] - heads[4] - heads[5])
-        low, high = discounts(heads[4:8]), discounts(np.array([np.frombuffer(x[0], np.int64) for x in pair_side]).sum(0))
+        figures = B.totals(rows)
+        total, distinct, cont_total = (int(x) for x in figures[4:7])
+        cont_of = np.append(figures[8:10], figures[7] - figures[8] - figures[9])
+        low, high = discounts(figures[8:12]), discounts(figures[:4])
 
         _, at, _ = tokens.vocabulary()
         c = np.concatenate([B.unpack_counts(r[4]) for r in word]).astype(np.float64)
-        cont = np.concatenate([B.unpack_counts(x[1]) for x in word_side])
+        cont = np.concatenate([B.unpack_counts(r[5]) for r in word])
         unknown = 1.0 / (distinct + 1)
         if cont_total:
             rest = float((low[1:] * cont_of).sum()) / cont_total
@@ -246,7 +295,7 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
 
         v, _, pair_at, _ = tokens.bigrams()
         found = np.concatenate([B.unpack_counts(r[4]) for r in pair]).astype(np.float64)
-        stat = np.concatenate([np.stack([B.unpack_counts(y) for y in x[1:]]) for x in pair_side], 1).astype(np.float64)
+        stat = np.concatenate([np.stack([B.unpack_counts(y) for y in B.apart(r[5])]) for r in pair], 1).astype(np.float64)
         _, length = runs(v)
         stat = np.repeat(stat, length, 1)
         seen = np.maximum(stat[0], 1)
@@ -258,9 +307,9 @@ def model_scores(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold:
         size = np.diff(tokens.first)
         return pa.table([table["doc_id"].combine_chunks(), pa.array(tokens.held), pa.array(size), pa.array(sums[2]), pa.array(np.full(len(size), total)), pa.array(sums[1]), pa.array(sums[0]), pa.array(10 ** (-sums[0] / size))], schema=empty)
 
-    counted = base.groupBy("block").applyInArrow(B.lean(count), B.MESSAGE)
     by_slice = counted.groupBy("slice")
     pairs = by_slice.applyInArrow(B.lean(answers), B.MESSAGE)
-    hops = by_slice.applyInArrow(B.lean(continuations), B.MESSAGE)
+    hops = to_slices.delivered(by_slice.applyInArrow(B.lean(continuations), B.MESSAGE))
     word_rows = by_slice.cogroup(hops.groupBy("slice")).applyInArrow(B.lean(word_answers), B.MESSAGE)
-    return base.groupBy("block").cogroup(pairs.unionByName(word_rows).groupBy("block")).applyInArrow(B.lean(scored), OUT)
+    answered = to_blocks.delivered(pairs.unionByName(word_rows))
+    return base.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(B.lean(scored), OUT)

@@ -3,13 +3,16 @@
 Every window of ``width`` words that also starts earlier (a smaller id, or the same document further
 left) is a repeat; each word a repeat covers goes.
 
-Round 1: each block sketches its windows - counters saturate at two, one row of cells whose number
-follows the corpus - and the sketches are merged by slices of the cell space.  Merged counters never
-underestimate, so a window whose cell counts one is unique and is dropped from further work.
+Round 1: a count-min sketch of ``depth`` rows.  Its width follows the corpus (``cells`` for each window a partition
+may hold) and is cut into slices, each a fixed number of counters that saturate at two.  A block's partial
+sketch is sent as the cells it touches, by row; a slice merges the partial sketches of all blocks into its
+counters by saturating addition.  The estimate of a window is its smallest counter, which is never below the
+count, so a window estimated once is unique and is dropped from further work; the others that are unique
+are (windows / width) ** depth of all, under one in a hundred.
 Round 2: each block sends one 96-bit key per window estimated repeated; the slice groups the keys of
 all blocks exactly and answers which block has the first occurrence.  Within its block a window's
 first place is known locally, so no positions are sent.
-The texts are shuffled once; what is sent is about two bytes per window for the sketch and about ten
+The texts are shuffled once; what is sent is about four bytes per window for the sketch and about ten
 per repeated window.  Nothing is collected or broadcast.
 
 Cases: null or empty text has no words; texts shorter than the window keep all words; rows with equal
@@ -20,20 +23,61 @@ keep it; null ids sort last; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm import _blocks as B
-from weftline.llm._tokens import Batch, Words, hash_ranges, window_hashes, words
+from weftline.llm._tokens import Batch, Words, hash_ranges, mix, window_hashes, words
 
+KEYS, CHOSEN = 100, 101  # kinds of messages; the rows of the sketch count from 0
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def cell_bits(slices: int) -> int:
-    """Width of the sketch: about 64 cells a window where a partition holds some millions of windows."""
-    return min(60, 28 + max(1, slices).bit_length())
+@dataclass(frozen=True)
+class Sketch:
+    """A count-min sketch over 64-bit keys: ``depth`` rows of 2**bits saturating counters, in equal slices."""
+
+    bits: int
+    slices: int
+    depth: int = 2
+
+    @classmethod
+    def of(cls, slices: int, cells: int = 1 << 25, depth: int = 2) -> Sketch:
+        """``cells`` counters a slice and row or up to twice as many: 12 to 24 a window where a partition holds 2.8 million windows."""
+        return cls(min(60, (cells * slices - 1).bit_length()), slices, depth)
+
+    @property
+    def width(self) -> int:
+        """Counters of one row in one slice."""
+        return -(-(1 << self.bits) // self.slices)
+
+    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
+        h = keys if row == 0 else mix(keys + np.uint64(row * 0x9E3779B97F4A7C15 % 2**64))
+        return h >> np.uint64(64 - self.bits)
+
+    def parts(self, cells: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(slice, from, to) of sorted cells."""
+        return B.parts(B.cuts(cells, self.bits, self.slices), len(cells))
+
+
+class Counters:
+    """The merged counters of one slice and row: they saturate at two, so merging in any order agrees."""
+
+    def __init__(self, sketch: Sketch, slice_: int):
+        self.low = np.uint64(slice_ * sketch.width)
+        self.count = np.zeros(sketch.width, np.uint8)
+
+    def add(self, cells: np.ndarray, twice: np.ndarray) -> None:
+        """A partial sketch: distinct cells, and whether each counts two or more there."""
+        at = cells - self.low
+        self.count[at] = np.minimum(self.count[at] + np.uint8(1) + twice, 2)
+
+    def repeated(self, cells: np.ndarray) -> np.ndarray:
+        return self.count[cells - self.low] > 1
 
 
 class Windows:
@@ -55,9 +99,9 @@ class Windows:
         else:
             self.place = self.at
 
-    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct cells in order, cell number of each window, whether a cell holds two windows of this block)."""
-        cell, inverse, count = np.unique(self.key >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+    def cells(self, sketch: Sketch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a row of the sketch: distinct cells in order, cell number of each window, whether a cell holds two windows of this block."""
+        cell, inverse, count = np.unique(sketch.cells(self.key, row), return_inverse=True, return_counts=True)
         return cell, inverse, count > 1
 
     def groups(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,39 +119,39 @@ def _number(table: pa.Table) -> int:
     return table["block"][0].as_py()
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc: str = "doc_id") -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc: str = "doc_id", fan: int = B.FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every input row."""
-    base, slices = B.blocks(docs, text, doc)
-    bits = cell_bits(slices)
+    layout = B.blocks(docs, text, doc, fan=fan)
+    base, slices, to_slices, to_blocks = layout.rows, layout.slices, layout.to_slices, layout.to_blocks
+    counting = Sketch.of(slices)
 
     def sketch(table: pa.Table) -> pa.Table:
         block = _number(table)
-        cell, _, twice = Windows(*B.opened(table), width).cells(bits)
-        edges = B.cuts(cell, bits, slices)
-        return B.messages([(s, block, 0, hi - lo, B.pack(cell[lo:hi]), B.bits(twice[lo:hi])) for s, lo, hi in B.parts(edges, len(cell)) if hi > lo])
+        w = Windows(*B.opened(table), width)
+        out = []
+        for row in range(counting.depth):
+            cell, _, twice = w.cells(counting, row)
+            out += [(s, block, row, hi - lo, B.pack(cell[lo:hi]), B.bits(twice[lo:hi])) for s, lo, hi in counting.parts(cell) if hi > lo]
+        return to_slices.send(out, block)
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = B.read(table)
-        cells = [B.unpack(r[4]) for r in rows]
-        every = np.concatenate(cells)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
-        again = np.zeros(len(every), bool)
-        same = ranked[1:] == ranked[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        flag = np.empty(len(every), bool)
-        flag[order] = again
-        out, at = [], 0
-        for r, c in zip(rows, cells, strict=True):
-            out.append((r[0], r[1], 0, len(c), B.bits(flag[at : at + len(c)] | B.unbits(r[5], len(c))), None))
-            at += len(c)
-        return B.messages(out)
+        rows, out = B.read(table), []
+        own = rows[0][0]
+        for row in range(counting.depth):
+            mine = [r for r in rows if r[2] == row]
+            counters = Counters(counting, own)
+            for r in mine:
+                counters.add(B.unpack(r[4]), B.unbits(r[5], r[3]))
+            out += [(own, r[1], row, r[3], B.bits(counters.repeated(B.unpack(r[4]))), None) for r in mine]
+        return to_blocks.send(out, own)
 
     def estimated(w: Windows, replies: list[tuple]) -> np.ndarray:
-        cell, inverse, _ = w.cells(bits)
-        flags = [B.unbits(r[4], r[3]) for r in replies]
-        return np.flatnonzero(np.concatenate(flags)[inverse]) if len(cell) else np.zeros(0, np.int64)
+        """The windows all of whose counters passed one."""
+        again = np.ones(len(w.key), bool)
+        for row in range(counting.depth if len(w.key) else 0):
+            _, inverse, _ = w.cells(counting, row)
+            again &= np.concatenate([B.unbits(r[4], r[3]) for r in replies if r[2] == row])[inverse]
+        return np.flatnonzero(again)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -117,16 +161,16 @@ def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc:
         chosen = estimated(w, B.read(right))
         order, begin, _ = w.groups(chosen)
         key, check = w.key[order[begin]], w.check[order[begin]]
-        out = [(s, block, 1, hi - lo, B.pack(key[lo:hi]), check[lo:hi].tobytes()) for s, lo, hi in B.parts(B.cuts(key, 64, slices), len(key)) if hi > lo]
+        out = [(s, block, KEYS, hi - lo, B.pack(key[lo:hi]), check[lo:hi].tobytes()) for s, lo, hi in B.parts(B.cuts(key, 64, slices), len(key)) if hi > lo]
         mask = np.zeros(len(w.key), bool)
         mask[chosen] = True
-        out.append((-1 - block, block, 2, len(mask), B.bits(mask), None))  # what was chosen, for the last round
-        return B.messages(out)
+        out.append((-1 - block, block, CHOSEN, len(mask), B.bits(mask), None))  # what was chosen, for the last round
+        return to_slices.send(out, block)
 
     def firsts(table: pa.Table) -> pa.Table:
         rows = B.read(table)
-        if rows[0][2] == 2:
-            return table.select(B._ARROW.names)
+        if rows[0][2] == CHOSEN:
+            return to_blocks.send(rows, rows[0][0])
         keys = [B.unpack(r[4]) for r in rows]
         key, check = np.concatenate(keys), np.concatenate([np.frombuffer(r[5], np.uint32) for r in rows])
         order = np.lexsort((check, key))  # stable, and the rows come by block: the first of equals is the earliest block
@@ -136,9 +180,9 @@ def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc:
         first[order] = new
         out, at = [], 0
         for r, k in zip(rows, keys, strict=True):
-            out.append((r[0], r[1], 1, len(k), B.bits(first[at : at + len(k)]), None))
+            out.append((r[0], r[1], KEYS, len(k), B.bits(first[at : at + len(k)]), None))
             at += len(k)
-        return B.messages(out)
+        return to_blocks.send(out, rows[0][0])
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         table, batch = B.opened(left)
@@ -146,10 +190,10 @@ def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc:
         if len(table):
             w = Windows(table, batch, width)
             rows = B.read(right)
-            mask = next((r for r in rows if r[2] == 2), None)
+            mask = next((r for r in rows if r[2] == CHOSEN), None)
             chosen = np.flatnonzero(B.unbits(mask[4], mask[3])) if mask else np.zeros(0, np.int64)
             order, begin, lead = w.groups(chosen)
-            replies = [B.unbits(r[4], r[3]) for r in rows if r[2] == 1]
+            replies = [B.unbits(r[4], r[3]) for r in rows if r[2] == KEYS]
             own = np.repeat(np.concatenate(replies), np.diff(np.append(begin, len(order)))) if replies else np.zeros(0, bool)
             repeat = w.at[order[~(own & lead)]]
             cover = np.zeros(len(w.w.start) + 1, np.int64)
@@ -166,8 +210,8 @@ def repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc:
                 out["kept_sha256"].append(hashlib.sha256(b" ".join([data[start[k] : end[k]] for k in keep])).hexdigest())
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
-    sketched = base.groupBy("block").applyInArrow(B.lean(sketch), B.MESSAGE)
-    merged = sketched.groupBy("slice").applyInArrow(B.lean(merge), B.MESSAGE)
-    chosen = base.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(B.lean(candidates), B.MESSAGE)
-    first = chosen.groupBy("slice").applyInArrow(B.lean(firsts), B.MESSAGE)
+    sketched = to_slices.delivered(base.groupBy("block").applyInArrow(B.lean(sketch), B.MESSAGE))
+    merged = to_blocks.delivered(sketched.groupBy("slice").applyInArrow(B.lean(merge), B.MESSAGE))
+    chosen = to_slices.delivered(base.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(B.lean(candidates), B.MESSAGE))
+    first = to_blocks.delivered(chosen.groupBy("slice").applyInArrow(B.lean(firsts), B.MESSAGE))
     return base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(B.lean(removed), OUT)

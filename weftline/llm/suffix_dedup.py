@@ -172,9 +172,11 @@ def group_repeats(blocks: np.ndarray, places: np.ndarray, starts: np.ndarray, te
     return out
 
 
-def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id", params: SuffixParams = SuffixParams()) -> DataFrame:
+def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id", params: SuffixParams = SuffixParams(), fan: int = B.FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every input row."""
-    base, n = B.blocks(docs, text, doc, per_partition=3)
+    layout = B.blocks(docs, text, doc, per_partition=3, fan=fan)
+    base, n, to_slices, to_blocks = layout.rows, layout.slices, layout.to_slices, layout.to_blocks
+    to_shards = B.Route(0, n * params.shards, fan)
     bits = min(64, 34 + n.bit_length())
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -184,7 +186,7 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
         edges = B.cuts(anchor, bits, n)
         left, right = c.left[c.head], c.right[c.head]
         side = lambda lo, hi: B.joined(context[lo:hi].tobytes(), left[lo:hi].tobytes(), right[lo:hi].tobytes())
-        return B.messages([(s, block, PAIRS, hi - lo, B.pack(anchor[lo:hi]), side(lo, hi)) for s, lo, hi in B.parts(edges, len(anchor)) if hi > lo])
+        return to_slices.send([(s, block, PAIRS, hi - lo, B.pack(anchor[lo:hi]), side(lo, hi)) for s, lo, hi in B.parts(edges, len(anchor)) if hi > lo], block)
 
     def compare(table: pa.Table) -> pa.Table:
         rows = B.read(table)
@@ -207,7 +209,7 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
         for r, (x, *_) in zip(rows, parts, strict=True):
             out.append((r[0], r[1], ANSWER, len(x), B.bits(text_too[at : at + len(x)]), B.bits(first[at : at + len(x)])))
             at += len(x)
-        return B.messages(out)
+        return to_blocks.send(out, rows[0][0])
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -231,7 +233,7 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
                 raw = b"".join([c.data[a:e].tobytes() for a, e in zip(c.begin[mine].tolist(), (c.end[mine] + params.length).tolist(), strict=True)])
                 head = c.place[mine].tobytes() + (c.end[mine] - c.begin[mine] + 1).astype(np.int64).tobytes()
                 out.append((s, block, TEXTS, hi - lo, head, raw))
-        return B.messages(out)
+        return to_shards.send(out, block)
 
     def sort(table: pa.Table) -> pa.Table:
         rows = B.read(table)
@@ -280,8 +282,8 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
                 out["kept_sha256"].append(hashlib.sha256(kept.tobytes()).hexdigest())
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    sent = base.groupBy("block").applyInArrow(B.lean(pairs), B.MESSAGE)
-    compared = sent.groupBy("slice").applyInArrow(B.lean(compare), B.MESSAGE)
-    asked = base.groupBy("block").cogroup(compared.groupBy("block")).applyInArrow(B.lean(contexts), B.MESSAGE)
-    marked = asked.groupBy("slice").applyInArrow(B.lean(sort), B.MESSAGE)
+    sent = to_slices.delivered(base.groupBy("block").applyInArrow(B.lean(pairs), B.MESSAGE))
+    compared = to_blocks.delivered(sent.groupBy("slice").applyInArrow(B.lean(compare), B.MESSAGE))
+    asked = to_shards.delivered(base.groupBy("block").cogroup(compared.groupBy("block")).applyInArrow(B.lean(contexts), B.MESSAGE))
+    marked = to_blocks.delivered(asked.groupBy("slice").applyInArrow(sort, B.MESSAGE))
     return base.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(B.lean(removed), OUT)
