@@ -1,5 +1,7 @@
-"""Induced sorting against plain sorting, with queues that live on disk."""
+"""Induced sorting against plain sorting, with all that grows on disk."""
 
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -53,3 +55,46 @@ def test_larger_text():
             k += 1
         assert k == lcp[i]
     assert len(set(array.tolist())) == len(t)
+
+
+RESIDENT = """
+import sys
+import numpy as np
+from weftline.llm.induced_sort import scratch, sorted_suffixes
+
+own = lambda: next(int(l.split()[1]) for l in open("/proc/self/status") if l.startswith("RssAnon")) / 1024
+n, memory = int(sys.argv[1]), 1 << 18
+rng = np.random.default_rng(3)
+passage = rng.integers(97, 123, 400).astype(np.uint8)
+folder, space = scratch(memory)
+with folder:
+    t = space.text(n + 1, np.uint8)
+    for lo in range(0, n, 2000):  # a passage beside ever different text
+        part = np.concatenate([passage, rng.integers(97, 123, 1600).astype(np.uint8)])[: min(2000, n - lo)]
+        t[lo : lo + len(part)] = part
+    import threading
+    peak, done = [own()], threading.Event()
+    def watch():
+        while not done.wait(0.02):
+            peak[0] = max(peak[0], own())
+    before = own()
+    thread = threading.Thread(target=watch)
+    thread.start()
+    array, lcp = sorted_suffixes(t, 100, space)
+    done.set()
+    thread.join()
+    raw = t.tobytes()
+    for i in rng.integers(1, n, 500).tolist():
+        a, b = int(array[i - 1]), int(array[i])
+        assert raw[a : a + 300] <= raw[b : b + 300]
+    assert int(array.astype(np.int64).sum()) == n * (n + 1) // 2
+print(peak[0] - before)
+"""
+
+
+def test_memory_does_not_follow_the_text():
+    """A text of 10 times the memory and one of 20 times sort in the same resident memory, a fraction of the text's arrays."""
+    root = __file__.split("/tests/")[0]
+    took = [float(subprocess.run([sys.executable, "-c", RESIDENT, str(n << 18)], cwd=root, capture_output=True, text=True, check=True).stdout) for n in (10, 20)]
+    print("resident MB", took)
+    assert max(took) < 16 and took[1] < took[0] + 5

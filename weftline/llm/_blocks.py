@@ -97,18 +97,18 @@ def lean(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
 
     def one(table: pa.Table) -> pa.Table:
         out = function(table)
-        _trim()
+        trim()
         return out
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         out = function(left, right)
-        _trim()
+        trim()
         return out
 
     return two if len(inspect.signature(function).parameters) == 2 else one
 
 
-def _trim() -> None:
+def trim() -> None:
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -137,12 +137,16 @@ def _opened(data: bytes) -> Iterator[tuple]:
         yield (*row[:4], *parts)
 
 
+def each(table: pa.Table | pa.RecordBatch) -> Iterator[tuple]:
+    """Messages as they come, bundles opened."""
+    for i in range(len(table)):
+        r = tuple(table[f.name][i].as_py() for f in _ARROW)
+        yield from _opened(r[4]) if r[2] == BUNDLE else [r]
+
+
 def read(table: pa.Table) -> list[tuple]:
     """A group's messages by block, then slice, kind; bundles opened."""
-    found: list[tuple] = []
-    for r in zip(*[table[f.name].to_pylist() for f in _ARROW], strict=True):
-        found.extend(_opened(r[4]) if r[2] == BUNDLE else [r])
-    return sorted(found, key=lambda r: (r[1], r[0], r[2]))
+    return sorted(each(table), key=lambda r: (r[1], r[0], r[2]))
 
 
 def totals(rows: list[tuple]) -> np.ndarray | None:

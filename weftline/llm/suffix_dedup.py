@@ -13,10 +13,11 @@ next to the anchor.  A context that an earlier block has is a repeat as a whole
 copies before any text moves); of different contexts, only those that agree with another on a side of
 the anchor can share a string.
 Round 2 sends the texts of the remaining contexts, each from the first block that has it.  The slice
-sorts all their suffixes by external induced sorting (``induced_sort``), cuts the order where
-neighbours share fewer than ``length`` bytes, and marks all but the earliest start of each group.
-The sort's queues go to disk beyond ``memory`` bytes; the shard's text and the sorted order stay in memory, about
-65 bytes a text byte, so the contexts of one anchor must fit a task.
+writes them to a file as they arrive, sorts all their suffixes by external induced sorting (``induced_sort``),
+walks through the order once, cutting it where neighbours share fewer than ``length`` bytes, and marks all but the
+earliest start of each group.  Text, order, prefixes, groups and marks are files of the task beyond a share of
+``memory``, so a shard may be far larger than memory; an anchor next to many different texts (a common passage's
+edge) keeps all its contexts in one shard, which then takes one task its time, not its memory.
 
 Cases: null or empty text has no bytes; rows with equal ids are one document, so a string at the
 same place of both is not earlier than itself; null ids sort last; an empty table gives an empty
@@ -26,6 +27,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from weftline.llm import _blocks as B
 from weftline.llm._tokens import Batch, mix
-from weftline.llm.induced_sort import sorted_suffixes
+from weftline.llm.induced_sort import Space, scratch, sorted_suffixes
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -45,7 +47,7 @@ PAIRS, ANSWER, CHOSEN, TEXTS, MARKS = range(5)
 class SuffixParams:
     length: int = 100  # 250 at most
     gram: int = 20  # 8 to 24, and at most a third of the length
-    memory: int = 256 << 20
+    memory: int = 192 << 20  # of one sort
     shards: int = 3  # suffix arrays for each slice
 
 
@@ -141,34 +143,90 @@ class Contexts:
         return begin + base, end + base, mix(h[at] + _B), ranged(begin, end + length), left, right
 
 
-def group_repeats(blocks: np.ndarray, places: np.ndarray, starts: np.ndarray, text: np.ndarray, length: int, memory: int) -> np.ndarray:
-    """For contexts back to back in ``text`` (bytes), each with ``starts`` window starts: whether each start's window has an earlier equal."""
-    sizes = starts + length - 1
-    borders = np.concatenate([[0], np.cumsum(sizes + 1)])
-    t = np.empty(int(borders[-1]) + 1, np.uint8)
-    inside = np.ones(len(t), bool)
-    inside[borders[1:] - 1] = False
-    inside[-1] = False
-    t[inside] = text + np.uint8(2)  # UTF-8 has no byte over 0xF4
-    t[borders[1:] - 1], t[-1] = 1, 0
-    array, lcp = sorted_suffixes(t, length, memory)
-    run = np.cumsum(lcp < length)
-    own = np.searchsorted(borders, array, "right") - 1
-    own[own == len(starts)] = 0
-    offset = array - borders[own]
-    good = (offset >= 0) & (offset < starts[own]) & (array < borders[-1])
-    run, own, offset = run[good], own[good], offset[good]
-    place = places[own] + offset
-    order = np.lexsort((place, blocks[own], run))
-    r, b, p = run[order], blocks[own][order], place[order]
-    new = np.ones(len(r), bool)
-    new[1:] = r[1:] != r[:-1]
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(r)))
-    later = (b != np.repeat(b[head], size)) | (p != np.repeat(p[head], size))
-    first_start = np.concatenate([[0], np.cumsum(starts)])
-    out = np.zeros(int(first_start[-1]), bool)
-    out[first_start[own[order]] + offset[order]] = later
+class Shard:
+    """The contexts of a shard in the order of their arrival, on disk: texts back to back, and of each its block, place and number of starts."""
+
+    def __init__(self, space: Space, length: int):
+        self.space, self.length, self.n, self.n_starts = space, length, 0, 0
+        self.paths = {k: space.path() for k in ("text", "block", "place", "starts")}
+        self.files = {k: p.open("wb") for k, p in self.paths.items()}
+
+    def add(self, block: int, head: bytes, text: bytes) -> tuple[int, int]:
+        """Where the starts of a message begin, and their number."""
+        place, starts = np.frombuffer(head, np.int64).reshape(2, -1)
+        for k, x in (("text", text), ("block", np.full(len(place), block, np.int32)), ("place", place), ("starts", starts)):
+            self.files[k].write(x if k == "text" else np.ascontiguousarray(x).tobytes())
+        at, own = self.n_starts, int(starts.sum())
+        self.n, self.n_starts = self.n + len(place), self.n_starts + own
+        return at, own
+
+    def close(self) -> tuple[np.ndarray, ...]:
+        for f in self.files.values():
+            f.close()
+        kinds = {"text": np.uint8, "block": np.int32, "place": np.int64, "starts": np.int64}
+        out = tuple(np.memmap(p, kinds[k], "r") if p.stat().st_size else np.zeros(0, kinds[k]) for k, p in self.paths.items())
+        for p in self.paths.values():
+            p.unlink()
+        return out
+
+
+def group_repeats(shard: Shard) -> np.ndarray:
+    """For every window start of a shard's contexts, in their order: whether its window has an earlier equal."""
+    text, blocks, places, starts = shard.close()
+    space, length, n = shard.space, shard.length, shard.n
+    borders, first_start = space.array(n + 1, np.int64), space.array(n + 1, np.int64)
+    for lo, hi in space.blocks(n):
+        borders[lo + 1 : hi + 1] = borders[lo] + np.cumsum(starts[lo:hi] + length)
+        first_start[lo + 1 : hi + 1] = first_start[lo] + np.cumsum(starts[lo:hi])
+    t = space.text(int(borders[-1]) + 1, np.uint8)
+    per = max(1, space.block // (2 * length))  # contexts of one step
+    for lo in range(0, n, per):
+        hi = min(n, lo + per)
+        a, e = int(borders[lo]), int(borders[hi])
+        part = np.ones(e - a, np.uint8)
+        inside = np.ones(e - a, bool)
+        inside[borders[lo + 1 : hi + 1] - 1 - a] = False
+        part[inside] = text[a - lo : e - hi] + np.uint8(2)  # UTF-8 has no byte over 0xF4
+        t[a:e] = part
+    array, lcp = sorted_suffixes(t, length, space)
+    out = space.array(int(first_start[-1]), bool)
+    total = int(borders[-1])
+
+    def members(lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Of a piece of the order, what starts a window: run, block, place, number of the start."""
+        at = array[lo:hi].astype(np.int64)
+        run = np.cumsum(lcp[lo:hi] < length)
+        own = np.searchsorted(borders, at, "right") - 1
+        own[own == n] = 0
+        offset = at - borders[own]
+        good = (at < total) & (offset < starts[own])
+        own, offset = own[good], offset[good]
+        return run[good], blocks[own], places[own] + offset, first_start[own] + offset
+
+    lo, size = 0, len(array)
+    while lo < size:
+        hi = min(size, lo + space.block)
+        cut = np.flatnonzero(lcp[lo + 1 : hi] < length) if hi < size and lcp[hi] >= length else None
+        if cut is None or len(cut):
+            hi = hi if cut is None else lo + 1 + int(cut[-1])
+            r, b, p, k = members(lo, hi)
+            order = np.lexsort((p, b, r))
+            r, b, p, k = r[order], b[order], p[order], k[order]
+            new = np.ones(len(r), bool)
+            new[1:] = r[1:] != r[:-1]
+            head = np.flatnonzero(new)
+            each = np.diff(np.append(head, len(r)))
+            out[k] = (b != np.repeat(b[head], each)) | (p != np.repeat(p[head], each))
+        else:  # one run that is larger than a step: its earliest member first, then its marks
+            while hi < size and lcp[hi] >= length:
+                more = np.flatnonzero(lcp[hi : hi + space.block] < length)
+                hi = hi + int(more[0]) if len(more) else min(size, hi + space.block)
+            pieces = [(a, min(hi, a + space.block)) for a in range(lo, hi, space.block)]
+            least = min((int(b[i]), int(p[i])) for a, e in pieces for _, b, p, _ in [members(a, e)] if len(b) for i in [np.lexsort((p, b))[0]])
+            for a, e in pieces:
+                _, b, p, k = members(a, e)
+                out[k] = (b != least[0]) | (p != least[1])
+        lo = hi
     return out
 
 
@@ -235,21 +293,23 @@ def repeated_substrings(docs: DataFrame, text: str = "text", doc: str = "doc_id"
                 out.append((s, block, TEXTS, hi - lo, head, raw))
         return to_shards.send(out, block)
 
-    def sort(table: pa.Table) -> pa.Table:
-        rows = B.read(table)
-        if rows[0][2] == CHOSEN:
-            return table.select(B._ARROW.names)
-        heads = [np.frombuffer(r[4], np.int64).reshape(2, -1) for r in rows]
-        places, starts = (np.concatenate([h[k] for h in heads]) for k in (0, 1))
-        blocks = np.repeat([r[1] for r in rows], [r[3] for r in rows])
-        raw = np.frombuffer(b"".join([r[5] for r in rows]), np.uint8)
-        later = group_repeats(blocks, places, starts, raw, params.length, params.memory)
-        out, at = [], 0
-        for r, h in zip(rows, heads, strict=True):
-            size = int(h[1].sum())
-            out.append((r[0], r[1], MARKS, size, B.bits(later[at : at + size]), None))
-            at += size
-        return B.messages(out)
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, space = scratch(params.memory)
+        shard, parts = Shard(space, params.length), []
+        own = None
+        with folder:
+            for batch in batches:
+                for r in B.each(batch):
+                    if r[2] == CHOSEN:
+                        yield from to_blocks.send([r], r[0]).to_batches()
+                    else:
+                        own = r[0]
+                        parts.append((r[1], *shard.add(r[1], r[4], r[5])))
+            if own is not None:
+                later = group_repeats(shard)
+                out = [(own, block, MARKS, size, B.bits(later[at : at + size]), None) for block, at, size in parts]
+                yield from to_blocks.send(out, own).to_batches()
+        B.trim()
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         table, batch = B.opened(left)
