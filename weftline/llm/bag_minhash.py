@@ -52,6 +52,7 @@ class NearParams:
     rows: int = 5
     bands: int = 26
     block_bytes: int = 8 << 20
+    broadcast_rows: int = 100_000  # large clusters up to so many are broadcast
     row_bytes: int = 2048  # counted for a class besides its bag: a block has 4,096 classes at most
 
     @property
@@ -261,9 +262,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", pa
     load_ = F.octet_length("bag") + params.row_bytes
     chained = apart.select("key", "comp", "bucket").join(chain, "key", "left").join(bags.select("key", load_.alias("bytes")), "key")
     chained = staged(chained.withColumn("cluster", F.coalesce("cluster", "key")), f"{name}-chained")
-    fits = chained.select("cluster", "key", "bytes").distinct().groupBy("cluster").agg((F.sum("bytes") <= params.block_bytes).alias("fits"))
-    unit = F.when(F.col("fits"), F.col("cluster")).otherwise(F.col("bucket").cast("string")).alias("unit")
-    placed = staged(chained.join(fits, "cluster").select(unit, "key", "comp", "bytes").distinct(), f"{name}-placed")
+    # Clusters over a block: their bytes bound their number, so they are known to every task and no cluster is dealt to one.
+    large = chained.select("cluster", "key", "bytes").distinct().groupBy("cluster").agg(F.sum("bytes").alias("all")).where(F.col("all") > params.block_bytes)
+    large = staged(large.select("cluster", F.lit(True).alias("large")), f"{name}-large")
+    side = F.broadcast(large) if large.count() <= params.broadcast_rows else large
+    unit = F.when(F.col("large"), F.col("bucket").cast("string")).otherwise(F.col("cluster")).alias("unit")
+    placed = staged(chained.join(side, "cluster", "left").select(unit, "key", "comp", "bytes").distinct(), f"{name}-placed")
     room = placed.groupBy("unit").agg(F.ceil(F.sum("bytes") / params.block_bytes).cast("int").alias("blocks"))
     rows_ = placed.join(room, "unit").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(bags, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
