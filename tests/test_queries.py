@@ -62,5 +62,5 @@ def test_whole_benchmark_is_banded(spark):
                     break
             want.append((doc, para, block))
             before += n
-    got = [tuple(r) for r in core.QUERIES["proportional_band_join_whole"](spark, SF).collect()]
+    got = [tuple(r) for r in core.QUERIES["proportional_band_join"](spark, SF).collect()]
     assert sorted(got) == sorted(want) and max(b for _, _, b in got) > 5

@@ -59,14 +59,17 @@ def stem_hits(paragraphs: DataFrame, stems: DataFrame, letters: str = "А-Яа-
 def anchors(rows: DataFrame, entries: DataFrame, text: str, lang: str) -> DataFrame:
     """(doc_id, block_no, anchor): glossary keys and numbers of a text.
 
-    Japanese terms by substring, others as whole words in any case; the glossary is matched by one regex
-    for a whole-word alternative per entry, joined with the rows that hold the entry's first word.
+    Japanese terms by substring: an equi-join of the terms with the stretches of their lengths (one row of lengths is
+    broadcast).  Others as whole words in any case: a regex for each entry, joined with the rows that hold the entry's first word.
     """
     own = rows.select("doc_id", "block_no", F.coalesce(F.col(text), F.lit("")).alias("t"))
     nums = own.select("doc_id", "block_no", F.explode(number_anchors(F.col("t"), lang)).alias("anchor"))
     term = entries.where(F.col(lang) != "").select("key", F.col(lang).alias("term"))
-    if lang == "ja":
-        hits = own.join(term, F.contains(F.col("t"), F.col("term")))
+    if lang == "ja":  # no words to join on: every stretch as long as a term is one
+        sizes = term.agg(F.collect_set(F.length("term")).alias("sizes"))
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, n))
+        every = own.crossJoin(F.broadcast(sizes)).select("doc_id", "block_no", F.explode(F.array_distinct(F.flatten(F.transform("sizes", grams)))).alias("term"))
+        hits = every.join(term, "term")
     else:
         head = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}]+", 0)
         spread = own.select("doc_id", "block_no", "t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("head"))

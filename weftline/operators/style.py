@@ -1,13 +1,16 @@
-"""Own designs of scanners known by their reports only: repetition, version drift, omission signals."""
+"""Own designs of scanners known by their reports only: style, version drift, omission signals."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import numbers
-from weftline.functions.text import missing
+from weftline.functions.text import has_word, missing
 
 
 def repetition(paragraphs: DataFrame, near: int = 2, least: int = 3, length: int = 5, letters: str = r"\p{L}") -> DataFrame:
@@ -42,3 +45,101 @@ def omission_signals(view: DataFrame, source: str, target: str, end: str = r"[.!
     gone = missing(F.col(target))
     found = F.array(F.when(~gone & ~F.col(target).rlike(end), "S1-open-end"), F.when(gone, "S2-empty"), F.when(~gone & (lost > 0), "S3-number"))
     return view.select("doc_id", "block_no", F.explode(F.array_compact(found)).alias("signal"))
+
+
+STYLE_KINDS = ("REPETITION", "ROOT_REPETITION", "TAUTOLOGY", "COLLOCATION", "MONOTONY", "REDUNDANCY", "NOMINALIZATION", "OTHER")
+
+
+@dataclass(frozen=True)
+class StylePack:
+    """Words and patterns of a language; patterns are matched on the paragraph in lower case."""
+
+    letters: str = r"\p{L}"
+    length: int = 5  # of words that count as repeated
+    root: int = 4  # letters that two words of one root share
+    stop: tuple[str, ...] = ()
+    tautology: str = r"(?U)\b(?:вернулся назад|спустился вниз|поднялся вверх)\b"
+    collocation: str = r"(?U)\b(?:играть значение|иметь роль)\b"
+    intensifiers: tuple[str, ...] = ("полностью", "совершенно", "абсолютно", "очень")
+    nominal: str = r"(?:ание|ение|ость|ство)$"
+    nominal_least: int = 3
+    epithets: tuple[str, ...] = ("огромн",)  # roots, against the other roots of their group
+    group: tuple[str, ...] = ("огромн", "громадн", "гигантск", "исполинск")
+    monotony_least: int = 4
+    monotony_share: float = 0.8
+    other: str = r"(?U)\b(?:типа|как бы)\b"
+
+
+def style_scan(paragraphs: DataFrame, pack: StylePack = StylePack()) -> DataFrame:
+    """doc_id, para_no, kind, word, n of (doc_id, para_no, text).
+
+    REPETITION: a word twice or more in a paragraph.  ROOT_REPETITION: two different words with one root, shown as the first
+    two in order of the alphabet, n the number of such words.  REDUNDANCY: an intensifier twice.  NOMINALIZATION: many verbal nouns.
+    TAUTOLOGY, COLLOCATION, OTHER: patterns, n their matches.  MONOTONY (per document, at the first paragraph): one root makes up
+    most of a group of epithets.  Words are counted once per (document, paragraph), so the shuffle is by key and
+    combines before it.
+    """
+    low = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
+    words = F.regexp_extract_all("text", F.lit(f"[{pack.letters}]+"), F.lit(0))
+    per = low.select("doc_id", "para_no", F.explode(words).alias("word")).groupBy("doc_id", "para_no", "word").agg(F.count("*").alias("n"))
+    long_ = per.where((F.length("word") >= pack.length) & ~F.col("word").isin(list(pack.stop) or [""]))
+    out = lambda df, kind, word, n: df.select("doc_id", "para_no", F.lit(kind).alias("kind"), word.alias("word"), n.cast("long").alias("n"))
+    found = [out(long_.where("n >= 2"), "REPETITION", F.col("word"), F.col("n"))]
+    roots = long_.withColumn("root", F.left("word", F.lit(pack.root))).groupBy("doc_id", "para_no", "root").agg(F.sort_array(F.collect_list("word")).alias("ws"))
+    found.append(out(roots.where(F.size("ws") > 1), "ROOT_REPETITION", F.array_join(F.slice("ws", 1, 2), " … "), F.size("ws")))
+    found.append(out(per.where(F.col("word").isin(list(pack.intensifiers)) & (F.col("n") >= 2)), "REDUNDANCY", F.col("word"), F.col("n")))
+    nominal = per.where(F.col("word").rlike(pack.nominal)).groupBy("doc_id", "para_no").agg(F.sum("n").alias("n"), F.min("word").alias("word"))
+    found.append(out(nominal.where(F.col("n") >= pack.nominal_least), "NOMINALIZATION", F.col("word"), F.col("n")))
+    for kind, pattern in (("TAUTOLOGY", pack.tautology), ("COLLOCATION", pack.collocation), ("OTHER", pack.other)):
+        found.append(out(low.where(F.col("text").rlike(pattern)), kind, F.regexp_extract("text", pattern, 0), F.regexp_count("text", F.lit(pattern))))
+    of = F.lit(None).cast("string")
+    for root in pack.group:
+        of = F.coalesce(of, F.when(F.col("word").startswith(root), F.lit(root)))
+    uses = per.withColumn("root", of).where("root IS NOT NULL")
+    by_root = uses.groupBy("doc_id", "root").agg(F.sum("n").alias("n"), F.min("para_no").alias("para_no"))
+    total = F.sum("n").over(W.partitionBy("doc_id"))
+    dull = by_root.withColumn("total", total).where(F.col("root").isin(list(pack.epithets)) & (F.col("n") >= pack.monotony_least) & (F.col("n") >= pack.monotony_share * F.col("total")))
+    found.append(out(dull, "MONOTONY", F.col("root"), F.col("n")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@dataclass(frozen=True)
+class DriftPack:
+    """Marks of meaning: whole words in any case, and how a name looks."""
+
+    negation: str = "не|ни|нет|без|никогда|ничего|никто"
+    persons: dict[str, str] = field(default_factory=lambda: {"1s": "я|меня|мне|мной", "1p": "мы|нас|нам|нами", "2": "ты|тебя|тебе|вы|вас|вам|вами", "3": "он|она|они|его|её|их|им"})
+    name: str = r"[А-ЯЁ][а-яё]{3,}"
+
+
+def drift_kinds(old: DataFrame, new: DataFrame, keys: list[str], pack: DriftPack = DriftPack()) -> DataFrame:
+    """keys, kind, strength: every way in which two versions of a paragraph differ in meaning, else how they differ at all.
+
+    paragraph-lost, paragraph-added, paragraph-moved (the other version has it elsewhere in the document), numbers, negation,
+    persons and names are STRONG but for moves (INFO); rewording without any of them is WEAK, format alone INFO.
+    Moves are found by a join on (document, letters), so a paragraph is compared with its equals only.
+    """
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    names = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pack.name), F.lit(0))))
+    doc = keys[0]
+    a, b = (df.select(*keys, F.col("text").alias(n)) for df, n in ((old, "old"), (new, "new")))
+    d = a.join(b, keys, "full_outer").withColumn("lo", letters(F.col("old"))).withColumn("ln", letters(F.col("new")))
+    pool = lambda df, c: df.select(F.col(doc).alias("_doc"), letters(F.col("text")).alias(c)).where(F.col(c) != "").distinct().withColumn(f"has_{c}", F.lit(True))
+    d = d.join(pool(new, "in_new"), (F.col(doc) == F.col("_doc")) & (F.col("lo") == F.col("in_new")), "left").drop("_doc", "in_new")
+    d = d.join(pool(old, "in_old"), (F.col(doc) == F.col("_doc")) & (F.col("ln") == F.col("in_old")), "left").drop("_doc", "in_old")
+    o, n = F.col("old"), F.col("new")
+    both = o.isNotNull() & n.isNotNull() & (F.col("lo") != F.col("ln"))
+    person = F.lit(False)
+    for p in pack.persons.values():
+        person = person | (has_word(o, p) != has_word(n, p))
+    gone, came = o.isNotNull() & n.isNull(), o.isNull() & n.isNotNull()
+    strong = {
+        "paragraph-lost": gone & F.col("has_in_new").isNull(), "paragraph-added": came & F.col("has_in_old").isNull(),
+        "numbers": both & (F.array_sort(numbers(o)) != F.array_sort(numbers(n))), "negation": both & (has_word(o, pack.negation) != has_word(n, pack.negation)),
+        "persons": both & person, "names": both & (names(o) != names(n)),
+    }
+    moved = (gone & F.col("has_in_new").isNotNull()) | (came & F.col("has_in_old").isNotNull())
+    any_ = reduce(lambda x, y: x | y, (F.coalesce(c, F.lit(False)) for c in strong.values()))
+    kinds = [(k, "STRONG", c) for k, c in strong.items()] + [("paragraph-moved", "INFO", moved), ("wording", "WEAK", both & ~any_), ("format", "INFO", o.isNotNull() & n.isNotNull() & ~both & (o != n))]
+    listed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("strength"))) for k, s, c in kinds]))
+    return d.select(*keys, F.inline(listed))

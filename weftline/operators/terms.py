@@ -14,12 +14,6 @@ def inventory(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys, "form").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
-def block_positions(paragraphs: DataFrame, doc: str = "doc_id", block: str = "block_no") -> DataFrame:
-    """(doc, block, pos): the index of a block among the blocks that are there."""
-    own = paragraphs.select(doc, block).distinct()
-    return own.withColumn("pos", F.dense_rank().over(W.partitionBy(doc).orderBy(block)) - 1)
-
-
 def variant_candidates(paragraphs: DataFrame, variants: list[str], gap: int = 1) -> DataFrame:
     """(doc_id, variant_a, block_a, variant_b, block_b, n): pairs of different variants in near blocks.
 

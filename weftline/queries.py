@@ -63,9 +63,9 @@ HAS_WORD = r"regexp_matches({0}, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{1})(?:[^\p{{L}
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, block_no, en, ed_ru): each user turn with the assistant turn after it, null if none."""
-    after = W.partitionBy("conv_id").orderBy("turn").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, -1)
     d = table(spark, sf_dir, "conversations")
-    d = d.withColumn("ed_ru", F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(after))
+    d = d.withColumn("ed_ru", F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(later))
     return d.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_no"), F.col("text").alias("en"), "ed_ru")
 
 
@@ -82,9 +82,9 @@ TABLE_PACK = LanguagePack(
 _NEG, _WE, _YOU, _OWN = "no|not|never|nicht|ne|pas|sin", "is|est|ist|las", "for|pour|für|por", "was|und|que"
 
 
-@query(f"WITH {LINES} SELECT doc_id, para_no, length(text)::INT AS n_chars, left(text, 40) AS head FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, para_no, length(text)::INT AS n_chars, md5(text) AS digest FROM lines")
 def paragraph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_lines(spark, sf_dir).select("doc_id", "para_no", F.length("text").alias("n_chars"), F.left("text", F.lit(40)).alias("head"))
+    return doc_lines(spark, sf_dir).select("doc_id", "para_no", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(f"WITH s AS (SELECT lang, unnest({SENTENCES.format('text')}) AS s FROM documents) SELECT lang, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_chars, max(length(s))::INT AS longest FROM s GROUP BY lang")
@@ -183,14 +183,14 @@ _FIRST = {"digit": r"[0-9]", "capitals": r"[A-Z]{4,}", "exclaimed": r"!$"}
 
 
 @query(" UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS kind, regexp_extract(s, '{p}') AS word, left(s, 80) AS sentence FROM (SELECT doc_id, list_filter({SENTENCES.format('text')}, lambda x: regexp_matches(x, '{p}'))[1] AS s FROM documents) WHERE s IS NOT NULL"
+    f"SELECT doc_id, '{k}' AS kind, regexp_extract(s, '{p}') AS word, s AS sentence FROM (SELECT doc_id, list_filter({SENTENCES.format('text')}, lambda x: regexp_matches(x, '{p}'))[1] AS s FROM documents) WHERE s IS NOT NULL"
     for k, p in _FIRST.items()
 ))
 def first_match_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("ss"))
     found = [_first_struct(k, p) for k, p in _FIRST.items()]
     d = d.select("doc_id", F.inline(F.array(*found))).where("sentence IS NOT NULL")
-    return d.select("doc_id", "kind", "word", F.left("sentence", F.lit(80)).alias("sentence"))
+    return d.select("doc_id", "kind", "word", "sentence")
 
 
 def _first_struct(kind: str, pattern: str) -> Column:
@@ -205,10 +205,10 @@ _TITLES = ("from", "para", "avec", "nicht")
 m AS (SELECT doc_id, {SENTENCES.format('text')} AS ss,
   unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({'|'.join(_TITLES)})\\s+(\\p{{L}}+)', 1)) AS p, unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({'|'.join(_TITLES)})\\s+(\\p{{L}}+)', 2)) AS name,
   generate_subscripts(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({'|'.join(_TITLES)})\\s+(\\p{{L}}+)', 1), 1) - 1 AS cand_no FROM d)
-SELECT doc_id, cand_no::INT AS cand_no, lower(p) AS prefix, name, left(s, 60) AS sentence FROM (SELECT *, list_filter(ss, lambda x: contains(lower(x), lower(p)) AND contains(x, name))[1] AS s FROM m) WHERE s IS NOT NULL""")
+SELECT doc_id, cand_no::INT AS cand_no, lower(p) AS prefix, name, s AS sentence FROM (SELECT *, list_filter(ss, lambda x: contains(lower(x), lower(p)) AND contains(x, name))[1] AS s FROM m) WHERE s IS NOT NULL""")
 def address_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("block_no"), F.lit("").alias("en"), F.col("text").alias("ed_ru"))
-    return address_scan(view, titles=_TITLES, name=r"\p{L}+").select("doc_id", "cand_no", "prefix", "name", F.left("target", F.lit(60)).alias("sentence"))
+    return address_scan(view, titles=_TITLES, name=r"\p{L}+").select("doc_id", "cand_no", "prefix", "name", F.col("target").alias("sentence"))
 
 
 @query(f"""WITH {LINES},
@@ -251,14 +251,15 @@ def variant_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES},
-x AS (SELECT doc_id, para_no, text, strpos(lower(text), 'tionble') - 1 AS start FROM lines WHERE contains(lower(text), 'tionble')),
+g AS (SELECT doc_id, para_no, text, string_split(lower(text), 'tionble') AS gaps FROM lines WHERE contains(lower(text), 'tionble')),
+x0 AS (SELECT doc_id, para_no, text, gaps, unnest(range(1, len(gaps))) AS i FROM g),
+x AS (SELECT doc_id, para_no, text, (list_sum(list_transform(gaps[1:i], lambda z: length(z))) + 7 * (i - 1))::INT AS start FROM x0),
 r AS (SELECT source, doc_id, para_no, text, start, row_number() OVER (PARTITION BY source ORDER BY doc_id, para_no, start) AS rank FROM x JOIN documents USING (doc_id))
 """.replace("JOIN documents USING (doc_id)", "JOIN (SELECT doc_id, source FROM documents) USING (doc_id)") + """
 SELECT source, rank::INT AS rank, doc_id, para_no, start::INT AS start, substring(text, greatest(start - 20, 0) + 1, start + 7 + 40 - greatest(start - 20, 0)) AS context FROM r WHERE rank <= 2""")
 def kwic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two lines of each source with a keyword, in context."""
+    """The first two places of each source with a keyword, in context."""
     hits = terms.keyword_contexts(doc_lines(spark, sf_dir, "source"), "tionble", keep=("source",))
-    hits = findings.first_of(hits, ["doc_id", "para_no"], ["start"])
     return terms.top_k(hits, ["source"], ["doc_id", "para_no", "start"], 2).select("source", "rank", "doc_id", "para_no", "start", "context")
 
 
@@ -286,22 +287,11 @@ def pair_blocks_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.side_notes(pairs, "doc_id", "block_no")
 
 
-@query(f"""WITH {LINES},
-p AS (SELECT doc_id, para_no, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY doc_id) AS total FROM lines),
-b AS (SELECT item_id AS block_no, sum(length(text)) OVER (ORDER BY item_id) AS acc, sum(length(text)) OVER () AS whole FROM benchmark WHERE item_id < 6)
-SELECT doc_id, para_no, coalesce(min(block_no) FILTER (before * whole < total * acc), 5)::BIGINT AS block_no FROM p, b GROUP BY doc_id, para_no""")
-def proportional_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of each document dealt to six blocks in proportion to the sizes of benchmark items 0 to 5."""
-    paras = doc_lines(spark, sf_dir).withColumn("size", F.length("text").cast("long"))
-    items = table(spark, sf_dir, "benchmark").where("item_id < 6").select(F.col("item_id").alias("block_no"), F.length("text").cast("long").alias("size"))
-    return align.band_join(paras, paras.select("doc_id").distinct().crossJoin(F.broadcast(items)))
-
-
 @query(f"""WITH {LINES},
 p AS (SELECT doc_id, para_no, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY doc_id) AS total FROM lines),
 b AS (SELECT item_id AS block_no, sum(length(text)) OVER (ORDER BY item_id) AS acc, sum(length(text)) OVER () AS whole FROM benchmark)
 SELECT doc_id, para_no, coalesce(min(block_no) FILTER (before * whole < total * acc), max(block_no))::BIGINT AS block_no FROM p, b GROUP BY doc_id, para_no""")
-def proportional_band_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proportional_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document dealt to all benchmark items in proportion to their sizes."""
     paras = doc_lines(spark, sf_dir).withColumn("size", F.length("text").cast("long"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("block_no"), F.length("text").cast("long").alias("size"))
@@ -352,7 +342,8 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EVIDENCE_SQL = """p AS (SELECT user_id, event_id, 'FALSE_POSITIVE' AS status, 'prior' AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1),
 c AS (SELECT user_id, event_id, CASE WHEN value > 50 AND event_type = 'purchase' THEN 'CONFIRMED_ERROR' ELSE 'DISPUTED' END AS status, 'new' AS part FROM events),
-u AS (SELECT * FROM p UNION ALL SELECT * FROM c),
+k AS (SELECT user_id, event_id, 'FALSE_POSITIVE' AS status, 'precheck' AS part FROM events WHERE event_type = 'error'),
+u AS (SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM k),
 d AS (SELECT *, CASE WHEN status = 'FALSE_POSITIVE' THEN 'PRESERVED' ELSE 'REPORT_ONLY' END AS action, CASE WHEN status = 'CONFIRMED_ERROR' THEN 'MEANING_SHIFT' ELSE 'COMPONENT_LOSS' END AS fidelity FROM u)"""
 
 
@@ -361,7 +352,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = findings.first_of(events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.lit("FALSE_POSITIVE").alias("status"), F.lit("prior").alias("part"))
     severity = F.when(F.col("value") > 50, "ERROR").otherwise("WARNING")
     new = events.select("user_id", "event_id", findings.status_of(severity, F.when(F.col("event_type") == "purchase", "HIGH").otherwise("LOW")).alias("status"), F.lit("new").alias("part"))
-    both = findings.carried(prior, new, new.limit(0))
+    precheck = events.where("event_type = 'error'").select("user_id", "event_id", F.lit("FALSE_POSITIVE").alias("status"), F.lit("precheck").alias("part"))
+    both = findings.carried(prior, new, precheck)
     return both.withColumn("action", findings.clamped(findings.action_of(F.col("status")))).withColumn("fidelity", findings.fidelity_of(F.col("status")))
 
 
@@ -656,3 +648,6 @@ def provenance_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new run id joins the sources that are there and lack it; a fix is reported, not applied."""
     d = spark.createDataFrame([("a", "FIXED", ["r1"], "r2"), ("b", "PRESERVED", ["r1"], "r1"), ("c", "REPORT_ONLY", [], "r2")], "id string, action string, sources array<string>, run string")
     return d.select("id", findings.clamped(F.col("action")).alias("action"), F.array_join(findings.with_source(F.col("sources"), F.col("run")), ",").alias("sources"))
+
+
+import weftline.scan_queries  # noqa: E402, F401  registers its queries

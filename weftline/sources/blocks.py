@@ -18,10 +18,14 @@ MARK = r"<!--\s*block:\s*(\d+)\s*-->"
 SECTION = r"(?m)^##\s*Блок\s+(\d+)\s*$"
 
 
-def chapters(spark: SparkSession, path: str, glob: str = "v*.md") -> DataFrame:
-    """(doc_id, text) of the files under ``path``; the id is the file's name without its suffix."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
-    return files.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("doc_id"), F.col("value").alias("text"))
+def chapters(spark: SparkSession, path: str, glob: str = "v*.md", folder: str | None = None) -> DataFrame:
+    """(doc_id, text) of the files under ``path``; the id is the file's name without its suffix.
+
+    With ``folder`` each file is the only one of a folder <folder>=<id>, as Spark's writers leave them.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=folder is not None)
+    name = F.regexp_extract("_metadata.file_path", f"/{folder}=([^/]+)/", 1) if folder else F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
+    return files.select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -56,3 +56,36 @@ def publish(table: DataFrame, path: str, check: Column, message: str) -> None:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
+
+
+def pair_text(pairs: DataFrame, left: str = "JA", right: str = "OUTPUT", doc: str = "doc_id", block: str = "block_no") -> DataFrame:
+    """(doc, text): a file of aligned pairs (doc, block, left, right), each block between its marker and an end line."""
+    side = lambda label, c: F.concat_ws("\n", F.lit(f"===== {label} ====="), F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"(no text: {label})")).otherwise(F.col(c)))
+    section = F.concat_ws("\n\n", F.format_string("<!-- block: %d -->", block), side(left, "left"), side(right, "right"), F.format_string("===== END %d =====", block))
+    return pairs.groupBy(doc).agg(F.concat(F.array_join(_in_order(section, block), "\n\n"), F.lit("\n")).alias("text"))
+
+
+# The order of a volume's parts; chapters come by number after the preface.
+PARTS = ("preface", "chapter", "epilogue", "afterword", "other", "credits")
+
+
+def volume_text(chapters: DataFrame, rule: str = "\n\n---\n\n") -> DataFrame:
+    """(volume, n_parts, text) of (doc_id, text): a volume's preface, chapters by number, epilogue, afterword, other parts, credits.
+
+    ``doc_id`` is v<volume>-ch<number> or v<volume>-<part>; files without a volume are left out, and missing
+    parts too.
+    """
+    part = F.regexp_extract("doc_id", r"^v\d{1,3}-(.*)$", 1)
+    number = F.regexp_extract(part, r"^ch0*(\d+)", 1).try_cast("int")
+    name = F.when(number.isNotNull(), "chapter").when(part.isin(*[p for p in PARTS if p != "chapter"]), part).otherwise("other")
+    place = F.array_position(F.array(*[F.lit(p) for p in PARTS]), name)
+    d = chapters.select(F.regexp_extract("doc_id", r"^v(\d{1,3})-", 1).try_cast("int").alias("volume"), place.alias("place"), F.coalesce(number, F.lit(0)).alias("number"), "doc_id", "text").where("volume IS NOT NULL")
+    return d.groupBy("volume").agg(F.count("*").alias("n_parts"), F.array_join(_in_order(F.col("text"), "place", "number", "doc_id"), rule).alias("text"))
+
+
+def gate_text(checked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text): the gate's checks as a list and whether all hold."""
+    row = F.concat(F.when(F.col("ok"), "- [x] ").otherwise("- [ ] "), F.col("check"))
+    closed, total = F.count_if("ok"), F.count("*")
+    head = F.concat(closed.cast("string"), F.lit("/"), total.cast("string"), F.when(closed == total, " ready").otherwise(" not ready"))
+    return checked.groupBy(key).agg(F.concat(F.array_join(_in_order(row, "check_no"), "\n"), F.lit("\n\n"), head).alias("text"))
