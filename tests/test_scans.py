@@ -123,3 +123,26 @@ def test_renderers(spark, tmp_path):
     assert "(no text: OUTPUT)" in sinks.pair_text(pairs).first().text
     sinks.write_json(parts.where("doc_id = 'loose'"), f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").first().asDict() == {"doc_id": "loose", "text": "x"}
+
+
+def test_edits_hold_and_list_limits(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions.edits import edits_hold
+    from weftline.functions.text import first_of_list, has_dialogue, required_run_id
+    from weftline.operators.align import not_frozen
+    from weftline.sources.runs import replacement_plan
+
+    plan = F.array(*[F.struct(F.lit(o).alias("old"), F.lit(n).alias("new")) for o, n in (("cat", "cats"), ("dog", ""))])
+    d = spark.createDataFrame([("two cats",), ("a cat",), ("cats dog",)], "t string")
+    assert [r[0] for r in d.select(edits_hold(F.col("t"), plan)).collect()] == [True, False, False]
+    assert spark.range(1).select(first_of_list(F.array(*map(F.lit, "abcdefghijkl")))).first()[0] == "a, b, c, d, e, f, g, h, i, j (+2)"
+    assert [r[0] for r in spark.createDataFrame([("「a」",), ("a",), (None,)], "t string").select(has_dialogue(F.col("t"))).collect()] == [True, False, False]
+    run = spark.createDataFrame([("run 20260101-010203-ab12 x",), ("none",)], "t string").select(required_run_id(F.col("t")).alias("r"))
+    assert run.limit(1).first().r == "20260101-010203-ab12"
+    with pytest.raises(Exception, match="no run id in: none"):
+        run.collect()
+    with pytest.raises(Exception, match="item 2"):
+        replacement_plan(spark.createDataFrame([('[["a", "b"], ["", "c"]]',)], "json string")).collect()
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "v int")
+    assert sorted(str(r.v) for r in not_frozen(rows, spark.createDataFrame([(2,)], "volume int"), "v", "volume").collect()) == ["1", "None"]

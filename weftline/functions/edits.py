@@ -51,3 +51,11 @@ def names_replaced(c: Column, forms: dict[str, str], letters: str = r"\p{L}") ->
     count = lambda x: F.when(x.rlike(new), F.lit(0)).otherwise(F.regexp_count(x, F.lit(pattern)))
     lines = F.split(c, "\n", -1)
     return F.struct(F.array_join(F.transform(lines, line), "\n").alias("text"), F.aggregate(F.transform(lines, count), F.lit(0), lambda a, x: a + x).alias("n"))
+
+
+def edits_hold(c: Column, plan: Column) -> Column:
+    """Whether a text shows that array<struct<old, new, ..>> was applied: no old text is left, but for those inside a new one,
+    and every new text that is not empty is there.
+    """
+    gone = lambda p: (occurrences(c, p["old"]) == 0) | F.exists(plan, lambda q: F.contains(q["new"], p["old"]))
+    return F.forall(plan, lambda p: gone(p) & ((p["new"] == "") | F.contains(c, p["new"])))

@@ -81,6 +81,22 @@ def run_id(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\b(\d{8}-\d{6}-[0-9a-f]{4})\b", 1), F.lit(""))
 
 
+def required_run_id(c: Column) -> Column:
+    """``run_id``, an error where there is none."""
+    return F.coalesce(run_id(c), F.raise_error(F.concat(F.lit("no run id in: "), F.left(F.coalesce(c, F.lit("")), F.lit(80)))).cast("string"))
+
+
+def has_dialogue(c: Column, marks: str = "「」『』") -> Column:
+    """Whether a text has one of the marks of speech (characters)."""
+    return F.coalesce(c.rlike("[" + "".join(escaped(m) for m in marks) + "]"), F.lit(False))
+
+
+def first_of_list(items: Column, most: int = 10) -> Column:
+    """A list for a report: its first items, and how many more there are."""
+    more = F.size(items) - most
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(more > 0, F.format_string(" (+%d)", more)).otherwise(""))
+
+
 def replaced_all(c: Column, pairs: dict[str, str]) -> Column:
     """Literal replacements one after another."""
     for old, new in pairs.items():

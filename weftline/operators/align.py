@@ -35,6 +35,11 @@ def missing_blocks(wanted: DataFrame, present: DataFrame, keys: list[str]) -> Da
     return wanted.select(*keys).join(present.select(*keys), keys, "left_anti")
 
 
+def not_frozen(rows: DataFrame, registry: DataFrame, key: str, frozen: str | None = None) -> DataFrame:
+    """Rows whose key the registry (column ``frozen``, or the key's name) lacks; a row without a key stays."""
+    return rows.join(registry.select(F.col(frozen or key).alias(key)).distinct(), key, "left_anti")
+
+
 def band_join(paras: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, para_no, block_no): paragraphs dealt to blocks in proportion to the blocks' sizes.
 

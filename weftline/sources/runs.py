@@ -34,16 +34,19 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
 def replacement_plan(plans: DataFrame) -> DataFrame:
     """(.., plan): parse column ``json`` as [[old, new], ..], [{old, new, count, allow_empty}, ..] or {replacements: ..}.
 
-    An empty old text, or an empty new text without allow_empty, is an error.
+    An empty old text, or an empty new text without allow_empty, is an error that names the first such item (from 1);
+    so is a text of another layout.
     """
     body = F.coalesce(F.get_json_object("json", "$.replacements"), F.col("json"))
     pairs = F.transform(F.from_json(body, "array<array<string>>"), lambda p: F.struct(p[0].alias("old"), F.get(p, F.lit(1)).alias("new"), F.lit(None).cast("int").alias("count"), F.lit(False).alias("allow_empty")))
     named = F.from_json(body, f"array<{STEP}>")
     is_pairs = body.rlike(r"^\s*\[\s*\[")
     plan = F.when(is_pairs, pairs.cast(f"array<{STEP}>")).otherwise(named)
-    bad = F.exists("plan", lambda p: F.coalesce(p["old"], F.lit("")).eqNullSafe("") | (F.coalesce(p["new"], F.lit("")).eqNullSafe("") & ~F.coalesce(p["allow_empty"], F.lit(False))))
+    wrong = lambda p: F.coalesce(p["old"], F.lit("")).eqNullSafe("") | (F.coalesce(p["new"], F.lit("")).eqNullSafe("") & ~F.coalesce(p["allow_empty"], F.lit(False)))
+    at = F.array_position(F.transform("plan", wrong), True)
+    said = F.when(F.col("plan").isNull(), F.lit("invalid replacement plan: unknown layout")).otherwise(F.format_string("invalid replacement plan: item %d", at))
     d = plans.withColumn("plan", plan)
-    return d.withColumn("plan", F.when(F.col("plan").isNull() | bad, F.raise_error(F.lit("invalid replacement plan")).cast(f"array<{STEP}>")).otherwise(F.col("plan")))
+    return d.withColumn("plan", F.when(F.col("plan").isNull() | (at > 0), F.raise_error(said).cast(f"array<{STEP}>")).otherwise(F.col("plan")))
 
 
 def artifacts(spark: SparkSession, path: str) -> DataFrame:
