@@ -79,3 +79,17 @@ def test_run_is_the_stages_and_repeats(spark, corpus):
     path, _, _ = corpus
     once = sorted((r.doc_id, r.taken) for r in cp.run(spark, path).collect())
     assert once and once == sorted((r.doc_id, r.taken) for r in cp.run(spark, path).collect())
+
+
+def test_empty_tables_and_more_columns(spark, tmp_path):
+    """Every stage gives an empty table for one, and keeps columns named like those it uses inside."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _d int, _k int, _n int, hits string, _key string, _turn int"
+    docs = spark.createDataFrame([(i, f"some text of {i} {'abcdefgh'[i]} words", "en", "s", 20, 1, 2, 3, "h", "k", 4) for i in range(8)], kinds)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and {r.hits for r in out.collect()} == {"h"}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0

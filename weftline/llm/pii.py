@@ -282,7 +282,9 @@ def train(found: DataFrame, train_spans: int) -> tuple[LabelModel, SpanClassifie
     order = np.argsort(codes)
     model = expectation_maximisation(codes[order], counts[order])
     each = found.select("doc_id", F.posexplode(F.arrays_zip("codes", "cells")).alias("at", "c")).select(F.xxhash64(F.lit(1), "doc_id", "at", "c.cells").alias("ord"), "c.*")
-    drawn = each.orderBy("ord", "codes", "cells").limit(train_spans).collect()
+    # A share of about twice the sample first: each task then hands over few rows, however many there are.
+    share = int(min(1.0, 2 * train_spans / counts.sum()) * (1 << 30)) + 1
+    drawn = each.where(F.pmod("ord", F.lit(1 << 30)) < share).orderBy("ord", "codes", "cells").limit(train_spans).collect()
     drawn = sorted((r["ord"], r["codes"], bytes(r["cells"])) for r in drawn)
     codes = np.array([r[1] for r in drawn])
     kind, vote, _ = decode(codes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm._common import table
 
@@ -69,6 +70,46 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+# Parts of the queries above that SQL can express, through the same operators.
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest of the base rules of op1."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest of the base rules of op2."""
+    return op2_credentials(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def exact_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 finds at distance 0."""
+    return op4_decontaminate(spark, sf_dir).where("distance = 0").select("doc_id", "item_id")
+
+
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base score of op7, rounded."""
+    return op7_kneser_ney(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def toxicity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds of op8."""
+    return op8_toxicity(spark, sf_dir).select("doc_id", "held_out")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op10, rounded, and whether a document keeps its limit."""
+    d = op10_mixing(spark, sf_dir)
+    return d.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
+def mixing_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source's words of op10 meet its target within one word."""
+    d = op10_mixing(spark, sf_dir).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    return d.select("source", (F.abs(F.col("taken") - F.col("target")) <= 1).alias("met"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_credentials": op2_credentials,
@@ -80,6 +121,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "pii_base_spans": pii_base_spans,
+    "secret_base_spans": secret_base_spans,
+    "exact_leaks": exact_leaks,
+    "language_model_base": language_model_base,
+    "toxicity_folds": toxicity_folds,
+    "mixing_targets": mixing_targets,
+    "mixing_sums": mixing_sums,
 }
 
 #: Lines, words and windows are compared themselves here, not their hashes.
@@ -141,4 +189,74 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM w LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op3_suffix_dedup": OP3_SQL, "op5_repeated_windows": OP5_SQL, "op6_line_rules": OP6_SQL}
+def _spans_sql(kinds: dict[str, tuple[str, str]], order: str) -> str:
+    """Counts by kind and the digest of base spans; a kind has a pattern and a check of a match m, places come from the gaps."""
+    found = " UNION ALL ".join(
+        f"SELECT r, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM d" for i, (k, (p, _)) in enumerate(kinds.items())
+    )
+    ok = " ".join(f"WHEN '{k}' THEN {c}" for k, (_, c) in kinds.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in kinds)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT * FROM ({found}) WHERE len(hits) > 0), u AS (SELECT r, kind, rank, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM h),
+s AS (SELECT r, kind, rank, hits[i] AS m, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a FROM u),
+t AS (SELECT r, kind, rank, a::BIGINT AS a, (a + length(m))::BIGINT AS e FROM s WHERE CASE kind {ok} END),
+g AS (SELECT r, {counts}, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY {order}) AS listed FROM t GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in kinds)}, sha256(coalesce(listed, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN reverse({_DIGITS})[i + 1]::INT ELSE (2 * reverse({_DIGITS})[i + 1]::INT) // 10 + (2 * reverse({_DIGITS})[i + 1]::INT) % 10 END)) % 10 = 0"
+PII_SQL = _spans_sql({
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(x AS INT), 999) END)) <= 255"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+}, "rank, a")
+_ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?"
+SECRET_SQL = _spans_sql({
+    "assign": (_ASSIGN + r"[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(m, '^{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 8"),
+    "access": (r"AKIA[A-Z0-9]+", "length(m) >= 16"), "hex": (r"[0-9a-f]+", "length(m) >= 32"),
+}, "a, rank")
+
+_FOLD = "regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]', ' ', 'g')"
+LEAKS_SQL = f"""WITH b AS (SELECT item_id, {_FOLD.format('text')} AS t FROM benchmark WHERE length(text) > 0), d AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)
+SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t)"""
+
+#: CRC-32 of an id's digits: a table made by its rule, then one look-up a digit.
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i::BIGINT) AS v FROM range(256) r(i))),
+ids AS (SELECT DISTINCT doc_id, string_split(coalesce(doc_id::VARCHAR, ''), '') AS cs FROM documents),
+fold AS (SELECT doc_id, xor(list_reduce(list_transform(cs, lambda x: ascii(x)::BIGINT), lambda c, b: xor(tab[(xor(c, b) % 256) + 1], c // 256), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM ids, crc)"""
+FOLDS_SQL = f"WITH {_CRC} SELECT d.doc_id, crc % 3 = 1 AS held_out FROM documents d JOIN fold f ON d.doc_id IS NOT DISTINCT FROM f.doc_id"
+MODEL_SQL = rf"""WITH {_CRC},
+d AS (SELECT row_number() OVER () AS r, d.doc_id, crc % 7 = 2 AS held, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents d JOIN fold f ON d.doc_id IS NOT DISTINCT FROM f.doc_id),
+t AS (SELECT r, held, unnest(list_append(ws, ' ')) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w), n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1) / (n.n + (n.v + 1))::DOUBLE)) AS base FROM t LEFT JOIN c USING (w), n GROUP BY r)
+SELECT doc_id, held AS held_out, n_tokens, n_known, n.n AS train_tokens, round(base, 4) AS base_score FROM d JOIN s USING (r), n"""
+
+_TARGETS = r"""d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source), s1 AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM s0),
+s2 AS (SELECT *, 3 * source_size / w AS f, row_number() OVER (ORDER BY 3 * source_size / w, source) AS k FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s AS (SELECT source, source_size, CASE WHEN f < level THEN 3 * source_size ELSE w * (SELECT arg_min(level, k) FROM s3 WHERE f >= level) END AS target FROM s3)"""
+TARGETS_SQL = f"WITH {_TARGETS} SELECT doc_id, size, source_size, round(target, 3) AS target, true AS within FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source"
+SUMS_SQL = "SELECT source, true AS met FROM documents GROUP BY source"
+
+#: Bags of five-word windows, all pairs that share one, and classes by spreading the smallest row number.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS MATERIALIZED (SELECT min(r) AS c, count(*) AS n, min(doc_id) AS first, ws FROM d GROUP BY ws),
+g AS (SELECT c, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS p FROM k),
+b AS MATERIALIZED (SELECT c, list_aggregate(ws[p:p + 4], 'string_agg', ' ') AS s, count(*) AS m FROM g GROUP BY ALL), z AS MATERIALIZED (SELECT c, sum(m) AS z FROM b GROUP BY c),
+o AS (SELECT x.c AS a, y.c AS b, sum(least(x.m, y.m)) AS common FROM b x JOIN b y ON x.s = y.s AND x.c < y.c GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN z za ON za.c = a JOIN z zb ON zb.c = b WHERE common >= 0.8 * (za.z + zb.z - common)),
+both_ AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(c, root) AS (SELECT c, c FROM k UNION SELECT x.b, reach.root FROM reach JOIN both_ x ON x.a = reach.c WHERE x.b > reach.root),
+comp AS (SELECT c, min(root) AS root FROM reach GROUP BY c), cls AS (SELECT root, min(first) AS class_id, sum(n)::BIGINT AS class_size FROM comp JOIN k USING (c) GROUP BY root)
+SELECT d.doc_id, class_id, class_size FROM d JOIN k ON k.ws = d.ws JOIN comp USING (c) JOIN cls USING (root)
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_suffix_dedup": OP3_SQL, "op5_repeated_windows": OP5_SQL, "op6_line_rules": OP6_SQL, "op9_near_duplicates": NEAR_SQL, "pii_base_spans": PII_SQL, "secret_base_spans": SECRET_SQL,
+    "exact_leaks": LEAKS_SQL, "language_model_base": MODEL_SQL, "toxicity_folds": FOLDS_SQL, "mixing_targets": TARGETS_SQL, "mixing_sums": SUMS_SQL,
+}
