@@ -138,10 +138,10 @@ def test_edits_hold_and_list_limits(spark):
     assert [r[0] for r in d.select(edits_hold(F.col("t"), plan)).collect()] == [True, False, False]
     assert spark.range(1).select(first_of_list(F.array(*map(F.lit, "abcdefghijkl")))).first()[0] == "a, b, c, d, e, f, g, h, i, j (+2)"
     assert [r[0] for r in spark.createDataFrame([("「a」",), ("a",), (None,)], "t string").select(has_dialogue(F.col("t"))).collect()] == [True, False, False]
-    run = spark.createDataFrame([("run 20260101-010203-ab12 x",), ("none",)], "t string").select(required_run_id(F.col("t")).alias("r"))
-    assert run.limit(1).first().r == "20260101-010203-ab12"
+    run = lambda t: spark.createDataFrame([(t,)], "t string").select(required_run_id(F.col("t")).alias("r")).collect()
+    assert run("run 20260101-010203-ab12 x")[0].r == "20260101-010203-ab12"
     with pytest.raises(Exception, match="no run id in: none"):
-        run.collect()
+        run("none")
     with pytest.raises(Exception, match="item 2"):
         replacement_plan(spark.createDataFrame([('[["a", "b"], ["", "c"]]',)], "json string")).collect()
     rows = spark.createDataFrame([(1,), (2,), (None,)], "v int")
