@@ -104,6 +104,19 @@ def replaced_all(c: Column, pairs: dict[str, str]) -> Column:
     return c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside it the value is a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs(items: Column) -> Column:
+    """array<struct<value, at, n>>: the runs of equal neighbours of an array, where each begins (from 0) and how long it is."""
+    heads = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x.alias("value"), i.alias("at"))), lambda e: (e["at"] == 0) | (F.get(s, e["at"] - 1) != e["value"]))
+    size = lambda x, e, j: F.coalesce(F.get(x["h"], j + 1)["at"], F.size(x["s"])) - e["at"]
+    sized = lambda x: F.transform(x["h"], lambda e, j: F.struct(e["value"].alias("value"), e["at"].alias("at"), size(x, e, j).alias("n")))
+    return let(items, lambda s: let(F.struct(s.alias("s"), heads(s).alias("h")), sized))
+
+
 def matches(c: Column, pattern: str) -> Column:
     """array<MATCH>: all matches of a regex with their code point ranges, from the pieces between them."""
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))

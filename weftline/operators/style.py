@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import numbers
-from weftline.functions.text import has_word, missing
+from weftline.functions.text import has_word, missing, runs
 
 
 def repetition(paragraphs: DataFrame, near: int = 2, least: int = 3, length: int = 5, letters: str = r"\p{L}") -> DataFrame:
@@ -76,31 +76,37 @@ def style_scan(paragraphs: DataFrame, pack: StylePack = StylePack()) -> DataFram
     REPETITION: a word twice or more in a paragraph.  ROOT_REPETITION: two different words with one root, shown as the first
     two in order of the alphabet, n the number of such words.  REDUNDANCY: an intensifier twice.  NOMINALIZATION: many verbal nouns.
     TAUTOLOGY, COLLOCATION, OTHER: patterns, n their matches.  MONOTONY (per document, at the first paragraph): one root makes up
-    most of a group of epithets.  Words are counted once per (document, paragraph), so the shuffle is by key and
-    combines before it.
+    most of a group of epithets.  All but the last are one narrow pass: a paragraph's words are sorted inside its row, and
+    equal words and equal roots are runs.  Only epithets are shuffled, by document and root.
     """
-    low = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
-    words = F.regexp_extract_all("text", F.lit(f"[{pack.letters}]+"), F.lit(0))
-    per = low.select("doc_id", "para_no", F.explode(words).alias("word")).groupBy("doc_id", "para_no", "word").agg(F.count("*").alias("n"))
-    long_ = per.where((F.length("word") >= pack.length) & ~F.col("word").isin(list(pack.stop) or [""]))
-    out = lambda df, kind, word, n: df.select("doc_id", "para_no", F.lit(kind).alias("kind"), word.alias("word"), n.cast("long").alias("n"))
-    found = [out(long_.where("n >= 2"), "REPETITION", F.col("word"), F.col("n"))]
-    roots = long_.withColumn("root", F.left("word", F.lit(pack.root))).groupBy("doc_id", "para_no", "root").agg(F.sort_array(F.collect_list("word")).alias("ws"))
-    found.append(out(roots.where(F.size("ws") > 1), "ROOT_REPETITION", F.array_join(F.slice("ws", 1, 2), " … "), F.size("ws")))
-    found.append(out(per.where(F.col("word").isin(list(pack.intensifiers)) & (F.col("n") >= 2)), "REDUNDANCY", F.col("word"), F.col("n")))
-    nominal = per.where(F.col("word").rlike(pack.nominal)).groupBy("doc_id", "para_no").agg(F.sum("n").alias("n"), F.min("word").alias("word"))
-    found.append(out(nominal.where(F.col("n") >= pack.nominal_least), "NOMINALIZATION", F.col("word"), F.col("n")))
+    words = F.array_sort(F.regexp_extract_all("text", F.lit(f"[{pack.letters}]+"), F.lit(0)))
+    d = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text")).select("*", runs(words).alias("ws"))
+    long_ = F.filter("ws", lambda e: (F.length(e["value"]) >= pack.length) & ~e["value"].isin(list(pack.stop) or [""]))
+    d = d.select("*", long_.alias("long")).select("*", runs(F.transform("long", lambda e: F.left(e["value"], F.lit(pack.root)))).alias("roots"))
+    one = lambda kind, word, n: F.struct(F.lit(kind).alias("kind"), word.alias("word"), n.cast("long").alias("n"))
+    nominal = F.filter("ws", lambda e: e["value"].rlike(pack.nominal))
+    n_nominal = F.aggregate(nominal, F.lit(0), lambda a, e: a + e["n"])
+    roots = F.transform(F.filter("roots", lambda r: r["n"] > 1), lambda r: one("ROOT_REPETITION", F.concat(F.get(F.col("long"), r["at"])["value"], F.lit(" … "), F.get(F.col("long"), r["at"] + 1)["value"]), r["n"]))
+    found = [
+        F.transform(F.filter("long", lambda e: e["n"] >= 2), lambda e: one("REPETITION", e["value"], e["n"])), roots,
+        F.transform(F.filter("ws", lambda e: e["value"].isin(list(pack.intensifiers)) & (e["n"] >= 2)), lambda e: one("REDUNDANCY", e["value"], e["n"])),
+        F.array_compact(F.array(F.when(n_nominal >= pack.nominal_least, one("NOMINALIZATION", F.get(nominal, F.lit(0))["value"], n_nominal)))),
+    ]
     for kind, pattern in (("TAUTOLOGY", pack.tautology), ("COLLOCATION", pack.collocation), ("OTHER", pack.other)):
-        found.append(out(low.where(F.col("text").rlike(pattern)), kind, F.regexp_extract("text", pattern, 0), F.regexp_count("text", F.lit(pattern))))
-    of = F.lit(None).cast("string")
-    for root in pack.group:
-        of = F.coalesce(of, F.when(F.col("word").startswith(root), F.lit(root)))
-    uses = per.withColumn("root", of).where("root IS NOT NULL")
-    by_root = uses.groupBy("doc_id", "root").agg(F.sum("n").alias("n"), F.min("para_no").alias("para_no"))
+        found.append(F.array_compact(F.array(F.when(F.col("text").rlike(pattern), one(kind, F.regexp_extract("text", pattern, 0), F.regexp_count("text", F.lit(pattern)))))))
+    each = d.select("doc_id", "para_no", F.inline(F.concat(*found)))
+
+    def root_of(word):
+        of = F.lit(None).cast("string")
+        for root in pack.group:
+            of = F.coalesce(of, F.when(word.startswith(root), F.lit(root)))
+        return of
+
+    uses = F.filter(F.transform("ws", lambda e: F.struct(root_of(e["value"]).alias("root"), e["n"].alias("n"))), lambda e: e["root"].isNotNull())
+    by_root = d.select("doc_id", "para_no", F.inline(uses)).groupBy("doc_id", "root").agg(F.sum("n").alias("n"), F.min("para_no").alias("para_no"))
     total = F.sum("n").over(W.partitionBy("doc_id"))
     dull = by_root.withColumn("total", total).where(F.col("root").isin(list(pack.epithets)) & (F.col("n") >= pack.monotony_least) & (F.col("n") >= pack.monotony_share * F.col("total")))
-    found.append(out(dull, "MONOTONY", F.col("root"), F.col("n")))
-    return reduce(DataFrame.unionByName, found)
+    return each.unionByName(dull.select("doc_id", "para_no", F.lit("MONOTONY").alias("kind"), F.col("root").alias("word"), F.col("n").cast("long").alias("n")))
 
 
 @dataclass(frozen=True)
