@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from weftline.llm.line_rules import LineRules, apply_line_rules
+from weftline.llm.line_rules import LineRules, apply_line_rules, frequent_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,7 +45,10 @@ def test_equals_plain_rules(spark):
         rows.append((i, "\n".join(lines), rng.choice(["h1", "h1", "h2", None])))
     rows += [(None, None, "h1"), (5, "", None), (5, rows[5][1], "h1"), (6, "\x0b\t \x1c", "h2"), (7, ("w1 w2 w3 w4 w5 w6 " * 3000) + "end", "h2")]
     docs = spark.createDataFrame([(d, t, s, 1) for d, t, s in rows], "doc_id long, text string, source string, n_words int")
-    for rules in (LineRules(min_docs=5, max_ratio=0.05), LineRules(min_docs=5, max_ratio=0.05, broadcast_entries=0)):
+    found = [len(r.boiler) for r in frequent_lines(docs, "text", "source", LineRules(min_docs=5, max_ratio=0.05)).collect()]
+    assert len(found) > 1
+    few = {"min_docs": 5, "max_ratio": 0.05, "broadcast_entries": sum(found) - 1}  # all arrays do not fit, those of one host do
+    for rules in (LineRules(min_docs=5, max_ratio=0.05), LineRules(min_docs=5, max_ratio=0.05, broadcast_entries=0), LineRules(**few, hot_hosts=1), LineRules(**few, hot_hosts=9)):
         got = apply_line_rules(docs, rules=rules).collect()
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == brute(rows, rules)
     assert any(r.n_removed_lines for r in got) and any(not r.base_failed and not r.kept for r in got)

@@ -36,6 +36,7 @@ class LineRules:
     max_repeat_percent: int = 20
     window: int = 5
     broadcast_entries: int = 2_000_000
+    hot_hosts: int = 1_000
 
 
 def line_key(line: Column) -> Column:
@@ -48,13 +49,27 @@ def lines_with_words(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, text: str, host: str, rules: LineRules) -> DataFrame:
-    """(host, boiler): per host the hashes of lines in too many of its documents."""
+    """(host, docs, boiler): per host its documents and the hashes of lines in too many of them."""
     source = docs.select(F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keys = source.select("host", F.explode(F.array_distinct(F.transform(lines_with_words(F.col("text")), line_key))).alias("key"))
     counted = keys.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
     hosts = source.groupBy("host").agg(F.count("*").alias("docs"))
     over = counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(F.col("n") > F.col("docs") * rules.max_ratio)
-    return over.groupBy(counted["host"].alias("host")).agg(F.collect_list("key").alias("boiler"))
+    return over.groupBy(counted["host"].alias("host")).agg(F.first("docs").alias("docs"), F.collect_list("key").alias("boiler"))
+
+
+def with_boilerplate(d: DataFrame, boiler: DataFrame, rules: LineRules) -> DataFrame:
+    """``d`` with the array of its ``_host``, null where the host has none."""
+    entries = lambda df: df.agg(F.coalesce(F.sum(F.size("boiler")), F.lit(0))).first()[0]
+    same, side = F.col("_host").eqNullSafe(F.col("_bhost")), boiler.select(F.col("host").alias("_bhost"), "boiler")
+    if entries(boiler) <= rules.broadcast_entries:
+        return d.join(F.broadcast(side), same, "left")
+    names = staged(boiler.orderBy(F.desc("docs"), "host").limit(rules.hot_hosts).select(F.col("host").alias("_bhost")), "hot-hosts")
+    hot = side.join(F.broadcast(names.withColumnRenamed("_bhost", "_h")), F.col("_bhost").eqNullSafe(F.col("_h")), "left_semi")
+    if entries(hot) > rules.broadcast_entries:
+        return d.join(side, same, "left")
+    rest = d.join(F.broadcast(names), same, "left_anti").join(side, same, "left")
+    return d.join(F.broadcast(hot), same).unionByName(rest)
 
 
 def repeated_words(docs: DataFrame, width: int) -> DataFrame:
@@ -81,11 +96,8 @@ def repeated_words(docs: DataFrame, width: int) -> DataFrame:
 def apply_line_rules(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", rules: LineRules = LineRules()) -> DataFrame:
     """One row per input row: the id, base counts, n_removed_lines, n_left_words, base_failed, kept."""
     boiler = staged(frequent_lines(docs, text, host, rules), "boilerplate")
-    entries = boiler.agg(F.coalesce(F.sum(F.size("boiler")), F.lit(0))).first()[0]
-    boiler = boiler.select(F.col("host").alias("_bhost"), "boiler")
     d = docs.select(F.col(doc).alias("doc_id"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    side = F.broadcast(boiler) if entries <= rules.broadcast_entries else boiler
-    d = d.join(side, F.col("_host").eqNullSafe(F.col("_bhost")), "left")
+    d = with_boilerplate(d, boiler, rules)
     d = d.withColumn("_words", word_array(F.col("_text"))).withColumn("_lines", lines_with_words(F.col("_text")))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     d = d.withColumn("word_chars", F.length(F.regexp_replace("_text", f"[{BLANK}]+", "")).cast("long"))
