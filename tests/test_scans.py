@@ -11,16 +11,16 @@ from weftline.sources import sinks
 from weftline.sources.blocks import lines
 
 LAYOUT = [
-    ("lowercase", "он ушёл."), ("title", "— Проходите, ваше величество."), ("typo", "Он сказал точчно так."), ("namespell", "Дельф поднял меч."), ("attribution", "— Да, — Сказал он."),
-    ("vocative", "— Эй. эй Сайто!"), ("thoughtinline", "Он замер на месте _Неужели это она_"), ("quotespeech", "«Пойдём отсюда»."), ("thought", "«Может, и правда», подумал он."), ("paragraph", "Он встал. — Пора идти. — Куда же."),
+    ("lowercase", "он ушёл."), ("title", "— Проходите, ваше величество."), ("typo", "Он сказал свеччка так."), ("namespell", "Мельн поднял меч."), ("attribution", "— Да, — Сказал он."),
+    ("vocative", "— Эй. эй Орлов!"), ("thoughtinline", "Он замер на месте _Вот так встреча_"), ("quotespeech", "«Пойдём отсюда»."), ("thought", "«Пожалуй, пора», подумал он."), ("paragraph", "Он встал. — Пора идти. — Куда же."),
 ]
-CLEAN = ["Он ушёл.", "— Проходите, Ваше Величество.", "Дерф поднял меч.", "— Да, — сказал он.", "_Неужели это она_", "Книга _«Мари Галант»_ лежала.", "", "Она шла: _Пора_"]
+CLEAN = ["Он ушёл.", "— Проходите, Ваше Величество.", "Мирон поднял меч.", "— Да, — сказал он.", "_Вот так встреча_", "Книга _«Белая Чайка»_ лежала.", "", "Она шла: _Пора_"]
 
 
 @pytest.mark.parametrize("kind, line", LAYOUT)
 def test_layout_kinds(spark, kind, line):
     d = spark.createDataFrame([("a", 1, line)] + [("b", i, x) for i, x in enumerate(CLEAN)], "doc_id string, line_no int, line string")
-    found = layout_scan(d, LayoutPack(names={"Дельф": "Дерф"})).select("doc_id", "kind").collect()
+    found = layout_scan(d, LayoutPack(names={"Мельн": "Мирон"})).select("doc_id", "kind").collect()
     assert kind in {r.kind for r in found if r.doc_id == "a"} and not [r for r in found if r.doc_id == "b"], found
 
 
@@ -35,19 +35,19 @@ def test_layout_gaps_and_selection(spark):
 
 def test_style_kinds(spark):
     rows = [
-        (1, "Академия стояла там, где прежде академия была иной."), (2, "Чистая вода и чистота."), (3, "Он вернулся назад."), (4, "Это будет играть значение."), (5, "Полностью, да, полностью."),
+        (1, "Мельница стояла там, где прежде мельница была иной."), (2, "Чистая вода и чистота."), (3, "Он вернулся назад."), (4, "Это будет играть значение."), (5, "Полностью, да, полностью."),
         (6, "Создание, внимание и спасение."), (7, "огромный дом, огромная башня"), (8, "огромное небо огромные горы, гигантский вал"), (9, "типа того"), (10, "Ничего такого нет."),
     ]
     d = spark.createDataFrame([("a", n, t) for n, t in rows], "doc_id string, para_no int, text string")
     got = {(r.para_no, r.kind): (r.word, r.n) for r in style.style_scan(d).collect()}
-    assert got[1, "REPETITION"] == ("академия", 2) and got[2, "ROOT_REPETITION"] == ("чистая … чистота", 2) and got[3, "TAUTOLOGY"][1] == 1 and got[4, "COLLOCATION"][1] == 1
+    assert got[1, "REPETITION"] == ("мельница", 2) and got[2, "ROOT_REPETITION"] == ("чистая … чистота", 2) and got[3, "TAUTOLOGY"][1] == 1 and got[4, "COLLOCATION"][1] == 1
     assert got[5, "REDUNDANCY"] == ("полностью", 2) and got[6, "NOMINALIZATION"][1] == 3 and got[7, "MONOTONY"] == ("огромн", 4) and got[9, "OTHER"] == ("типа", 1)
     assert not [k for k in got if k[0] == 10] and style.style_scan(d.limit(0)).count() == 0
 
 
 def test_drift_kinds(spark):
-    old = [(1, "Ей было 5 лет."), (2, "Он пришёл."), (3, "Пойдём с вами."), (4, "Это Генриетта."), (5, "Совсем уйдёт."), (6, "Старое место."), (7, "Прежний оборот речи."), (8, "Мысль"), (9, "Равны.")]
-    new = [(1, "Ей было 6 лет."), (2, "Он не пришёл."), (3, "Пойдём с нами."), (4, "Это Луиза."), (20, "Старое место."), (7, "Другой оборот речи."), (8, "_Мысль_"), (9, "Равны."), (10, "Новое.")]
+    old = [(1, "Ей было 5 лет."), (2, "Он пришёл."), (3, "Пойдём с вами."), (4, "Это Марианна."), (5, "Совсем уйдёт."), (6, "Старое место."), (7, "Прежний оборот речи."), (8, "Мысль"), (9, "Равны.")]
+    new = [(1, "Ей было 6 лет."), (2, "Он не пришёл."), (3, "Пойдём с нами."), (4, "Это Светлана."), (20, "Старое место."), (7, "Другой оборот речи."), (8, "_Мысль_"), (9, "Равны."), (10, "Новое.")]
     a, b = (spark.createDataFrame([("d", n, t) for n, t in x], "doc_id string, para_no int, text string") for x in (old, new))
     got = {(r.para_no, r.kind, r.strength) for r in style.drift_kinds(a, b, ["doc_id", "para_no"]).collect()}
     assert {(1, "numbers", "STRONG"), (2, "negation", "STRONG"), (3, "persons", "STRONG"), (4, "names", "STRONG"), (5, "paragraph-lost", "STRONG"), (6, "paragraph-moved", "INFO"), (20, "paragraph-moved", "INFO"),
