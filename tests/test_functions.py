@@ -1,5 +1,8 @@
 """Scalar functions against small tables and plain Python."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from weftline.functions import edits, numbers, text
@@ -27,6 +30,21 @@ def test_text(spark):
     assert [[(m.start, m.end, m.hit) for m in ms] for ms in values(spark, text.matches(x, "[0-9]+"), ["é12 3", ""])] == [[(1, 3, "12"), (4, 5, "3")], []]
 
 
+def test_matches_of_any_number_equal_the_patterns(spark):
+    """Match ranges around the borders of the pieces they are summed in."""
+    rng = random.Random(3)
+    rows = [None, "", "no digit", "7"] + ["".join(rng.choice("é ") + "x" * rng.randrange(3) + str(rng.randrange(2000)) for _ in range(n)) for n in (31, 32, 33, 64, 65, 1023, 1024, 1025, 1090)]
+    got = values(spark, text.matches(F.col("x"), "[0-9]+"), rows)
+    assert got[0] is None
+    assert [[(m.start, m.end, m.hit) for m in ms] for ms in got[1:]] == [[(*m.span(), m[0]) for m in re.finditer("[0-9]+", r)] for r in rows[1:]]
+
+
+def test_many_matches_of_one_text(spark):
+    many = F.repeat(F.lit("ab 12 "), F.lit(100_000))
+    last = spark.range(1).select(text.matches(many, "[0-9]+").alias("m")).select(F.size("m").alias("n"), F.element_at("m", -1).alias("m")).first()
+    assert (last.n, last.m.start, last.m.end) == (100_000, 599_997, 599_999)
+
+
 def test_numbers(spark):
     x = F.col("x")
     assert [sorted(v) for v in values(spark, numbers.numbers(x), ["10,000 and 9 000, 007 and 7", "1 000 000", "4111 1111", "9" * 30])] == [
