@@ -113,3 +113,14 @@ def test_redaction_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefgh12 b" + "x" * 2500 + " token=abcdefgh12", "x", 1, 2, 3)], "doc_id long, text string, hits string, _d int, _k int, _n int")
     assert redacted(docs).collect() == [(1, "a [SECRET] b" + "x" * 2500 + " [SECRET]", "x", 1, 2, 3)]
     assert redacted(docs.limit(0)).collect() == [] and redacted(docs).columns == docs.columns
+
+
+def test_a_million_labels(spark):
+    """A repeated group is matched without a stack frame for each repetition."""
+    text = "host: " + "a." * 1_000_000 + "a pwd=abcd1"
+    docs = spark.createDataFrame([(1, text), (2, "host: a.b pwd=abcd1")], "doc_id long, text string")
+    got = {r.doc_id: r for r in digest(secret_spans(docs)).collect()}
+    assert got[1].spans == "weak_host:6:2000007,weak_key:2000012:2000017"
+    assert got[2].spans == "weak_host:6:9,weak_key:14:19"
+    clean = {r.doc_id: r.text for r in redacted(docs).collect()}
+    assert clean == {1: "host: [SECRET] pwd=[SECRET]", 2: "host: [SECRET] pwd=[SECRET]"}

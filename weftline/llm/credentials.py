@@ -4,7 +4,8 @@ Strong secrets (assignments, access ids, long hex) stand on their own.  Weak par
 values that alone mean nothing - are reported only when complementary parts co-occur in a scope: an
 interval join links each weak secret to access identifiers and endpoints of the same document.  Two parts
 share a scope when at most ``scope_chars`` lie between them, or at most ``block_chars`` inside one section of a
-configuration (from its [heading] to the next one or to a blank line).  A secret is reported with an
+configuration (from its [heading], a line of at most 80 characters in brackets,
+to the next one or to a blank line; a longer bracketed line is text).  A secret is reported with an
 identifier or an endpoint in scope; identifiers and endpoints are reported when a secret, strong or weak, links
 to them.
 
@@ -18,7 +19,7 @@ linear.
 Cases: a null text is empty and has no spans; documents with equal ids and equal texts each get
 their row (their parts coincide and are linked once); a null id is an id of its own; an empty table
 gives an empty result; columns other than id and text are ignored, and ``redacted`` keeps them whatever their
-names.
+names.  No pattern repeats a group that could be entered again, so a text of any length is matched in bounded stack.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Parts:
     })
     endpoint: dict[str, str] = field(default_factory=lambda: {
         "weak_url": r"((?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\x20\x09-\x0D\"'<>]{4,})",
-        "weak_host": r"(?<![A-Za-z_])(?i:host(?:name)?|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
+        "weak_host": r"(?<![A-Za-z_])(?i:host(?:name)?|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)",
     })
 
 
