@@ -9,7 +9,7 @@ import pytest
 from weftline.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 

@@ -70,6 +70,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.hard_negatives import hard_negatives, scaled_vectors
+
+    return hard_negatives(scaled_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weftline.llm.byte_bpe import decoded, digest, encoded, read_codec
+
+    codec = read_codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digest(decoded(encoded(table(spark, sf_dir, "documents"), codec), codec))
+
+
 # Parts of the queries above that SQL can express, through the same operators.
 
 
@@ -110,6 +131,11 @@ def mixing_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", (F.abs(F.col("taken") - F.col("target")) <= 1).alias("met"))
 
 
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what op13 decodes, which is that of the text."""
+    return op13_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_credentials": op2_credentials,
@@ -121,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_byte_bpe": op13_byte_bpe,
     "pii_base_spans": pii_base_spans,
     "secret_base_spans": secret_base_spans,
     "exact_leaks": exact_leaks,
@@ -128,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "toxicity_folds": toxicity_folds,
     "mixing_targets": mixing_targets,
     "mixing_sums": mixing_sums,
+    "byte_bpe_round_trip": byte_bpe_round_trip,
 }
 
 #: Lines, words and windows are compared themselves here, not their hashes.
@@ -256,7 +286,43 @@ comp AS (SELECT c, min(root) AS root FROM reach GROUP BY c), cls AS (SELECT root
 SELECT d.doc_id, class_id, class_size FROM d JOIN k ON k.ws = d.ws JOIN comp USING (c) JOIN cls USING (root)
 """
 
+#: Every pair of groups over every kept term, in wide integers.
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS of_lang FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(of_lang) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+x AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (g.total + 2 * v))::BIGINT AS p,
+      (1 + (1000000000::HUGEINT * (of_lang + 2)) // (v.total + 2 * v))::BIGINT AS q
+      FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+       FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM x WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+#: All rows against all anchors; products of whole numbers are exact in doubles of this size.
+NEGATIVES_SQL = r"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+pos AS (SELECT r, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id) AS k FROM s WHERE same QUALIFY k <= 5),
+neg AS (SELECT p.r, p.k, p.anchor_id, positive_id, positive_score, s.other_id AS negative_id, s.score AS negative_score,
+        (row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.other_id))::INT AS rank
+        FROM pos p JOIN s ON s.r = p.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+ROUND_TRIP_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
 ORACLE: dict[str, str] = {
     "op3_suffix_dedup": OP3_SQL, "op5_repeated_windows": OP5_SQL, "op6_line_rules": OP6_SQL, "op9_near_duplicates": NEAR_SQL, "pii_base_spans": PII_SQL, "secret_base_spans": SECRET_SQL,
     "exact_leaks": LEAKS_SQL, "language_model_base": MODEL_SQL, "toxicity_folds": FOLDS_SQL, "mixing_targets": TARGETS_SQL, "mixing_sums": SUMS_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL, "op12_hard_negatives": NEGATIVES_SQL, "byte_bpe_round_trip": ROUND_TRIP_SQL,
 }
