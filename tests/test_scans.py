@@ -1,11 +1,9 @@
 """Scanners of own design, analysis phases, alignment and renderers on rows whose right result is known."""
 
-import random
-
 import pytest
 
 from weftline.operators import evidence, regression, style
-from weftline.operators.dp_align import STEPS, AlignParams, align, dp_aligned, gain
+from weftline.operators.dp_align import dp_aligned
 from weftline.operators.layout import KINDS, LayoutPack, layout_scan
 from weftline.sources import sinks
 from weftline.sources.blocks import lines
@@ -55,31 +53,6 @@ def test_drift_kinds(spark):
     assert not [x for x in got if x[0] == 9] and {k for n, k, _ in got if n == 7} <= {"wording", "names"}
 
 
-def brute_align(left, right, params):
-    """The best total gain by trying every way."""
-    from functools import cache
-
-    ratio = sum(x for x, _ in right) / max(1, sum(x for x, _ in left))
-
-    @cache
-    def best(i, j):
-        if i == len(left) and j == len(right):
-            return 0.0
-        return max(gain(left[i : i + a], right[j : j + b], ratio, params) + best(i + a, j + b) for a, b in STEPS if i + a <= len(left) and j + b <= len(right))
-
-    return best(0, 0)
-
-
-def test_alignment_is_the_best_way_and_loses_nothing():
-    rng = random.Random(1)
-    for _ in range(60):
-        left, right = ([(rng.randint(1, 90), {rng.choice("abcdef")} if rng.random() < 0.5 else set()) for _ in range(rng.randint(0, 7))] for _ in range(2))
-        rows = align(left, right)
-        assert sum(r[4] for r in rows) == pytest.approx(brute_align(left, right, AlignParams()))
-        assert [i for a, b, *_ in rows for i in range(a, b)] == list(range(len(left))) and [j for _, _, a, b, _ in rows for j in range(a, b)] == list(range(len(right)))
-    assert len(align([(5, set())], [(1, set())] * 1000)) >= 999
-
-
 def test_alignment_of_chapters(spark):
     rows = [("a", "ja", n, 10 * n, [f"g{n}"]) for n in range(1, 6)] + [("a", "ru", 10 * n, 20 * n, [f"g{n}"]) for n in (1, 2, 4, 5)] + [("b", "ru", 1, 5, None)]
     d = spark.createDataFrame(rows, "doc_id string, lang string, para_no int, size int, anchors array<string>")
