@@ -12,7 +12,7 @@ that, in two parts that add up exactly:
 
 The terms in which a source exceeds its language are ranked by a window over its postings.
 
-Scale: tokens are counted where they are read (partial aggregation before the shuffle), so the shuffles carry distinct
+Scale: tokens are counted where they are read, in slices of texts, so the shuffles carry distinct
 (lang, source, term) rows.  The postings of a term in more than ``hot`` sources are dealt to several slots: a posting
 on the left goes to one slot, on the right to all, so no task holds more than ``hot`` left postings of a term against all its
 right ones.  The pairs of a language's sources are the result itself; they are dealt to slots in the same way.  No
@@ -23,20 +23,26 @@ Arithmetic is in whole numbers: counts and shares in 64 bits, the products of a
 
 Cases: null text, lang and source count as ''; a text without terms still makes its group occur; a language without
 kept terms has only pairs of value 0; repeated rows count each; equal values are ranked by the item's
-UTF-8 bytes; an empty table gives an empty result; other columns are ignored, whatever their names.  A text's terms are one
-array of its task, so a very long text needs memory in proportion to its length.
+UTF-8 bytes; an empty table gives an empty result; other columns are ignored, whatever their names.  A very long text
+is a slice of its own and needs memory in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm._common import partitions, staged
+from weftline.llm._tokens import LOWER, Batch, slices, texts
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of terms: letters and all that is not ASCII.
+IS_TERM = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
+COUNTS = "lang string, source string, term string, n long, df long"
 SCALE = 1_000_000_000
 RESULT = "lang string, source string, part string, item string, value long, rank int"
 
@@ -58,17 +64,48 @@ def gap(p: Column, q: Column) -> Column:
     return quotient((p - q) * (p - q), p + q)
 
 
+def _found(batch: Batch) -> tuple[pa.StringArray, np.ndarray]:
+    """All terms of a batch of texts in order, lower-cased, and the text of each."""
+    data = LOWER[batch.data[: batch.size]]
+    inside = IS_TERM[data]
+    edge = np.zeros(batch.size + 1, bool)  # a text's border ends a term
+    edge[batch.offsets] = True
+    start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return terms, np.searchsorted(batch.offsets, start, "right") - 1
+
+
+def _counts(part: pa.RecordBatch) -> pa.RecordBatch:
+    """COUNTS rows of some texts."""
+    terms, row = _found(texts(part["text"]))
+    coded, lang, source = terms.dictionary_encode(), part["lang"].dictionary_encode(), part["source"].dictionary_encode()
+    codes = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n_terms, n_sources = max(1, len(coded.dictionary)), max(1, len(source.dictionary))
+    held, n = np.unique(row * n_terms + codes(coded), return_counts=True)  # a term once for each text that holds it
+    group = (codes(lang) * n_sources + codes(source))[held // n_terms]
+    key, at = np.unique(group * n_terms + held % n_terms, return_inverse=True)
+    total = np.bincount(at, n, len(key)).astype(np.int64)
+    columns = [lang.dictionary.take(pa.array(key // n_terms // n_sources)), source.dictionary.take(pa.array(key // n_terms % n_sources)), coded.dictionary.take(pa.array(key % n_terms))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(np.bincount(at, minlength=len(key)).astype(np.int64))], ["lang", "source", "term", "n", "df"])
+
+
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """(lang, source, term, n, df): occurrences in each group and the rows that hold the term.
 
-    A row's terms are sorted, so the first of each run of equal ones counts the row.
+    Terms are found on the bytes (all bytes from 0x80 on belong to terms, so byte and code point borders agree) and
+    counted by slices of 8 MB before they are sent.
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    found = F.sort_array(F.regexp_extract_all(F.translate(plain(text), UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    rows = docs.select(plain(lang).alias("lang"), plain(source).alias("source"), found.alias("t"))
-    first = F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), 1).otherwise(0))
-    rows = rows.select("lang", "source", F.inline(F.arrays_zip(F.col("t").alias("term"), first.alias("first"))))
-    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
+    rows = docs.select(plain(text).alias("text"), plain(lang).alias("lang"), plain(source).alias("source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch["text"], 8 << 20):
+                yield _counts(batch.slice(lo, hi - lo))
+
+    return rows.mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def inverted_index(docs: DataFrame, min_docs: int = 10, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
