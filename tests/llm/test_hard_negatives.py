@@ -52,7 +52,7 @@ def test_equals_all_products(spark):
 
 def test_many_small_cells_agree(spark):
     rows = vectors(random.Random(2), 400)
-    found = hard_negatives(scaled_vectors(frame(spark, rows)), MiningParams(cell_values=128, levels=(0.1, 0.4, 0.7)))
+    found = hard_negatives(scaled_vectors(frame(spark, rows)), MiningParams(cell_values=128, cell_rows=1, levels=(0.1, 0.4, 0.7)))
     assert sorted(map(tuple, found.collect())) == brute(rows)
 
 

@@ -55,6 +55,7 @@ class MiningParams:
     low: int = 50
     high: int = 95
     cell_values: int = 1 << 23  # vector components of a cell's rows; a quarter of it for its anchors
+    cell_rows: int = 4096  # rows for which a cell of its own is worth while
     levels: tuple[float, ...] = (0.25, 0.5)  # shares of the components after which pairs are discarded
 
 
@@ -228,15 +229,16 @@ def hard_negatives(vectors: DataFrame, params: MiningParams = MiningParams()) ->
     levels = tuple(sorted({max(1, int(d * s)) for s in params.levels}))
 
     groups = max(1, -(-m * d * 4 // params.cell_values))
-    shares = max(1, -(-n * d // params.cell_values), -(-partitions(spark) // groups))
+    shares = max(1, -(-n * d // params.cell_values), min(-(-partitions(spark) // groups), -(-n // params.cell_rows)))
     dealt = lambda salt, parts: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     cell = (F.col("_g") * shares + F.col("_s")).alias("cell")
-    held = rows.select("*", dealt(1, shares).alias("_s"), every(groups).alias("_g")).select(cell, "row", "id", "label", "v")
+    by_cell = lambda rows: rows.repartition(groups * shares, "cell")  # noqa: E731  # by number: small cells take long, so they are not joined
+    held = by_cell(rows.select("*", dealt(1, shares).alias("_s"), every(groups).alias("_g")).select(cell, "row", "id", "label", "v"))
 
     def asked(anchors: DataFrame) -> DataFrame:
         spread = anchors.select("*", dealt(2, groups).alias("_g"), every(shares).alias("_s"))
-        return spread.select(cell, *anchors.columns)
+        return by_cell(spread.select(cell, *anchors.columns))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
