@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import dp_align
-from weftline.queries import query, table
+from weftline.operators import dp_align, glossary, style
+from weftline.queries import HAS_WORD, LINES, doc_lines, query, table
+from weftline.scan_queries import TABLE_DRIFT
 from weftline.sources.blocks import paragraphs
 
 
@@ -60,3 +61,81 @@ SELECT doc_id, block_no, min(left_from) AS left_from, max(left_to) AS left_to, m
 def dp_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as blocks: what only one side has goes to its neighbour."""
     return dp_align.attached(dp_alignment(spark, sf_dir))
+
+
+#: Letters of the tables' prose as Cyrillic and as kana, one for one.
+_LATIN, _CYRILLIC, _KANA = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшэыз", "あいうえおかきくけこさしすせそたちつてとなにぬねの"
+
+
+def three_languages(text: str = "text") -> dict[str, Column]:
+    """A text as ja (kana without blanks), en (as it is) and ru (Cyrillic, capitals kept)."""
+    upper = F.translate(F.col(text), _LATIN.upper(), _CYRILLIC.upper())
+    return {"ja": F.translate(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), _LATIN, _KANA), "en": F.col(text), "ru": F.translate(upper, _LATIN, _CYRILLIC)}
+
+
+def benchmark_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, ja, en, ru): of each benchmark item five characters, its second word in capitals, and its third and fourth."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    d = table(spark, sf_dir, "benchmark").select("item_id", *[c.alias(n) for n, c in three_languages().items()], words.alias("w")).where("size(w) > 3")
+    ru = F.translate(F.concat_ws(" ", F.get("w", F.lit(2)), F.get("w", F.lit(3))), _LATIN, _CYRILLIC)
+    return d.select(F.format_string("g:%d", "item_id").alias("key"), F.substring("ja", 8, 5).alias("ja"), F.upper(F.get("w", F.lit(1))).alias("en"), ru.alias("ru"))
+
+
+_THREE = f"""translate(lower(replace({{0}}, ' ', '')), '{_LATIN}', '{_KANA}') AS ja, {{0}} AS en, translate(translate({{0}}, '{_LATIN.upper()}', '{_CYRILLIC.upper()}'), '{_LATIN}', '{_CYRILLIC}') AS ru"""
+_EDGED = "regexp_matches(' ' || lower({0}) || ' ', '[^a-zа-яё]' || regexp_escape(lower({1})) || '[^a-zа-яё]')"
+
+
+@query(rf"""WITH {LINES},
+b AS (SELECT item_id, {_THREE.format('text')}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM benchmark),
+g AS (SELECT 'g:' || item_id AS key, substring(ja, 8, 5) AS ja, upper(w[2]) AS en, translate(w[3] || ' ' || w[4], '{_LATIN}', '{_CYRILLIC}') AS ru FROM b WHERE len(w) > 3),
+t AS (SELECT doc_id, para_no AS block_no, {_THREE.format('text')} FROM lines),
+n AS (SELECT doc_id, block_no, ltrim(regexp_replace(unnest(regexp_extract_all(en, '\d[\d,.\s]*\d|\d')), '[,.\s]', '', 'g'), '0') AS v FROM t),
+m AS (SELECT doc_id, block_no, CASE WHEN v = '' THEN '0' ELSE v END AS anchor FROM n)
+SELECT DISTINCT lang, doc_id, block_no, anchor FROM (
+  SELECT 'ja' AS lang, doc_id, block_no, key AS anchor FROM t, g WHERE g.ja <> '' AND contains(t.ja, g.ja)
+  UNION ALL SELECT 'en', doc_id, block_no, key FROM t, g WHERE contains(lower(t.en), lower(g.en)) AND {_EDGED.format('t.en', 'g.en')}
+  UNION ALL SELECT 'ru', doc_id, block_no, key FROM t, g WHERE contains(lower(t.ru), g.ru) AND {_EDGED.format('t.ru', 'g.ru')}
+  UNION ALL SELECT unnest(['ja', 'en', 'ru']), doc_id, block_no, anchor FROM m)""")
+def dictionary_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of every line in three scripts: terms of a glossary from the benchmark, and numbers."""
+    d = doc_lines(spark, sf_dir).select("doc_id", F.col("para_no").alias("block_no"), *[c.alias(n) for n, c in three_languages().items()])
+    entries = benchmark_glossary(spark, sf_dir)
+    found = [glossary.anchors(d, entries, lang, lang).select(F.lit(lang).alias("lang"), "doc_id", "block_no", F.replace("anchor", F.lit("\x00"), F.lit("")).alias("anchor")) for lang in ("ja", "en", "ru")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_ADDED = "Zqx wvk jyyp"
+
+
+def next_version(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every line of the documents, and a version with a line more after one of the first five, numbers anew, and every fourth line negated."""
+    old = doc_lines(spark, sf_dir)
+    after = (F.col("doc_id") % 5).cast("int")
+    text = F.when(F.col("para_no") % 4 == 0, F.concat(F.lit("no "), F.col("text"))).otherwise(F.col("text"))
+    new = old.select("doc_id", (F.col("para_no") + F.when(F.col("para_no") > after, 1).otherwise(0)).alias("para_no"), text.alias("text"))
+    size = old.groupBy("doc_id").agg(F.max("para_no").alias("n"))
+    more = size.select("doc_id", (F.least(after, F.col("n")) + 1).cast("int").alias("para_no"), F.lit(_ADDED).alias("text"))
+    return old, new.unionByName(more)
+
+
+_VERSIONS = rf"""
+o AS (SELECT doc_id, para_no AS old_no, para_no + (para_no > doc_id % 5)::INT AS new_no, text, para_no % 4 = 0 AS changed FROM lines),
+k AS (
+  SELECT doc_id, NULL::INT AS old_no, (least(doc_id % 5, max(para_no)) + 1)::INT AS new_no, 'paragraph-added' AS kind, 'STRONG' AS strength FROM lines GROUP BY doc_id
+  UNION ALL SELECT doc_id, old_no, new_no, CASE WHEN {HAS_WORD.format('text', 'no|not|never|nicht|ne|pas|sin')} THEN 'wording' ELSE 'negation' END, CASE WHEN {HAS_WORD.format('text', 'no|not|never|nicht|ne|pas|sin')} THEN 'WEAK' ELSE 'STRONG' END
+  FROM o WHERE changed)
+"""
+
+
+@query(f"WITH {LINES}, {_VERSIONS} SELECT * FROM k")
+def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One addition a document, whatever follows it, and the lines that are negated; the SQL knows what was done to each line."""
+    old, new = next_version(spark, sf_dir)
+    return style.drift_aligned(old, new, pack=TABLE_DRIFT)
+
+
+@query(f"""WITH {LINES}, {_VERSIONS} SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = k.doc_id AND l.quality = 1 AND k.kind = 'negation')""")
+def drift_unexplained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same less what is explained: negations of documents that are labelled good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("negation").alias("kind")).distinct()
+    return style.unexplained(drift_versions(spark, sf_dir), good, ["doc_id", "kind"])

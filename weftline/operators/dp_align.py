@@ -37,10 +37,13 @@ class AlignParams:
     """Gains in millionths."""
 
     anchor_weight: int = 2 * UNIT
+    length_weight: int = UNIT
+    both: int = 0  # for a step that takes paragraphs of both sides
     skip: int = -600_000
     merge: int = -150_000  # for a step that takes two paragraphs of a side
     band: int = 64  # paragraphs beside the diagonal, to begin with
     exact: bool = False
+    single: bool = False  # one paragraph of each side at most in a step
 
 
 class Side:
@@ -94,7 +97,7 @@ class Chapter:
         n, m = left.size[a - 1][i0:i1, None] * self.scale[0], right.size[b - 1][None, lo:hi] * self.scale[1]
         most = np.maximum(n, m)
         alike = np.where(most > 0, np.floor(UNIT * (np.minimum(n, m) / np.maximum(most, 1.0))), UNIT).astype(np.int64)
-        return p.anchor_weight * common // np.maximum(union, 1) + alike + p.merge * (a + b - 2)
+        return p.anchor_weight * common // np.maximum(union, 1) + p.length_weight * alike // UNIT + p.both + p.merge * (a + b - 2)
 
     def rows(self, i0: int, i1: int, band: int, one: tuple[int, np.ndarray], two: tuple[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first column, scores, steps) of the rows from ``i0`` to ``i1``; ``one`` and ``two`` are the last two rows before, each (first column, scores)."""
@@ -104,7 +107,7 @@ class Chapter:
             left = max(0, self.columns(start, band)[0] - 1)
             right = self.columns(end - 1, band)[1] - 1
             above = max(1, start)  # row i ends at left paragraph i - 1
-            gains = [self.gains(a, b, above - 1, end - 1, left, right) for a, b in STEPS[:4]] if end > above and right > left else []
+            gains = [self.gains(a, b, above - 1, end - 1, left, right) for a, b in STEPS[: 1 if self.params.single else 4]] if end > above and right > left else []
             for i in range(start, end):
                 lo, score, step = self._row(i, band, one, two, [g[i - above] for g in gains] if i else [], left)
                 yield lo, score, step
@@ -116,7 +119,7 @@ class Chapter:
         if i == 0:
             ways[0, 0] = 0
         for k, (a, b) in enumerate(STEPS[:-1]):
-            if i < a or (b and not gains):
+            if i < a or (b and k >= len(gains)):
                 continue
             first, score = one if a == 1 else two
             from_, to = max(lo, first + b, b), min(hi, first + b + len(score))

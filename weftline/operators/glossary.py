@@ -1,7 +1,7 @@
 """Dictionary joins: names by word, by stem prefix, and anchors.
 
-A glossary is a dimension: Spark broadcasts it while it is small by its own size check; joins are
-equi-joins on the word or on the first four letters, never a scan of the glossary per row.
+Names are equi-joins on the word or on the first four letters of a token; stems and anchors are found by one
+automaton for the whole glossary (``dictionary``).  A glossary is never scanned per row.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import number_anchors
 from weftline.functions.text import before_apostrophe, fold, words
+from weftline.operators.dictionary import STEM, SUBSTRING, WHOLE, first_hits, lowered
 
 
 def names_in_source(rows: DataFrame, glossary: DataFrame, text: str = "source") -> DataFrame:
@@ -22,8 +23,12 @@ def names_in_source(rows: DataFrame, glossary: DataFrame, text: str = "source")
 
 
 def names_in_target(rows: DataFrame, glossary: DataFrame, text: str = "target", letters: str = "А-Яа-яЁё") -> DataFrame:
-    """(doc_id, block_no, ru): names whose four-letter base begins a word of the text."""
-    tokens = F.transform(words(F.col(text), letters), lambda w: F.left(F.regexp_replace(fold(w), "['’-]", ""), F.lit(4)))
+    """(doc_id, block_no, ru): names whose four-letter base begins a token of the text.
+
+    Tokens are two letters or hyphens at least (an apostrophe ends one); hyphens count for nothing in them.
+    """
+    found = F.regexp_extract_all(F.col(text), F.lit(rf"[{letters}][{letters}\-]+"), F.lit(0))
+    tokens = F.transform(found, lambda w: F.left(F.replace(fold(w), F.lit("-"), F.lit("")), F.lit(4)))
     spread = rows.select("doc_id", "block_no", F.explode(F.array_distinct(tokens)).alias("ru_base"))
     return spread.join(glossary.select("ru_base", "ru"), "ru_base").select("doc_id", "block_no", "ru").distinct()
 
@@ -40,40 +45,30 @@ def joined_names(rows: DataFrame, glossary: DataFrame, letters: str = "А-Яа-
 
 
 def stem_hits(paragraphs: DataFrame, stems: DataFrame, letters: str = "А-Яа-яЁё", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, block_no, para_no, line_no, stem, canon, form, context): each stem's first word in each paragraph.
+    """(doc_id, block_no, para_no, line_no, stem, canon, form, context): where each stem first begins a word of each paragraph.
 
-    Words meet stems on their first four letters (stems are no shorter); then the whole stem is compared.
+    A word begins after anything but a letter, digit or underscore, so a stem after a hyphen counts.  The form goes on over
+    letters and hyphens.
     """
-    word = rf"(?iuU)\b[{letters}][{letters}\-]*"
-    found = F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    d = paragraphs.select("doc_id", *keep, "block_no", "para_no", "text", F.posexplode(found).alias("at", "form")).withColumn("head", F.left(F.lower("form"), F.lit(4)))
-    s = stems.select("line_no", "stem", "canon", F.left("stem", F.lit(4)).alias("head"))
-    hits = d.join(s, "head").where(F.startswith(F.lower("form"), F.col("stem")))
-    first = hits.groupBy("doc_id", *keep, "block_no", "para_no", "line_no", "stem", "canon").agg(F.min_by(F.struct("form", "text"), "at").alias("h"))
-    start = F.instr(F.col("h.text"), F.col("h.form")) - 1
-    lo = F.greatest(start - 20, F.lit(0))
-    context = F.substring(F.col("h.text"), lo + 1, start + F.length("h.form") + 40 - lo)
-    return first.select("doc_id", *keep, "block_no", "para_no", "line_no", "stem", "canon", F.col("h.form").alias("form"), context.alias("context"))
+    own = ("doc_id", *keep, "block_no", "para_no")
+    hits = first_hits(paragraphs, stems.select(F.col("stem").alias("term")), "text", STEM, (*own, "text"))
+    hits = hits.join(stems.select("line_no", "stem", "canon", lowered(F.col("stem")).alias("term")), "term")
+    tail = F.regexp_extract(F.substring(F.col("text"), F.col("end") + 1, F.lit(1 << 30)), rf"(?iuU)^[{letters}\-]*", 0)
+    form = F.concat(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")), tail)
+    hits = hits.withColumn("form", form)
+    lo = F.greatest(F.col("start") - 20, F.lit(0))
+    context = F.substring(F.col("text"), lo + 1, F.col("start") + F.length("form") + 40 - lo)
+    return hits.select(*own, "line_no", "stem", "canon", "form", context.alias("context"))
 
 
 def anchors(rows: DataFrame, entries: DataFrame, text: str, lang: str) -> DataFrame:
     """(doc_id, block_no, anchor): glossary keys and numbers of a text.
 
-    Japanese terms by substring: an equi-join of the terms with the stretches of their lengths (one row of lengths is
-    broadcast).  Others as whole words in any case: a regex for each entry, joined with the rows that hold the entry's first word.
+    Japanese terms stand anywhere; others, in any case, between characters that are no letters (digits may touch them).
     """
     own = rows.select("doc_id", "block_no", F.coalesce(F.col(text), F.lit("")).alias("t"))
     nums = own.select("doc_id", "block_no", F.explode(number_anchors(F.col("t"), lang)).alias("anchor"))
-    term = entries.where(F.col(lang) != "").select("key", F.col(lang).alias("term"))
-    if lang == "ja":  # no words to join on: every stretch as long as a term is one
-        sizes = term.agg(F.collect_set(F.length("term")).alias("sizes"))
-        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, n))
-        every = own.crossJoin(F.broadcast(sizes)).select("doc_id", "block_no", F.explode(F.array_distinct(F.flatten(F.transform("sizes", grams)))).alias("term"))
-        hits = every.join(term, "term")
-    else:
-        head = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}]+", 0)
-        spread = own.select("doc_id", "block_no", "t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("head"))
-        quoted = F.concat(F.lit(r"(?iu)(?<![\p{L}])\Q"), F.col("term"), F.lit(r"\E(?![\p{L}])"))
-        hits = spread.join(term.withColumn("head", head(F.col("term"))), "head").where(F.regexp(F.col("t"), quoted))
+    bounds = SUBSTRING if lang == "ja" else WHOLE
+    term = entries.where(F.col(lang) != "").select("key", (lowered(F.col(lang)) if bounds.fold else F.col(lang)).alias("term"))
+    hits = first_hits(own, term, "t", bounds, ("doc_id", "block_no")).join(term, "term")
     return nums.unionByName(hits.select("doc_id", "block_no", F.col("key").alias("anchor"))).distinct()
-

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import numbers
 from weftline.functions.text import has_word, missing, runs
+from weftline.operators.versions import aligned
 
 
 def repetition(paragraphs: DataFrame, near: int = 2, least: int = 3, length: int = 5, letters: str = r"\p{L}") -> DataFrame:
@@ -118,21 +119,39 @@ class DriftPack:
     name: str = r"[А-ЯЁ][а-яё]{3,}"
 
 
+def _letters(c):
+    """128 bits of a text's letters and digits in lower case; null for a text that has none."""
+    bare = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    return F.when(bare != "", F.md5(bare.cast("binary"))).when(c.isNotNull(), "")
+
+
 def drift_kinds(old: DataFrame, new: DataFrame, keys: list[str], pack: DriftPack = DriftPack()) -> DataFrame:
     """keys, kind, strength: every way in which two versions of a paragraph differ in meaning, else how they differ at all.
 
+    Paragraphs meet by ``keys`` (document first), which both versions must share; ``drift_aligned`` finds the pairs itself.
     paragraph-lost, paragraph-added, paragraph-moved (the other version has it elsewhere in the document), numbers, negation,
     persons and names are STRONG but for moves (INFO); rewording without any of them is WEAK, format alone INFO.
-    Moves are found by a join on (document, letters), so a paragraph is compared with its equals only.
+    Moves are found by a join on (document, hash of the letters), so a paragraph is compared with its equals only.
     """
-    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    a, b = (df.select(*keys, F.col("text").alias(n)) for df, n in ((old, "old"), (new, "new")))
+    return _kinds(a.join(b, keys, "full_outer"), old, new, keys, pack)
+
+
+def drift_aligned(old: DataFrame, new: DataFrame, doc: str = "doc_id", pack: DriftPack = DriftPack(), alike: float = 0.3) -> DataFrame:
+    """doc, old_no, new_no, kind, strength of two versions whose paragraphs are aligned as sequences (``versions.aligned``)."""
+    pairs = aligned(old, new, doc, alike=alike)
+    a, b = (df.select(doc, F.col("para_no").alias(f"{n}_no"), F.col("text").alias(n)) for df, n in ((old, "old"), (new, "new")))
+    return _kinds(pairs.join(a, [doc, "old_no"], "left").join(b, [doc, "new_no"], "left"), old, new, [doc, "old_no", "new_no"], pack)
+
+
+def _kinds(d: DataFrame, old_rows: DataFrame, new_rows: DataFrame, keys: list[str], pack: DriftPack) -> DataFrame:
+    """keys, kind, strength of pairs (keys, old, new); a side that lacks the paragraph is null."""
     names = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pack.name), F.lit(0))))
     doc = keys[0]
-    a, b = (df.select(*keys, F.col("text").alias(n)) for df, n in ((old, "old"), (new, "new")))
-    d = a.join(b, keys, "full_outer").withColumn("lo", letters(F.col("old"))).withColumn("ln", letters(F.col("new")))
-    pool = lambda df, c: df.select(F.col(doc).alias("_doc"), letters(F.col("text")).alias(c)).where(F.col(c) != "").distinct().withColumn(f"has_{c}", F.lit(True))
-    d = d.join(pool(new, "in_new"), (F.col(doc) == F.col("_doc")) & (F.col("lo") == F.col("in_new")), "left").drop("_doc", "in_new")
-    d = d.join(pool(old, "in_old"), (F.col(doc) == F.col("_doc")) & (F.col("ln") == F.col("in_old")), "left").drop("_doc", "in_old")
+    d = d.withColumn("lo", _letters(F.col("old"))).withColumn("ln", _letters(F.col("new")))
+    pool = lambda df, c: df.select(F.col(doc).alias("_doc"), _letters(F.col("text")).alias(c)).where(F.col(c) != "").distinct().withColumn(f"has_{c}", F.lit(True))
+    d = d.join(pool(new_rows, "in_new"), (F.col(doc) == F.col("_doc")) & (F.col("lo") == F.col("in_new")), "left").drop("_doc", "in_new")
+    d = d.join(pool(old_rows, "in_old"), (F.col(doc) == F.col("_doc")) & (F.col("ln") == F.col("in_old")), "left").drop("_doc", "in_old")
     o, n = F.col("old"), F.col("new")
     both = o.isNotNull() & n.isNotNull() & (F.col("lo") != F.col("ln"))
     person = F.lit(False)

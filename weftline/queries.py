@@ -168,7 +168,7 @@ _GLOSSARY_SQL = ", ".join(f"('{b}', [{', '.join(repr(f) for f in fs)}])" for b,
 
 @query(f"""WITH {TURNS}, g(base, forms) AS (VALUES {_GLOSSARY_SQL}),
 w AS (SELECT doc_id, block_no, list_transform(regexp_extract_all(s, '[A-Za-z][A-Za-z''’\\-]+'), lambda x: lower(regexp_extract(x, '^[^''’]*'))) AS sw,
-  list_transform(regexp_extract_all(coalesce(t, ''), '[\\p{{L}}][\\p{{L}}''’\\-]+'), lambda x: left(regexp_replace(lower(x), '[''’-]', '', 'g'), 4)) AS tw FROM turns),
+  list_transform(regexp_extract_all(coalesce(t, ''), '[\\p{{L}}][\\p{{L}}\\-]+'), lambda x: left(replace(lower(x), '-', ''), 4)) AS tw FROM turns),
 j AS (SELECT doc_id, block_no, base, list_has_any(sw, forms) AS a, list_contains(tw, base) AS b FROM w, g)
 SELECT doc_id, block_no, coalesce(string_agg(base, ',' ORDER BY base) FILTER (a AND NOT b), '') AS lost, coalesce(string_agg(base, ',' ORDER BY base) FILTER (b AND NOT a), '') AS extra
 FROM j GROUP BY ALL""")
@@ -229,7 +229,7 @@ _STEM_SQL = " UNION ALL ".join(f"SELECT '{s}' AS stem, '{c}' AS canon" for s, c
 
 
 @query(f"""WITH {LINES}, st AS ({_STEM_SQL}),
-h AS (SELECT lang, doc_id, para_no, stem, canon, regexp_extract(lines.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-])(' || stem || '[\\p{{L}}\\-]*)', 1) AS form FROM lines JOIN documents USING (doc_id), st)
+h AS (SELECT lang, doc_id, para_no, stem, canon, regexp_extract(lines.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(' || stem || '[\\p{{L}}\\-]*)', 1) AS form FROM lines JOIN documents USING (doc_id), st)
 SELECT lang, stem, canon, lower(form) AS form, count(*) AS n, min(doc_id * 100000 + para_no) AS first_ord FROM h WHERE form <> '' GROUP BY ALL""")
 def term_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(_STEMS)], "line_no int, stem string, canon string")
