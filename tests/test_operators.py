@@ -12,24 +12,39 @@ def test_segmentation(spark):
     rng = random.Random(1)
     docs = {f"d{i}": [rng.choice([5, 80, 400, 1700]) for _ in range(rng.randint(1, 60))] for i in range(20)} | {"own": [900, 800, 100, 1600, 5]}
 
+    docs |= {"long": [rng.choice([0, 3, 90, 200, 1600]) for _ in range(1500)], "even": [1] * 1024, "none": [0] * 600}
+
     def brute(sizes):
         out, no, n, chars = [], 0, 0, 0
-        for s in sizes:
+        for i, s in enumerate(sizes):
             out.append(no)
             n, chars = n + 1, chars + s
-            if n >= 16 or chars >= 1600:
+            if n >= 16 or chars >= 1600 or (i + 1 < len(sizes) and not (s and sizes[i + 1])):
                 no, n, chars = no + 1, 0, 0
         return out
 
     assert brute(docs["own"]) == [0, 0, 1, 1, 2]
     paras = spark.createDataFrame([(d, i + 1, "x" * s) for d, ss in docs.items() for i, s in enumerate(ss)], "doc_id string, para_no int, text string")
-    for limit in (4000, 10):  # folded in the row, and by the grouped function
+    for chunk in (1, 4096):  # in chunks of 256 paragraphs (16 blocks), and in one row
         got = {}
-        for r in segment.segmented(paras, fold_limit=limit).collect():
+        for r in segment.segmented(paras, chunk=chunk).collect():
             got.setdefault(r.doc_id, {})[r.para_no] = r.block_no
         assert {d: [p[i + 1] for i in range(len(p))] for d, p in got.items()} == {d: brute(s) for d, s in docs.items()}
 
 
+def test_segmentation_of_a_million_paragraphs(spark):
+    """One document; no row holds more than a chunk of it."""
+    paras = spark.range(1, 1_000_001).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("para_no"), F.repeat(F.lit("x"), (F.col("id") * 7919 % 180).cast("int")).alias("text"))
+    got = segment.segmented(paras).agg(F.count("*").alias("n"), F.countDistinct("para_no").alias("d"), F.max("block_no").alias("last")).first()
+    no, n, chars = 0, 0, 0
+    sizes = [i * 7919 % 180 for i in range(1, 1_000_001)]
+    for i, s in enumerate(sizes[:-1]):
+        n, chars = n + 1, chars + s
+        if n >= 16 or chars >= 1600 or not (s and sizes[i + 1]):
+            no, n, chars = no + 1, 0, 0
+    assert (got.n, got.d, got.last) == (1_000_000, 1_000_000, no)
+
+
 def test_speech_marks(spark):
     d = spark.createDataFrame([("「はい」。",), ("　「いや",), ("本文",), ("",)], "x string")
     x = F.col("x")

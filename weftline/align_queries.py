@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import dp_align, glossary, style
+from weftline.operators import dp_align, glossary, segment, style
 from weftline.queries import HAS_WORD, LINES, doc_lines, query, table
 from weftline.scan_queries import TABLE_DRIFT
 from weftline.sources.blocks import paragraphs
@@ -139,3 +139,23 @@ def drift_unexplained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same less what is explained: negations of documents that are labelled good."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("negation").alias("kind")).distinct()
     return style.unexplained(drift_versions(spark, sf_dir), good, ["doc_id", "kind"])
+
+
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, para_no, text): three documents, each of all order lines with one return flag; texts as long as their figures say, some empty."""
+    d = table(spark, sf_dir, "lineitem")
+    place = F.row_number().over(dp_align.W.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    size = (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11 + F.col("l_quantity").cast("long")) % 240
+    return d.select(F.col("l_returnflag").alias("doc_id"), place.alias("para_no"), F.repeat(F.lit("x"), F.when(size < 2, 0).otherwise(size).cast("int")).alias("text"))
+
+
+@query("""WITH RECURSIVE
+x AS MATERIALIZED (SELECT l_returnflag AS doc_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, (l_partkey * 37 + l_suppkey * 11 + l_quantity::BIGINT) % 240 AS n FROM lineitem),
+s AS MATERIALIZED (SELECT doc_id, i, CASE WHEN n < 2 THEN 0 ELSE n END AS n, sum(CASE WHEN n < 2 THEN 0 ELSE n END) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM x),
+b AS (SELECT doc_id, i, n, upto, n = 0 OR lead(n, 1, 1) OVER (PARTITION BY doc_id ORDER BY i) = 0 AS hard FROM s),
+j AS MATERIALIZED (SELECT a.doc_id, a.i, min(b.i) + 1 AS nxt FROM s a JOIN (SELECT *, unnest(range(0, 16)) AS k FROM b) b ON b.doc_id = a.doc_id AND b.i - b.k = a.i WHERE b.k = 15 OR b.hard OR b.upto - a.upto + a.n >= 1600 GROUP BY ALL),
+seg(doc_id, i, no) AS (SELECT DISTINCT doc_id, 1::BIGINT, 0 FROM x UNION ALL SELECT seg.doc_id, j.nxt, seg.no + 1 FROM seg JOIN j ON j.doc_id = seg.doc_id AND j.i = seg.i)
+SELECT x.doc_id, x.i::INT AS para_no, seg.no AS block_no FROM x ASOF JOIN seg ON x.doc_id = seg.doc_id AND x.i >= seg.i""")
+def long_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents that no row holds."""
+    return segment.segmented(long_documents(spark, sf_dir))

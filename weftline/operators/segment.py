@@ -1,16 +1,22 @@
 """Greedy segmentation of paragraphs into blocks.
 
-A block closes when it reaches its limits, so the state resets and no running sum expresses it.
-Documents are folded one by one: by an aggregate over the ordered lengths where they are short, and by a
-grouped function beyond (an append per paragraph would cost the square of the length).
+A block closes when it reaches its limits, so the state resets and no running sum expresses it.  Short documents are folded
+in one row; long ones in chunks that are folded for every place where a block may enter them, so no row and no group
+holds the paragraphs of a long document.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.sources.staging import staged
+
 # Limits of a block.
 MAX_PARAS, MAX_CHARS = 16, 1600
 JA_OPEN, JA_CLOSE, TERMINALS = "「『", "」』", "。！？!?…"
@@ -54,27 +60,76 @@ def block_numbers(sizes: Column, soft: Column, max_paras: int = MAX_PARAS, max_c
     return F.aggregate(F.arrays_zip(sizes.alias("size"), soft.alias("soft")), start, step, lambda a: a["out"])
 
 
-def segmented(paras: DataFrame, max_paras: int = MAX_PARAS, max_chars: int = MAX_CHARS, fold_limit: int = 4000) -> DataFrame:
-    """(doc_id, para_no, block_no) for paragraphs (doc_id, para_no, text)."""
-    listed = paras.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("para_no", F.length("text").alias("size")))).alias("p"))
+def segmented(paras: DataFrame, max_paras: int = MAX_PARAS, max_chars: int = MAX_CHARS, chunk: int = 4096) -> DataFrame:
+    """(doc_id, para_no, block_no) for paragraphs (doc_id, para_no, text); ``para_no`` counts a document's paragraphs from 1.
+
+    A document is cut into chunks of ``chunk`` paragraphs, one row each.  A document of one chunk is folded in its row.  In a longer one a
+    block that begins in one chunk ends at most ``max_paras`` paragraphs into the next, so a chunk is a function of the place where its first
+    own block may begin: from each of ``max_paras`` places to a place in the next chunk and a number of blocks.  The chunks'
+    functions, not their paragraphs, meet by document, and each chunk then numbers its own paragraphs.
+    """
+    size = max(chunk, 16 * max_paras)
+    at = F.floor((F.col("para_no") - 1) / size).cast("int")
+    listed = paras.groupBy("doc_id", at.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("para_no", F.coalesce(F.length("text"), F.lit(0)).alias("size")))).alias("p"))
+    per = W.partitionBy("doc_id").orderBy("chunk")
+    sizes = F.transform("p", lambda x: x["size"])
+    listed = listed.withColumn("ahead", F.lead(F.slice(sizes, 1, max_paras)).over(per)).withColumn("later", (F.col("chunk") > 0) | F.col("ahead").isNotNull())
     soft = F.transform(F.col("p"), lambda x, i: F.coalesce((x["size"] > 0) & (F.get(F.col("p"), i + 1)["size"] > 0), F.lit(True)))
-    short = listed.where(F.size("p") <= fold_limit)
-    numbers = block_numbers(F.transform("p", lambda x: x["size"]), soft, max_paras, max_chars)
-    places = F.arrays_zip(F.transform("p", lambda x: x["para_no"]).alias("para_no"), numbers.alias("block_no"))
-    out = short.select("doc_id", F.inline(places))
-    long_ = listed.where(F.size("p") > fold_limit).select("doc_id", F.inline("p"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("para_no")
-        no = n = chars = 0
-        result = []
-        sizes = pdf["size"].tolist()
-        for i, size in enumerate(sizes):
-            result.append(no)
-            n, chars = n + 1, chars + size
-            if n >= max_paras or chars >= max_chars or (i + 1 < len(sizes) and not (size and sizes[i + 1])):
-                no, n, chars = no + 1, 0, 0
-        return pdf.assign(block_no=result)[["doc_id", "para_no", "block_no"]]
-
-    kind = paras.schema["doc_id"].dataType.simpleString()
-    return out.unionByName(long_.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, para_no int, block_no int"))
+    places = F.arrays_zip(F.transform("p", lambda x: x["para_no"].cast("int")).alias("para_no"), block_numbers(sizes, soft, max_paras, max_chars).alias("block_no"))
+    out = listed.where("NOT later").select("doc_id", F.inline(places))
+    long_ = staged(listed.where("later").select("doc_id", "chunk", F.transform("p", lambda x: x["para_no"].cast("int")).alias("no"), sizes.alias("sizes"), F.coalesce("ahead", F.array().cast("array<int>")).alias("ahead")), "segment-chunks")
+    return out.unionByName(_long(long_, max_paras, max_chars))
+
+
+def following(sizes: np.ndarray, n: int, max_paras: int, max_chars: int) -> np.ndarray:
+    """For each of the first ``n`` paragraphs the one after a block that begins there; ``sizes`` goes on beyond them."""
+    i, upto = np.arange(n), np.cumsum(sizes)
+    by_chars = np.searchsorted(upto, upto[:n] - sizes[:n] + max_chars, "left") + 1
+    hard = np.append(np.flatnonzero((sizes[:-1] == 0) | (sizes[1:] == 0)), len(sizes))
+    by_border = hard[np.searchsorted(hard, i, "left")] + 1
+    return np.minimum.reduce([i + max_paras, by_chars, by_border, np.full(n, len(sizes))])
+
+
+def _long(chunks: DataFrame, max_paras: int, max_chars: int) -> DataFrame:
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            exits, counts = [], []
+            for own, ahead in zip(b["sizes"].to_pylist(), b["ahead"].to_pylist(), strict=True):
+                n = len(own)
+                to = following(np.array(own + ahead, np.int64), n, max_paras, max_chars).tolist()
+                leave, begun = list(range(-n, max_paras)), [0] * (n + max_paras)  # a place beyond the chunk is left as it is
+                for i in range(n - 1, -1, -1):
+                    leave[i], begun[i] = leave[to[i]], begun[to[i]] + 1
+                exits.append(leave[:max_paras])
+                counts.append(begun[:max_paras])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["chunk"], pa.array(exits, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "chunk", "exits", "counts"])
+
+    def followed(table: pa.Table) -> pa.Table:
+        """Where each chunk of a document is entered, and how many blocks began before it."""
+        table = table.sort_by("chunk")
+        entry, begun, entries, before = 0, 0, [], []
+        for exits, counts in zip(table["exits"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            entries.append(entry)
+            before.append(begun)
+            entry, begun = exits[entry], begun + counts[entry]
+        return pa.table([table["doc_id"], table["chunk"], pa.array(entries, pa.int32()), pa.array(before, pa.int32())], names=["doc_id", "chunk", "entry", "before"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                own = b["sizes"][r].as_py()
+                n = len(own)
+                to = following(np.array(own + b["ahead"][r].as_py(), np.int64), n, max_paras, max_chars).tolist()
+                begins, i = np.zeros(n, np.int32), b["entry"][r].as_py()
+                while i < n:
+                    begins[i] = 1
+                    i = to[i]
+                no = pa.array(np.cumsum(begins, dtype=np.int32) + np.int32(b["before"][r].as_py() - 1))
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array([r] * n, pa.int32())), b["no"][r].values, no], ["doc_id", "para_no", "block_no"])
+
+    made = chunks.select("doc_id", "chunk", "sizes", "ahead").mapInArrow(functions, f"doc_id {kind}, chunk int, exits array<int>, counts array<int>")
+    entered = made.groupBy("doc_id").applyInArrow(followed, f"doc_id {kind}, chunk int, entry int, before int")
+    whole = chunks.join(entered.withColumnsRenamed({"doc_id": "_doc", "chunk": "_chunk"}), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("chunk") == F.col("_chunk"))).drop("_doc", "_chunk")
+    return whole.mapInArrow(numbered, f"doc_id {kind}, para_no int, block_no int")
