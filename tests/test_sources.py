@@ -50,28 +50,19 @@ def test_tables(spark):
     assert {r.volume for r in tables.frozen_volumes(reg, "завершён").collect()} == {1}
 
 
-def test_findings_and_plans(spark, tmp_path):
+def test_findings_and_artifacts(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"audit_id": "A", "audit_run_id": "r1", "findings": [{"block": 1, "problem": "p"}, {"block": 2}]}')
     (tmp_path / "b.json").write_text("{broken")
     assert [(r.audit_run_id, r.pos, r.block, r.problem) for r in runs.findings(spark, str(tmp_path)).orderBy("pos").collect()] == [("r1", 0, 1, "p"), ("r1", 1, 2, None)]
-    (tmp_path / "ledger.txt").write_text('{"tasks": [{"id": "t", "subtasks": [{"id": "s", "attempts": [{"prompt": "x"}, {"prompt": "y"}]}]}]}')
-    assert [tuple(r) for r in runs.tasks(spark, str(tmp_path / "ledger.txt")).collect()] == [("t", "s", "y")]
-    assert runs.artifacts(spark, str(tmp_path)).count() == 3
-    plans = spark.createDataFrame([('[["a", "b"]]',), ('[{"old": "a", "new": "", "count": 2, "allow_empty": true}]',), ('{"replacements": [["c", "d"]]}',)], "json string")
-    got = [[(s.old, s.new, s["count"]) for s in r.plan] for r in runs.replacement_plan(plans).collect()]
-    assert got == [[("a", "b", None)], [("a", "", 2)], [("c", "d", None)]]
-    with pytest.raises(Exception, match="invalid replacement plan"):
-        runs.replacement_plan(spark.createDataFrame([('[["", "b"]]',)], "json string")).collect()
+    assert runs.artifacts(spark, str(tmp_path)).count() == 2
 
 
-def test_versions(spark, tmp_path):
+def test_replaced_and_appended(spark, tmp_path):
     own = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b")], "doc_id string, block_no int, text string")
     new = spark.createDataFrame([("d", 2, "B")], own.schema)
     assert sorted(r.text for r in sinks.replaced(own, new).collect()) == ["B", "a"]
     assert sinks.appended(own, new.withColumn("block_no", F.lit(3))).count() == 3
     with pytest.raises(Exception, match="block exists already"):
         sinks.appended(own, new).collect()
-    sinks.publish(own, str(tmp_path / "v1"), F.col("text") != "", "empty block")
-    assert spark.read.parquet(str(tmp_path / "v1")).count() == 2
     found = spark.createDataFrame([("d", 2, "k", "x", 0), ("d", 1, "k", "y", 0)], "doc_id string, block_no int, kind string, detail string, emit_ord int")
     assert sinks.report_text(found, "R").first().text == "# R\n\nk: 2\n\n### 1 — k\ny\n\n### 2 — k\nx"

@@ -649,3 +649,4 @@ def provenance_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 import weftline.scan_queries  # noqa: E402, F401  registers its queries
 import weftline.align_queries  # noqa: E402, F401  registers its queries
+import weftline.file_queries  # noqa: E402, F401  registers its queries

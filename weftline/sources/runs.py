@@ -1,4 +1,4 @@
-"""JSON evidence (findings, replacement plans) and file evidence."""
+"""JSON evidence (findings of audit runs) and file evidence."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ FINDING = (
     "not_compression_reason string, omission_scope string, omission_kind string"
 )
 RUN = f"audit_id string, audit_type string, audit_run_id string, chapter string, findings array<struct<{FINDING.replace(' string', ':string').replace(' int', ':int')}>>"
-STEP = "struct<old:string,new:string,count:int,allow_empty:boolean>"
 
 
 def findings(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
@@ -23,32 +22,6 @@ def findings(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     return d.select("path", "modified", "audit_id", "audit_type", "audit_run_id", "chapter", "pos", "finding.*")
 
 
-def tasks(spark: SparkSession, path: str) -> DataFrame:
-    """(task, subtask, prompt): the last attempt's prompt of each subtask of a ledger."""
-    schema = "tasks array<struct<id:string,subtasks:array<struct<id:string,attempts:array<struct<prompt:string>>>>>>"
-    d = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("tasks").alias("t"))
-    d = d.select(F.col("t.id").alias("task"), F.explode("t.subtasks").alias("s"))
-    return d.select("task", F.col("s.id").alias("subtask"), F.try_element_at("s.attempts", F.lit(-1))["prompt"].alias("prompt"))
-
-
-def replacement_plan(plans: DataFrame) -> DataFrame:
-    """(.., plan): parse column ``json`` as [[old, new], ..], [{old, new, count, allow_empty}, ..] or {replacements: ..}.
-
-    An empty old text, or an empty new text without allow_empty, is an error that names the first such item (from 1);
-    so is a text of another layout.
-    """
-    body = F.coalesce(F.get_json_object("json", "$.replacements"), F.col("json"))
-    pairs = F.transform(F.from_json(body, "array<array<string>>"), lambda p: F.struct(p[0].alias("old"), F.get(p, F.lit(1)).alias("new"), F.lit(None).cast("int").alias("count"), F.lit(False).alias("allow_empty")))
-    named = F.from_json(body, f"array<{STEP}>")
-    is_pairs = body.rlike(r"^\s*\[\s*\[")
-    plan = F.when(is_pairs, pairs.cast(f"array<{STEP}>")).otherwise(named)
-    wrong = lambda p: F.coalesce(p["old"], F.lit("")).eqNullSafe("") | (F.coalesce(p["new"], F.lit("")).eqNullSafe("") & ~F.coalesce(p["allow_empty"], F.lit(False)))
-    at = F.array_position(F.transform("plan", wrong), True)
-    said = F.when(F.col("plan").isNull(), F.lit("invalid replacement plan: unknown layout")).otherwise(F.format_string("invalid replacement plan: item %d", at))
-    d = plans.withColumn("plan", plan)
-    return d.withColumn("plan", F.when(F.col("plan").isNull() | (at > 0), F.raise_error(said).cast(f"array<{STEP}>")).otherwise(F.col("plan")))
-
-
 def artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified, bytes) of all files under a folder, read from metadata alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

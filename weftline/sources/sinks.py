@@ -1,6 +1,6 @@
 """Rendering and writing: merged chapters, reports, appended and replaced blocks.
 
-Tables are never edited in place: a change is a new version that is validated, then published.
+Tables are never edited in place: a change is a new version (``versions``).
 """
 
 from __future__ import annotations
@@ -48,12 +48,6 @@ def replaced(blocks: DataFrame, new: DataFrame) -> DataFrame:
     return blocks.join(right, ["doc_id", "block_no"], "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")
 
 
-def publish(table: DataFrame, path: str, check: Column, message: str) -> None:
-    """Write a version if every row passes ``check``; the file committer makes the write atomic."""
-    ok = F.when(F.coalesce(check, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
-    table.where(ok).write.parquet(path)
-
-
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
