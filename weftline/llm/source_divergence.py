@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm._blocks import trim
 from weftline.llm._common import partitions, staged
 from weftline.llm._tokens import LOWER, Batch, slices, texts
 
@@ -95,15 +96,16 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     """(lang, source, term, n, df): occurrences in each group and the rows that hold the term.
 
     Terms are found on the bytes (all bytes from 0x80 on belong to terms, so byte and code point borders agree) and
-    counted by slices of 8 MB before they are sent.
+    counted by slices of 2 MB before they are sent; a slice's memory is given back.
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(plain(text).alias("text"), plain(lang).alias("lang"), plain(source).alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch["text"], 8 << 20):
+            for lo, hi in slices(batch["text"], 2 << 20):
                 yield _counts(batch.slice(lo, hi - lo))
+                trim()
 
     return rows.mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
