@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.edits import occurrences
 from weftline.functions.text import corrupt
+from weftline.operators import gate
 from weftline.queries import query, table
+from weftline.scan_queries import _PART
 from weftline.sources import ledger, plans, sinks, versions
-from weftline.sources.runs import RUN
+from weftline.sources.blocks import split_blocks
+from weftline.sources.runs import RUN, archive
 from weftline.sources.staging import new_path
 
 
@@ -120,3 +124,84 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = ledger.chained(ledger.last_attempts(ledgers.select("tasks", number.alias("ledger")), "ledger"), runs).select(*columns)
     bad = broken.select(number.alias("ledger"), F.lit("broken-ledger").alias("problem")).unionByName(lost.select(F.lit(None).cast("long").alias("ledger"), F.lit("broken-run").alias("problem")))
     return chain.unionByName(bad, allowMissingColumns=True)
+
+
+def chapter_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a project of which every conversation is a chapter, packed; what each lacks follows from its number."""
+    c = F.col("conv_id").cast("long")
+    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns")).withColumn("stem", F.format_string("v%d-ch%d", c % 7 + 1, c))
+    start = F.timestamp_seconds(F.lit(1767225600) + c * 3600)
+    minute = lambda n: start + F.make_dt_interval(mins=n)
+    marked = lambda ts: F.array_join(F.transform(ts, lambda n: F.format_string("<!-- block: %d -->\n\ntext", n)), "\n\n")
+    kept = F.filter("turns", lambda n: (n != 1) | (c % 3 != 0))
+    body = F.concat(marked(kept), F.when(c % 12 == 0, "\n<!-- ??? -->").otherwise(""), F.when(c % 14 == 0, "\n\n###\n").otherwise("\n\n### heading\n"))
+    notes = F.concat(F.when(c % 6 != 0, "## FINAL READ\n").otherwise("## NOTES\n"), F.when(c % 8 != 0, "GRAMMAR STYLE FORMAT").otherwise("GRAMMAR STYLE FORMATS"))
+    padded = F.format_string("v%02d-ch%d", c % 7 + 1, c)
+    name = F.when(c % 2 == 0, padded).otherwise(F.col("stem"))
+    file = lambda ok, path, at, text: F.when(ok, F.array(F.struct(path.alias("path"), at.alias("modified"), text.alias("text")))).otherwise(F.array())
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, k in enumerate(gate.SCANS)])
+    scans = F.transform(F.filter(kinds, lambda s: (c + s["i"]) % 13 != 0), lambda s: F.struct(F.concat(F.lit("/p/prefilter/"), "stem", F.lit("-"), s["k"], F.lit(".md")).alias("path"), F.when((c + s["i"]) % 9 == 0, minute(F.lit(5))).otherwise(minute(F.lit(10))).alias("modified"), F.lit("r").alias("text")))
+    runs = lambda folder, n, tail: F.transform(F.slice(F.sequence(F.lit(1), F.lit(4)), 1, n.cast("int")), lambda i: F.struct(F.concat(F.lit("/p/sma/"), "stem", F.lit(f"/{folder}/r"), i.cast("string"), F.lit(f"{tail}.json")).alias("path"), minute(i).alias("modified"), F.lit("{}").alias("text")))
+    files = F.concat(
+        file(c % 7 != 0, F.concat(F.lit("/p/output/"), "stem", F.lit(".md")), minute(F.lit(10)), body), file(c % 17 != 0, F.concat(F.lit("/p/ja/"), "stem", F.lit(".md")), minute(F.lit(0)), marked(F.col("turns"))), scans,
+        file(c % 5 != 0, F.concat(F.lit("/p/sma/"), "stem", F.lit("/precheck/omission-precheck.json")), minute(F.lit(1)), F.lit("{}")), runs("a", c % 4, ""), runs("b", (c + 1) % 4, ""), runs("c", F.lit(1), ""),
+        runs("analysis", c % 3, ".phase1"), runs("analysis", (c + 1) % 3, ""), file(c % 11 != 0, F.concat(F.lit("/p/audit/"), name, F.lit(".md")), minute(F.when(c % 4 < 2, 11).otherwise(9)), notes),
+        file((c % 10 == 0) & (c % 11 != 0), F.concat(F.lit("/p/audit/"), "stem", F.lit(".md")), minute(F.lit(50)), F.lit("old")),
+    )
+    path = new_path(spark, "project")
+    d.select(F.inline(files)).write.parquet(path)
+    return archive(spark, path)
+
+
+@query("""WITH c AS (SELECT conv_id AS c, list(DISTINCT turn) AS turns FROM conversations GROUP BY conv_id),
+k AS (SELECT c, 'v' || (c % 7 + 1) || '-ch' || c AS doc_id, c % 7 <> 0 AS o, c % 17 <> 0 AND NOT (c % 3 = 0 AND list_contains(turns, 1)) AS covered,
+  len(list_filter(range(0, 5), lambda i: (c + i) % 13 = 0 OR (c + i) % 9 = 0)) = 0 AS scans FROM c),
+x AS (SELECT doc_id, unnest([o, o AND covered, o AND scans, c % 5 <> 0, c % 4 > 0 AND (c + 1) % 4 > 0, c % 3 > 0, (c + 1) % 3 > 0, o AND c % 11 <> 0 AND c % 4 < 2, c % 11 <> 0 AND c % 6 <> 0, c % 11 <> 0 AND c % 8 <> 0, o AND c % 12 <> 0, o AND c % 14 <> 0]) AS ok,
+  unnest(range(1, 13))::INT AS check_no FROM k)
+SELECT * FROM x""")
+def gate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve checks of every chapter, from its files."""
+    return gate.checks(gate.evidence_of(chapter_archive(spark, sf_dir))).select("doc_id", "check_no", "ok")
+
+
+@query("""WITH o AS (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_type = 'purchase' GROUP BY ALL), r AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'purchase'),
+l AS (SELECT user_id, max(ts) AS last FROM o GROUP BY user_id)
+SELECT r.user_id, r.event_id, o.seen, coalesce(o.ts < l.last, true) AS stale FROM r ASOF LEFT JOIN o ON r.user_id = o.user_id AND r.ts >= o.ts LEFT JOIN l ON l.user_id = r.user_id""")
+def runs_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which version of a text each run saw, and whether a later one is there: purchases as versions, other events as runs."""
+    d = table(spark, sf_dir, "events")
+    states = d.where("event_type = 'purchase'").select("user_id", "ts", F.struct("ts", "event_id").alias("seen"))
+    found = gate.as_of(d.where("event_type <> 'purchase'").select("user_id", "ts", "event_id"), states, ["user_id"], "ts", "seen")
+    last = states.groupBy("user_id").agg(F.max("ts").alias("last"))
+    d = found.join(last, "user_id", "left")
+    return d.select("user_id", "event_id", F.col("seen.event_id").alias("seen"), F.coalesce(F.col("seen.ts") < F.col("last"), F.lit(True)).alias("stale"))
+
+
+@query(r"""WITH t AS (SELECT (conv_id % 7 + 1)::VARCHAR AS doc_id, (conv_id * 100 + turn)::INT AS block_no, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations),
+l AS (SELECT doc_id, block_no, unnest(range(1, len(ls) + 1)) AS i, ls FROM t), x AS (SELECT doc_id, block_no, i, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS text FROM l)
+SELECT doc_id, block_no, (row_number() OVER (PARTITION BY doc_id, block_no ORDER BY i))::INT AS para_no, text FROM x WHERE text <> '' AND NOT starts_with(text, '# ') AND NOT starts_with(text, '<!--')""")
+def volume_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as the blocks of seven volumes, written in ranges and read again block by block; no row holds a volume on either way."""
+    d = table(spark, sf_dir, "conversations").withColumn("block_no", (F.col("conv_id") * 100 + F.col("turn")).cast("int"))
+    text = F.concat(F.format_string("<!-- block: %d -->\n\n", "block_no"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    path = new_path(spark, "volumes")
+    sinks.write_ordered(d.select((F.col("conv_id") % 7 + 1).cast("int").alias("volume"), "block_no", text.alias("text")), path, "volume", ["block_no"], bytes_per_file=1 << 20)
+    return split_blocks(spark, path, "volume")
+
+
+@query(rf"""WITH c AS (SELECT conv_id, 'v' || (conv_id % 4 + 1) || '-' || {_PART} AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+p AS (SELECT (conv_id % 4 + 1)::INT AS volume, doc_id, text, CASE conv_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 2 END AS place, CASE WHEN conv_id % 9 > 3 THEN conv_id ELSE 0 END AS number FROM c),
+w AS (SELECT volume, string_split(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place, number, doc_id, text), chr(10)) AS ls FROM p GROUP BY volume)
+SELECT volume, unnest(range(1, len(ls) + 1))::INT AS line_no, md5(unnest(ls)) AS digest FROM w""")
+def volume_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole volumes in the order of a book, written in ranges of lines with an index, and their lines as the files give them."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    m = F.col("conv_id") % 9
+    part = F.when(m == 0, "preface").when(m == 1, "epilogue").when(m == 2, "credits").when(m == 3, F.concat(F.lit("notes-"), "conv_id")).otherwise(F.concat(F.lit("ch"), F.lpad(F.col("conv_id").cast("string"), 4, "0")))
+    d = c.select(F.concat(F.lit("v"), (F.col("conv_id") % 4 + 1).cast("string"), F.lit("-"), part).alias("doc_id"), "text")
+    path = new_path(spark, "book")
+    index = sinks.write_ordered(sinks.volume_pieces(d), path, "volume", ["place", "number", "doc_id", "piece"], bytes_per_file=256 << 10)
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="part-*").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+    d = lines.join(index.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "volume", "offset"), (F.regexp_extract("path", "([^/]+)$", 1) == F.col("file")) & (F.regexp_extract("path", "/volume=([^/]+)/", 1) == F.col("volume")))
+    place = F.row_number().over(W.partitionBy("volume").orderBy("offset", "start", "n"))
+    return d.select(F.col("volume").cast("int").alias("volume"), place.alias("line_no"), F.md5(F.col("value").cast("binary")).alias("digest"))

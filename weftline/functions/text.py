@@ -10,8 +10,11 @@ MATCH = "struct<start:int,end:int,hit:string>"
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end (``trim`` only knows the blank)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at either end (``trim`` only knows the blank).
+
+    A run of blanks is tried from its beginning only, so the work is linear in the text.
+    """
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def clean(c: Column) -> Column:
@@ -48,7 +51,7 @@ def without_space(c: Column) -> Column:
 
 def collapse_blank_lines(c: Column) -> Column:
     """Lines right-stripped, runs of blank lines as one, none at the ends."""
-    bare = F.regexp_replace(c, r"(?mU)[^\S\n]+$", "")
+    bare = F.regexp_replace(c, r"(?mU)(?<![^\S\n])[^\S\n]+$", "")
     return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 

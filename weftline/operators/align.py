@@ -46,7 +46,8 @@ def band_join(paras: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataF
     ``paras`` has doc, para_no, size; ``blocks`` has doc, block_no, size, or no doc where all documents share them.  A paragraph goes to the first block whose
     cumulative share exceeds the text before the paragraph; the last block takes the rest.  Shares are
     compared as whole numbers.  A document's limits travel as one array (its blocks are few), so the band
-    join is an equi-join on the document and no range join is needed.
+    join is an equi-join on the document, or a join with one row where all documents share the blocks, and no range join is
+    needed; the limit is found by halving.
     """
     run = W.partitionBy(doc).orderBy("para_no").rowsBetween(W.unboundedPreceding, -1)
     p = paras.select(doc, "para_no", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("before"), F.sum("size").over(W.partitionBy(doc)).alias("total"))
@@ -54,9 +55,10 @@ def band_join(paras: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataF
     upto = W.partitionBy(*own).orderBy("block_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     b = blocks.select(*own, "block_no", F.sum("size").over(upto).alias("acc"), F.sum("size").over(W.partitionBy(*own)).alias("whole"))
     b = b.withColumn("whole", F.when(F.col("whole") == 0, 1).otherwise(F.col("whole")))
-    totals = p.groupBy(doc).agg(F.first("total").alias("total"))
     per = b.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("block_no", "acc", "whole"))).alias("limits")).where(F.size("limits") > 0)
-    joined = (p.drop("total").join(per, doc) if own else p.drop("total").crossJoin(F.broadcast(per))).join(totals, doc)
-    fits = F.filter("limits", lambda x: F.col("before") * x["whole"] < F.col("total") * x["acc"])
-    place = F.coalesce(F.get(fits, F.lit(0))["block_no"], F.element_at("limits", -1)["block_no"])
+    joined = p.join(per, doc) if own else p.crossJoin(per)  # Spark broadcasts the one row if it is small enough
+    halves = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    beyond = lambda at: F.col("before") * F.get("limits", at)["whole"] >= F.col("total") * F.get("limits", at)["acc"]
+    passed = F.aggregate(F.filter(halves, lambda h: h <= F.size("limits")), F.lit(0), lambda n, h: F.when((n + h <= F.size("limits")) & beyond(n + h - 1), n + h).otherwise(n))
+    place = F.coalesce(F.get("limits", passed)["block_no"], F.element_at("limits", -1)["block_no"])
     return joined.select(doc, "para_no", place.alias("block_no"))

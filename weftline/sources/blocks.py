@@ -111,3 +111,32 @@ def record_paragraphs(docs: DataFrame) -> DataFrame:
     """Paragraphs without those that start with a block marker; text attached to the marker goes too."""
     kept = paragraphs(docs).where(~F.col("text").startswith("<!-- block:"))
     return kept.withColumn("para_no", F.row_number().over(W.partitionBy("doc_id").orderBy("para_no")))
+
+
+def split_blocks(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """(doc_id, block_no, para_no, text) of block files too large for a row: ``blocks`` of mode 'last' without reading a file whole.
+
+    Spark's text reader cuts files at the marker's opening, so one file is read by many tasks and a row is one block.  A
+    document is a folder <folder>=<id> of files in the order of their names (as ``write_ordered`` leaves them); the place of a
+    block is its file, the start of its split and its number in there.  Only what is no marker on a line of its own (few
+    rows) has to be told to which block it belongs, by a window over places and numbers alone.  Markers are those that the
+    writers write, <!-- block: N -->.
+    """
+    rows = spark.read.text(path, lineSep="<!-- block:", recursiveFileLookup=True, pathGlobFilter="part-*")
+    doc = F.regexp_extract("_metadata.file_path", f"/{folder}=([^/]+)/", 1).alias("doc_id")
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("place")
+    d = rows.select(doc, place, F.regexp_replace("value", "\r\n?", "\n").alias("body"))
+    d = d.withColumn("head", F.regexp_extract("body", r"^\s*(\d+)\s*-->[ \t]*(?:\n|\z)", 1).try_cast("int")).withColumn("ends", F.col("body").rlike(r"(?:^|\n)[ \t]*\z"))
+    order = W.partitionBy("doc_id").orderBy("place")
+    at = d.select("doc_id", "place", "head", F.coalesce(F.lag("ends").over(order), F.lit(True)).alias("free"))
+    own = F.when(F.col("free"), F.col("head"))
+    at = at.select("doc_id", "place", F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("carried"), F.max(F.when(own.isNotNull(), F.col("place"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("entry"), own.isNull().alias("loose"))
+    loose = at.where("loose").select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), "carried", "entry", "loose")
+    d = d.join(loose, (F.col("doc_id") == F.col("_doc")) & (F.col("place") == F.col("_place")), "left").drop("_doc", "_place")
+    block = F.when(F.col("loose"), F.col("carried")).otherwise(F.col("head"))
+    text = F.when(F.col("loose"), F.concat(F.lit("<!-- block:"), "body")).otherwise(F.regexp_replace("body", r"^\s*\d+\s*-->[ \t]*(?:\n|\z)", ""))
+    d = d.select("doc_id", block.alias("block_no"), F.coalesce("entry", "place").alias("entry"), "place", F.split(text, "\n", -1).alias("ls")).where("block_no IS NOT NULL")
+    per = d.groupBy("doc_id", "block_no").agg(F.max("entry").alias("latest"), F.array_sort(F.collect_list(F.struct("entry", "place", "ls"))).alias("rs"))
+    whole = F.array_join(F.flatten(F.transform(F.filter("rs", lambda r: r["entry"] == F.col("latest")), lambda r: F.array(F.array_join(r["ls"], "\n")))), "")
+    kept = F.filter(F.transform(F.split(whole, "\n", -1), strip), lambda x: (x != "") & ~x.startswith("# ") & ~x.startswith("<!--"))
+    return per.select("doc_id", "block_no", F.posexplode(kept).alias("p", "text")).select("doc_id", "block_no", (F.col("p") + 1).alias("para_no"), "text")

@@ -26,3 +26,14 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified, bytes) of all files under a folder, read from metadata alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def project_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modified, text) of all files under a folder, each read whole."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+
+
+def archive(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files packed as rows of Parquet, many thousands in one: a project of millions of small files is read as a few large ones."""
+    return spark.read.schema("path string, modified timestamp, text string").parquet(path)

@@ -6,6 +6,7 @@ Tables are never edited in place: a change is a new version (``versions``).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.text import EMPTY
@@ -63,17 +64,22 @@ def pair_text(pairs: DataFrame, left: str = "JA", right: str = "OUTPUT", doc: st
 PARTS = ("preface", "chapter", "epilogue", "afterword", "other", "credits")
 
 
+def _placed(chapters: DataFrame) -> DataFrame:
+    """(volume, place, number, doc_id, text) of the chapters that belong to a volume."""
+    part = F.regexp_extract("doc_id", r"^v\d{1,3}-(.*)$", 1)
+    number = F.regexp_extract(part, r"^ch0*(\d+)", 1).try_cast("int")
+    name = F.when(number.isNotNull(), "chapter").when(part.isin(*[p for p in PARTS if p != "chapter"]), part).otherwise("other")
+    place = F.array_position(F.array(*[F.lit(p) for p in PARTS]), name)
+    return chapters.select(F.regexp_extract("doc_id", r"^v(\d{1,3})-", 1).try_cast("int").alias("volume"), place.alias("place"), F.coalesce(number, F.lit(0)).alias("number"), "doc_id", "text").where("volume IS NOT NULL")
+
+
 def volume_text(chapters: DataFrame, rule: str = "\n\n---\n\n") -> DataFrame:
     """(volume, n_parts, text) of (doc_id, text): a volume's preface, chapters by number, epilogue, afterword, other parts, credits.
 
     ``doc_id`` is v<volume>-ch<number> or v<volume>-<part>; files without a volume are left out, and missing
     parts too.
     """
-    part = F.regexp_extract("doc_id", r"^v\d{1,3}-(.*)$", 1)
-    number = F.regexp_extract(part, r"^ch0*(\d+)", 1).try_cast("int")
-    name = F.when(number.isNotNull(), "chapter").when(part.isin(*[p for p in PARTS if p != "chapter"]), part).otherwise("other")
-    place = F.array_position(F.array(*[F.lit(p) for p in PARTS]), name)
-    d = chapters.select(F.regexp_extract("doc_id", r"^v(\d{1,3})-", 1).try_cast("int").alias("volume"), place.alias("place"), F.coalesce(number, F.lit(0)).alias("number"), "doc_id", "text").where("volume IS NOT NULL")
+    d = _placed(chapters)
     return d.groupBy("volume").agg(F.count("*").alias("n_parts"), F.array_join(_in_order(F.col("text"), "place", "number", "doc_id"), rule).alias("text"))
 
 
@@ -83,3 +89,33 @@ def gate_text(checked: DataFrame, key: str = "doc_id") -> DataFrame:
     closed, total = F.count_if("ok"), F.count("*")
     head = F.concat(closed.cast("string"), F.lit("/"), total.cast("string"), F.when(closed == total, " ready").otherwise(" not ready"))
     return checked.groupBy(key).agg(F.concat(F.array_join(_in_order(row, "check_no"), "\n"), F.lit("\n\n"), head).alias("text"))
+
+
+def write_ordered(pieces: DataFrame, path: str, volume: str, order: list[str], bytes_per_file: int = 128 << 20) -> DataFrame:
+    """Write column ``text`` of the pieces of each volume in order, as text files; returns their index.
+
+    A volume is a folder <volume>=<value> whose files, read by name, are the volume: pieces are dealt to files by ranges of
+    (volume, order), sorted inside each, so no task holds more than a file however long a volume is.  Index:
+    (volume, file_no from 1, path, bytes, offset of the file's first byte in the volume).
+    """
+    spark = pieces.sparkSession
+    size = pieces.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    ranges = pieces.repartitionByRange(max(1, -(-size // bytes_per_file)), volume, *order)
+    ranges.sortWithinPartitions(volume, *order).select(volume, "text").write.partitionBy(volume).text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("bytes"))
+    files = files.withColumn(volume, F.regexp_extract("path", f"/{volume}=([^/]+)/", 1))
+    by = W.partitionBy(volume).orderBy("path")
+    before = F.coalesce(F.sum("bytes").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return files.select(volume, F.row_number().over(by).alias("file_no"), "path", "bytes", before.alias("offset"))
+
+
+def volume_pieces(chapters: DataFrame, rule: str = "---") -> DataFrame:
+    """(volume, place, number, doc_id, piece, text) of (doc_id, text): the paragraphs of a volume's parts in order, a rule before each part but the first.
+
+    The parts and their order are those of ``volume_text``, which makes one cell of a volume; pieces go to ``write_ordered``.
+    """
+    d = _placed(chapters)
+    first = F.row_number().over(W.partitionBy("volume").orderBy("place", "number", "doc_id", "text")) == 1
+    d = d.withColumn("cut", F.when(first, F.lit("")).otherwise(F.lit(f"\n{rule}\n\n")))
+    lines = F.split(F.concat("cut", "text"), "\n", -1)
+    return d.select("volume", "place", "number", "doc_id", F.posexplode(lines).alias("piece", "text"))
