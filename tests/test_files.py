@@ -167,7 +167,7 @@ def test_large_block_files_are_read_in_splits(spark, tmp_path):
 def test_a_volume_in_ranges(spark, tmp_path):
     rows = [("v1-ch02", "two\nlines"), ("v1-ch01", "one"), ("v1-preface", "pre\n"), ("v2-ch01", "x" * 50), ("v1-credits", ""), ("no-volume", "y"), ("v1-ch10", "ten"), ("v1-notes", "n")]
     d = spark.createDataFrame(rows, "doc_id string, text string")
-    index = sinks.write_ordered(sinks.volume_pieces(d), str(tmp_path / "book"), "volume", ["place", "number", "doc_id", "piece"], bytes_per_file=20).collect()
+    index = sinks.write_ordered(sinks.volume_pieces(d), str(tmp_path / "book"), "volume", ["place", "number", "doc_id", "key", "piece"], bytes_per_file=20).collect()
     want = {str(r.volume): r.text for r in sinks.volume_text(d).collect()}
     for v, text in want.items():
         files = sorted((r for r in index if r.volume == v), key=lambda r: r.file_no)

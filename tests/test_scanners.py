@@ -6,7 +6,7 @@ from weftline.plans.address_rules import address_scan
 from weftline.plans.align_rules import align_check
 from weftline.plans.grammar_rules import grammar_scan
 from weftline.plans.record_rules import record_scan
-from weftline.queries import GOLDEN
+from tests.test_golden import GOLDEN
 
 
 def view(spark, *pairs):

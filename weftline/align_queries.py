@@ -64,7 +64,7 @@ def dp_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Letters of the tables' prose as Cyrillic and as kana, one for one.
-_LATIN, _CYRILLIC, _KANA = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшэыз", "あいうえおかきくけこさしすせそたちつてとなにぬねの"
+_LATIN, _CYRILLIC, _KANA = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшэыз", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
 
 
 def three_languages(text: str = "text") -> dict[str, Column]:

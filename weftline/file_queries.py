@@ -191,7 +191,7 @@ def volume_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH c AS (SELECT conv_id, 'v' || (conv_id % 4 + 1) || '-' || {_PART} AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
 p AS (SELECT (conv_id % 4 + 1)::INT AS volume, doc_id, text, CASE conv_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 2 END AS place, CASE WHEN conv_id % 9 > 3 THEN conv_id ELSE 0 END AS number FROM c),
-w AS (SELECT volume, string_split(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place, number, doc_id, text), chr(10)) AS ls FROM p GROUP BY volume)
+w AS (SELECT volume, string_split(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place, number, doc_id, md5(text)), chr(10)) AS ls FROM p GROUP BY volume)
 SELECT volume, unnest(range(1, len(ls) + 1))::INT AS line_no, md5(unnest(ls)) AS digest FROM w""")
 def volume_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole volumes in the order of a book, written in ranges of lines with an index, and their lines as the files give them."""
@@ -200,8 +200,17 @@ def volume_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(m == 0, "preface").when(m == 1, "epilogue").when(m == 2, "credits").when(m == 3, F.concat(F.lit("notes-"), "conv_id")).otherwise(F.concat(F.lit("ch"), F.lpad(F.col("conv_id").cast("string"), 4, "0")))
     d = c.select(F.concat(F.lit("v"), (F.col("conv_id") % 4 + 1).cast("string"), F.lit("-"), part).alias("doc_id"), "text")
     path = new_path(spark, "book")
-    index = sinks.write_ordered(sinks.volume_pieces(d), path, "volume", ["place", "number", "doc_id", "piece"], bytes_per_file=256 << 10)
+    index = sinks.write_ordered(sinks.volume_pieces(d), path, "volume", ["place", "number", "doc_id", "key", "piece"], bytes_per_file=256 << 10)
     lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="part-*").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
     d = lines.join(index.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "volume", "offset"), (F.regexp_extract("path", "([^/]+)$", 1) == F.col("file")) & (F.regexp_extract("path", "/volume=([^/]+)/", 1) == F.col("volume")))
     place = F.row_number().over(W.partitionBy("volume").orderBy("offset", "start", "n"))
     return d.select(F.col("volume").cast("int").alias("volume"), place.alias("line_no"), F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query("""WITH c AS (SELECT conv_id AS c, list(DISTINCT turn) AS turns FROM conversations GROUP BY conv_id),
+k AS (SELECT c, 'v' || (c % 7 + 1) || '-ch' || c AS doc_id, c % 7 <> 0 AS o, c % 17 <> 0 AND NOT (c % 3 = 0 AND list_contains(turns, 1)) AS covered, len(list_filter(range(0, 5), lambda i: (c + i) % 13 = 0 OR (c + i) % 9 = 0)) = 0 AS scans FROM c),
+x AS (SELECT doc_id, list_sum([o, o AND covered, o AND scans, c % 5 <> 0, c % 4 > 0 AND (c + 1) % 4 > 0, c % 3 > 0, (c + 1) % 3 > 0, o AND c % 11 <> 0 AND c % 4 < 2, c % 11 <> 0 AND c % 6 <> 0, c % 11 <> 0 AND c % 8 <> 0, o AND c % 12 <> 0, o AND c % 14 <> 0]::INT[])::BIGINT AS closed FROM k)
+SELECT doc_id, closed, closed = 12 AS ready FROM x""")
+def gate_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many checks each chapter's files close, and whether it is ready."""
+    return gate.verdicts(gate.checks(gate.evidence_of(chapter_archive(spark, sf_dir)))).select("doc_id", "closed", "ready")

@@ -1,7 +1,7 @@
 """The engine's operators on the driver tables, each with its DuckDB counterpart where SQL has one.
 
 Texts of the tables hold few of the marks the checks look for, so a query chooses a language pack that
-fits them; the literal Russian and English rules run on inline rows in ``scanner_golden``.
+fits them; the literal Russian and English rules run on derived texts in ``prose_queries``.
 DuckDB's regexes have no look-around and ASCII word borders: its patterns consume a non-letter instead.
 """
 
@@ -422,36 +422,6 @@ def ordered_patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join("r.counts", ",").alias("counts"), F.col("r.ok").alias("ok"), F.md5(F.col("r.text").cast("binary")).alias("digest"))
 
 
-_NUMERALS = [("一万二千", 12000), ("十", 10), ("〇", None), ("二十三", 23), ("三百五", 305), ("一億二千万", 120000000), ("千", 1000), ("", None), ("七万", 70000)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', {'NULL' if v is None else v}::BIGINT)" for s, v in _NUMERALS) + ") AS t(numeral, value)")
-def ja_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(s,) for s, _ in _NUMERALS], "numeral string")
-    return d.select("numeral", ja_value(F.col("numeral")).alias("value"))
-
-
-#: Own rows for the literal rules: (block, English, Russian, kinds expected).
-GOLDEN = [
-    (1, "She was tired.", "Она устали.", "agreement"),
-    (2, "The long wait wore her out.", "долгое ожидание вконец измотали её", "agreement"),
-    (3, "The long wait wore her out.", "долгое ожидание вконец измотало её", ""),
-    (4, "The rest went home.", "Сидение, а потом, все ушли.", ""),
-    (5, "The purse was taken by the boy.", "Кошелёк у мальчика потерялся.", "voice"),
-    (6, "Anna's purse was stolen.", "Анна лишилась кошелька.", "possessive"),
-    (7, "He opened the gate.", "Замок был сломан.", "passive-ru"),
-    (8, "She ate three pears.", "Она съела 3 груши.", "numbers"),
-    (9, "She ate ten of 120 pears.", "Она съела десять из 120 груш.", ""),
-    (10, "They sang.", "—", ""),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{k}')" for n, _, _, ks in GOLDEN for k in ks.split() if k) + ") AS t(block_no, kind)")
-def scanner_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("g", n, e, r) for n, e, r, _ in GOLDEN], "doc_id string, block_no int, en string, ed_ru string")
-    return grammar_scan(rows).select("block_no", "kind")
-
-
 @query(f"""WITH {LINES},
 w AS (SELECT doc_id, para_no, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{5,}}')) AS word FROM lines), c AS (SELECT doc_id, word, para_no, count(*) AS n FROM w GROUP BY ALL)
 SELECT * FROM (SELECT *, (sum(n) OVER (PARTITION BY doc_id, word ORDER BY para_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))::BIGINT AS n_near FROM c) WHERE n_near >= 3""")
@@ -495,128 +465,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(evaluate(d, ["lang"], [Rule("digit", "weak", s.rlike("[0-9]"), none, none, none), Rule("negation", "info", has_word(s, _NEG), none, none, none)]), ["lang"])
 
 
-# Operators on inline rows, where the tables hold no such texts; the SQL states the right rows.
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(lit, r))})" for r in rows) + f") AS t({names})"
-
-
-_BLOCK_FILE = "# Начало\nдо меток\n<!-- block: 2 -->\nпервый\n\n<!-- заметка -->\nвторой\n<!-- block: 1 -->\nтретий\n<!-- block: 2 -->\nчетвёртый"
-
-
-@query(_values([
-    ("last", 1, 1, "третий"), ("last", 2, 1, "четвёртый"), ("rows", 1, 1, "третий"), ("rows", 2, 1, "первый"), ("rows", 2, 2, "второй"), ("rows", 2, 1, "четвёртый"),
-    ("merge", 1, 1, "третий"), ("merge", 2, 1, "первый"), ("merge", 2, 2, "<!-- заметка -->"), ("merge", 2, 3, "второй"), ("merge", 2, 4, "четвёртый"),
-], "mode, block_no, para_no, text"))
-def block_reader_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three meanings of a repeated block number."""
-    from weftline.sources.blocks import blocks
-
-    docs = spark.createDataFrame([("v1-ch01", _BLOCK_FILE)], "doc_id string, text string")
-    found = [blocks(docs, mode).select(F.lit(mode).alias("mode"), "block_no", "para_no", "text") for mode in ("last", "rows", "merge")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
-
-
-_MERGED_FILE = "## Блок 1\n\n**JA:** 春\n\n**EN:** spring\n\n**RU:** весна\n\n**ED_RU:** —\n\n## Блок 2\n\n**EN:** old\n\n**EN:** rain\nfalls\n"
-
-
-@query(_values([(1, "春", "spring", "весна", "—"), (2, "—", "rain\nfalls", "—", "—")], "block_no, ja, en, ru, ed_ru"))
-def merged_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A merged chapter written out and read again: a missing field comes back as the dash it was printed as."""
-    from weftline.sources.blocks import merged
-    from weftline.sources.sinks import merged_text
-
-    view = merged(spark.createDataFrame([("v1-ch01", _MERGED_FILE)], "doc_id string, text string"))
-    return merged(merged_text(view)).select("block_no", "ja", "en", "ru", "ed_ru")
-
-
-@query(_values([(1, "title", "Зима"), (1, "marked", "true"), (1, "block 1", "раз\n\nтри"), (1, "block 2", "два"), (2, "title", ""), (2, "marked", "false")], "chapter, what, value"))
-def chapter_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, marks, and repeated blocks joined by a blank line."""
-    from weftline.sources.blocks import parsed_chapters
-
-    docs = spark.createDataFrame([(1, "# Зима\n<!-- block: 1 -->\nраз\n<!-- block: 2 -->\nдва\n<!-- block: 1 -->\nтри"), (2, "без меток")], "doc_id int, text string")
-    d = parsed_chapters(docs)
-    facts = d.select("doc_id", F.inline(F.array(F.struct(F.lit("title").alias("what"), F.col("title").alias("value")), F.struct(F.lit("marked").alias("what"), F.col("marked").cast("string").alias("value"))))).distinct()
-    own = d.where("block_no IS NOT NULL").select("doc_id", F.format_string("block %d", "block_no").alias("what"), F.col("text").alias("value"))
-    return facts.unionByName(own).select(F.col("doc_id").alias("chapter"), "what", "value")
-
-
-_TABLE = "| JA | EN | RU | note |\n|---|---|---|---|\n| 森 | Silvana Order | Сильвана | n |\n| 川 | Rivera | **Ривера** | |\n| 海 | sea | Море | |\n| 森2 | Silvan | Сильванец | |"
-
-
-@query(_values([("name", "Сильвана", "silvana"), ("name", "**Ривера**", "rivera"), ("name", "Сильванец", "silvan"), ("stem", "Сильвана", "сильва"), ("stem", "Ривера", "риве"), ("stem", "Море", "море"), ("stem", "Сильванец", "сильван"),
-                ("entry", "Сильвана", "g:森"), ("entry", "**Ривера**", "g:川"), ("entry", "Море", "g:海"), ("entry", "Сильванец", "g:森2")], "use, ru, value"))
-def glossary_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One glossary read for names, for stems (first wins) and for anchors."""
-    from weftline.sources.tables import glossary_entries, glossary_names, glossary_stems
-
-    docs = spark.createDataFrame([("dictionary", _TABLE)], "doc_id string, text string")
-    names = glossary_names(docs).select(F.lit("name").alias("use"), "ru", F.array_join("en_forms", ",").alias("value"))
-    stems = glossary_stems(docs).select(F.lit("stem").alias("use"), F.col("canon").alias("ru"), F.col("stem").alias("value"))
-    return names.unionByName(stems).unionByName(glossary_entries(docs).select(F.lit("entry").alias("use"), "ru", F.col("key").alias("value")))
-
-
-@query(_values([("all", 1), ("all", 2), ("done", 1)], "rule, volume"))
-def frozen_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.sources.tables import frozen_volumes
-
-    docs = spark.createDataFrame([("completed", "| том | статус |\n|---|---|\n| 1 | завершён |\n| 2 | в работе |")], "doc_id string, text string")
-    return frozen_volumes(docs).select(F.lit("all").alias("rule"), "volume").unionByName(frozen_volumes(docs, "завершён").select(F.lit("done").alias("rule"), "volume"))
-
-
-@query(_values([("ja", "g:森"), ("ja", "12000"), ("en", "g:森"), ("en", "12000"), ("en", "7"), ("ru", "g:森"), ("ru", "12000")], "lang, anchor"))
-def number_and_term_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language-free anchors: glossary keys and numbers."""
-    rows = spark.createDataFrame([("d", 1, "森で一万二千", "Silvana paid 12,000 for 7", "Сильвана отдала 12 000")], "doc_id string, block_no int, ja string, en string, ru string")
-    entries = spark.createDataFrame([("g:森", "森", "silvana", "сильвана"), ("g:x", "無", "van", "ильва")], "key string, ja string, en string, ru string")
-    found = [glossary.anchors(rows, entries, lang, lang).select(F.lit(lang).alias("lang"), F.replace("anchor", F.lit("\x00"), F.lit("")).alias("anchor")) for lang in ("ja", "en", "ru")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
-
-
-_ALIGN_GOLDEN = [
-    (1, "", None, "no-translation"), (2, '"Run," he said.', "Беги, сказал он.", "speech"), (3, "Why?", "Потому.", "marks"), (4, "She was not there.", "Она там была.", "negation"),
-    (5, "They saw us.", "Они видели вас.", "pronouns"), (6, "He had 40 ships.", "У него были корабли.", "numbers"), (7, "He had 7 ships.", "У него семь кораблей.", ""),
-    (8, "Silvana left.", "Ушла Ривера.", "names names"), (9, "Silvana left.", "Сильваны нет.", "negation"),
-]
-
-
-@query(_values([(n, k) for n, _, _, ks in _ALIGN_GOLDEN for k in ks.split()], "block_no, kind"))
-def align_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The literal English and Russian alignment rules, with a glossary."""
-    view = spark.createDataFrame([("g", n, e, r) for n, e, r, _ in _ALIGN_GOLDEN], "doc_id string, block_no int, en string, ed_ru string")
-    names = spark.createDataFrame([(["silvana"], "силь", "Сильвана"), (["rivera"], "риве", "Ривера")], "en_forms array<string>, ru_base string, ru string")
-    return align_check(view, names).select("block_no", "kind")
-
-
-@query(_values([(1, "мисс", "Орлова", "Miss Орлова nodded."), (2, "господин", "ректор", "")], "block_no, prefix, name, source"))
-def address_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source is shown by the name as the target spells it, so a crib that transliterates shows nothing."""
-    rows = [("g", 1, "Rain. Miss Орлова nodded.", "Дождь. Мисс Орлова кивнула."), ("g", 2, "The rector came.", "Пришёл господин ректор."), ("g", 3, "x", "Пришла мадам Орлова.")]
-    view = spark.createDataFrame(rows, "doc_id string, block_no int, en string, ed_ru string")
-    return address_scan(view).select("block_no", "prefix", "name", "source")
-
-
-@query(_values([(1, 1, "Да. — Иди сюда"), (3, 2, "Конец! — Начало")], "para_no, line_no, fragment"))
-def record_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("g", 1, "Да. — Иди сюда"), ("g", 2, "Да. — Сказала она тихо"), ("g", 3, "строка\nКонец! — Начало"), ("g", 4, "# Глава. — Слово")]
-    return record_scan(spark.createDataFrame(rows, "doc_id string, para_no int, text string")).select("para_no", "line_no", "fragment")
-
-
-_CHAPTERS = {"whole": {}, "stale": {"scan": "2025-01-01"}, "open": {"text": "<!-- ??? -->"}, "short": {"ru": [1]}, "empty": {"output": None}}
-
-
-@query(_values([("whole", 12, True), ("stale", 11, False), ("open", 11, False), ("short", 11, False), ("empty", 6, False)], "doc_id, closed, ready"))
-def gate_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve checks of the chapter gate on whole and broken evidence."""
-    rows = []
-    for name, change in _CHAPTERS.items():
-        scans = {s: change.get("scan", "2026-01-03") if s == "style" else "2026-01-03" for s in gate.SCANS}
-        rows.append((name, change.get("output", "2026-01-02"), change.get("text", "текст"), "2026-01-03", "## FINAL READ\nGRAMMAR STYLE FORMAT", "2026-01-01", [1, 2], change.get("ru", [1, 2]), scans, 1, 1, 1, 1))
-    d = spark.createDataFrame(rows, "doc_id string, output_at string, text string, audit_at string, audit_text string, precheck_at string, ja_blocks array<int>, ru_blocks array<int>, scan_at map<string,string>, runs_a int, runs_b int, phase1 int, phase2 int")
-    return gate.verdicts(gate.checks(d)).select("doc_id", "closed", "ready")
-
-
 @query(r"SELECT conv_id AS doc_id, count(*) AS turns, count(*) FILTER (regexp_matches(text, '[,\n]')) AS marked FROM conversations GROUP BY conv_id HAVING count(*) FILTER (regexp_matches(text, '[,\n]')) > 0")
 def dialogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with a marked turn (the marks of speech are a parameter of the filter)."""
@@ -640,13 +488,7 @@ def slug_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_.intersect(labels.where("quality = 1").select("doc_id")).exceptAll(labels.where("toxic = 1").select("doc_id"))
 
 
-@query(_values([("a", "REPORT_ONLY", "r1,r2"), ("b", "PRESERVED", "r1"), ("c", "REPORT_ONLY", "")], "id, action, sources"))
-def provenance_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new run id joins the sources that are there and lack it; a fix is reported, not applied."""
-    d = spark.createDataFrame([("a", "FIXED", ["r1"], "r2"), ("b", "PRESERVED", ["r1"], "r1"), ("c", "REPORT_ONLY", [], "r2")], "id string, action string, sources array<string>, run string")
-    return d.select("id", findings.clamped(F.col("action")).alias("action"), F.array_join(findings.with_source(F.col("sources"), F.col("run")), ",").alias("sources"))
-
-
 import weftline.scan_queries  # noqa: E402, F401  registers its queries
 import weftline.align_queries  # noqa: E402, F401  registers its queries
 import weftline.file_queries  # noqa: E402, F401  registers its queries
+import weftline.prose_queries  # noqa: E402, F401  registers its queries

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.operators import evidence, gate, regression, style
 from weftline.operators.layout import LayoutPack, layout_scan
-from weftline.plans.grammar_rules import grammar_scan
 from weftline.queries import HAS_WORD, LINES, _NUMBERS_SQL, doc_lines, line_blocks, order_blocks, query, table
 from weftline.sources import blocks as block_files
 from weftline.sources import sinks
@@ -103,33 +102,6 @@ def drift_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style.drift_kinds(old, new, ["doc_id", "para_no"], TABLE_DRIFT)
 
 
-#: Own sentences with what a reader finds in them: English (passive, agent, possessor), Russian (reflexive, passive, agreement, digit).
-_EN = [("She was tired.", 1, 0, 0), ("The long wait wore her out.", 0, 0, 0), ("The purse was taken by the boy.", 1, 1, 0), ("Anna's purse was stolen.", 1, 0, 1), ("He opened the gate.", 0, 0, 0), ("Their hats were given by a friend.", 1, 1, 0)]
-_RU = [("Она устали.", 0, 0, 1, 0), ("Кошелёк у мальчика потерялся.", 1, 0, 0, 0), ("Замок был сломан.", 0, 1, 0, 0), ("Она съела 3 груши.", 0, 0, 0, 1), ("Все ушли домой.", 0, 0, 0, 0), ("Дверь открылась. Ворота были сломаны.", 1, 1, 0, 0),
-       ("долгое ожидание вконец измотали её. Осталось 120 груш.", 1, 0, 1, 0)]
-_PAIRED = (
-    "e(i, ss, passive, agent, poss) AS (VALUES " + ", ".join(f"({i}, '{s.replace(chr(39), chr(39) * 2)}', {p}, {a}, {o})" for i, (s, p, a, o) in enumerate(_EN)) + "), "
-    "r(k, ts, refl, passive_ru, agree, digit) AS (VALUES " + ", ".join(f"({i}, '{s}', {a}, {b}, {c}, {d})" for i, (s, a, b, c, d) in enumerate(_RU)) + ")"
-)
-
-
-@query(f"""WITH {LINES}, {_PAIRED},
-d AS (SELECT doc_id, para_no AS block_no, passive = 1 AS p, agent = 1 AS a, poss = 1 AS o, refl = 1 AS refl, passive_ru = 1 AS pr, agree = 1 AS ag, digit = 1 AS di
-  FROM lines JOIN e ON i = (doc_id + para_no) % {len(_EN)} JOIN r ON k = para_no % {len(_RU)})
-SELECT doc_id, block_no, 'voice' AS kind FROM d WHERE p AND (a OR o) AND refl AND NOT o UNION ALL SELECT doc_id, block_no, 'possessive' FROM d WHERE o
-UNION ALL SELECT doc_id, block_no, 'passive-ru' FROM d WHERE pr UNION ALL SELECT doc_id, block_no, 'agreement' FROM d WHERE ag UNION ALL SELECT doc_id, block_no, 'numbers' FROM d WHERE di""")
-def grammar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of the documents, its letters as Cyrillic ones on the target side, after a sentence of each side: the SQL has
-    what a reader finds in the sentences and the rules over it."""
-    en = F.array(*[F.lit(s) for s, *_ in _EN])
-    ru = F.array(*[F.lit(s) for s, *_ in _RU])
-    d = doc_lines(spark, sf_dir).select("doc_id", F.col("para_no").alias("block_no"), "text")
-    tail = F.regexp_replace("text", "[^A-Z]", "")  # capitals alone: no verbs, endings or digits
-    source = F.concat_ws(" ", F.get(en, ((F.col("doc_id") + F.col("block_no")) % len(_EN)).cast("int")), tail)
-    target = F.concat_ws(" ", F.get(ru, F.col("block_no") % len(_RU)), F.translate(tail, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБЦДЕФГХИЙКЛМНОПКРСТУВВХЫЗ"))
-    return grammar_scan(d.select("doc_id", "block_no", source.alias("en"), target.alias("ed_ru"))).select("doc_id", "block_no", "kind")
-
-
 def chapter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): each conversation as a block file with a title, a turn a block; turns divisible by four come twice."""
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))

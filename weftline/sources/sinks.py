@@ -110,12 +110,14 @@ def write_ordered(pieces: DataFrame, path: str, volume: str, order: list[str], b
 
 
 def volume_pieces(chapters: DataFrame, rule: str = "---") -> DataFrame:
-    """(volume, place, number, doc_id, piece, text) of (doc_id, text): the paragraphs of a volume's parts in order, a rule before each part but the first.
+    """(volume, place, number, doc_id, key, piece, text) of (doc_id, text): the lines of a volume's parts, a rule before each part but the first.
 
-    The parts and their order are those of ``volume_text``, which makes one cell of a volume; pieces go to ``write_ordered``.
+    The parts and their order are those of ``volume_text``, which makes one cell of a volume (parts of one id are ordered by ``key``, the
+    digest of their text, here); the pieces, ordered by all other columns, go to ``write_ordered``.
     """
-    d = _placed(chapters)
-    first = F.row_number().over(W.partitionBy("volume").orderBy("place", "number", "doc_id", "text")) == 1
-    d = d.withColumn("cut", F.when(first, F.lit("")).otherwise(F.lit(f"\n{rule}\n\n")))
-    lines = F.split(F.concat("cut", "text"), "\n", -1)
-    return d.select("volume", "place", "number", "doc_id", F.posexplode(lines).alias("piece", "text"))
+    d = _placed(chapters).withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    part = F.struct("place", "number", "doc_id", "key")
+    first = d.groupBy("volume").agg(F.min(part).alias("first"))
+    d = d.join(first, "volume").withColumn("cut", F.when(part == F.col("first"), F.lit("")).otherwise(F.lit(f"\n{rule}\n\n")))
+    lines = F.split(F.concat("cut", F.coalesce("text", F.lit(""))), "\n", -1)
+    return d.select("volume", "place", "number", "doc_id", "key", F.posexplode(lines).alias("piece", "text"))

@@ -39,33 +39,33 @@ def rows(docs: DataFrame) -> DataFrame:
 
 
 def glossary_names(docs: DataFrame, stop: list[str] = NAME_STOP) -> DataFrame:
-    """(line_no, en_forms, ru_base, ru): capitalised English words and the first four letters of the Russian form."""
-    d = rows(docs).where(F.size("cells") >= 3).select("line_no", F.get("cells", F.lit(1)).alias("en"), F.get("cells", F.lit(2)).alias("ru"))
+    """(doc_id, line_no, en_forms, ru_base, ru): capitalised English words and the first four letters of the Russian form."""
+    d = rows(docs).where(F.size("cells") >= 3).select("doc_id", "line_no", F.get("cells", F.lit(1)).alias("en"), F.get("cells", F.lit(2)).alias("ru"))
     d = d.where(~F.col("en").startswith("---") & ~F.col("ru").startswith("---"))
     forms = F.transform(F.regexp_extract_all("en", F.lit(r"\b[A-Z][A-Za-z'\-]{3,}"), F.lit(0)), F.lower)
     forms = F.array_distinct(F.filter(forms, lambda w: ~w.isin(stop)))
     base = F.left(fold(F.regexp_extract("ru", "[А-Яа-яЁё]+", 0)), F.lit(4))
-    return d.select("line_no", forms.alias("en_forms"), base.alias("ru_base"), "ru").where((F.size("en_forms") > 0) & (F.length("ru_base") == 4))
+    return d.select("doc_id", "line_no", forms.alias("en_forms"), base.alias("ru_base"), "ru").where((F.size("en_forms") > 0) & (F.length("ru_base") == 4))
 
 
 def glossary_stems(docs: DataFrame) -> DataFrame:
-    """(line_no, stem, canon): a stem is the first word less its last two letters, four letters at least; first wins."""
-    d = rows(docs).where(F.size("cells") >= 3).select("line_no", F.get("cells", F.lit(2)).alias("ru"))
+    """(doc_id, line_no, stem, canon): a stem is the first word less its last two letters, four letters at least; first wins in a glossary."""
+    d = rows(docs).where(F.size("cells") >= 3).select("doc_id", "line_no", F.get("cells", F.lit(2)).alias("ru"))
     d = d.where(~F.col("ru").startswith("---") & ~F.col("ru").startswith("—") & (F.col("ru") != ""))
     canon = strip(F.translate("ru", "*«»", ""))
     first = F.regexp_extract(canon, "[А-Яа-яЁё]+", 0)
     stem = F.left(F.lower(first), F.greatest(F.lit(4), F.length(first) - 2))
-    d = d.select("line_no", stem.alias("stem"), canon.alias("canon"), first.alias("first")).where(F.length("first") >= 4)
-    turn = F.row_number().over(W.partitionBy("stem").orderBy("line_no"))
-    return d.withColumn("turn", turn).where("turn = 1").select("line_no", "stem", "canon")
+    d = d.select("doc_id", "line_no", stem.alias("stem"), canon.alias("canon"), first.alias("first")).where(F.length("first") >= 4)
+    turn = F.row_number().over(W.partitionBy("doc_id", "stem").orderBy("line_no"))
+    return d.withColumn("turn", turn).where("turn = 1").select("doc_id", "line_no", "stem", "canon")
 
 
 def glossary_entries(docs: DataFrame) -> DataFrame:
-    """(key, ja, en, ru) of a glossary with a header row."""
+    """(doc_id, key, ja, en, ru) of glossaries with a header row."""
     d = rows(docs).where(F.size("cells") >= 3)
     head = W.partitionBy("doc_id").orderBy("line_no")
     d = d.withColumn("n", F.row_number().over(head)).where((F.col("n") > 1) & ~F.get("cells", F.lit(0)).rlike("^:?-{3,}") & (F.get("cells", F.lit(0)) != ""))
-    return d.select(F.concat(F.lit("g:"), F.get("cells", F.lit(0))).alias("key"), F.get("cells", F.lit(0)).alias("ja"), F.get("cells", F.lit(1)).alias("en"), F.get("cells", F.lit(2)).alias("ru"))
+    return d.select("doc_id", F.concat(F.lit("g:"), F.get("cells", F.lit(0))).alias("key"), F.get("cells", F.lit(0)).alias("ja"), F.get("cells", F.lit(1)).alias("en"), F.get("cells", F.lit(2)).alias("ru"))
 
 
 def frozen_volumes(docs: DataFrame, status: str | None = None) -> DataFrame:
