@@ -116,3 +116,11 @@ def test_many_patterns_are_all_routed(spark):
             target[r.source] = r.target
             assert 0 <= r.taken <= 3 * r.size
         assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+def test_empty_texts_of_many_sources_make_no_pattern(spark):
+    """They belong to every source, so their pattern would be the list of all sources on each of their rows."""
+    rows = [(i, None if i % 2 else " ", f"s{i}") for i in range(400)] + [(1000 + i, "some words here", f"s{i % 3}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    assert len(got) == 409 and sum(r.taken for r in got) == 27 and all(r.taken == 0 for r in got if r.size == 0)

@@ -19,7 +19,7 @@ A cell takes every row ``flow // tokens`` times and the rest in seeded order; th
 part, so each source meets its quota to the word.  The running sums are two-level (hash buckets, then
 rows of one bucket), so a cell with a third of all rows is no single task.
 
-Cases: null text has size 0 and takes 0; a null source is the last source; ties and repeated rows are
+Cases: null text has size 0 and takes 0 (texts of size 0 are in no pattern); a null source is the last source; ties and repeated rows are
 interchangeable; an empty table gives an empty result; extra columns are ignored (``attached`` keeps them, but
 for those named like the columns it adds).
 """
@@ -136,7 +136,7 @@ def steps(distinct: int, most: int) -> list[int]:
     return found
 
 
-def route(cells: Sequence[tuple[str, int, int]], distinct: dict[str, int], quota: Sequence[int], max_repeats: int) -> dict[tuple[str, int], int]:
+def route(cells: Sequence[tuple[int | str, int, int]], distinct: dict[int | str, int], quota: Sequence[int], max_repeats: int) -> dict[tuple[int | str, int], int]:
     """Tokens for each (pattern, source) of ``cells`` = (pattern, source, tokens of its rows)."""
     names = sorted({p for p, _, _ in cells})
     number = {p: i for i, p in enumerate(names)}
@@ -166,7 +166,7 @@ def _routed(table: pa.Table, max_repeats: int) -> pa.Table:
     number = {k: i for i, k in enumerate(sorted(quota))}
     flow = route([(p, number[k], n) for p, k, n in cells], distinct, [quota[k] for k in sorted(quota)], max_repeats)
     out = [(p, k, *(divmod(flow[p, number[k]], n) if n else (0, 0))) for p, k, n in cells]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["pattern", "k", "passes", "rest"])
 
 
@@ -180,7 +180,7 @@ def planned(cells: DataFrame, known: DataFrame, params: MixParams) -> DataFrame:
     held = held.withColumn("upto", F.sum("held").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     held = held.select("net", "k", (share(F.col("upto")) - share(F.col("upto") - F.col("held"))).cast("long").alias("quota"))
     repeats = params.max_repeats
-    return d.join(held, ["net", "k"]).groupBy("net").applyInArrow(lambda t: _routed(t, repeats), "pattern string, k int, passes long, rest long")
+    return d.join(held, ["net", "k"]).groupBy("net").applyInArrow(lambda t: _routed(t, repeats), "pattern long, k int, passes long, rest long")
 
 
 def mix(docs: DataFrame, text: str = "text", doc: str = "doc_id", source: str = "source", params: MixParams = MixParams(), name: str = "mix") -> DataFrame:
@@ -193,11 +193,13 @@ def mix(docs: DataFrame, text: str = "text", doc: str = "doc_id", source: str =
     small = lambda df: F.broadcast(df) if df.count() <= params.broadcast_rows else df
     rows = rows.join(small(known.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
-    # Contents held by several sources; all others are members of their own source.
+    # Texts without words, which every source may hold, have nothing to give and no part in patterns.
+    empty, rows = rows.where("size = 0"), rows.where("size > 0")
+    # Contents held by several sources; all others are members of their own source.  A pattern is the hash of its sources.
     shared = rows.groupBy("content").agg(F.sort_array(F.collect_set("k")).alias("ks")).where(F.size("ks") > 1)
-    shared = staged(shared.select("content", F.array_join("ks", ",").alias("pattern")), f"{name}-shared")
+    shared = staged(shared.select("content", F.xxhash64("ks").alias("pattern")), f"{name}-shared")
     joined = rows.join(shared, "content", "left")
-    joined = joined.withColumn("pattern", F.coalesce("pattern", F.col("k").cast("string")))
+    joined = joined.withColumn("pattern", F.coalesce("pattern", F.xxhash64(F.array("k"))))
     once = joined.groupBy("pattern", "content").agg(F.max("size").alias("size")).groupBy("pattern").agg(F.sum("size").alias("distinct"))
     cells = joined.groupBy("pattern", "k").agg(F.sum("size").alias("tokens")).join(once, "pattern")
     plan = small(staged(planned(staged(cells, f"{name}-cells"), known, params), f"{name}-plan"))
@@ -212,7 +214,8 @@ def mix(docs: DataFrame, text: str = "text", doc: str = "doc_id", source: str =
     out = joined.join(sums, ["pattern", "k", "bucket"])
     ahead = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))
-    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), "content")
+    out = out.select("doc_id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), "content")
+    return out.unionByName(empty.select("doc_id", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("taken"), "content"))
 
 
 def attached(docs: DataFrame, taken: DataFrame, text: str = "text", doc: str = "doc_id", source: str = "source") -> DataFrame:
