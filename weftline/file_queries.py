@@ -11,10 +11,10 @@ from weftline.functions.text import corrupt
 from weftline.operators import gate
 from weftline.queries import query, table
 from weftline.scan_queries import _PART
-from weftline.sources import ledger, plans, sinks, versions
+from weftline.sources import ingest, ledger, plans, sinks, versions
 from weftline.sources.blocks import split_blocks
 from weftline.sources.runs import RUN, archive
-from weftline.sources.staging import new_path
+from weftline.sources.staging import new_path, staged
 
 
 def turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,3 +214,79 @@ SELECT doc_id, closed, closed = 12 AS ready FROM x""")
 def gate_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many checks each chapter's files close, and whether it is ready."""
     return gate.verdicts(gate.checks(gate.evidence_of(chapter_archive(spark, sf_dir)))).select("doc_id", "closed", "ready")
+
+
+def _docx(lines: list[str], heads: list[bool]) -> bytes:
+    """The least docx that holds some paragraphs."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
+    body = "".join(f'<w:p>{style if h else ""}<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for t, h in zip(lines, heads, strict=True))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _epub(lines: list[str], heads: list[bool]) -> bytes:
+    """The least epub that holds some paragraphs, a page for each heading."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    pages: list[str] = [""]
+    for t, h in zip(lines, heads, strict=True):
+        if h:
+            pages.append("")
+        pages[-1] += f"<h1>{escape(t)}</h1>" if h else f"<p>{escape(t[:3])}<b>{escape(t[3:])}</b></p>"
+    items = "".join(f'<item id="p{i}" href="text/p{i}.xhtml"/>' for i in range(len(pages)))
+    spine = "".join(f'<itemref idref="p{i}"/>' for i in range(len(pages)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
+        book.writestr("OEBPS/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{spine}</spine></package>')
+        for i, page in enumerate(pages):
+            book.writestr(f"OEBPS/text/p{i}.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><body><div>{page}</div></body></html>')
+    return out.getvalue()
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM c),
+p AS (SELECT conv_id, turn, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM l),
+k AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS no FROM p WHERE text <> ''),
+n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS chapter FROM (SELECT DISTINCT conv_id, turn FROM c))
+SELECT conv_id % 3 AS kind, conv_id, chapter, no::INT AS para_no, md5(text) AS digest, NULL AS fault FROM k JOIN n USING (conv_id, turn) WHERE conv_id % 10 <> 7
+UNION ALL SELECT conv_id % 3, conv_id, NULL, NULL, NULL, CASE conv_id % 3 WHEN 2 THEN 'UnicodeDecodeError' ELSE 'BadZipFile' END FROM conversations WHERE conv_id % 10 = 7 GROUP BY conv_id""")
+def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a book (docx, epub or Markdown, a chapter for each turn), packed, and its paragraphs as they are unpacked; every tenth is damaged."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\S\n]+", " "), "\n"), F.trim)
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(lines, lambda x: x != "").alias("ls"))
+    d = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ls"))).alias("turns"))
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for conv, own in zip(pdf["conv_id"], pdf["turns"], strict=True):
+                texts = [x for t in own for x in (f"Turn {t['turn']}", *t["ls"])]
+                heads = [i == 0 for t in own for i in range(1 + len(t["ls"]))]
+                if conv % 3 == 2:
+                    data = "\n\n".join(f"# {t}" if h else t for t, h in zip(texts, heads, strict=True)).encode()
+                else:
+                    data = (_docx if conv % 3 == 0 else _epub)(texts, heads)
+                damaged = b"\xff" + data[: len(data) // 2] if conv % 10 == 7 else data
+                out.append((f"/books/{conv}{('.docx', '.epub', '.md')[conv % 3]}", damaged))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    path = new_path(spark, "books")
+    d.mapInPandas(bound, "path string, content binary").write.parquet(path)
+    found = staged(ingest.book_paragraphs(spark.read.schema("path string, content binary").parquet(path)), "book-paragraphs")
+    conv = F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("conv_id")
+    good = ingest.chapters_by_heading(found).select(conv, "chapter", "para_no", F.md5(F.col("text").cast("binary")).alias("digest"), F.lit(None).cast("string").alias("fault"))
+    bad = found.where("fault IS NOT NULL").select(conv, F.lit(None).cast("int").alias("chapter"), F.lit(None).cast("int").alias("para_no"), F.lit(None).cast("string").alias("digest"), "fault")
+    return good.unionByName(bad).select((F.col("conv_id") % 3).alias("kind"), "*")
