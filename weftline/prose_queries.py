@@ -8,7 +8,6 @@ texts with patterns of its own.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import ja_value
@@ -22,6 +21,7 @@ from weftline.queries import HAS_WORD, LINES, SENTENCES, TURNS, doc_lines, query
 from weftline.scan_queries import _CHAPTER, chapter_texts
 from weftline.sources import blocks as block_files
 from weftline.sources import sinks
+from weftline.sources.staging import new_path
 from weftline.sources.tables import NAME_STOP, frozen_volumes, glossary_entries, glossary_names, glossary_stems
 
 
@@ -276,3 +276,32 @@ def finding_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = doc_lines(spark, sf_dir).where(F.col("text").rlike("[0-9!]"))
     d = d.select("doc_id", F.col("para_no").alias("block_no"), F.when(F.col("text").rlike("[0-9]"), "digit").otherwise("mark").alias("kind"), F.left("text", F.lit(40)).alias("detail"), F.lit(0).alias("emit_ord"))
     return sinks.report_text(d, "Report").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(rf"""WITH t AS (SELECT {_CHAPTER} AS doc_id, conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\n\s*\n') AS ps FROM conversations),
+p AS (SELECT doc_id, turn AS a, generate_subscripts(ps, 1) AS b, regexp_replace(unnest(ps), '^\s+|\s+$', '', 'g') AS text FROM t UNION ALL SELECT DISTINCT doc_id, -2, 1, '# Chapter ' || conv_id FROM t UNION ALL SELECT DISTINCT doc_id, -1, 1, 'before any block' FROM t)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b))::INT AS para_no, text FROM p WHERE text <> ''""")
+def record_paragraph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of every chapter but those that begin with a block marker, with whatever is attached to it."""
+    return block_files.record_paragraphs(chapter_texts(spark, sf_dir)).select("doc_id", "para_no", "text")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT * FROM c WHERE user_id % 7 = 0 AND event_type = 'click')
+SELECT user_id, event_type, n FROM w UNION ALL SELECT user_id, event_type, n + 1 FROM w""")
+def summary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every user's events against a summary kept as JSON, some of whose counts are wrong."""
+    counts = findings.counted(table(spark, sf_dir, "events"), "user_id", "event_type")
+    wrong = (F.col("user_id") % 7 == 0) & (F.col("event_type") == "click")
+    path = new_path(spark, "summary")
+    sinks.write_json(counts.withColumn("n", F.col("n") + F.when(wrong, 1).otherwise(0)), path)
+    return findings.same_counts(counts, spark.read.schema("user_id long, event_type string, n long").json(path))
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN upper(event_type) ELSE 'OTHER' END AS issue_type, CASE WHEN event_id % 3 <> 0 THEN 'e' || event_id END AS omitted, user_id::VARCHAR AS chapter FROM events""")
+def normal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a finding with a known issue type; its omission fields stay only if all are given."""
+    last = findings.OMISSION[-1]
+    fields = [F.when((F.col("event_id") % 3 != 0) | F.lit(f != last), F.concat(F.lit("e"), "event_id")).alias(f) for f in findings.OMISSION]
+    finding = F.struct(F.col("event_type").alias("issue_type"), F.col("user_id").cast("string").alias("chapter"), *fields)
+    d = table(spark, sf_dir, "events").select("event_id", findings.normalised(finding, ("CLICK", "ERROR"), "OTHER").alias("f"))
+    return d.select("event_id", "f.issue_type", F.col(f"f.{findings.OMISSION[0]}").alias("omitted"), "f.chapter")
