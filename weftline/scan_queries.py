@@ -10,7 +10,8 @@ from weftline.operators.layout import LayoutPack, layout_scan
 from weftline.queries import HAS_WORD, LINES, _NUMBERS_SQL, doc_lines, line_blocks, order_blocks, query, table
 from weftline.sources import blocks as block_files
 from weftline.sources import sinks
-from weftline.sources.runs import artifacts, findings as audit_findings
+from weftline.sources.runs import archive, artifacts
+from weftline.sources.runs import findings as audit_findings
 from weftline.sources.staging import new_path
 from weftline.sources.tables import frozen_volumes, glossary_entries, glossary_names, glossary_stems
 
@@ -120,6 +121,14 @@ def written_chapters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     return block_files.chapters(spark, path, glob="*", folder="doc_id"), path
 
 
+def packed_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the chapters as files packed in an archive, many in one, named by their paths."""
+    path = new_path(spark, "archive")
+    d = chapter_texts(spark, sf_dir)
+    d.select(F.concat(F.lit("/chapters/"), "doc_id", F.lit(".md")).alias("path"), F.timestamp_seconds(F.lit(0)).alias("modified"), "text").write.parquet(path)
+    return archive(spark, path).select(F.regexp_extract("path", r"/([^/]+)\.md$", 1).alias("doc_id"), "text")
+
+
 _CHAPTER = "'v' || (conv_id % 7 + 1) || '-ch' || conv_id"
 
 
@@ -132,7 +141,7 @@ m AS (SELECT 'merge' AS mode, doc_id, block_no, i, text FROM f UNION ALL SELECT
 SELECT mode, doc_id, block_no, (row_number() OVER (PARTITION BY mode, doc_id, block_no ORDER BY i))::INT AS para_no, text FROM m""")
 def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations written as block files and read by two of the readers' modes."""
-    docs, _ = written_chapters(spark, sf_dir)
+    docs = packed_chapters(spark, sf_dir)
     found = [block_files.blocks(docs, mode).select(F.lit(mode).alias("mode"), "doc_id", "block_no", "para_no", "text") for mode in ("last", "merge")]
     return found[0].unionByName(found[1])
 
@@ -140,7 +149,7 @@ def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_CHAPTER} AS doc_id, 'Chapter ' || conv_id AS title, true AS marked, count(DISTINCT turn) AS n_blocks FROM conversations GROUP BY conv_id")
 def chapter_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, marks and numbers of blocks of the written chapters, from three readers."""
-    docs, _ = written_chapters(spark, sf_dir)
+    docs = packed_chapters(spark, sf_dir)
     n = block_files.parsed_chapters(docs).where("block_no IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
     return block_files.titles(docs).join(block_files.has_markers(docs), "doc_id").join(n, "doc_id").select("doc_id", "title", "marked", "n_blocks")
 
