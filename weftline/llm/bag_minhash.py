@@ -24,7 +24,8 @@ Verification is exact: multisets of 64-bit window hashes, weighted Jaccard of ``
 
 Cases: a text of one to four words is one window; texts without words are equal to one another; a
 null text is empty; repeated rows are copies; a null id sorts last, so it represents a class only if all
-its ids are null; an empty table gives an empty result; extra columns are ignored.
+its ids are null; of equal ids the text of the smallest digest represents; a very long text is one bag, of its
+task; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ once and broadcasts it (about ten times the block), and every block scans all do
 
 Cases: null and empty items match nothing; an item longer than ``max_window`` is proposed by equal parts
 of at most that size and verified as a whole; an item of fewer than 16 bytes allows no edits, so those under 8 are looked up
-as they are; equal items match each under its own id; null texts hold nothing; every repeated row
+as they are; equal items match each under its own id; null texts hold nothing; a very long text is scanned whole; every repeated row
 is reported; with an empty table the result is empty; extra columns are ignored, and ``clean`` keeps them whatever their
 names.
 """

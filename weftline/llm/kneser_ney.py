@@ -19,7 +19,8 @@ common bigram costs a slice one entry per block.  Texts are shuffled once.
 more sender.  Keys of contexts and followers have 56 bits, those of words 64.
 
 Cases: a null or empty text is one end token; the rows of the held-out fold are scored, not counted; a
-null id has the text ''; repeated rows count as often as they occur; without training rows every
+null id has the text ''; rows of one id, and all rows without one, share a block, which is one task; a very
+long text is whole in its block; repeated rows count as often as they occur; without training rows every
 token is unknown; an empty table gives an empty result; extra columns are ignored.
 """
 

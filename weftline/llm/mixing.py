@@ -20,7 +20,7 @@ part, so each source meets its quota to the word.  The running sums are two-leve
 rows of one bucket), so a cell with a third of all rows is no single task.
 
 Cases: null text has size 0 and takes 0 (texts of size 0 are in no pattern); a null source is the last source; ties and repeated rows are
-interchangeable; an empty table gives an empty result; extra columns are ignored (``attached`` keeps them, but
+interchangeable (``attached`` numbers the rows that are equal in id, source and text in one task); very long texts only count words; an empty table gives an empty result; extra columns are ignored (``attached`` keeps them, but
 for those named like the columns it adds).
 """
 

@@ -15,7 +15,8 @@ a sample of at most ``train_spans`` candidates, the first by a hash of document
 driver.  The scan is narrow, its small result is staged once, nothing else is shuffled.
 
 Cases: null and empty texts have no spans; every input row gives one row, repeated or not, with its id
-as it is (null too); an empty table gives an empty result; extra columns are ignored.  All scans are
+as it is (null too); an empty table gives an empty result; extra columns are ignored; of overlapping candidates
+of equal probability the first kind as listed, then the earlier stays.  All scans are
 linear in the text's length but for sorting its candidates: runs are matched possessively, addresses are grown from
 their @, overlaps are looked up in sorted lists.
 """

@@ -17,7 +17,8 @@ per repeated window.  Nothing is collected or broadcast.
 
 Cases: null or empty text has no words; texts shorter than the window keep all words; rows with equal
 ids are one document, so a window at the same place of both is not earlier than itself and both rows
-keep it; null ids sort last; an empty table gives an empty result; extra columns are ignored.
+keep it; null ids sort last; rows of one id, and all rows without one, share a block, which is one task; a
+very long text is whole in its block; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

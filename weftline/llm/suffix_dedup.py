@@ -20,8 +20,9 @@ earliest start of each group.  Text, order, prefixes, groups and marks are files
 edge) keeps all its contexts in one shard, which then takes one task its time, not its memory.
 
 Cases: null or empty text has no bytes; rows with equal ids are one document, so a string at the
-same place of both is not earlier than itself; null ids sort last; an empty table gives an empty
-result; extra columns are ignored.
+same place of both is not earlier than itself; null ids sort last; rows of one id, and all rows without
+one, share a block, which is one task; a very long text is whole in its block, so it needs memory in proportion
+to its length; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
