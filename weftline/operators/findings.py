@@ -15,22 +15,24 @@ ACTION = ("REPORT_ONLY", "PRESERVED", "FIXED")
 OMISSION = ("ja_span", "missing_content", "ru_before", "not_compression_reason", "omission_scope", "omission_kind")
 
 
-def matched(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
-    """(block, problem, source, status): findings of two auditors matched one to one.
+def matched(a: DataFrame, b: DataFrame, order: list[str], within: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(within, block, problem, source, status): findings of two auditors matched one to one, ``within`` a chapter.
 
     The key is the block, the problem in lower case and the source without white space; the nth finding of a
     key in one meets the nth in the other, so counts are those of multisets.  A null block never matches
     and is dropped.
     """
 
+    key = [*within, "block", "problem", "source"]
+
     def numbered(df: DataFrame, side: str) -> DataFrame:
-        keyed = df.where("block IS NOT NULL").select("block", F.lower(F.coalesce("problem", F.lit(""))).alias("problem"), without_space(F.coalesce("source", F.lit(""))).alias("source"), *order)
-        turn = F.row_number().over(W.partitionBy("block", "problem", "source").orderBy(*order))
-        return keyed.select("block", "problem", "source", turn.alias("turn"), F.lit(True).alias(side))
+        keyed = df.where("block IS NOT NULL").select(*within, "block", F.lower(F.coalesce("problem", F.lit(""))).alias("problem"), without_space(F.coalesce("source", F.lit(""))).alias("source"), *order)
+        turn = F.row_number().over(W.partitionBy(*key).orderBy(*order))
+        return keyed.select(*key, turn.alias("turn"), F.lit(True).alias(side))
 
-    both = numbered(a, "in_a").join(numbered(b, "in_b"), ["block", "problem", "source", "turn"], "full_outer")
+    both = numbered(a, "in_a").join(numbered(b, "in_b"), [*key, "turn"], "full_outer")
     status = F.when(F.col("in_a") & F.col("in_b"), "BOTH_FOUND").when(F.col("in_a"), "ONLY_A").otherwise("ONLY_B")
-    return both.select("block", "problem", "source", status.alias("status"))
+    return both.select(*key, status.alias("status"))
 
 
 def first_of(findings: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from weftline.plans.address_rules import address_scan
 from weftline.plans.align_rules import EN_RU, align_check
 from weftline.plans.grammar_rules import IRREGULAR, grammar_scan
 from weftline.plans.record_rules import record_scan
-from weftline.queries import HAS_WORD, LINES, SENTENCES, TURNS, doc_lines, query, table, turns
+from weftline.queries import _STEM_SQL, _STEMS, HAS_WORD, LINES, SENTENCES, TURNS, doc_lines, query, table, turns
 from weftline.scan_queries import _CHAPTER, chapter_texts
 from weftline.sources import blocks as block_files
 from weftline.sources import sinks
@@ -305,3 +305,37 @@ def normal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     finding = F.struct(F.col("event_type").alias("issue_type"), F.col("user_id").cast("string").alias("chapter"), *fields)
     d = table(spark, sf_dir, "events").select("event_id", findings.normalised(finding, ("CLICK", "ERROR"), "OTHER").alias("f"))
     return d.select("event_id", "f.issue_type", F.col(f"f.{findings.OMISSION[0]}").alias("omitted"), "f.chapter")
+
+
+@query(rf"""WITH {LINES}, st AS ({_STEM_SQL}), o AS (SELECT *, row_number() OVER (ORDER BY list_position([{', '.join(repr(c) for _, c in _STEMS)}], canon)) - 1 AS no FROM st),
+g AS (SELECT doc_id, para_no, no, canon, text, regexp_extract(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(' || stem || '[\p{{L}}\-]*)', 1) AS form, regexp_extract(text, '(?is)^(.*?(?:^|[^\p{{L}}\p{{N}}_]))' || stem, 1) AS ahead FROM lines, o WHERE contains(lower(text), stem)),
+h AS (SELECT doc_id, para_no, no, canon, form, substring(text, greatest(length(ahead) - 20, 0) + 1, length(ahead) + length(form) + 40 - greatest(length(ahead) - 20, 0)) AS context FROM g WHERE form <> ''),
+f AS (SELECT doc_id, no, canon, form, count(*) AS n, min(para_no) AS first FROM h GROUP BY ALL), l AS (SELECT doc_id, no, string_agg(form || ' ×' || n, ', ' ORDER BY n DESC, first, form) AS forms FROM f GROUP BY ALL),
+w AS (SELECT doc_id, no, canon, count(*) AS n, string_agg(para_no::VARCHAR, ', ' ORDER BY para_no) AS blocks, arg_min(context, para_no) AS context FROM h GROUP BY ALL)
+SELECT doc_id, md5(string_agg('## ' || canon || ': ' || n || chr(10) || 'blocks ' || blocks || chr(10) || forms || chr(10) || '> ' || context, chr(10) || chr(10) ORDER BY no)) AS digest FROM w JOIN l USING (doc_id, no) GROUP BY doc_id""")
+def inventory_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for every document with words of some stems: occurrences, places, forms and the first context of each."""
+    stems = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(_STEMS)], "line_no int, stem string, canon string")
+    hits = glossary.stem_hits(doc_lines(spark, sf_dir).withColumn("block_no", F.col("para_no")), stems, letters=r"\p{L}")
+    return sinks.inventory_text(hits).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH a AS (SELECT user_id, (event_id % 9 + 1)::INT AS block, event_type AS problem, 'v' || floor(value / 20)::INT AS source, row_number() OVER (PARTITION BY user_id, event_id % 9, event_type, floor(value / 20) ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 0),
+b AS (SELECT user_id, (event_id % 9 + 1)::INT AS block, event_type AS problem, 'v' || floor(value / 20)::INT AS source, row_number() OVER (PARTITION BY user_id, event_id % 9, event_type, floor(value / 20) ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 1),
+m AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.block, b.block) AS block, coalesce(a.problem, b.problem) AS problem, coalesce(a.source, b.source) AS source, CASE WHEN b.n IS NULL THEN 'ONLY_A' WHEN a.n IS NULL THEN 'ONLY_B' ELSE 'BOTH_FOUND' END AS status
+  FROM a FULL JOIN b ON a.user_id = b.user_id AND a.block = b.block AND a.problem = b.problem AND a.source = b.source AND a.n = b.n)
+SELECT user_id, md5('BOTH_FOUND: ' || count(*) FILTER (status = 'BOTH_FOUND') || '; ONLY_A: ' || count(*) FILTER (status = 'ONLY_A') || '; ONLY_B: ' || count(*) FILTER (status = 'ONLY_B') || '; total: ' || count(*) || chr(10) || chr(10)
+  || string_agg('### ' || block || ' ' || status || chr(10) || problem || chr(10) || source, chr(10) || chr(10) ORDER BY block, status, problem, source)) AS digest FROM m GROUP BY user_id""")
+def merge_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd events of every user as the findings of two auditors, matched one to one and reported."""
+    d = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 9 + 1).cast("int").alias("block"), F.col("event_type").alias("problem"), F.concat(F.lit("v"), F.floor(F.col("value") / 20).cast("int").cast("string")).alias("source"))
+    side = lambda odd: d.where(F.col("event_id") % 2 == odd)
+    return sinks.merge_text(findings.matched(side(0), side(1), ["event_id"], ["user_id"]), ("user_id",)).select("user_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""SELECT conv_id AS doc_id, turn AS block_no, coalesce(text, '') AS text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'appended to ' || conv_id FROM conversations GROUP BY conv_id""")
+def appended_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block more at the end of every conversation; a number that is there already would be an error."""
+    d = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_no"), F.coalesce("text", F.lit("")).alias("text"))
+    new = d.groupBy("doc_id").agg((F.max("block_no") + 1).alias("block_no")).withColumn("text", F.concat(F.lit("appended to "), F.col("doc_id").cast("string")))
+    return sinks.appended(d, new)

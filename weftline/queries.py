@@ -229,7 +229,7 @@ _STEM_SQL = " UNION ALL ".join(f"SELECT '{s}' AS stem, '{c}' AS canon" for s, c
 
 
 @query(f"""WITH {LINES}, st AS ({_STEM_SQL}),
-h AS (SELECT lang, doc_id, para_no, stem, canon, regexp_extract(lines.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(' || stem || '[\\p{{L}}\\-]*)', 1) AS form FROM lines JOIN documents USING (doc_id), st)
+h AS (SELECT lang, doc_id, para_no, stem, canon, regexp_extract(lines.text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(' || stem || '[\\p{{L}}\\-]*)', 1) AS form FROM lines JOIN documents USING (doc_id), st WHERE contains(lower(lines.text), stem))
 SELECT lang, stem, canon, lower(form) AS form, count(*) AS n, min(doc_id * 100000 + para_no) AS first_ord FROM h WHERE form <> '' GROUP BY ALL""")
 def term_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(_STEMS)], "line_no int, stem string, canon string")

@@ -34,6 +34,27 @@ def report_text(findings: DataFrame, title: str) -> DataFrame:
     return body.join(kinds, "doc_id").select("doc_id", F.concat_ws("\n\n", F.lit(f"# {title}"), "head", "body").alias("text"))
 
 
+def inventory_text(hits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, text): the inventory of ``stem_hits``: every canon that occurs, in glossary order, with its occurrences, blocks, forms (the most frequent first, then
+    the first seen) and first context.
+    """
+    place, canon = F.struct("block_no", "para_no"), (*keys, "line_no", "canon")
+    forms = hits.groupBy(*canon, "form").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "form", "n")))
+    forms = forms.groupBy(*canon).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["form"], F.lit(" ×"), x["n"].cast("string"))), ", ").alias("forms"))
+    whole = hits.groupBy(*canon).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("block_no")), ", ").alias("blocks"), F.min_by("context", F.struct(place, "form")).alias("context"))
+    section = F.concat(F.lit("## "), "canon", F.lit(": "), F.col("n").cast("string"), F.lit("\nblocks "), "blocks", F.lit("\n"), "forms", F.lit("\n> "), "context")
+    return whole.join(forms, list(canon)).groupBy(*keys).agg(F.array_join(_in_order(section, "line_no"), "\n\n").alias("text"))
+
+
+def merge_text(matched: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, text): how many findings both auditors have and each alone, then the findings by block and status (columns status, block, problem, source)."""
+    names = ("BOTH_FOUND", "ONLY_A", "ONLY_B")
+    counts = F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.count_if(F.col("status") == n).cast("string")) for n in names], F.concat(F.lit("total: "), F.count("*").cast("string")))
+    section = F.concat_ws("\n", F.concat_ws(" ", F.lit("###"), F.col("block").cast("string"), F.col("status")), F.col("problem"), F.col("source"))
+    return matched.groupBy(*keys).agg(F.concat(counts, F.lit("\n\n"), F.array_join(_in_order(section, "block", "status", "problem", "source"), "\n\n")).alias("text"))
+
+
 def appended(blocks: DataFrame, new: DataFrame) -> DataFrame:
     """``blocks`` and the new (doc_id, block_no, text); fails if a number exists already or comes twice."""
     keys = ["doc_id", "block_no"]
