@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.text import upper_letters
 from weftline.operators import dp_align, glossary, segment, style
 from weftline.queries import HAS_WORD, LINES, doc_lines, query, table
 from weftline.scan_queries import TABLE_DRIFT
@@ -78,7 +79,7 @@ def benchmark_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     d = table(spark, sf_dir, "benchmark").select("item_id", *[c.alias(n) for n, c in three_languages().items()], words.alias("w")).where("size(w) > 3")
     ru = F.translate(F.concat_ws(" ", F.get("w", F.lit(2)), F.get("w", F.lit(3))), _LATIN, _CYRILLIC)
-    return d.select(F.format_string("g:%d", "item_id").alias("key"), F.substring("ja", 8, 5).alias("ja"), F.upper(F.get("w", F.lit(1))).alias("en"), ru.alias("ru"))
+    return d.select(F.format_string("g:%d", "item_id").alias("key"), F.substring("ja", 8, 5).alias("ja"), upper_letters(F.get("w", F.lit(1))).alias("en"), ru.alias("ru"))
 
 
 _THREE = f"""translate(lower(replace({{0}}, ' ', '')), '{_LATIN}', '{_KANA}') AS ja, {{0}} AS en, translate(translate({{0}}, '{_LATIN.upper()}', '{_CYRILLIC.upper()}'), '{_LATIN}', '{_CYRILLIC}') AS ru"""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.edits import occurrences
-from weftline.functions.text import corrupt
+from weftline.functions.text import corrupt, upper_letters
 from weftline.operators import gate
 from weftline.queries import query, table
 from weftline.scan_queries import _PART
@@ -25,7 +25,7 @@ def turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, block_no, json): a plan for every turn, of eight kinds, written and read as lines of JSON."""
     w = F.regexp_extract("text", r"\p{L}+", 0)
-    d = turn_blocks(spark, sf_dir).withColumn("w", w).withColumn("n", occurrences(F.col("text"), F.col("w"))).withColumn("up", F.concat(F.upper("w"), F.lit("x")))
+    d = turn_blocks(spark, sf_dir).withColumn("w", w).withColumn("n", occurrences(F.col("text"), F.col("w"))).withColumn("up", F.concat(upper_letters(F.col("w")), F.lit("x")))
     pair = lambda a, b: F.array(a, b)
     entry = lambda n: F.to_json(F.array(F.struct(F.col("w").alias("old"), F.col("up").alias("new"), n.alias("count"))))
     kinds: list[Column] = [

@@ -45,6 +45,17 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), "ё", "е")
 
 
+# Letters whose upper case is several characters by the full mapping, but one by the simple one.
+_ONE_UPPER = {"ß": "ẞ", **{chr(b + i): chr(b + i + 8) for b in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)}, "ᾳ": "ᾼ", "ῃ": "ῌ", "ῳ": "ῼ"}
+
+
+def upper_letters(c: Column) -> Column:
+    """Upper case letter by letter: a letter becomes one letter, or stays (``upper`` makes SS of ß)."""
+    known = F.translate(c, "".join(_ONE_UPPER), "".join(_ONE_UPPER.values()))
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
+    return F.array_join(F.transform(F.split(known, ""), one), "")
+
+
 def without_space(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"(?U)\s+", "")
 
