@@ -197,11 +197,11 @@ def volume_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole volumes in the order of a book, written in ranges of lines with an index, and their lines as the files give them."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("text"))
     m = F.col("conv_id") % 9
-    part = F.when(m == 0, "preface").when(m == 1, "epilogue").when(m == 2, "credits").when(m == 3, F.concat(F.lit("notes-"), "conv_id")).otherwise(F.concat(F.lit("ch"), F.lpad(F.col("conv_id").cast("string"), 4, "0")))
+    part = F.when(m == 0, "preface").when(m == 1, "epilogue").when(m == 2, "credits").when(m == 3, F.concat(F.lit("notes-"), "conv_id")).otherwise(F.format_string("ch%04d", "conv_id"))
     d = c.select(F.concat(F.lit("v"), (F.col("conv_id") % 4 + 1).cast("string"), F.lit("-"), part).alias("doc_id"), "text")
     path = new_path(spark, "book")
     index = sinks.write_ordered(sinks.volume_pieces(d), path, "volume", ["place", "number", "doc_id", "key", "piece"], bytes_per_file=256 << 10)
-    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="part-*").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="part-*").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
     d = lines.join(index.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "volume", "offset"), (F.regexp_extract("path", "([^/]+)$", 1) == F.col("file")) & (F.regexp_extract("path", "/volume=([^/]+)/", 1) == F.col("volume")))
     place = F.row_number().over(W.partitionBy("volume").orderBy("offset", "start", "n"))
     return d.select(F.col("volume").cast("int").alias("volume"), place.alias("line_no"), F.md5(F.col("value").cast("binary")).alias("digest"))
