@@ -40,6 +40,7 @@ _ARROW = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("kind", pa.in
 BUNDLE, TOTAL = -1, -2  # kinds: several messages as one; figures for every group, added up on the way
 FAN = 256
 COARSE = 4096
+SLICE_BYTES = 24 << 20  # of text for each slice at most, on the average
 
 
 @dataclass(frozen=True)
@@ -52,14 +53,16 @@ class Layout:
     to_blocks: Route
 
 
-def blocks(docs: DataFrame, text: str = "text", doc: str = "doc_id", per_partition: int = 2, fan: int = FAN, slices: int = 0) -> Layout:
-    """Documents in blocks of about equally many rows; ``slices`` is the number of shuffle partitions unless given.
+def blocks(docs: DataFrame, text: str = "text", doc: str = "doc_id", per_partition: int = 2, fan: int = FAN, slices: int = 0, slice_bytes: int = SLICE_BYTES) -> Layout:
+    """Documents in blocks of about equally many rows; ``slices`` is the number of shuffle partitions unless given, more if
+    the texts have over ``slice_bytes`` for each: what a task holds follows neither the input nor a session's settings.
 
     A null id sorts after all others.  Rows of one id always share a block.  Quantiles are taken for COARSE
     borders at most; beyond, each range between two of them is cut evenly by id.
     """
-    n = partitions(docs.sparkSession)
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // slice_bytes))
     key = F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("double").alias("_key")
     total = n * per_partition
     coarse = min(total, COARSE)

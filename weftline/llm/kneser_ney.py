@@ -8,10 +8,9 @@ order, and the last term is the unknown word's share.  A document is its words,
 first token's context is a start mark, which is never predicted.
 
 Counting: each block (a range of documents) sends the slices its distinct bigrams with their training
-counts, sorted by context hash, so all followers of a context meet in one slice.  A slice stores its
-model as sorted hash arrays in files that its worker memory-maps, answers each block's bigrams by
-binary search, and passes the number of distinct contexts of each word on to the word's slice, which
-answers the blocks' words.  No worker holds more than its slice, nothing goes to the driver, and a
+counts, sorted by context hash, so all followers of a context meet in one slice.  A slice merges
+them in pieces, answers each block's bigrams in their order, and passes the number of distinct contexts of each word on to the
+word's slice, which answers the blocks' words by binary search in sorted hash arrays that its worker memory-maps.  No worker holds more than its slice, nothing goes to the driver, and a
 common bigram costs a slice one entry per block.  Texts are shuffled once.
 
 ``train_model`` keeps what the slices have merged (sorted hash arrays with counts) as a table;
@@ -28,7 +27,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -37,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _blocks as B
-from weftline.llm._tokens import LOWER, Batch, hash_ranges, mix, words
+from weftline.llm._tokens import LOWER, Batch, hash_ranges, words
 
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _LOW, BITS = np.uint64(8), 56
+PIECE = 1 << 21  # entries of a slice that are merged at once
 MODEL = -1  # the sender of what a stored model holds
 BIGRAMS, ANSWER, CONTEXTS, WORDS, WORD_ANSWER = range(5)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -136,10 +136,6 @@ class Mapped:
         self._dir.cleanup()
 
 
-def bigram_key(v: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(t))
-
-
 def _bigrams(r: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct contexts, run lengths, tokens, counts) of a message."""
     (v, length), (t, c) = B.apart(r[4]), B.apart(r[5])
@@ -190,6 +186,73 @@ def _merged_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return key, c
 
 
+class Asked:
+    """The bigrams of a slice's messages, merged in pieces of about ``PIECE`` entries; what is held of them all is 11 bytes an entry.
+
+    A piece is a range of contexts; the entries of a context that has more are pieces by ranges of their tokens, so a
+    context that is in every block costs no more memory at once than others.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.context, self.length, self.token, self.count = [], [], [], []
+        for r in rows:
+            (v, length), (t, c) = B.apart(r[4]), B.apart(r[5])
+            self.context.append(B.unpack(v))
+            self.length.append(B.unpack_counts(length).astype(np.int64))
+            self.token.append(t)
+            self.count.append(B.unpack_counts(c).astype(np.uint32))
+        self.begin = [np.append(0, np.cumsum(n)) for n in self.length]
+        self.contexts, at = np.unique(np.concatenate([*self.context, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.entries = np.bincount(at, np.concatenate([*self.length, np.zeros(0, np.int64)]), len(self.contexts)).astype(np.int64)
+
+    def _tokens(self, k: int, low: int, high: int) -> np.ndarray:
+        return unshort(self.token[k][7 * low : 7 * high])
+
+    def _ranges(self, most: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(first context, context after the last, entries of each message) of each piece."""
+        upto = np.cumsum(self.entries)
+        i = 0
+        while i < len(upto):
+            before = upto[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, before + most, "right")))
+            own = []
+            for cv, begin in zip(self.context, self.begin, strict=True):
+                lo, hi = np.searchsorted(cv, self.contexts[i]), np.searchsorted(cv, self.contexts[j - 1], "right")
+                own.append((int(begin[lo]), int(begin[hi])))
+            n = -(-int(upto[j - 1] - before) // most)
+            if n > 1:  # one context; its tokens are in order in each message
+                edges = np.array([((1 << BITS) * k) // n for k in range(1, n)], np.uint64)
+                cuts = [[lo, *(lo + np.searchsorted(self._tokens(k, lo, hi), edges)).tolist(), hi] for k, (lo, hi) in enumerate(own)]
+                yield from ((i, j, [(c[k], c[k + 1]) for c in cuts]) for k in range(n))
+            else:
+                yield i, j, own
+            i = j
+
+    def pieces(self, most: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray]]]]:
+        """First context, context after the last, (context's number in the piece, token, count) of the distinct bigrams, and for each message its number, its range
+        of entries and the bigrams they are.
+        """
+        for i, j, own in self._ranges(most or PIECE):
+            own = [(k, lo, hi) for k, (lo, hi) in enumerate(own) if hi > lo]
+            if not own:
+                continue
+            heads = []
+            for k, lo, hi in own:
+                a, b = np.searchsorted(self.begin[k], lo, "right") - 1, np.searchsorted(self.begin[k], hi)
+                size = np.minimum(self.begin[k][a + 1 : b + 1], hi) - np.maximum(self.begin[k][a:b], lo)
+                heads.append(np.repeat(np.searchsorted(self.contexts[i:j], self.context[k][a:b]), size))
+            v, t = np.concatenate(heads), np.concatenate([self._tokens(*x) for x in own])
+            order = np.lexsort((t, v))
+            v, t = v[order], t[order]
+            new = np.ones(len(v), bool)
+            new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
+            at = np.empty(len(v), np.int64)
+            at[order] = np.cumsum(new) - 1
+            total = np.bincount(at, np.concatenate([self.count[k][lo:hi] for k, lo, hi in own])).astype(np.uint64)
+            edge = np.append(0, np.cumsum([hi - lo for _, lo, hi in own]))
+            yield i, j, v[new], t[new], total, [(*x, at[edge[n] : edge[n + 1]]) for n, x in enumerate(own)]
+
+
 def train_model(docs: DataFrame, text: str = "text", doc: str = "doc_id", fold: Callable[[int | None], bool] = held_out, fan: int = B.FAN) -> DataFrame:
     """The model of the documents outside the held-out fold, one row for each slice and kind: write it as Parquet to keep it."""
     layout = B.blocks(docs, text, doc, fan=fan)
@@ -226,31 +289,29 @@ def _scored(layout: B.Layout, counted: DataFrame, fold: Callable[[int | None], b
 
     def answers(table: pa.Table) -> pa.Table:
         rows = [r for r in B.read(table) if r[2] == BIGRAMS]
-        asked = [_bigrams(r) for r in rows]
-        v, t, c = _merged_bigrams(asked)
-        begin, _ = runs(v)
-        stats = np.zeros((len(begin), 4), np.uint64)  # tokens after the context; followers seen once, twice, more often
-        if len(begin):
-            stats[:, 0] = np.add.reduceat(c, begin)
-            for k, chosen in enumerate((c == 1, c == 2, c > 2), 1):
-                stats[:, k] = np.add.reduceat(chosen.astype(np.uint64), begin)
-        key = bigram_key(v, t)
-        order = np.argsort(key)
-        pairs = Mapped(key[order], count=c[order].astype(np.uint64))
-        contexts = Mapped(v[begin], total=stats[:, 0], once=stats[:, 1], twice=stats[:, 2], more=stats[:, 3])
+        asked = Asked(rows)
+        stats = np.zeros((len(asked.contexts), 4), np.uint64)  # tokens after the context; followers seen once, twice, more often
+        found = [np.zeros(len(c), np.uint32) for c in asked.count]
+        seen = np.zeros(4, np.int64)
+        for i, j, v, _, c, answered in asked.pieces():
+            for k, chosen in enumerate((c, c == 1, c == 2, c > 2)):
+                stats[i:j, k] += np.bincount(v, chosen, j - i).astype(np.uint64)
+            seen += histogram(c)
+            for k, lo, hi, at in answered:
+                found[k][lo:hi] = c[at]
         out = []
-        for r, (cv, length, ct, _) in zip(rows, asked, strict=True):
+        for k, r in enumerate(rows):
             if r[1] != MODEL:
-                found = pairs.find(bigram_key(np.repeat(cv, length), ct), "count")[0]
-                stat = contexts.find(cv, "total", "once", "twice", "more")
-                out.append((r[0], r[1], ANSWER, r[3], B.pack_counts(found), B.joined(*map(B.pack_counts, stat))))
-        pairs.close()
-        contexts.close()
-        return to_blocks.send(out, table["slice"][0].as_py(), np.concatenate([histogram(c), np.zeros(8, np.int64)]))
+                stat = stats[np.searchsorted(asked.contexts, asked.context[k])]
+                out.append((r[0], r[1], ANSWER, r[3], B.pack_counts(found[k]), B.joined(*map(B.pack_counts, stat.T))))
+        return to_blocks.send(out, table["slice"][0].as_py(), np.concatenate([seen, np.zeros(8, np.int64)]))
 
     def continuations(table: pa.Table) -> pa.Table:
-        _, t, _ = _merged_bigrams([_bigrams(r) for r in B.read(table) if r[2] == BIGRAMS])
-        key, times = np.unique(t, return_counts=True)
+        asked = Asked([r for r in B.read(table) if r[2] == BIGRAMS])
+        key, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for _, _, _, t, c, _ in asked.pieces():
+            key, at = np.unique(np.concatenate([key, t[c > 0]]), return_inverse=True)
+            times = np.bincount(at, np.append(times, np.ones(len(at) - len(times), np.int64)), len(key)).astype(np.int64)
         own = table["slice"][0].as_py()
         return to_slices.send([(s, own, CONTEXTS, hi - lo, B.pack(key[lo:hi]), B.pack_counts(times[lo:hi])) for s, lo, hi in B.parts(B.cuts(key, BITS, n), len(key)) if hi > lo], own)
 
