@@ -10,6 +10,7 @@ from weftline.operators import dp_align, glossary, segment, style
 from weftline.queries import HAS_WORD, LINES, doc_lines, query, table
 from weftline.scan_queries import TABLE_DRIFT
 from weftline.sources.blocks import paragraphs
+from weftline.sources.staging import placed
 
 
 def two_sides(spark: SparkSession, sf_dir: str, letters: int = 8) -> DataFrame:
@@ -145,9 +146,9 @@ def drift_unexplained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, para_no, text): three documents, each of all order lines with one return flag; texts as long as their figures say, some empty."""
     d = table(spark, sf_dir, "lineitem")
-    place = F.row_number().over(dp_align.W.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    d = placed(d.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "place")
     size = (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11 + F.col("l_quantity").cast("long")) % 240
-    return d.select(F.col("l_returnflag").alias("doc_id"), place.alias("para_no"), F.repeat(F.lit("x"), F.when(size < 2, 0).otherwise(size).cast("int")).alias("text"))
+    return d.select(F.col("l_returnflag").alias("doc_id"), F.col("place").cast("int").alias("para_no"), F.repeat(F.lit("x"), F.when(size < 2, 0).otherwise(size).cast("int")).alias("text"))
 
 
 @query("""WITH RECURSIVE

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.sources.staging import staged
@@ -70,14 +69,19 @@ def segmented(paras: DataFrame, max_paras: int = MAX_PARAS, max_chars: int = MAX
     """
     size = max(chunk, 16 * max_paras)
     at = F.floor((F.col("para_no") - 1) / size).cast("int")
-    listed = paras.groupBy("doc_id", at.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("para_no", F.coalesce(F.length("text"), F.lit(0)).alias("size")))).alias("p"))
-    per = W.partitionBy("doc_id").orderBy("chunk")
+    # The first paragraphs of a chunk also go to the chunk before, so no chunk has to be looked up by its neighbour.
+    again = (at > 0) & ((F.col("para_no") - 1) % size < max_paras)
+    sent = paras.select("doc_id", F.explode(F.when(again, F.array(at, at - 1)).otherwise(F.array(at))).alias("chunk"), F.struct("para_no", F.coalesce(F.length("text"), F.lit(0)).alias("size")).alias("x"))
+    listed = sent.groupBy("doc_id", "chunk").agg(F.sort_array(F.collect_list("x")).alias("p"))
+    last = (F.col("chunk") + 1) * size
+    ahead = F.transform(F.filter("p", lambda x: x["para_no"] > last), lambda x: x["size"])
+    listed = listed.select("doc_id", "chunk", ahead.alias("ahead"), F.filter("p", lambda x: x["para_no"] <= last).alias("p"))
     sizes = F.transform("p", lambda x: x["size"])
-    listed = listed.withColumn("ahead", F.lead(F.slice(sizes, 1, max_paras)).over(per)).withColumn("later", (F.col("chunk") > 0) | F.col("ahead").isNotNull())
+    listed = listed.withColumn("later", (F.col("chunk") > 0) | (F.size("ahead") > 0))
     soft = F.transform(F.col("p"), lambda x, i: F.coalesce((x["size"] > 0) & (F.get(F.col("p"), i + 1)["size"] > 0), F.lit(True)))
     places = F.arrays_zip(F.transform("p", lambda x: x["para_no"].cast("int")).alias("para_no"), block_numbers(sizes, soft, max_paras, max_chars).alias("block_no"))
     out = listed.where("NOT later").select("doc_id", F.inline(places))
-    long_ = staged(listed.where("later").select("doc_id", "chunk", F.transform("p", lambda x: x["para_no"].cast("int")).alias("no"), sizes.alias("sizes"), F.coalesce("ahead", F.array().cast("array<int>")).alias("ahead")), "segment-chunks")
+    long_ = staged(listed.where("later").select("doc_id", "chunk", F.transform("p", lambda x: x["para_no"].cast("int")).alias("no"), sizes.alias("sizes"), "ahead"), "segment-chunks")
     return out.unionByName(_long(long_, max_paras, max_chars))
 
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``df`` and column ``name``: a row's place from 1 among the rows of its key, in order; for keys with more rows than a task should sort.
+
+    Rows are sorted in ranges of (key, order); only the ranges' sizes meet by key.
+    """
+    at = F.shiftright("_id", 33).alias("_at")
+    ranges = staged(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    sizes = ranges.groupBy(key, at).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col(key).alias("_key"), F.col("_at"), (before - F.col("_first") + 1).alias("_offset"))
+    d = ranges.select("*", at).join(F.broadcast(offsets.withColumnRenamed("_at", "_of")), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_of")))
+    return d.select(*df.columns, (F.col("_id") + F.col("_offset")).alias(name))
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Remove what this application staged; results that still read it must have been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
