@@ -23,7 +23,7 @@ from weftline.plans.grammar_rules import first, grammar_scan
 from weftline.plans.record_rules import record_scan
 from weftline.plans.rules import counts
 from weftline.sources.blocks import paragraphs
-from weftline.sources.tables import spread
+from weftline.sources.tables import keyed, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -272,7 +272,8 @@ def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem")
-    return d.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_no"), F.col("l_returnflag").alias("text")).dropDuplicates(["doc_id", "block_no"])
+    d = d.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_no"), F.col("l_returnflag").alias("text"))
+    return keyed(d, "doc_id", "block_no").dropDuplicates(["doc_id", "block_no"])
 
 
 _SIDES = """l AS (SELECT o_orderkey AS doc_id, unnest(range(1, (o_orderkey % 5)::INT + 2))::INT AS block_no FROM orders),
@@ -393,7 +394,7 @@ def freshness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT *, coalesce(lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) < l_partkey, true) AS up FROM lineitem) GROUP BY l_orderkey""")
 def order_uniqueness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey").alias("ord"), "l_partkey")
-    return gate.strictly_sorted(d, "doc_id", "ord", "l_partkey")
+    return gate.strictly_sorted(keyed(d, "doc_id"), "doc_id", "ord", "l_partkey")
 
 
 _FORMS = {"that": "thet", "thatnd": "thetnd", "avec": "evec"}

@@ -31,6 +31,16 @@ def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
 
 
+def keyed(df: DataFrame, *keys: str, rows_per_task: int = 500_000) -> DataFrame:
+    """``df`` dealt by keys to as many tasks as it has shares of ``rows_per_task`` rows; as it is if that is one.
+
+    What follows by these keys (aggregates, windows, joins) then holds a share in a task, whatever the session's number of
+    partitions is, and no task of the scan aggregates a whole split.  For tables and staged tables, whose count is metadata.
+    """
+    n = -(-df.count() // rows_per_task)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
+
+
 def rows(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, cells) of the lines that begin with a bar; the outer bars bound no cell."""
     d = lines(docs).where(F.col("line").startswith("|"))
