@@ -31,8 +31,11 @@ def side_notes(pairs: DataFrame, doc: str, block: str) -> DataFrame:
 
 
 def missing_blocks(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of ``wanted`` that ``present`` lacks."""
-    return wanted.select(*keys).join(present.select(*keys), keys, "left_anti")
+    """Keys of ``wanted`` that ``present`` lacks.
+
+    A merge join: the sizes that Spark would broadcast by do not see how many blocks a row is exploded into.
+    """
+    return wanted.select(*keys).join(present.select(*keys).hint("merge"), keys, "left_anti")
 
 
 def not_frozen(rows: DataFrame, registry: DataFrame, key: str, frozen: str | None = None) -> DataFrame:
