@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.sources.staging import staged
+from weftline.sources.tables import keyed
 
 LEDGER = "tasks array<struct<id:string,subtasks:array<struct<id:string,kind:string,attempts:array<struct<prompt:string>>>>>>"
 BROKEN = "_broken"
@@ -50,7 +51,8 @@ def chained(attempts: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``runs`` has audit_run_id and findings; a run that several files hold counts all their findings.
     """
-    per = runs.groupBy(F.col("audit_run_id").alias("run")).agg(F.sum(F.coalesce(F.size("findings"), F.lit(0))).alias("n_findings"))
-    d = attempts.join(per, "run", "left")
+    sizes = runs.select(F.col("audit_run_id").alias("run"), F.coalesce(F.size("findings"), F.lit(0)).alias("n"))
+    per = keyed(sizes, "run").groupBy("run").agg(F.sum("n").alias("n_findings"))
+    d = attempts.join(per.hint("merge"), "run", "left")
     problem = F.when(F.col("attempts") <= 0, "no-attempt").when(F.col("run").isNull(), "no-run-id").when(F.col("n_findings").isNull(), "no-run-file")
     return d.withColumn("problem", problem)
