@@ -7,12 +7,13 @@ each side in a step; a pair that shares less than ``alike`` of its words is a lo
 paragraph is one addition and moves nothing else, and numbers of paragraphs mean nothing.
 
 Shuffles carry hashes and numbers; only paragraphs inside gaps are sent with their words.  The longest run is found
-in one group a document (two numbers a paragraph), the programs in one group a gap.
+in one row a document (two numbers a paragraph), the programs in one row a gap; many rows go to Python in one batch.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,13 +48,21 @@ def fixed_points(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
     single = lambda df, name: df.where("hash <> ''").groupBy(doc, "hash").agg(F.count("*").alias("n"), F.min("no").alias(name)).where("n = 1").drop("n")
     both = single(old, "old_no").join(single(new, "new_no"), [doc, "hash"]).drop("hash")
 
-    def run(table: pa.Table) -> pa.Table:
-        kept = longest_run(list(zip(table["old_no"].to_pylist(), table["new_no"].to_pylist(), strict=True)))
-        first = table[doc].combine_chunks().slice(0, 1)
-        return pa.table([pa.concat_arrays([first] * len(kept)), pa.array([x for x, _ in kept], pa.int32()), pa.array([y for _, y in kept], pa.int32())], names=[doc, "old_no", "new_no"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [longest_run([(x["old_no"], x["new_no"]) for x in own]) for own in b["pairs"].to_pylist()]
+            yield _rows(b[doc], kept, [doc, "old_no", "new_no"])
 
     kind = old.schema[doc].dataType.simpleString()
-    return both.select(doc, F.col("old_no").cast("int"), F.col("new_no").cast("int")).groupBy(doc).applyInArrow(run, f"`{doc}` {kind}, old_no int, new_no int")
+    listed = both.groupBy(doc).agg(F.collect_list(F.struct(F.col("old_no").cast("int").alias("old_no"), F.col("new_no").cast("int").alias("new_no"))).alias("pairs"))
+    return listed.mapInArrow(run, f"`{doc}` {kind}, old_no int, new_no int")
+
+
+def _rows(docs: pa.Array, found: list[list[tuple]], names: list[str]) -> pa.RecordBatch:
+    """The (old, new) numbers found for each document or gap of a batch as rows."""
+    at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int32())
+    sides = [pa.array([x[k] for own in found for x in own], pa.int32()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([docs.take(at), *sides], names)
 
 
 def aligned(old: DataFrame, new: DataFrame, doc: str = "doc_id", number: str = "para_no", text: str = "text", alike: float = 0.3) -> DataFrame:
@@ -75,16 +84,24 @@ def aligned(old: DataFrame, new: DataFrame, doc: str = "doc_id", number: str = "
 
     params = AlignParams(anchor_weight=UNIT, length_weight=0, both=-int(alike * UNIT), skip=0, single=True)
 
-    def gap(table: pa.Table) -> pa.Table:
+    def steps(rows: list[dict]) -> list[tuple]:
         sides: dict[str, list] = {"old_no": [], "new_no": []}
-        for side, no, own in zip(*(table[c].to_pylist() for c in ("side", "no", "words")), strict=True):
-            sides[side].append((no, 1, set(own)))
+        for r in rows:
+            sides[r["side"]].append((r["no"], 1, set(r["words"])))
         x, y = (sorted(s, key=lambda p: p[0]) for s in sides.values())
-        steps = align([p[1:] for p in x], [p[1:] for p in y], params) if x and y else [(i, i + 1, 0, 0, 0) for i in range(len(x))] + [(0, 0, j, j + 1, 0) for j in range(len(y))]
-        first = table[doc].combine_chunks().slice(0, 1)
+        if not x or not y:
+            return [(p[0], None) for p in x] + [(None, p[0]) for p in y]
+        if len(x) == len(y) == 1:  # the program's answer for one pair; a tie is left to it
+            a, b = x[0][2], y[0][2]
+            if gain := UNIT * len(a & b) // max(1, len(a | b)) + params.both:
+                return [(x[0][0], y[0][0])] if gain > 0 else [(x[0][0], None), (None, y[0][0])]
         no = lambda ps, i, j: ps[i][0] if j > i else None
-        return pa.table([pa.concat_arrays([first] * len(steps)), pa.array([no(x, s[0], s[1]) for s in steps], pa.int32()), pa.array([no(y, s[2], s[3]) for s in steps], pa.int32())], names=[doc, "old_no", "new_no"])
+        return [(no(x, s[0], s[1]), no(y, s[2], s[3])) for s in align([p[1:] for p in x], [p[1:] for p in y], params)]
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows(b[doc], [steps(own) for own in b["rows"].to_pylist()], [doc, "old_no", "new_no"])
 
     kind = old.schema[doc].dataType.simpleString()
-    rest = left_over(a, "old_no").unionByName(left_over(b, "new_no")).groupBy(doc, "gap").applyInArrow(gap, f"`{doc}` {kind}, old_no int, new_no int")
-    return fixed.unionByName(rest)
+    listed = left_over(a, "old_no").unionByName(left_over(b, "new_no")).groupBy(doc, "gap").agg(F.collect_list(F.struct("side", "no", "words")).alias("rows"))
+    return fixed.unionByName(listed.select(doc, "rows").mapInArrow(gaps, f"`{doc}` {kind}, old_no int, new_no int"))
