@@ -7,8 +7,8 @@ four and five byte prefixes, lower-cased, hashed to 32 bits; labels, language, s
 
 The learner is fitted on the driver from a bounded sample: about ``max_train_docs`` labelled documents
 drawn by the hash of their id; in hash order, each is taken whose text still fits ``max_train_chars`` bytes in all
-(a text that does not fit is passed over, the next ones are not).  Lengths are known before any text moves, so the
-driver receives the features of the taken texts alone.  Scoring is one narrow pass over all whole texts with
+(a text that does not fit is passed over, the next ones are not).  Lengths are known before any text moves.  Tasks count
+each feature's documents, and the driver receives the selected features and the places where they stand, no others.  Scoring is one narrow pass over all whole texts with
 the selected weights (at most ``max_features``) in the task closure; nothing is shuffled.
 
 Cases: null and empty texts are one empty sentence and get the model's base score; a null id counts as
@@ -120,21 +120,46 @@ def noisy_or(p: np.ndarray, bag: np.ndarray, base: float) -> np.ndarray:
     return np.clip(np.where(bag[1:] == bag[:-1], base, score), 0.0, 1.0) + 0.0  # no negative zero
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, Words]]:
+    """(rows, features of their words, first word of each sentence, sentence number at each text's start, words)."""
     for b in batches:
         for lo, hi in slices(b.column("text")):
             batch = texts(b.column("text").slice(lo, hi - lo))
             low = Batch(LOWER[batch.data], batch.offsets)
             w = words(low)
-            f, (first, bag) = features(low, w), sentences(batch, w)
-            sizes = np.diff(np.append(first, len(w.start))).astype(np.int32)
-            rows = [(f[w.first[i] : w.first[i + 1]].tobytes(), sizes[bag[i] : bag[i + 1]].tobytes()) for i in range(hi - lo)]
-            part = b.slice(lo, hi - lo)
+            yield b.slice(lo, hi - lo), features(low, w), *sentences(batch, w), w
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features with the number of documents that hold them, and of toxic ones."""
+    for part, f, _, _, w in _sampled(batches):
+        own = [np.unique(f[w.first[i] : w.first[i + 1]]) for i in range(len(part))]
+        key, at = np.unique(np.concatenate(own), return_inverse=True)
+        toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), [len(x) for x in own])
+        n, pos = np.bincount(at, minlength=len(key)), np.bincount(at, toxic, len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n), pa.array(pos)], names=["feature", "n", "pos"])
+
+
+def _hits(key: np.ndarray):
+    """A function from rows to where their words' features are among ``key``: sentence (from 0) and place in ``key`` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, f, first, bag, w in _sampled(batches):
+            sent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
+            i = np.minimum(np.searchsorted(key, f), len(key) - 1)
+            hit = key[i] == f
+            rows = []
+            for k in range(len(part)):
+                own = slice(w.first[k], w.first[k + 1])
+                at = np.broadcast_to((sent[own] - bag[k])[:, None], f[own].shape)[hit[own]]
+                rows.append((at.astype(np.int32).tobytes(), i[own][hit[own]].astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("ord"), part.column("toxic"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["ord", "toxic", "features", "sizes"],
+                [part.column("ord"), part.column("toxic"), pa.array(np.diff(bag).astype(np.int64)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["ord", "toxic", "n", "sentences", "places"],
             )
 
+    return run
+
 
 def fitting(sizes: list[tuple[int, int]], budget: int) -> tuple[list[int], list[int]]:
     """The orders taken and passed over, of (order, bytes): in order, each that still fits."""
@@ -152,40 +177,30 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Model
     """Train from (doc_id, text, toxic); toxic is 0 or 1."""
     none = Model(np.zeros(0, np.uint32), np.zeros(0), -40.0)
     picked = staged(labelled.select("text", "toxic", F.xxhash64(F.lit(8), "doc_id").alias("ord")), "toxicity-sample")
-    sizes = [(r["ord"], r["n"]) for r in picked.select("ord", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()]
-    taken, over = fitting(sizes, params.max_train_chars)
+    known = picked.select("ord", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    taken, over = fitting([(r["ord"], r["n"]) for r in known], params.max_train_chars)
     if over:
-        picked = picked.where(F.col("ord").isin(taken))
-    table = picked.mapInArrow(_sample_features, "ord long, toxic int, features binary, sizes binary").toArrow()
-    keep = np.argsort(table["ord"].to_numpy(), kind="stable")
-    y = table["toxic"].to_numpy()[keep].astype(bool)
-    if not y.any() or y.all():
+        picked, kept = picked.where(F.col("ord").isin(taken)), set(taken)
+        known = [r for r in known if r["ord"] in kept]
+    n_docs, n_toxic = len(known), sum(r["toxic"] for r in known)
+    if n_toxic in (0, n_docs):
         return none
-    column = table["features"].combine_chunks()
-    f = [np.frombuffer(column[i].as_buffer(), np.uint32).reshape(-1, 3) for i in keep.tolist()]  # views, no copies
-    sizes = [np.frombuffer(x.as_buffer(), np.int32) for x in table["sizes"].combine_chunks().take(pa.array(keep))]
-    bag = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
+    rate = n_toxic / n_docs
 
     # Document frequencies by class, then the features that tell the classes apart best.
-    own = [np.unique(x) for x in f]
-    key, at = np.unique(np.concatenate(own), return_inverse=True)
-    toxic = np.repeat(y, [len(x) for x in own])
-    pos, all_ = np.bincount(at, toxic, len(key)), np.bincount(at, minlength=len(key))
-    rate = y.mean()
-    gap = np.abs(pos - rate * all_) / np.sqrt(rate * (1 - rate) * np.maximum(all_, 1))
-    gap[all_ < params.min_df] = 0
-    key = np.sort(key[np.argsort(-gap, kind="stable")[: params.max_features]])
-    del own, at, toxic, pos, all_, gap
-
-    cols, rows = [], []
-    for k, x in enumerate(f):
-        i = np.minimum(np.searchsorted(key, x), len(key) - 1)
-        hit = key[i] == x
-        sent = bag[k] + np.repeat(np.arange(len(sizes[k])), sizes[k])
-        cols.append(i[hit].astype(np.int32))
-        rows.append(np.broadcast_to(sent[:, None], x.shape)[hit].astype(np.int32))
-    col, row = np.concatenate(cols), np.concatenate(rows)
-    del table, column, f, cols, rows
+    df = picked.mapInArrow(_frequencies, "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    gap = F.abs(F.col("pos") - F.lit(rate) * F.col("n")) / F.sqrt(F.lit(rate * (1 - rate)) * F.col("n"))
+    best = df.select("feature", F.when(F.col("n") < params.min_df, F.lit(0.0)).otherwise(gap).alias("gap")).orderBy(F.desc("gap"), "feature").limit(params.max_features)
+    key = np.sort(best.select("feature").toArrow()["feature"].to_numpy()).astype(np.uint32)
+
+    # Only where the selected features stand comes here.
+    table = picked.mapInArrow(_hits(key), "ord long, toxic int, n long, sentences binary, places binary").toArrow()
+    keep = np.argsort(table["ord"].to_numpy(), kind="stable")
+    y = table["toxic"].to_numpy()[keep].astype(bool)
+    bag = np.concatenate([[0], np.cumsum(table["n"].to_numpy()[keep])])
+    own, places = ([np.frombuffer(x, np.int32) for x in table[c].take(pa.array(keep)).to_pylist()] for c in ("sentences", "places"))
+    row, col = np.concatenate([x + b for x, b in zip(own, bag[:-1], strict=True)]), np.concatenate(places)
+    del table, own, places
     n, w = int(bag[-1]), np.zeros(len(key))
     b = float(np.log(rate / (1 - rate)) - np.log(max(1.0, n / len(y))))
     m, v = np.zeros(len(key) + 1), np.zeros(len(key) + 1)
