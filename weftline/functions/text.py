@@ -9,17 +9,22 @@ EMPTY = "—"  # how a missing field is printed
 MATCH = "struct<start:int,end:int,hit:string>"
 
 
+# Fixed value: Unicode white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end (``trim`` only knows the blank).
+    """Without Unicode white space at either end (``trim`` alone only knows the blank).
 
-    A run of blanks is tried from its beginning only, so the work is linear in the text.
+    Only the ends are looked at; a regex would try every place of the text.
     """
-    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def clean(c: Column) -> Column:
     """HTML comments become a blank, then strip; null is empty."""
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)<!--.*?-->", " "))
+    whole = F.coalesce(c, F.lit(""))
+    return strip(F.when(whole.contains("<!--"), F.regexp_replace(whole, r"(?s)<!--.*?-->", " ")).otherwise(whole))
 
 
 def missing(c: Column) -> Column:
@@ -42,7 +47,7 @@ def before_apostrophe(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, with the Cyrillic io as ie."""
-    return F.translate(F.lower(c), "ё", "е")
+    return F.replace(F.lower(c), F.lit("ё"), F.lit("е"))
 
 
 # Letters whose upper case is several characters by the full mapping, but one by the simple one.
@@ -62,7 +67,7 @@ def without_space(c: Column) -> Column:
 
 def collapse_blank_lines(c: Column) -> Column:
     """Lines right-stripped, runs of blank lines as one, none at the ends."""
-    bare = F.regexp_replace(c, r"(?mU)(?<![^\S\n])[^\S\n]+$", "")
+    bare = F.regexp_replace(c, r"(?mU)[^\S\n](?<![^\S\n]{2})[^\S\n]*$", "")
     return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 

@@ -28,6 +28,8 @@ PRONOUN_VERB = r"(?iuU)\b(он|она|оно|я|ты)\s+([а-яё]{3,}(?:ли|л
 NOUN_VERB = r"(?iuU)\b([а-яё]{3,}(?:ние|тие|енье|ство))\b([^.!?…:;]{0,60}?)\b([а-яё]{2,}(?:ли|ши))\b"
 GUARD = r"(?iuU)(?:\b(?:все|они|мы|вы|гости|люди|ребята|девушки|мальчики|друзья|и|а|но|или)\s*[—-]?\s*|не\s*[—-]?\s*|[а-яё]{2,}[иы]\s*[—-]?\s*)$"
 LONE_DIGIT = r"(?<![\d,.\-–—])(?<!\d\s)\d(?![\d,.\-–—%]|\s*%|\s*\d)"
+# Letters that a match of the longer patterns cannot lack, in both cases.
+_BYL, _SYA, _LI = "[бБ][ыЫ][лЛ]", "[сСᲃ][яЯьЬ]", "[лЛшШ][иИ]"
 KINDS = ("voice", "possessive", "passive-ru", "agreement", "numbers")
 
 
@@ -59,24 +61,23 @@ def grammar_scan(view: DataFrame, source: str = "en", target: str = "ed_ru", onl
         raise ValueError(f"unknown checks: {', '.join(unknown)}")
     d = view.select("doc_id", "block_no", clean(F.col(source)).alias("source"), clean(F.col(target)).alias("target"))
     d = d.where(~missing(F.col("source")) & ~missing(F.col("target")))
-    d = d.select("*", sentences(F.col("source")).alias("ss"), sentences(F.col("target")).alias("ts"))
-    passive, possessor = F.col("source").rlike(EN_PASSIVE), F.col("source").rlike(EN_POSSESSOR)
-    shown = F.coalesce(first(F.col("ss"), lambda s: s.rlike(EN_PASSIVE)), F.col("source"))
-    d = d.select("*", shown.alias("shown"), passive.alias("passive"), possessor.alias("possessor"))
-    reflexive = first(F.col("ts"), lambda s: F.size(reflexives(s)) > 0)
-    passive_ru = first(F.col("ts"), lambda s: s.rlike(RU_PASSIVE))
-    agreement = first(F.col("ts"), lambda s: disagreement(s) != "")
-    digit = first(F.col("ts"), lambda s: s.rlike(LONE_DIGIT))
-    d = d.select("*", reflexive.alias("reflexive"), passive_ru.alias("passive_ru"), agreement.alias("agreement"), digit.alias("digit"))
-    voiced = F.col("passive") & (F.col("source").rlike(EN_AGENT) | F.col("possessor")) & F.col("reflexive").isNotNull()
+    # A sentence's match is one of the whole text, so sentences are only cut where the text has what a check needs.
+    source_, target_ = F.col("source"), F.col("target")
+    d = d.select("*", (source_.contains("'") & source_.rlike(EN_POSSESSOR)).alias("possessor"), (target_.rlike(_BYL) & target_.rlike(RU_PASSIVE)).alias("has_passive_ru"))
+    voiced = target_.rlike(_SYA) & (F.col("possessor") | source_.rlike(EN_AGENT)) & source_.rlike(EN_PASSIVE)
+    reflexive = F.when(voiced, first(sentences(target_), lambda s: s.rlike(_SYA) & (F.size(reflexives(s)) > 0)))
+    agreement = F.when(target_.rlike(_LI), first(sentences(target_), lambda s: s.rlike(_LI) & (disagreement(s) != "")))
+    digit = F.when(target_.rlike("[0-9]"), first(sentences(target_), lambda s: s.rlike(LONE_DIGIT)))
+    d = d.select("*", reflexive.alias("reflexive"), agreement.alias("agreement"), digit.alias("digit"))
+    shown_ = F.coalesce(first(sentences(source_), lambda s: s.rlike(EN_PASSIVE)), source_)
+    voiced = F.col("reflexive").isNotNull()
     by_voice = voiced & F.lit("voice" in only)
     hit = reflexives(F.col("reflexive"))[0]
-    target_, source_, shown_ = F.col("target"), F.col("source"), F.col("shown")
     # A possessor with a reflexive verb is shown by its sentence, else by the block; once per block.
     rules = [
         Rule("voice", "weak", by_voice & ~F.col("possessor"), hit, shown_, F.col("reflexive")),
         Rule("possessive", "weak", F.col("possessor"), F.when(by_voice, hit).otherwise(F.regexp_extract("source", EN_POSSESSOR, 0)), shown_, F.when(by_voice, F.col("reflexive")).otherwise(target_)),
-        Rule("passive-ru", "weak", target_.rlike(RU_PASSIVE), F.regexp_extract("target", RU_PASSIVE, 1), F.when(F.col("passive"), shown_).otherwise(source_), F.coalesce("passive_ru", "target")),
+        Rule("passive-ru", "weak", F.col("has_passive_ru"), F.regexp_extract("target", RU_PASSIVE, 1), shown_, F.coalesce(first(sentences(target_), lambda s: s.rlike(RU_PASSIVE)), target_)),
         Rule("agreement", "weak", F.col("agreement").isNotNull(), disagreement(F.col("agreement")), shown_, F.col("agreement")),
         Rule("numbers", "weak", F.col("digit").isNotNull(), F.regexp_extract("digit", LONE_DIGIT, 0), F.lit(""), F.col("digit")),
     ]
