@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import numbers
-from weftline.functions.text import has_word, missing, runs
+from weftline.functions.text import escaped, has_word, missing, runs
 from weftline.operators.versions import aligned
 
 
@@ -77,21 +77,31 @@ def style_scan(paragraphs: DataFrame, pack: StylePack = StylePack()) -> DataFram
     REPETITION: a word twice or more in a paragraph.  ROOT_REPETITION: two different words with one root, shown as the first
     two in order of the alphabet, n the number of such words.  REDUNDANCY: an intensifier twice.  NOMINALIZATION: many verbal nouns.
     TAUTOLOGY, COLLOCATION, OTHER: patterns, n their matches.  MONOTONY (per document, at the first paragraph): one root makes up
-    most of a group of epithets.  All but the last are one narrow pass: a paragraph's words are sorted inside its row, and
-    equal words and equal roots are runs.  Only epithets are shuffled, by document and root.
+    most of a group of epithets.  All but the last are one narrow pass: a paragraph's long words are sorted inside its row, and
+    equal words and equal roots are neighbours.  Only epithets are shuffled, by document and root.
     """
-    words = F.array_sort(F.regexp_extract_all("text", F.lit(f"[{pack.letters}]+"), F.lit(0)))
-    d = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text")).select("*", runs(words).alias("ws"))
-    long_ = F.filter("ws", lambda e: (F.length(e["value"]) >= pack.length) & ~e["value"].isin(list(pack.stop) or [""]))
-    d = d.select("*", long_.alias("long")).select("*", runs(F.transform("long", lambda e: F.left(e["value"], F.lit(pack.root)))).alias("roots"))
+    d = paragraphs.select("doc_id", "para_no", F.lower("text").alias("text"))
+    found_all = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    begins = lambda heads: rf"(?={'|'.join(escaped(h) for h in heads)})(?<![{pack.letters}])[{pack.letters}]+"
+    long_ = F.sort_array(found_all(f"[{pack.letters}]{{{pack.length},}}"))
+    long_ = F.filter(long_, lambda w: ~w.isin(list(pack.stop))) if pack.stop else long_
+    nominal = F.filter(found_all(f"[{pack.letters}]+"), lambda w: w.rlike(pack.nominal))
+    strong = F.filter(found_all(begins(pack.intensifiers)), lambda w: w.isin(list(pack.intensifiers))) if pack.intensifiers else F.array().cast("array<string>")
+    # Sorted words in one text: those whose next neighbour is equal or has the same root; few are, so the runs are short.
+    joined = lambda words: F.array_join(words, "\x01")
+    again = r"(?<![^\x01])([^\x01]++)(?=\x01\1(?![^\x01]))"
+    alike = rf"(?<![^\x01])(([^\x01]{{{pack.root}}})[^\x01]*+)(?=\x01(\2[^\x01]*+))"
+    d = d.select("*", long_.alias("long"), nominal.alias("nominal"), runs(F.sort_array(strong)).alias("strong"))
+    d = d.select("*", runs(F.regexp_extract_all(joined(F.col("long")), F.lit(again), F.lit(1))).alias("repeated"), joined(F.array_distinct("long")).alias("distinct"))
+    pairs = F.arrays_zip(F.regexp_extract_all("distinct", F.lit(alike), F.lit(1)).alias("one"), F.regexp_extract_all("distinct", F.lit(alike), F.lit(3)).alias("two"))
+    d = d.select("*", pairs.alias("pairs")).select("*", runs(F.transform("pairs", lambda e: F.left(e["one"], F.lit(pack.root)))).alias("roots"))
     one = lambda kind, word, n: F.struct(F.lit(kind).alias("kind"), word.alias("word"), n.cast("long").alias("n"))
-    nominal = F.filter("ws", lambda e: e["value"].rlike(pack.nominal))
-    n_nominal = F.aggregate(nominal, F.lit(0), lambda a, e: a + e["n"])
-    roots = F.transform(F.filter("roots", lambda r: r["n"] > 1), lambda r: one("ROOT_REPETITION", F.concat(F.get(F.col("long"), r["at"])["value"], F.lit(" … "), F.get(F.col("long"), r["at"] + 1)["value"]), r["n"]))
+    pair = lambda r: F.get(F.col("pairs"), r["at"])
     found = [
-        F.transform(F.filter("long", lambda e: e["n"] >= 2), lambda e: one("REPETITION", e["value"], e["n"])), roots,
-        F.transform(F.filter("ws", lambda e: e["value"].isin(list(pack.intensifiers)) & (e["n"] >= 2)), lambda e: one("REDUNDANCY", e["value"], e["n"])),
-        F.array_compact(F.array(F.when(n_nominal >= pack.nominal_least, one("NOMINALIZATION", F.get(nominal, F.lit(0))["value"], n_nominal)))),
+        F.transform("repeated", lambda e: one("REPETITION", e["value"], e["n"] + 1)),
+        F.transform("roots", lambda r: one("ROOT_REPETITION", F.concat(pair(r)["one"], F.lit(" … "), pair(r)["two"]), r["n"] + 1)),
+        F.transform(F.filter("strong", lambda e: e["n"] >= 2), lambda e: one("REDUNDANCY", e["value"], e["n"])),
+        F.array_compact(F.array(F.when(F.size("nominal") >= pack.nominal_least, one("NOMINALIZATION", F.array_min("nominal"), F.size("nominal"))))),
     ]
     for kind, pattern in (("TAUTOLOGY", pack.tautology), ("COLLOCATION", pack.collocation), ("OTHER", pack.other)):
         found.append(F.array_compact(F.array(F.when(F.col("text").rlike(pattern), one(kind, F.regexp_extract("text", pattern, 0), F.regexp_count("text", F.lit(pattern)))))))
@@ -103,8 +113,8 @@ def style_scan(paragraphs: DataFrame, pack: StylePack = StylePack()) -> DataFram
             of = F.coalesce(of, F.when(word.startswith(root), F.lit(root)))
         return of
 
-    uses = F.filter(F.transform("ws", lambda e: F.struct(root_of(e["value"]).alias("root"), e["n"].alias("n"))), lambda e: e["root"].isNotNull())
-    by_root = d.select("doc_id", "para_no", F.inline(uses)).groupBy("doc_id", "root").agg(F.sum("n").alias("n"), F.min("para_no").alias("para_no"))
+    uses = d.select("doc_id", "para_no", F.explode(found_all(begins(pack.group))).alias("word")).select("doc_id", "para_no", root_of(F.col("word")).alias("root"))
+    by_root = uses.where("root IS NOT NULL").groupBy("doc_id", "root").agg(F.count("*").alias("n"), F.min("para_no").alias("para_no"))
     total = F.sum("n").over(W.partitionBy("doc_id"))
     dull = by_root.withColumn("total", total).where(F.col("root").isin(list(pack.epithets)) & (F.col("n") >= pack.monotony_least) & (F.col("n") >= pack.monotony_share * F.col("total")))
     return each.unionByName(dull.select("doc_id", "para_no", F.lit("MONOTONY").alias("kind"), F.col("root").alias("word"), F.col("n").cast("long").alias("n")))
