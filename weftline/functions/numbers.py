@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.text import fold
+from weftline.functions.text import fold, let
 
 # Roots of the Russian numerals 1 to 10.
 NUMERAL_ROOTS = {
@@ -26,6 +26,9 @@ ROUND_WORDS = {3: ("тысяч",), 2: ("сот", "сто"), 6: ("миллион"
 JA_DIGITS = "〇一二三四五六七八九"
 JA_SMALL = {"十": 10, "百": 100, "千": 1000}
 JA_LARGE = {"万": 10_000, "億": 100_000_000}
+JA_MARKS = "0123456789abcde"  # how the digits, 十, 百, 千, 万 and 億 are written for the usual form
+_SECTION = "(?:[0-9]?c)?(?:[0-9]?b)?(?:[0-9]?a)?[0-9]?"
+JA_USUAL = rf"^(?:{_SECTION}e)?(?:{_SECTION}d)?{_SECTION}\z"
 JA_NUMERAL = "[" + JA_DIGITS + "".join(JA_SMALL) + "".join(JA_LARGE) + "]+"
 
 
@@ -62,8 +65,29 @@ def unconfirmed(source: Column, target: Column) -> Column:
 def ja_value(c: Column) -> Column:
     """A Japanese numeral as a number; null for none or zero.
 
-    One fold over the characters; a multiplier without a digit counts once.
+    A multiplier without a digit counts once.  Numerals of the usual form (multipliers fall, one digit at each) become
+    decimal digits by patterns; any other text is one fold over its characters.
     """
+    usual = F.translate(c, JA_DIGITS + "".join(JA_SMALL) + "".join(JA_LARGE) + JA_MARKS, JA_MARKS)
+    return let(usual, lambda t: F.when(t.rlike(JA_USUAL), let(_decimal(t), _usual_value)).otherwise(_folded_value(c)))
+
+
+def _decimal(t: Column) -> Column:
+    """Sections of a usual numeral as decimal digits, before the marks e (億) and d (万)."""
+    ones = F.regexp_replace(t, "(?<![1-9])0?([abc])", "1$1")
+    for mark, after, none in (("c", "[0-9]b", "c0b"), ("b", "[0-9]a", "b0a"), ("a", "[0-9]", "a0")):
+        ones = F.regexp_replace(ones, f"{mark}(?!{after})", none)
+    return F.translate(ones, "abc", "")
+
+
+def _usual_value(v: Column) -> Column:
+    number = lambda x: F.concat(F.lit("0"), x).cast("long")
+    part = lambda x, mark, unit: F.when(x.contains(mark), F.greatest(number(F.substring_index(x, mark, 1)), F.lit(1)) * unit).otherwise(F.lit(0).cast("long"))
+    rest = F.substring_index(v, "e", -1)
+    return F.nullif(part(v, "e", JA_LARGE["億"]) + part(rest, "d", JA_LARGE["万"]) + number(F.substring_index(rest, "d", -1)), F.lit(0).cast("long"))
+
+
+def _folded_value(c: Column) -> Column:
     zero = F.lit(0).cast("long")
     state = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("num"))
 

@@ -44,10 +44,10 @@ _DIGITS = "〇一二三四五六七八九"
 
 def numeral(n: Column) -> Column:
     """A whole number below 10**12 as a Japanese numeral; a one before ten, hundred and thousand is not written."""
-    digit = lambda v, at, unit: F.when(v / at % 10 < 1, "").when((v / at % 10 < 2) & F.lit(unit != ""), unit).otherwise(F.concat(F.substring(F.lit(_DIGITS), F.floor(v / at % 10).cast("int") + 1, F.lit(1)), F.lit(unit)))
-    section = lambda v: F.concat(*[digit(v, at, unit) for at, unit in ((1000, "千"), (100, "百"), (10, "十"), (1, ""))])
-    part = lambda at, unit: F.when(F.floor(n / at) % 10_000 > 0, F.concat(section(F.floor(n / at) % 10_000), F.lit(unit))).otherwise("")
-    return F.concat(part(100_000_000, "億"), part(10_000, "万"), part(1, ""))
+    figures = F.lpad(n.cast("long").cast("string"), 12, "0")
+    marked = F.regexp_replace(figures, "^" + "([0-9])" * 12 + "$", "$1c$2b$3a$4e$5c$6b$7a$8d$9c$10b$11a$12")
+    bare = F.regexp_replace(F.regexp_replace(marked, "0c0b0a0[ed]|0[cba]?", ""), "1([cba])", "$1")
+    return F.coalesce(F.translate(bare, "123456789abcde", _DIGITS[1:] + "十百千万億"), F.lit(""))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 50 <> 0 THEN (l_orderkey * 20011 + l_partkey * l_linenumber)::BIGINT END AS value FROM lineitem")
@@ -93,13 +93,13 @@ SELECT doc_id, md5(replace(lower(up), 'ё', 'е')) AS folded, md5(replace(replac
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar functions on every whole text: folding, table cells, broken encodings, blank lines, one line, lists, marks of speech, clean-up, slugs."""
     t, id_ = F.col("text"), F.col("doc_id").cast("string")
-    odd, said = F.translate(t, "zj", "|�"), F.translate(t, ",.", "」。")
+    odd, said = replaced_all(t, {"z": "|", "j": "�"}), replaced_all(t, {",": "」", ".": "。"})
     gaps = F.replace(t, F.lit(". "), F.lit("  \n\n \n\n"))
     digest = lambda c: F.md5(c.cast("binary"))
-    words = F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) > 5)
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))
     raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "v0").otherwise(""), id_, F.lit("-ch"), id_)
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
-        "doc_id", digest(fold(F.translate(t, "E", "Ё"))).alias("folded"), digest(table_cell(odd)).alias("cell"), corrupt(odd).alias("broken"), digest(collapse_blank_lines(gaps)).alias("collapsed"),
+        "doc_id", digest(fold(F.replace(t, F.lit("E"), F.lit("Ё")))).alias("folded"), digest(table_cell(odd)).alias("cell"), corrupt(odd).alias("broken"), digest(collapse_blank_lines(gaps)).alias("collapsed"),
         digest(one_line(t)).alias("line"), digest(first_of_list(words)).alias("listed"), segment.closes_speech(said).alias("closes"), segment.ends_terminal(said).alias("ends"),
         digest(replaced_all(t, {"tion": "сия", "сия": "ция"})).alias("cleaned"), slug(raw).alias("slug"), volume(slug(raw)).alias("volume"),
     )
