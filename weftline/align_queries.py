@@ -71,8 +71,8 @@ _LATIN, _CYRILLIC, _KANA = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийк
 
 def three_languages(text: str = "text") -> dict[str, Column]:
     """A text as ja (kana without blanks), en (as it is) and ru (Cyrillic, capitals kept)."""
-    upper = F.translate(F.col(text), _LATIN.upper(), _CYRILLIC.upper())
-    return {"ja": F.translate(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), _LATIN, _KANA), "en": F.col(text), "ru": F.translate(upper, _LATIN, _CYRILLIC)}
+    ru = F.translate(F.col(text), _LATIN.upper() + _LATIN, _CYRILLIC.upper() + _CYRILLIC)
+    return {"ja": F.translate(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), _LATIN, _KANA), "en": F.col(text), "ru": ru}
 
 
 def benchmark_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +102,8 @@ def dictionary_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors of every line in three scripts: terms of a glossary from the benchmark, and numbers."""
     d = doc_lines(spark, sf_dir).select("doc_id", F.col("para_no").alias("block_no"), *[c.alias(n) for n, c in three_languages().items()])
     entries = benchmark_glossary(spark, sf_dir)
-    found = [glossary.anchors(d, entries, lang, lang).select(F.lit(lang).alias("lang"), "doc_id", "block_no", F.replace("anchor", F.lit("\x00"), F.lit("")).alias("anchor")) for lang in ("ja", "en", "ru")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    found = glossary.anchors_by_language(d, entries, {lang: lang for lang in ("ja", "en", "ru")})
+    return found.select("lang", "doc_id", "block_no", F.replace("anchor", F.lit("\x00"), F.lit("")).alias("anchor"))
 
 
 _ADDED = "Zqx wvk jyyp"

@@ -30,6 +30,8 @@ JA_MARKS = "0123456789abcde"  # how the digits, 十, 百, 千, 万 and 億 are w
 _SECTION = "(?:[0-9]?c)?(?:[0-9]?b)?(?:[0-9]?a)?[0-9]?"
 JA_USUAL = rf"^(?:{_SECTION}e)?(?:{_SECTION}d)?{_SECTION}\z"
 JA_NUMERAL = "[" + JA_DIGITS + "".join(JA_SMALL) + "".join(JA_LARGE) + "]+"
+NUMBER = r"\d(?:[\d,.\s]*\d)?"
+JA_LIKELY = "[0-9〇一-百]"  # digits and the range of the numerals, which tells most texts without one
 
 
 def ungrouped(c: Column) -> Column:
@@ -111,9 +113,16 @@ def _folded_value(c: Column) -> Column:
 
 def number_anchors(c: Column, lang: str) -> Column:
     """Language-free marks of the numbers in a text: NUL and the value."""
-    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d[\d,.\s]*\d|\d"), F.lit(0))
-    found = F.transform(runs, lambda m: without_zeros(F.regexp_replace(m, r"[,.\s]", "")))
-    if lang == "ja":
-        own = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(JA_NUMERAL), F.lit(0)), lambda m: ja_value(m).cast("string"))
-        found = F.concat(found, F.filter(own, lambda v: v.isNotNull()))
-    return F.array_distinct(F.transform(found, lambda v: F.concat(F.lit("\x00"), v)))
+    ja, text = lang == "ja", F.coalesce(c, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(f"{NUMBER}|{JA_NUMERAL}" if ja else NUMBER), F.lit(0))
+
+    def values(found: Column) -> Column:
+        digits = F.filter(found, lambda m: m.rlike(r"^\d")) if ja else found
+        own = F.transform(digits, lambda m: without_zeros(F.regexp_replace(m, r"[,.\s]", "")))
+        if not ja:
+            return own
+        numerals = F.transform(F.filter(found, lambda m: ~m.rlike(r"^\d")), lambda m: ja_value(m).cast("string"))
+        return F.concat(own, F.filter(numerals, lambda v: v.isNotNull()))
+
+    known = F.when(text.rlike(JA_LIKELY), runs).otherwise(F.array().cast("array<string>")) if ja else runs
+    return F.array_distinct(F.transform(let(known, values), lambda v: F.concat(F.lit("\x00"), v)))

@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from weftline.sources.staging import staged
 
@@ -50,12 +50,17 @@ def lowered(c: Column) -> Column:
     return F.lower(F.translate(c, "İ", "i"))
 
 
-def _shut(chars: str):
-    """Whether a character is of a class."""
-    import regex
+class _Shut(dict):
+    """Whether a character is of a class; each is tried once."""
 
-    found = regex.compile(f"[{chars}]") if chars else None
-    return lru_cache(maxsize=4096)(lambda ch: bool(found.match(ch))) if found else lambda ch: False
+    def __init__(self, chars: str):
+        import regex
+
+        self.found = regex.compile(f"[{chars}]") if chars else None
+
+    def __missing__(self, ch: str) -> bool:
+        self[ch] = hit = bool(self.found and self.found.match(ch))
+        return hit
 
 
 @lru_cache(maxsize=4)
@@ -67,15 +72,17 @@ def _walker(terms: tuple[str, ...], bounds: Bounds):
     for i, term in enumerate(terms):
         automaton.add_word(term, i)
     automaton.make_automaton()
-    before, after, sizes = _shut(bounds.before), _shut(bounds.after), [len(t) for t in terms]
+    before, after, sizes = _Shut(bounds.before), _Shut(bounds.after), [len(t) for t in terms]
 
     def walk(text: str) -> dict[int, int]:
         found: dict[int, int] = {}
         low = text.replace("İ", "i").lower() if bounds.fold else text
+        last = len(low) - 1
         for end, i in automaton.iter(low):
-            start = end + 1 - sizes[i]
-            if i not in found and not (start and before(text[start - 1])) and not (end + 1 < len(text) and after(text[end + 1])):
-                found[i] = start
+            if i not in found:
+                start = end + 1 - sizes[i]
+                if not (start and before[low[start - 1]]) and not (end < last and after[low[end + 1]]):
+                    found[i] = start
         return found
 
     return walk
@@ -118,13 +125,40 @@ def _joined(rows: DataFrame, terms: DataFrame, text: str, bounds: Bounds, keep:
     return found.select(*keep, "term", "start", (F.col("start") + F.length("term")).alias("end"))
 
 
+def size_of(terms: DataFrame, *columns: str) -> int:
+    """Bytes that a table of terms takes in memory, about."""
+    return terms.agg(F.sum(sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in columns), F.lit(64)))).first()[0] or 0
+
+
+def listed_hits(rows: DataFrame, terms: list[tuple[str, dict[str, list[int]], Bounds]], keep: tuple[str, ...] = (), name: str = "hits") -> DataFrame:
+    """keep and array<int> ``name``: the numbers of the terms that stand in a row's texts, one row a row; for dictionaries that the workers may hold.
+
+    ``terms`` lists columns of texts, each with its terms (not empty, in lower case if so compared), the numbers of each term and their
+    bounds.  A row and all of its texts go to Python once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = [(_walker(tuple(own), bounds) if own else lambda _: {}, list(own.values())) for _, own, bounds in terms]
+        for batch in batches:
+            found, upto = [], [0]
+            for texts in zip(*(batch[c].to_pylist() for c in range(len(walks))), strict=True):
+                for (walk, numbers), t in zip(walks, texts, strict=True):
+                    for i in walk(t) if t else ():
+                        found += numbers[i]
+                upto.append(len(found))
+            hits = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(walks) :], hits], [*keep, name])
+
+    out = StructType([*(rows.schema[c] for c in keep), StructField(name, ArrayType(IntegerType()))])
+    return rows.select(*[F.col(text).cast("string").alias(f"_t{n}") for n, (text, _, _) in enumerate(terms)], *keep).mapInArrow(run, out)
+
+
 def first_hits(rows: DataFrame, terms: DataFrame, text: str = "text", bounds: Bounds = WHOLE, keep: tuple[str, ...] = (), limit: int = 32 << 20) -> DataFrame:
     """keep, term, start, end: each term of the table ``terms`` (column term) where it first stands in each text; places from 0, end exclusive.
 
     ``term`` is in lower case where texts are compared so.
     """
     own = terms.select((lowered(F.col("term")) if bounds.fold else F.col("term")).alias("term")).where("term <> ''").distinct()
-    size = own.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    if size > limit:
+    if size_of(own, "term") > limit:
         return _joined(rows, own, text, bounds, keep)
     return _walked(rows, tuple(sorted(r.term for r in own.collect())), text, bounds, keep)

@@ -6,12 +6,15 @@ automaton for the whole glossary (``dictionary``).  A glossary is never scanned
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from weftline.functions.numbers import number_anchors
 from weftline.functions.text import before_apostrophe, fold, words
-from weftline.operators.dictionary import STEM, SUBSTRING, WHOLE, first_hits, lowered
+from weftline.operators.dictionary import STEM, SUBSTRING, WHOLE, first_hits, listed_hits, lowered, size_of
 
 
 def names_in_source(rows: DataFrame, glossary: DataFrame, text: str = "source") -> DataFrame:
@@ -66,9 +69,35 @@ def anchors(rows: DataFrame, entries: DataFrame, text: str, lang: str) -> DataFr
 
     Japanese terms stand anywhere; others, in any case, between characters that are no letters (digits may touch them).
     """
-    own = rows.select("doc_id", "block_no", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    nums = own.select("doc_id", "block_no", F.explode(number_anchors(F.col("t"), lang)).alias("anchor"))
-    bounds = SUBSTRING if lang == "ja" else WHOLE
-    term = entries.where(F.col(lang) != "").select("key", (lowered(F.col(lang)) if bounds.fold else F.col(lang)).alias("term"))
-    hits = first_hits(own, term, "t", bounds, ("doc_id", "block_no")).join(term, "term")
-    return nums.unionByName(hits.select("doc_id", "block_no", F.col("key").alias("anchor"))).distinct()
+    return anchors_by_language(rows, entries, {lang: text}).drop("lang")
+
+
+def anchors_by_language(rows: DataFrame, entries: DataFrame, texts: dict[str, str], limit: int = 32 << 20) -> DataFrame:
+    """(lang, doc_id, block_no, anchor): ``anchors`` of texts in several languages; ``texts`` names the column of each language.
+
+    A row is read once, whatever the number of languages: its texts meet the automata together, and its numbers and the places of its keys
+    are shuffled as one row, so rows that share a block are told apart from repeats by lists, not anchor by anchor.  Keys are looked up
+    after that, from a table of no more than ``limit`` bytes.  Larger glossaries are joined language by language.
+    """
+    bounds = {lang: SUBSTRING if lang == "ja" else WHOLE for lang in texts}
+    own = rows.select("doc_id", "block_no", *[F.coalesce(F.col(text), F.lit("")).alias(f"t_{lang}") for lang, text in texts.items()])
+    entry = lambda lang, anchor, no: F.struct(F.lit(lang).cast("string").alias("lang"), F.lit(anchor).cast("string").alias("anchor"), F.lit(no).cast("int").alias("no"))
+    numbers = lambda lang: F.transform(number_anchors(F.col(f"t_{lang}"), lang), lambda v: entry(lang, v, None))
+    marks = F.concat(*[numbers(lang) for lang in texts])
+    named = {lang: entries.where(F.col(lang) != "").select(F.lit(lang).alias("lang"), "key", (lowered(F.col(lang)) if bounds[lang].fold else F.col(lang)).alias("term")) for lang in texts}
+    table = reduce(DataFrame.unionByName, named.values())
+    if size_of(table, "key", "term") > limit:
+        hits = [first_hits(own, t, f"t_{lang}", bounds[lang], ("doc_id", "block_no"), limit).join(t, "term").select("lang", "doc_id", "block_no", F.col("key").alias("anchor")) for lang, t in named.items()]
+        return reduce(DataFrame.unionByName, hits, own.select("doc_id", "block_no", F.inline(marks)).select("lang", "doc_id", "block_no", "anchor")).distinct()
+    known = table.distinct().collect()
+    places = {at: no for no, at in enumerate(sorted({(r.lang, r.key) for r in known}, key=str))}
+    numbers_of: dict[str, dict[str, list[int]]] = {lang: {} for lang in texts}
+    for r in known:
+        numbers_of[r.lang].setdefault(r.term, []).append(places[r.lang, r.key])
+    keys = rows.sparkSession.createDataFrame([(no, *at) for at, no in places.items()], StructType([StructField("no", IntegerType()), StructField("of", StringType()), entries.schema["key"]]))
+    found = listed_hits(own.withColumn("marks", marks), [(f"t_{lang}", numbers_of[lang], bounds[lang]) for lang in texts], ("doc_id", "block_no", "marks"))
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    blocks = found.groupBy("doc_id", "block_no").agg(merged("marks").alias("marks"), merged("hits").alias("hits"))
+    each = blocks.select("doc_id", "block_no", F.inline(F.concat("marks", F.transform("hits", lambda no: entry(None, None, no)))))
+    each = each.join(F.broadcast(keys), "no", "left")
+    return each.select(F.coalesce("lang", "of").alias("lang"), "doc_id", "block_no", F.coalesce("anchor", "key").alias("anchor"))

@@ -76,8 +76,8 @@ def number_and_term_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("From "), F.initcap("n_name"), F.lit("7: "), F.format_number(n, 0), F.lit(" paid")).alias("en"), F.concat(F.lit("Из №"), cyrillic, F.lit(": "), F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))).alias("ru"),
     )
     entries = nations.select(F.concat(F.lit("g:"), "n_name").alias("key"), F.translate(name, _LATIN + " ", _KANA).alias("ja"), name.alias("en"), cyrillic.alias("ru"))
-    found = [glossary.anchors(d, entries, lang, lang).select(F.lit(lang).alias("lang"), F.col("doc_id").alias("c_custkey"), F.replace("anchor", F.lit("\x00"), F.lit("")).alias("anchor")) for lang in ("ja", "en", "ru")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    found = glossary.anchors_by_language(d, entries, {lang: lang for lang in ("ja", "en", "ru")})
+    return found.select("lang", F.col("doc_id").alias("c_custkey"), F.replace("anchor", F.lit("\x00"), F.lit("")).alias("anchor"))
 
 
 # Text functions.
