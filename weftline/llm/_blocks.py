@@ -6,7 +6,9 @@ distinct keys, sorted; the slice merges the arrays of all blocks and answers eac
 of its keys, so answers need no keys and a key shared by a third of all documents costs a slice one
 entry per block.  Since blocks are ranges, "occurs earlier" between blocks is a smaller block number.
 
-Blocks times slices would grow with the square of the input.  So a ``Route`` to more than ``fan`` groups
+What a sender has for a group is one compressed bundle.  Every hop writes all messages to disk once more, so they go directly
+as long as a block has ``MESSAGE_BYTES`` of text for each group.  Beyond, blocks times slices would grow with the square of
+the input.  So a ``Route`` to more than ``fan`` groups
 goes in hops: a sender packs what it has into at most ``fan`` bundles, one for each range of groups; ``fan``
 senders' bundles for one range meet and are packed again for its parts, until a range is one group.  Every
 hop moves at most ``fan`` rows for each sender, so rows grow with the input (times the number of hops).
@@ -41,6 +43,7 @@ BUNDLE, TOTAL = -1, -2  # kinds: several messages as one; figures for every grou
 FAN = 256
 COARSE = 4096
 SLICE_BYTES = 24 << 20  # of text for each slice at most, on the average
+MESSAGE_BYTES = 1 << 10  # of a block's text for each group at least, on the average, where messages go directly
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ def blocks(docs: DataFrame, text: str = "text", doc: str = "doc_id", per_partiti
     the texts have over ``slice_bytes`` for each: what a task holds follows neither the input nor a session's settings.
 
     A null id sorts after all others.  Rows of one id always share a block.  Quantiles are taken for COARSE
-    borders at most; beyond, each range between two of them is cut evenly by id.
+    borders at most; beyond, each range between two of them is cut evenly by id.  ``fan`` is raised to what blocks of this size can send directly.
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -80,6 +83,7 @@ def blocks(docs: DataFrame, text: str = "text", doc: str = "doc_id", per_partiti
         block = block * each + F.greatest(F.lit(0), F.least(inside, F.lit(each - 1))).cast("int")
     rows = rows.select(block.cast("int").alias("block"), "doc_id", "text")
     n = slices or n
+    fan = max(fan, size // total // MESSAGE_BYTES)
     return Layout(rows, n, Route(0, n, fan), Route(1, (len(cuts) + 1 if cuts else 2) * each, fan))
 
 
@@ -126,10 +130,12 @@ def messages(rows: Iterable[tuple]) -> pa.Table:
 
 def _bundle(rows: list[tuple]) -> bytes:
     head = np.array([(*r[:4], *(-1 if x is None else len(x) for x in r[4:6])) for r in rows], np.int64)
-    return b"".join([np.int64(len(rows)).tobytes(), head.tobytes(), *[x for r in rows for x in r[4:6] if x is not None]])
+    data = b"".join([np.int64(len(rows)).tobytes(), head.tobytes(), *[x for r in rows for x in r[4:6] if x is not None]])
+    return np.int64(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
 def _opened(data: bytes) -> Iterator[tuple]:
+    data = pa.decompress(memoryview(data)[8:], int(np.frombuffer(data, np.int64, 1)[0]), "zstd", asbytes=True)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     at = 8 + 48 * n
     for row in np.frombuffer(data, np.int64, 6 * n, 8).reshape(n, 6).tolist():
@@ -192,11 +198,8 @@ class Route:
             at = (g * width, sender) if self.by == 0 else (sender, g * width)
             ranges.setdefault(g, []).append((*at, TOTAL, 0, figures.astype(np.int64).tobytes(), None))
         for g, own in sorted(ranges.items()):
-            if width == 1:
-                yield from own
-            else:
-                at = (g, sender) if self.by == 0 else (sender, g)
-                yield (*at, BUNDLE, len(own), _bundle(own), None)
+            at = (g, sender) if self.by == 0 else (sender, g)
+            yield (*at, BUNDLE, len(own), _bundle(own), None)
 
     def _again(self, table: pa.Table, width: int) -> pa.Table:
         """What ``fan`` senders have for one range of ``width * fan`` groups, packed for ranges of ``width``."""
@@ -206,13 +209,7 @@ class Route:
             return table.select(_ARROW.names)
         rows = read(table)
         low = g * width * self.fan
-        packed = list(self._packed([r for r in rows if r[2] != TOTAL], totals(rows), low, low + width * self.fan, width, sender))
-        if width == 1:  # the last hop: one row for each group
-            ranges: dict[int, list[tuple]] = {}
-            for r in packed:
-                ranges.setdefault(r[self.by], []).append(r)
-            packed = [(*((k, sender) if self.by == 0 else (sender, k)), BUNDLE, len(own), _bundle(own), None) for k, own in sorted(ranges.items())]
-        return messages(packed)
+        return messages(self._packed([r for r in rows if r[2] != TOTAL], totals(rows), low, low + width * self.fan, width, sender))
 
     def delivered(self, df: DataFrame) -> DataFrame:
         """``df`` (MESSAGE rows of ``send``) after all hops, ready to be grouped by slice or block."""
