@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import numbers
 from weftline.functions.text import escaped, has_word, missing, runs
-from weftline.operators.versions import aligned
+from weftline.operators.versions import compared
 
 
 def repetition(paragraphs: DataFrame, near: int = 2, least: int = 3, length: int = 5, letters: str = r"\p{L}") -> DataFrame:
@@ -144,24 +144,31 @@ def drift_kinds(old: DataFrame, new: DataFrame, keys: list[str], pack: DriftPack
     Moves are found by a join on (document, hash of the letters), so a paragraph is compared with its equals only.
     """
     a, b = (df.select(*keys, F.col("text").alias(n)) for df, n in ((old, "old"), (new, "new")))
-    return _kinds(a.join(b, keys, "full_outer"), old, new, keys, pack)
+    return _kinds(_with_moves(a.join(b, keys, "full_outer"), old, new, keys[0]), keys, pack)
 
 
 def drift_aligned(old: DataFrame, new: DataFrame, doc: str = "doc_id", pack: DriftPack = DriftPack(), alike: float = 0.3) -> DataFrame:
-    """doc, old_no, new_no, kind, strength of two versions whose paragraphs are aligned as sequences (``versions.aligned``)."""
-    pairs = aligned(old, new, doc, alike=alike)
-    a, b = (df.select(doc, F.col("para_no").alias(f"{n}_no"), F.col("text").alias(n)) for df, n in ((old, "old"), (new, "new")))
-    return _kinds(pairs.join(a, [doc, "old_no"], "left").join(b, [doc, "new_no"], "left"), old, new, [doc, "old_no", "new_no"], pack)
+    """doc, old_no, new_no, kind, strength of two versions whose paragraphs are aligned as sequences (``versions.compared``)."""
+    fixed, rest = compared(old, new, doc, alike=alike)
+    keys = [doc, "old_no", "new_no"]
+    same = fixed.where("other").select(*keys, F.lit("format").alias("kind"), F.lit("INFO").alias("strength"))
+    return _kinds(rest, keys, pack).unionByName(same)
 
 
-def _kinds(d: DataFrame, old_rows: DataFrame, new_rows: DataFrame, keys: list[str], pack: DriftPack) -> DataFrame:
-    """keys, kind, strength of pairs (keys, old, new); a side that lacks the paragraph is null."""
+def _with_moves(d: DataFrame, old_rows: DataFrame, new_rows: DataFrame, doc: str) -> DataFrame:
+    """``d`` and in_new, in_old: whether the letters of a side's paragraph are anywhere in the other version of the document."""
+    d = d.withColumn("lo", _letters(F.col("old"))).withColumn("ln", _letters(F.col("new")))
+    pool = lambda df, c: df.select(F.col(doc).alias("_doc"), _letters(F.col("text")).alias("_hash")).where("_hash <> ''").distinct().withColumn(c, F.lit(True))
+    for rows, c, own in ((new_rows, "in_new", "lo"), (old_rows, "in_old", "ln")):
+        d = d.join(pool(rows, c), (F.col(doc) == F.col("_doc")) & (F.col(own) == F.col("_hash")), "left").drop("_doc", "_hash")
+    return d
+
+
+def _kinds(d: DataFrame, keys: list[str], pack: DriftPack) -> DataFrame:
+    """keys, kind, strength of pairs (keys, old, new, in_new, in_old); a side that lacks the paragraph is null."""
     names = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pack.name), F.lit(0))))
-    doc = keys[0]
     d = d.withColumn("lo", _letters(F.col("old"))).withColumn("ln", _letters(F.col("new")))
-    pool = lambda df, c: df.select(F.col(doc).alias("_doc"), _letters(F.col("text")).alias(c)).where(F.col(c) != "").distinct().withColumn(f"has_{c}", F.lit(True))
-    d = d.join(pool(new_rows, "in_new"), (F.col(doc) == F.col("_doc")) & (F.col("lo") == F.col("in_new")), "left").drop("_doc", "in_new")
-    d = d.join(pool(old_rows, "in_old"), (F.col(doc) == F.col("_doc")) & (F.col("ln") == F.col("in_old")), "left").drop("_doc", "in_old")
+    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("in_new", "in_old")})
     o, n = F.col("old"), F.col("new")
     both = o.isNotNull() & n.isNotNull() & (F.col("lo") != F.col("ln"))
     person = F.lit(False)
@@ -169,11 +176,11 @@ def _kinds(d: DataFrame, old_rows: DataFrame, new_rows: DataFrame, keys: list[st
         person = person | (has_word(o, p) != has_word(n, p))
     gone, came = o.isNotNull() & n.isNull(), o.isNull() & n.isNotNull()
     strong = {
-        "paragraph-lost": gone & F.col("has_in_new").isNull(), "paragraph-added": came & F.col("has_in_old").isNull(),
+        "paragraph-lost": gone & ~F.col("in_new"), "paragraph-added": came & ~F.col("in_old"),
         "numbers": both & (F.array_sort(numbers(o)) != F.array_sort(numbers(n))), "negation": both & (has_word(o, pack.negation) != has_word(n, pack.negation)),
         "persons": both & person, "names": both & (names(o) != names(n)),
     }
-    moved = (gone & F.col("has_in_new").isNotNull()) | (came & F.col("has_in_old").isNotNull())
+    moved = (gone & F.col("in_new")) | (came & F.col("in_old"))
     any_ = reduce(lambda x, y: x | y, (F.coalesce(c, F.lit(False)) for c in strong.values()))
     kinds = [(k, "STRONG", c) for k, c in strong.items()] + [("paragraph-moved", "INFO", moved), ("wording", "WEAK", both & ~any_), ("format", "INFO", o.isNotNull() & n.isNotNull() & ~both & (o != n))]
     listed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("strength"))) for k, s, c in kinds]))
